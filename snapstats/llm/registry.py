@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
-from snapstats.llm import langid, quality, secret_scan, sharding
+from snapstats.llm import decontaminate, langid, packing, quality, repeats, secret_scan, sharding, simhash
 
 
 def queries():
     return {
+        "op1_simhash_anchors": simhash.op1_simhash_anchors,
+        "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_secret_scan": secret_scan.op5_secret_scan,
+        "op6_difference_cover": repeats.op6_difference_cover,
+        "op7_line_windows": repeats.op7_line_windows,
         "op8_language_bitmask": langid.op8_language_bitmask,
         "op9_permutation_table": sharding.op9_permutation_table,
+        "op10_fm_index_decontamination": decontaminate.op10_fm_index_decontamination,
     }
 
 
 def oracle_sql():
-    return {"op4_quality_rules": quality.OP4_SQL}
+    return {
+        "op4_quality_rules": quality.OP4_SQL,
+        "op6_difference_cover": repeats.OP6_SQL,
+        "op7_line_windows": repeats.OP7_SQL,
+        "op10_fm_index_decontamination": decontaminate.OP10_SQL,
+    }
