@@ -13,7 +13,7 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     while True:
         key = rank * (n + 1)
         key[: n - width] += rank[width:] + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         new = np.empty(n, np.int64)
         new[order] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]]))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from snapstats.llm import decontaminate, langid, packing, quality, repeats, secret_scan, sharding, simhash
+import corpus_pipeline
+from snapstats.llm import decontaminate, langid, packing, quality, repeats, secret_scan, sharding, simhash, suffixes
 
 
 def queries():
     return {
         "op1_simhash_anchors": simhash.op1_simhash_anchors,
         "op2_best_fit_packing": packing.op2_best_fit_packing,
+        "op3_suffix_array_dedup": suffixes.op3_suffix_array_dedup,
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_secret_scan": secret_scan.op5_secret_scan,
         "op6_difference_cover": repeats.op6_difference_cover,
@@ -16,6 +18,7 @@ def queries():
         "op8_language_bitmask": langid.op8_language_bitmask,
         "op9_permutation_table": sharding.op9_permutation_table,
         "op10_fm_index_decontamination": decontaminate.op10_fm_index_decontamination,
+        "pipeline": corpus_pipeline.run,
     }
 
 
