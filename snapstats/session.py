@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str = "local[8]", *, app: str = "snapstats", **conf: str) -> SparkSession:
@@ -20,3 +22,11 @@ def session(master: str = "local[8]", *, app: str = "snapstats", **conf: str) ->
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the folder that ``spark.checkpoint.dir`` names; a temporary one only where none is named."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint(eager=True)
