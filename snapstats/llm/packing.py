@@ -91,7 +91,7 @@ class WordIds:
             found = list(map(self.young.get, own))
             if None in found:
                 self._learn({w for w, x in zip(own, found) if x is None})
-                found = [self.young[w] for w in own]
+                found = [self.young[w] if x is None else x for w, x in zip(own, found)]  # a new generation may have begun
             out.append(b"".join(found))
         return out
 
