@@ -177,57 +177,102 @@ def split_runs(sorted_values: np.ndarray) -> np.ndarray:
     return first
 
 
-def per_key(keys: np.ndarray, values: np.ndarray, width: type = np.int32) -> pa.RecordBatch | None:
-    """One row per key with all its values, packed."""
+def pack_ints(values: np.ndarray, steps: bool = False) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs; with ``steps`` their differences, which are small for keys in order."""
+    values = values.astype(np.int64, copy=False)
+    kept = np.diff(values) if steps else values
+    width = next((w for w in (1, 2, 4) if not len(kept) or (kept.min() >= -(1 << 8 * w - 1) and kept.max() < 1 << 8 * w - 1)), 8)
+    return bytes([width]) + (values[:1].tobytes() if steps else b"") + kept.astype(f"<i{width}").tobytes()
+
+
+def unpack_ints(data: bytes, steps: bool = False) -> np.ndarray:
+    if len(data) < 2:
+        return np.zeros(0, np.int64)
+    if not steps:
+        return np.frombuffer(data, f"<i{data[0]}", offset=1).astype(np.int64)
+    first = np.frombuffer(data, np.int64, 1, 1)
+    return np.cumsum(np.concatenate([first, np.frombuffer(data, f"<i{data[0]}", offset=9).astype(np.int64)]))
+
+
+def joined(parts: list[np.ndarray], kind: type = np.int64) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def _spans(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """The order by bucket (stable), the buckets that occur, and each one's span of that order."""
+    order = np.argsort(bucket, kind="stable")
+    at = np.flatnonzero(split_runs(bucket[order]))
+    return order, bucket[order][at], list(zip(at.tolist(), [*at[1:].tolist(), len(order)]))
+
+
+# --- values by key: a task's findings go to the key's bucket, where each key becomes one row ---
+
+KEYED = "bucket int, k binary, v binary"
+PER_KEY = "key long, packed binary"
+
+
+def keyed(n_buckets: int, keys: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of KEYED: one for each bucket, however many keys there are."""
     if not len(keys):
-        return None
-    order = np.lexsort((values, keys))
-    keys, values = keys[order], values[order].astype(width)
-    at = np.flatnonzero(split_runs(keys))
-    ends = np.append(at[1:], len(keys))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(keys[at]), pa.array([values[i:j].tobytes() for i, j in zip(at, ends)], pa.binary())], ["key", "packed"]
+        return
+    by = np.lexsort((values, keys))
+    keys, values = keys[by], values[by]
+    order, buckets_, spans = _spans((mix(keys.view(np.uint64)) >> np.uint64(64 - (n_buckets.bit_length() - 1))).astype(np.int32))
+    keys, values = keys[order], values[order]
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(buckets_),
+            pa.array([pack_ints(keys[i:j], True) for i, j in spans], pa.binary()),
+            pa.array([pack_ints(values[i:j]) for i, j in spans], pa.binary()),
+        ],
+        ["bucket", "k", "v"],
     )
 
 
-PER_KEY = "key long, packed binary"
+def _rows_of_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keys, values = [], []
+    for batch in batches:
+        keys += [unpack_ints(x, True) for x in batch.column("k").to_pylist()]
+        values += [unpack_ints(x) for x in batch.column("v").to_pylist()]
+    k, v = joined(keys), joined(values)
+    if len(k):
+        order = np.lexsort((v, k))
+        k, v = k[order], v[order]
+        at = np.flatnonzero(split_runs(k))
+        spans = zip(at.tolist(), [*at[1:].tolist(), len(k)])
+        yield pa.RecordBatch.from_arrays([pa.array(k[at]), pa.array([pack_ints(np.unique(v[i:j])) for i, j in spans], pa.binary())], ["key", "packed"])
 
 
-def unpacked(parts: list[bytes] | None, width: type = np.int32) -> np.ndarray:
-    """All values of the rows of one key, sorted, each once."""
-    if not parts:
-        return np.zeros(0, width)
-    return np.unique(np.frombuffer(b"".join(parts), width))
+def by_key(found: DataFrame) -> DataFrame:
+    """(key, packed): one row for each key of KEYED rows, with all its values, each once. A key is a document, so they are bounded by its length."""
+    return found.repartition("bucket").mapInArrow(_rows_of_keys, PER_KEY)
 
 
-def grouped(df: DataFrame) -> DataFrame:
-    """The rows of ``per_key`` by key. A key is a document, so its values are bounded by its own length."""
-    return df.groupBy("key").agg(F.collect_list("packed").alias("parts"))
+def unpacked(packed: bytes | None) -> np.ndarray:
+    return unpack_ints(packed) if packed else np.zeros(0, np.int64)
 
 
 # --- the packed exchange of occurrences: (hash, second hash, key, position) ---
 
 OCCURRENCES = "bucket int, known boolean, h binary, g binary, k binary, p binary"
-_FIELDS = (("h", np.uint64), ("g", np.uint64), ("k", np.int64), ("p", np.int32))
 
 
-def send(n_buckets: int, known: bool, h: np.ndarray, g: np.ndarray, k: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
+def send(n_buckets: int, known: bool, h: np.ndarray, g: np.ndarray | None, k: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Occurrences as rows of OCCURRENCES. What is ``known`` only passes through, so it goes by key, not by hash."""
     if not len(h):
         return
     shift = np.uint64(64 - (n_buckets.bit_length() - 1))
-    bucket = ((mix(k.view(np.uint64)) if known else h) >> shift).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    at = np.flatnonzero(split_runs(bucket))
-    ends = np.append(at[1:], len(bucket))
-    columns: list[pa.Array] = [pa.array(bucket[at]), pa.array(np.full(len(at), known))]
-    for values, (name, kind) in zip((h, g, k, p), _FIELDS):
-        if known and name in "hg":
-            columns.append(pa.array([b""] * len(at), pa.binary()))
-            continue
-        values = values.astype(kind, copy=False)[order]
-        columns.append(pa.array([values[i:j].tobytes() for i, j in zip(at, ends)], pa.binary()))
+    order, buckets_, spans = _spans(((mix(k.view(np.uint64)) if known else h) >> shift).astype(np.int32))
+    columns: list[pa.Array] = [pa.array(buckets_), pa.array(np.full(len(buckets_), known))]
+    for values in (h, g):
+        if known or values is None:
+            columns.append(pa.array([b""] * len(spans), pa.binary()))
+        else:
+            values = values[order]
+            columns.append(pa.array([values[i:j].tobytes() for i, j in spans], pa.binary()))
+    k, p = k[order], p[order]
+    columns.append(pa.array([pack_ints(k[i:j], True) for i, j in spans], pa.binary()))
+    columns.append(pa.array([pack_ints(p[i:j]) for i, j in spans], pa.binary()))
     yield pa.RecordBatch.from_arrays(columns, ["bucket", "known", "h", "g", "k", "p"])
 
 
@@ -244,21 +289,19 @@ def _not_first(order: np.ndarray, first: np.ndarray, k: np.ndarray, p: np.ndarra
 
 
 def received(batches: Iterable[pa.RecordBatch]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """(h, g, k, p) of the occurrences to compare, and (k, p) of those already known, of one partition."""
-    parts: list[list[bytes]] = [[], [], [], []]
-    known: list[list[bytes]] = [[], []]
+    """(h, g, k, p) of the occurrences to compare, and (k, p) of those already known, of one partition; without a second hash g is zero."""
+    h, g = [], []
+    where: tuple[list, list, list, list] = ([], [], [], [])
     for batch in batches:
         flags = batch.column("known").to_pylist()
-        for i, name in enumerate("hgkp"):
-            for flag, value in zip(flags, batch.column(name).to_pylist()):
-                if not flag:
-                    parts[i].append(value)
-                elif i >= 2:
-                    known[i - 2].append(value)
-    return (
-        [np.frombuffer(b"".join(x), kind) for x, (_, kind) in zip(parts, _FIELDS)],
-        [np.frombuffer(b"".join(x), kind) for x, (_, kind) in zip(known, _FIELDS[2:])],
-    )
+        h += batch.column("h").to_pylist()
+        g += batch.column("g").to_pylist()
+        for i, (name, steps) in enumerate((("k", True), ("p", False))):
+            for known, value in zip(flags, batch.column(name).to_pylist()):
+                where[i + 2 * known].append(unpack_ints(value, steps))
+    k, p, known_k, known_p = (joined(x) for x in where)
+    first, second = np.frombuffer(b"".join(h), np.uint64), np.frombuffer(b"".join(g), np.uint64)
+    return [first, second if len(second) else np.zeros(len(first), np.uint64), k, p], [known_k, known_p]
 
 
 class Occurrences:
@@ -282,34 +325,37 @@ class Occurrences:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.parts:
             return
-        h, g, k, p = (np.concatenate(x) for x in zip(*self.parts))
+        h, k, p = (np.concatenate([part[i] for part in self.parts]) for i in (0, 2, 3))
+        g = None if self.parts[0][1] is None else np.concatenate([part[1] for part in self.parts])
         self.parts, self.n = [], 0
-        order, first = by_hash(h, g, k, p)
+        order, first = by_hash(h, np.zeros(len(h), np.uint64) if g is None else g, k, p)
         reps, rest = order[first], order[_not_first(order, first, k, p)] if self.later_only else order[~first]
         if not self.later_only:
             alone = np.append(first[1:], True)[first]
             rest = np.concatenate([rest, reps[~alone]])
         reps.sort()
         rest.sort()
-        yield from send(self.n_buckets, False, h[reps], g[reps], k[reps], p[reps])
-        yield from send(self.n_buckets, True, h[rest], g[rest], k[rest], p[rest])
+        yield from send(self.n_buckets, False, h[reps], None if g is None else g[reps], k[reps], p[reps])
+        yield from send(self.n_buckets, True, h[rest], None, k[rest], p[rest])
 
 
-def repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def repeated(n_buckets: int):
     """Positions by key of all occurrences whose hash occurs twice or more."""
-    yield from _matched(batches, later_only=False)
+    return _matched(n_buckets, later_only=False)
 
 
-def later(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def later(n_buckets: int):
     """Positions by key of all occurrences that another with a smaller (key, position) precedes."""
-    yield from _matched(batches, later_only=True)
+    return _matched(n_buckets, later_only=True)
 
 
-def _matched(batches: Iterable[pa.RecordBatch], later_only: bool) -> Iterator[pa.RecordBatch]:
-    (h, g, k, p), (known_k, known_p) = received(batches)
-    if len(h):
-        order, first = by_hash(h, g, k, p)
-        out = _not_first(order, first, k, p) if later_only else ~(first & np.append(first[1:], True))
-        known_k, known_p = np.concatenate([known_k, k[order[out]]]), np.concatenate([known_p, p[order[out]]])
-    if (rows := per_key(known_k, known_p)) is not None:
-        yield rows
+def _matched(n_buckets: int, later_only: bool):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (h, g, k, p), (known_k, known_p) = received(batches)
+        if len(h):
+            order, first = by_hash(h, g, k, p)
+            out = _not_first(order, first, k, p) if later_only else ~(first & np.append(first[1:], True))
+            known_k, known_p = np.concatenate([known_k, k[order[out]]]), np.concatenate([known_p, p[order[out]]])
+        yield from keyed(n_buckets, known_k, known_p)
+
+    return run

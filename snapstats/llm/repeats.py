@@ -32,14 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapstats.llm.common import (
+    KEYED,
     OCCURRENCES,
-    PER_KEY,
     Hasher,
     Occurrences,
     blocks,
     buckets,
+    by_key,
     frame,
-    grouped,
     later,
     real_key,
     repeated,
@@ -80,14 +80,14 @@ def _anchors(n_buckets: int, window: int):
     width = window - PERIOD + 1
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, hasher = Occurrences(n_buckets, later_only=False), _Pair(6)
+        found, hasher = Occurrences(n_buckets, later_only=False), Hasher(6)
         for keys, data, at, _, _ in blocks(batches):
             start, end, cut = words_of(data, at)
             row, nth, left = _places(cut)
             use = np.flatnonzero(cover[nth % PERIOD] & (left >= width))
             if len(use):
-                h, g = hasher.windows(hasher.words(data, start, end), width)
-                yield from found.add(h[use], g[use], keys[row[use]], nth[use].astype(np.int32))
+                h = hasher.windows(hasher.ranges(hasher.sums(hasher.bytes[data]), start, end), width)
+                yield from found.add(h[use], None, keys[row[use]], nth[use])
         yield from found.flush()
 
     return run
@@ -100,7 +100,7 @@ def _extend(n_buckets: int, window: int):
             start, end, cut = words_of(data, at)
             row, nth, left = _places(cut)
             near = np.zeros(len(start) + 1, np.int32)
-            for i, parts in enumerate(batch.column("parts").slice(first, len(keys)).to_pylist()):
+            for i, parts in enumerate(batch.column("packed").slice(first, len(keys)).to_pylist()):
                 n = cut[i + 1] - cut[i]
                 anchor = unpacked(parts)
                 anchor = anchor[anchor < n]
@@ -109,14 +109,14 @@ def _extend(n_buckets: int, window: int):
             use = np.flatnonzero((np.cumsum(near[:-1]) > 0) & (left >= window))
             if len(use):
                 h, g = hasher.windows(hasher.words(data, start, end), window)
-                yield from found.add(h[use], g[use], keys[row[use]], nth[use].astype(np.int32))
+                yield from found.add(h[use], g[use], keys[row[use]], nth[use])
         yield from found.flush()
 
     return run
 
 
 def _matched(sent: DataFrame, match: Callable) -> DataFrame:
-    return grouped(sent.repartition("bucket").mapInArrow(match, PER_KEY))
+    return by_key(sent.repartition("bucket").mapInArrow(match, KEYED))
 
 
 def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
@@ -130,19 +130,19 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
 
 
 def later_word_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(key, parts): packed word numbers at which a window starts that has started before. ``docs`` is a ``frame``."""
+    """(key, packed): packed word numbers at which a window starts that has started before. ``docs`` is a ``frame``."""
     if window < PERIOD:
         raise ValueError(f"a window must have {PERIOD} words or more, for an anchor to fit at any offset")
     n_buckets = buckets(docs.sparkSession)
-    near = _matched(docs.mapInArrow(_anchors(n_buckets, window), OCCURRENCES), repeated)
-    return _matched(docs.join(near, "key").select("key", "text", "parts").mapInArrow(_extend(n_buckets, window), OCCURRENCES), later)
+    near = _matched(docs.mapInArrow(_anchors(n_buckets, window), OCCURRENCES), repeated(n_buckets))
+    return _matched(docs.join(near, "key").select("key", "text", "packed").mapInArrow(_extend(n_buckets, window), OCCURRENCES), later(n_buckets))
 
 
 def _kept_words(window: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, removed, digests = [], [], []
-            for text, parts in zip(batch.column("text").to_pylist(), batch.column("parts").to_pylist()):
+            for text, parts in zip(batch.column("text").to_pylist(), batch.column("packed").to_pylist()):
                 words = text.encode().split()
                 gone = covered(unpacked(parts), window, len(words)) if parts else ()
                 counts.append(len(words))
@@ -160,7 +160,7 @@ def _kept_words(window: int):
 def word_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """A row per document: words, words removed, a digest of the words kept."""
     docs = frame(docs, key=key, text=text)
-    joined = docs.join(later_word_windows(docs, window), "key", "left").select("key", "text", "parts")
+    joined = docs.join(later_word_windows(docs, window), "key", "left").select("key", "text", "packed")
     out = joined.mapInArrow(_kept_words(window), "key long, n_words long, n_removed long, kept_sha256 string")
     return out.select(real_key(key), *out.columns[1:])
 
@@ -185,15 +185,16 @@ def _line_windows(n_buckets: int, width: int):
                     place.append(n)
             if digests:
                 both = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
-                yield from found.add(both[:, 0].copy(), both[:, 1].copy(), np.array(key, np.int64), np.array(place, np.int32))
+                yield from found.add(both[:, 0].copy(), both[:, 1].copy(), np.array(key, np.int64), np.array(place, np.int64))
         yield from found.flush()
 
     return run
 
 
 def later_line_windows(docs: DataFrame, width: int = LINES) -> DataFrame:
-    """(key, parts): packed numbers of the non-blank lines at which a window starts that has started before."""
-    return _matched(docs.mapInArrow(_line_windows(buckets(docs.sparkSession), width), OCCURRENCES), later)
+    """(key, packed): packed numbers of the non-blank lines at which a window starts that has started before."""
+    n_buckets = buckets(docs.sparkSession)
+    return _matched(docs.mapInArrow(_line_windows(n_buckets, width), OCCURRENCES), later(n_buckets))
 
 
 def cut_lines(text: bytes, starts: np.ndarray, width: int) -> tuple[bytes, int, int]:
@@ -209,7 +210,7 @@ def cut_lines(text: bytes, starts: np.ndarray, width: int) -> tuple[bytes, int,
 def _kept_lines(width: int, summary: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cut = [cut_lines(t.encode(), unpacked(p), width) for t, p in zip(batch.column("text").to_pylist(), batch.column("parts").to_pylist())]
+            cut = [cut_lines(t.encode(), unpacked(p), width) for t, p in zip(batch.column("text").to_pylist(), batch.column("packed").to_pylist())]
             if not summary:
                 yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([t.decode() for t, _, _ in cut], pa.string())], ["row", "text"])
                 continue
@@ -229,7 +230,7 @@ def _kept_lines(width: int, summary: bool):
 def line_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = LINES) -> DataFrame:
     """A row per document: non-blank lines, lines removed, a digest of the text that is left."""
     docs = frame(docs, key=key, text=text)
-    joined = docs.join(later_line_windows(docs, width), "key", "left").select("key", "text", "parts")
+    joined = docs.join(later_line_windows(docs, width), "key", "left").select("key", "text", "packed")
     out = joined.mapInArrow(_kept_lines(width, True), "key long, n_lines long, n_removed long, kept_sha256 string")
     return out.select(real_key(key), *out.columns[1:])
 
@@ -238,7 +239,7 @@ def without_later_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "te
     """``docs`` with the removed lines cut out of their texts; all rows and columns stay."""
     starts = later_line_windows(frame(docs, key=key, text=text), width)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text], F.col(text).isNull().alias("__null")).alias("row")
-    joined = frame(docs, whole, key=key, text=text).join(starts, "key", "left").select("row", "text", "parts")
+    joined = frame(docs, whole, key=key, text=text).join(starts, "key", "left").select("row", "text", "packed")
     out = joined.mapInArrow(_kept_lines(width, False), joined.select("row", "text").schema)
     kept = F.when(~F.col("row.__null"), F.col("text")).alias(text)
     return out.select(*[kept if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -32,20 +32,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapstats.llm.common import (
+    KEYED,
     OCCURRENCES,
-    PER_KEY,
     Hasher,
     Occurrences,
     blocks,
     buckets,
     by_hash,
+    by_key,
     frame,
-    grouped,
+    keyed,
     mix,
-    per_key,
     real_key,
     received,
     split_runs,
+    unpacked,
 )
 from snapstats.llm.suffixarray import permuted_prefixes, suffix_array
 
@@ -108,21 +109,21 @@ def _find(n_buckets: int, window: int, gram: int):
             x = _Pieces(grams, data, at, window, gram)
             if len(x.begin):
                 g = whole.ranges(whole.sums(whole.bytes[data]), x.begin, x.begin + x.n + window - 1)
-                yield from found.add(x.hash, g, keys[x.row], x.place)
+                yield from found.add(x.hash, g, keys[x.row], x.place.astype(np.int64))
         yield from found.flush()
 
     return run
 
 
-def _judge(crowd: int):
+def _judge(n_buckets: int, crowd: int):
     """Places with what is known of them, packed as place * 8 + flags."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (h, g, k, p), (known_k, known_p) = received(batches)
-        keys, codes = [known_k], [known_p.astype(np.int64) * 8 + WHOLE]
+        keys, codes = [known_k], [known_p * 8 + WHOLE]
         if len(h):
             order, first = by_hash(h, g, k, p)
-            h, k, p = h[order], k[order], p[order].astype(np.int64)
+            h, k, p = h[order], k[order], p[order]
             group = np.cumsum(first) - 1
             twice = np.bincount(group)[group] > 1
             keys.append(k[twice])
@@ -132,8 +133,7 @@ def _judge(crowd: int):
             use = first & (kinds > 1)
             keys.append(k[use])
             codes.append(p[use] * 8 + np.where(kinds[use] > crowd, DEAL, SORT))
-        if (rows := per_key(np.concatenate(keys), np.concatenate(codes), np.int64)) is not None:
-            yield rows
+        yield from keyed(n_buckets, np.concatenate(keys), np.concatenate(codes))
 
     return run
 
@@ -165,8 +165,8 @@ def _ship(n_buckets: int, window: int, gram: int):
         for keys, data, at, row0, batch in blocks(batches):
             x = _Pieces(grams, data, at, window, gram)
             flags = np.zeros(len(x.begin), np.int64)
-            for i, parts in enumerate(batch.column("parts").slice(row0, len(keys)).to_pylist()):
-                codes = np.frombuffer(b"".join(parts), np.int64)
+            for i, packed in enumerate(batch.column("packed").slice(row0, len(keys)).to_pylist()):
+                codes = unpacked(packed)
                 begin = at[i] + codes // 8
                 there = np.searchsorted(x.begin, begin)
                 ok = there < len(x.begin)
@@ -231,7 +231,7 @@ def _sorted_spans(h: np.ndarray, k: np.ndarray, p: np.ndarray, n: np.ndarray, bo
             first = j
 
 
-def _match(window: int, shard: int):
+def _match(n_buckets: int, window: int, shard: int):
     """Spans by key, packed as begin * 2^32 + end."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,17 +261,16 @@ def _match(window: int, shard: int):
             use = order[~(first & np.append(first[1:], True))]
             spans.append((own["k"][use], own["p"][use].astype(np.int64), own["p"][use].astype(np.int64) + window))
         key, begin, end = (np.concatenate(x) for x in zip(*spans))
-        if (rows := per_key(key, begin << 32 | end, np.int64)) is not None:
-            yield rows
+        yield from keyed(n_buckets, key, begin << 32 | end)
 
     return run
 
 
-def merged(parts: list[bytes] | None, n: int) -> list[tuple[int, int]]:
+def merged(packed: bytes | None, n: int) -> list[tuple[int, int]]:
     """The maximal runs of bytes under the spans of one document of n bytes."""
-    if not parts:
+    codes = unpacked(packed)
+    if not len(codes):
         return []
-    codes = np.sort(np.frombuffer(b"".join(parts), np.int64))
     begin, end = codes >> 32, np.minimum(np.maximum.accumulate(codes & 0xFFFFFFFF), n)
     new = np.ones(len(codes), bool)
     new[1:] = begin[1:] > end[:-1]
@@ -282,9 +281,9 @@ def merged(parts: list[bytes] | None, n: int) -> list[tuple[int, int]]:
 def _kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for text, parts in zip(batch.column("text").to_pylist(), batch.column("parts").to_pylist()):
+        for text, packed in zip(batch.column("text").to_pylist(), batch.column("packed").to_pylist()):
             raw = text.encode()
-            runs, digest, at = merged(parts, len(raw)), hashlib.sha256(), 0
+            runs, digest, at = merged(packed, len(raw)), hashlib.sha256(), 0
             for a, b in runs:
                 digest.update(raw[at:a])
                 at = b
@@ -298,20 +297,20 @@ def _kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD, shard: int = SHARD) -> DataFrame:
-    """(key, parts): packed spans under repeated strings; they may overlap. ``docs`` is a ``frame``."""
+    """(key, packed): packed spans under repeated strings; they may overlap. ``docs`` is a ``frame``."""
     if not 0 < gram <= window:
         raise ValueError("a gram must fit into a window")
     n_buckets = buckets(docs.sparkSession)
     found = docs.mapInArrow(_find(n_buckets, window, gram), OCCURRENCES).repartition("bucket")
-    places = grouped(found.mapInArrow(_judge(crowd), PER_KEY))
-    work = docs.join(places, "key").select("key", "text", "parts").mapInArrow(_ship(n_buckets, window, gram), _WORK)
-    return grouped(work.repartition("bucket").mapInArrow(_match(window, shard), PER_KEY))
+    places = by_key(found.mapInArrow(_judge(n_buckets, crowd), KEYED))
+    work = docs.join(places, "key").select("key", "text", "packed").mapInArrow(_ship(n_buckets, window, gram), _WORK)
+    return by_key(work.repartition("bucket").mapInArrow(_match(n_buckets, window, shard), KEYED))
 
 
 def string_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """A row per document: bytes, bytes removed, maximal removed runs, a digest of the bytes kept."""
     docs = frame(docs, key=key, text=text)
-    joined = docs.join(repeated_spans(docs, **how), "key", "left").select("key", "text", "parts")
+    joined = docs.join(repeated_spans(docs, **how), "key", "left").select("key", "text", "packed")
     out = joined.mapInArrow(_kept, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.select(real_key(key), *out.columns[1:])
 
