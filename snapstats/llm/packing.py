@@ -17,6 +17,7 @@ result.
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -39,6 +40,13 @@ CACHED = 400_000
 _PIECES = "key long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it can be seen, else the next free one from 256 on."""
+    seen = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255}
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class WordIds:
     """The ids of words, as little-endian unsigned 32-bit bytes.
 
@@ -50,10 +58,24 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.merge, self.letters = self.tokenizer.model.tokenize, byte_letters()
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def _letters_only(self, word: bytes) -> bool:
+        """A word of composed letters (below U+0300) is one pre-token, so it goes to the merges as it is; three quarters of the time for a word are spent before those."""
+        text = word.decode("utf-8", "replace").lower()
+        if not text.isalpha() or not (text.isascii() or max(text) < "\u0300"):
+            return False
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(self.letters)
+        self.young[word] = array("I", [t.id for t in self.merge(text)]).tobytes()
+        return True
+
     def _encode(self, words: list[bytes]) -> None:
+        words = [w for w in words if not self._letters_only(w)]
+        if not words:
+            return
         text = [w.decode("utf-8", "replace") for w in words]
         found = self.tokenizer.encode(" ".join(text), add_special_tokens=False)
         ids = np.array(found.ids, "<u4")
