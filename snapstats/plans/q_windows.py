@@ -86,8 +86,8 @@ def w9(spark, d):
 def w10(spark, d):
     m = A.with_attributes(A.entities(spark, d)).groupBy("season", "club").agg((F.sum("a0") / F.count("a0")).alias("m"))
     w = Window.partitionBy("season")
-    below = F.round(F.lit(100.0) * (F.rank().over(w.orderBy("m")) - 1) / F.count("*").over(w), 1)
-    return m.select("season", "club", F.rank().over(w.orderBy(F.desc("m"))).cast("long").alias("place"), below.alias("below"))
+    below = F.round(F.lit(100.0) * (F.rank().over(w.orderBy(F.asc_nulls_last("m"))) - 1) / F.count("*").over(w), 1)
+    return m.select("season", "club", F.rank().over(w.orderBy(F.desc_nulls_last("m"))).cast("long").alias("place"), below.alias("below"))
 
 
 @query("w11_step_deltas", "SELECT tid, ck, phase, a0 - lag(a0) OVER w AS recent, lag(a0) OVER w - lag(a0, 2) OVER w AS prior, a0 - first(a0) OVER w AS total, datediff('day', CAST(lag(phase) OVER w AS DATE), CAST(phase AS DATE)) AS gap, CASE WHEN datediff('day', CAST(lag(phase) OVER w AS DATE), CAST(phase AS DATE)) >= 14 THEN round((a0 - lag(a0) OVER w) * 365.0::DOUBLE / datediff('day', CAST(lag(phase) OVER w AS DATE), CAST(phase AS DATE)), 2) END AS yearly FROM attr WINDOW w AS (PARTITION BY tid, ck ORDER BY phase)")
