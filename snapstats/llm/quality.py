@@ -28,7 +28,7 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: A line is boilerplate in more than so many documents of its host, and in more than this share of them.
 LINE_DOCS = 10
-LINE_SHARE = 0.005
+LINE_SHARE = 0.02
 #: A document with less than this share of its words left is depleted.
 LEAST_LEFT = 0.3
 
