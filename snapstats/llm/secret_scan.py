@@ -42,8 +42,9 @@ PLACEHOLDER = re.compile(r"(?ai)^(?:x+|\*+|\.+|-+|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|
 LEAST_SCORE = 6
 LEAST_LENGTH = 8
 
-_NAME = r"[A-Za-z_$][\w$]*(?:[.\-][A-Za-z_$][\w$]*)*"
-_PAIR = re.compile(rf"""["']?({_NAME})["']?(?:\[["']?({_NAME})["']?\])?[ \t]*(?::=|=>|=(?!=)|:(?!:))[ \t]*""", re.ASCII)
+# possessive, and only from a name's first letter: a text without blanks is still read in one go
+_NAME = r"(?<![\w$])[A-Za-z_$][\w$]*+(?:[.\-][A-Za-z_$][\w$]*+)*+"
+_PAIR = re.compile(rf"""(?<![.\-])["']?({_NAME})["']?(?:\[["']?({_NAME})["']?\])?[ \t]*(?::=|=>|=(?!=)|:(?!:))[ \t]*""", re.ASCII)
 _PART = re.compile(rf"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|({_NAME})(?![\w(])|([^\s"'`,;&<>()\[\]{{}}+]+))""", re.ASCII)
 _JOIN = re.compile(r"[ \t]*(?:\+|\.\.|\|\|)[ \t]*(?=[\"'`A-Za-z_$])", re.ASCII)
 _TAG = re.compile(rf"<({_NAME})>([^<>\s]+)</\1>", re.ASCII)
@@ -113,18 +114,27 @@ def literal_spans(text: str) -> list[tuple[int, int, str]]:
     """Literals that reach a sensitive name, each once."""
     if "=" not in text and ":" not in text and "</" not in text:
         return []
-    bound: dict[str, dict[tuple[int, int, str], None]] = {}
-    out: dict[tuple[int, int], None] = {}
+    # each assignment is a node; it refers to the nodes its names were bound to when it was read
+    nodes: list[tuple[Pair, list[int]]] = []
+    bound: dict[str, int] = {}
+    by_weight: dict[int, list[int]] = {}
     for pair in pairs(text):
-        reach = dict.fromkeys(pair.literals)
-        for name in pair.names:
-            reach.update(bound.get(name, {}))
-        if reach:
-            bound[pair.name] = reach
-        weight = name_weight(pair.name)
-        for start, end, value in reach if weight else ():
-            if weight + literal_points(value) >= LEAST_SCORE:
-                out[start, end] = None
+        refers = [bound[n] for n in pair.names if n in bound]
+        if pair.literals or refers:
+            bound[pair.name] = len(nodes)
+            by_weight.setdefault(name_weight(pair.name), []).append(len(nodes))
+            nodes.append((pair, refers))
+    seen: set[int] = set()
+    out: dict[tuple[int, int], None] = {}
+    for weight in sorted((w for w in by_weight if w), reverse=True):  # what a node passes on counts for the most sensitive name it reaches
+        todo = by_weight[weight]
+        while todo:
+            at = todo.pop()
+            if at not in seen:
+                seen.add(at)
+                pair, refers = nodes[at]
+                todo += refers
+                out.update(((start, end), None) for start, end, value in pair.literals if weight + literal_points(value) >= LEAST_SCORE)
     return [(start, end, "literal") for start, end in out]
 
 
