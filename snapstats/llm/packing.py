@@ -34,8 +34,9 @@ CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 #: The id after each document.
 END = 0
-#: Words in one generation of the cache.
+#: Words in one generation of the cache, and the longest that is kept.
 CACHED = 400_000
+LONG = 256
 
 _PIECES = "key long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
@@ -91,7 +92,7 @@ class WordIds:
         for w in words:
             if (known := self.old.get(w)) is not None:
                 self.young[w] = known
-            elif len(w) > 1 and w[-1:] in b",." and w[-2:-1].isalnum():  # a comma or full stop after a letter or digit is a token of its own
+            elif 1 < len(w) <= LONG and w[-1:] in b",." and w[-2:-1].isalnum():  # a comma or full stop after a letter or digit is a token of its own
                 joined.append(w)
                 for x in (w[:-1], w[-1:]):
                     if x in self.old:
@@ -112,8 +113,12 @@ class WordIds:
         for own in words:
             found = list(map(self.young.get, own))
             if None in found:
-                self._learn({w for w, x in zip(own, found) if x is None})
+                new = {w for w, x in zip(own, found) if x is None}
+                self._learn(new)
                 found = [self.young[w] if x is None else x for w, x in zip(own, found)]  # a new generation may have begun
+                for w in new:
+                    if len(w) > LONG:
+                        del self.young[w]
             out.append(b"".join(found))
         return out
 

@@ -180,7 +180,7 @@ def test_op2_cache_generations():
     path = public_tokenizers.path(packing.TOKENIZER)
     tok, r = Tokenizer.from_file(path), random.Random(5)
     letters = "aAéÉßİı.,'s3½ \n\t中ẞ<|>-_́"
-    some = ["it's IT'S a,. 3, <|endoftext|> <|ENDOFTEXT|>", "H̱ ẖ ﬁ ǅ"] + ["".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(300)]
+    some = ["it's IT'S a,. 3, <|endoftext|> <|ENDOFTEXT|>", "H̱ ẖ ﬁ ǅ", "x" * 3000 + " y " + "x" * 3000 + ". 0" + "ab1" * 500] + ["".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(300)]
     ids = packing.WordIds(path, limit=20)
     got = [x for i in range(0, len(some), 10) for x in ids.of([t.encode() for t in some[i : i + 10]])]
     assert got == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in some]
