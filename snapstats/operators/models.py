@@ -165,6 +165,8 @@ def assign(df: DataFrame, group: str, slot: str, candidate: str, score: str, per
         rows = [(pdf[group].iloc[0], s, table.columns[c], values[i, c]) for i, (s, c) in enumerate(zip(table.index, chosen)) if c < values.shape[1] and not np.isnan(values[i, c])]
         return pd.DataFrame(rows, columns=[group, slot, candidate, score])
 
+    # the rows are few but each group is work: a set number of partitions is not merged into one for being small
+    few = few.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), group)
     return few.groupBy(group).applyInPandas(solve, f"{group} {kinds[group]}, {slot} {kinds[slot]}, {candidate} {kinds[candidate]}, {score} double")
 
 

@@ -83,13 +83,13 @@ def m8(spark, d):
 @query("m9_assignment")
 def m9(spark, d):
     """For each club and slice: one entity for each position, none twice, of the largest total."""
-    e = X.effective(spark, d).where("method = 'm0' and phase like '%-07-01'")
-    grouped = e.select(F.concat_ws("/", C("season").cast("string"), C("club").cast("string")).alias("team"), "position", "tid", "eff")
+    e = X.effective(spark, d).where("method = 'm0'")
+    grouped = e.select(F.concat_ws("/", "phase", C("club").cast("string")).alias("team"), "position", "tid", "eff")
     return M.assign(grouped, "team", "position", "tid", "eff", 14)
 
 
-@query("m10_hidden_level", "SELECT season, phase, tid, method, position, round(100 * percent_rank() OVER (PARTITION BY season, phase, position, method ORDER BY ability NULLS LAST), 1) AS level_pos FROM eff WHERE season = 1998")
+@query("m10_hidden_level", "SELECT season, phase, tid, method, position, round(100 * percent_rank() OVER (PARTITION BY season, phase, position, method ORDER BY ability NULLS LAST), 1) AS level_pos FROM eff")
 def m10(spark, d):
     """The level leaves as a percentile only."""
-    e = X.effective(spark, d).where("season = 1998").select("season", "phase", "tid", "method", "position", "ability")
+    e = X.effective(spark, d).select("season", "phase", "tid", "method", "position", "ability")
     return e.select("*", scoring.percent_rank("ability", ["season", "phase", "position", "method"], "level_pos")).drop("ability")

@@ -82,35 +82,35 @@ def j9(spark, d):
     return A.positions(A.entities(spark, d)).join(F.broadcast(wanted), "position").select("season", "phase", "tid", "want")
 
 
-_RANKED = "SELECT t.season, t.tid, t.position, CAST(l.league AS BIGINT) AS league, CAST(1 + count(*) FILTER (o.eff > t.eff) AS BIGINT) AS rank, CAST(1 + count(o.tid) AS BIGINT) AS n FROM (SELECT * FROM prim WHERE phase LIKE '%-07-01' AND method = 'm0' AND club = 3) t CROSS JOIN range(5) l(league) LEFT JOIN (SELECT * FROM prim WHERE phase LIKE '%-07-01' AND method = 'm0') o ON o.season = t.season AND o.position = t.position AND o.league = l.league AND o.tid <> t.tid GROUP BY ALL"
+_RANKED = "SELECT t.season, t.phase, t.tid, t.position, CAST(l.league AS BIGINT) AS league, CAST(1 + count(*) FILTER (o.eff > t.eff) AS BIGINT) AS rank, CAST(1 + count(o.tid) AS BIGINT) AS n FROM (SELECT * FROM prim WHERE method = 'm0' AND club = 3) t CROSS JOIN range(5) l(league) LEFT JOIN (SELECT * FROM prim WHERE method = 'm0') o ON o.season = t.season AND o.phase = t.phase AND o.position = t.position AND o.league = l.league AND o.tid <> t.tid GROUP BY ALL"
 
 
 @query("j10_targets_by_league", _RANKED)
 def j10(spark, d):
     """Every target against every league: one row for each pair, even without a pool. The league list is five rows."""
-    p = X.primary(spark, d).where("phase like '%-07-01' and method = 'm0'").select("season", "tid", "position", "league", "club", "eff")
+    p = X.primary(spark, d).where("method = 'm0'").select("season", "phase", "tid", "position", "league", "club", "eff")
     leagues = spark.range(5).select(C("id").alias("lg"))
     t = p.where("club = 3").crossJoin(F.broadcast(leagues)).alias("t")
-    on = (C("o.season") == C("t.season")) & (C("o.position") == C("t.position")) & (C("o.league") == C("t.lg")) & (C("o.tid") != C("t.tid"))
-    met = t.join(p.alias("o"), on, "left").groupBy("t.season", "t.tid", "t.position", C("t.lg").alias("league"))
+    on = (C("o.season") == C("t.season")) & (C("o.phase") == C("t.phase")) & (C("o.position") == C("t.position")) & (C("o.league") == C("t.lg")) & (C("o.tid") != C("t.tid"))
+    met = t.join(p.alias("o"), on, "left").groupBy("t.season", "t.phase", "t.tid", "t.position", C("t.lg").alias("league"))
     return met.agg((1 + F.count_if(C("o.eff") > C("t.eff"))).alias("rank"), (1 + F.count("o.tid")).alias("n"))
 
 
-@query("g16_rank_by_counting", "SELECT season, tid, position, CAST(league AS BIGINT) AS league, rank, n FROM (" + _RANKED + ") WHERE rank IS NOT NULL")
+@query("g16_rank_by_counting", "SELECT season, phase, tid, position, CAST(league AS BIGINT) AS league, rank, n FROM (" + _RANKED + ") WHERE rank IS NOT NULL")
 def g16(spark, d):
     """The scalable form: targets join the pool of each league as further rows, and one window ranks them all."""
-    p = X.primary(spark, d).where("phase like '%-07-01' and method = 'm0'").select("season", "tid", "position", "league", "club", "eff")
+    p = X.primary(spark, d).where("method = 'm0'").select("season", "phase", "tid", "position", "league", "club", "eff")
     t = p.where("club = 3").crossJoin(F.broadcast(spark.range(5).select(C("id").alias("lg"))))
-    pool = p.select("season", "position", C("league").alias("lg"), "tid", "eff", F.lit(0).alias("target"))
-    both = pool.unionByName(t.select("season", "position", "lg", "tid", "eff", F.lit(1).alias("target")))
+    pool = p.select("season", "phase", "position", C("league").alias("lg"), "tid", "eff", F.lit(0).alias("target"))
+    both = pool.unionByName(t.select("season", "phase", "position", "lg", "tid", "eff", F.lit(1).alias("target")))
     # a target that is in the pool itself must not be counted twice
-    w = Window.partitionBy("season", "position", "lg")
+    w = Window.partitionBy("season", "phase", "position", "lg")
     up = w.orderBy(F.desc("eff")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    own = F.count_if(C("target") == 0).over(Window.partitionBy("season", "position", "lg", "tid"))
-    same = F.count_if(C("target") == 0).over(Window.partitionBy("season", "position", "lg", "eff"))
+    own = F.count_if(C("target") == 0).over(Window.partitionBy("season", "phase", "position", "lg", "tid"))
+    same = F.count_if(C("target") == 0).over(Window.partitionBy("season", "phase", "position", "lg", "eff"))
     at_least = F.count_if(C("target") == 0).over(up)
     placed = both.select("*", (at_least - same).alias("above"), F.count_if(C("target") == 0).over(w).alias("pool"), own.alias("own")).where("target = 1")
-    return placed.select("season", "tid", "position", C("lg").alias("league"), (1 + C("above")).alias("rank"), (1 + C("pool") - C("own")).alias("n"))
+    return placed.select("season", "phase", "tid", "position", C("lg").alias("league"), (1 + C("above")).alias("rank"), (1 + C("pool") - C("own")).alias("n"))
 
 
 @query("j11_scalar_subquery", "SELECT season, phase, tid, (SELECT max(x.league) FROM ent x WHERE x.season = ent.season AND x.phase = ent.phase AND x.club = 7) AS our_league FROM ent")
@@ -327,18 +327,18 @@ def g26(spark, d):
     return X.current(spark, d).groupBy("season", "tid").agg(F.count_if("appeared").alias("apps"), F.sum(F.when(C("appeared"), C("goals"))).alias("goals"), F.sum(F.when(bench, C("goals")).otherwise(0)).alias("bench_goals"), F.sum(F.when(bench, C("minutes")).otherwise(0)).alias("bench_minutes"))
 
 
-@query("g27_also", "SELECT season, phase, tid, position, coalesce((SELECT string_agg(DISTINCT 'r' || (CAST(substr(p.position, 2) AS BIGINT) % 4), ', ' ORDER BY 'r' || (CAST(substr(p.position, 2) AS BIGINT) % 4)) FROM pos p WHERE p.season = pos.season AND p.phase = pos.phase AND p.tid = pos.tid AND CAST(substr(p.position, 2) AS BIGINT) % 4 <> CAST(substr(pos.position, 2) AS BIGINT) % 4), '') AS also FROM pos WHERE season = 1999")
+@query("g27_also", "SELECT season, phase, tid, position, coalesce((SELECT string_agg(DISTINCT 'r' || (CAST(substr(p.position, 2) AS BIGINT) % 4), ', ' ORDER BY 'r' || (CAST(substr(p.position, 2) AS BIGINT) % 4)) FROM pos p WHERE p.season = pos.season AND p.phase = pos.phase AND p.tid = pos.tid AND CAST(substr(p.position, 2) AS BIGINT) % 4 <> CAST(substr(pos.position, 2) AS BIGINT) % 4), '') AS also FROM pos")
 def g27(spark, d):
-    p = A.positions(A.entities(spark, d).where("season = 1999")).withColumn("role", A.role_of(C("position")))
+    p = A.positions(A.entities(spark, d)).withColumn("role", A.role_of(C("position")))
     every = F.collect_set("role").over(Window.partitionBy("season", "phase", "tid"))
     return p.select("season", "phase", "tid", "position", F.array_join(F.array_sort(F.array_except(every, F.array("role"))), ", ").alias("also"))
 
 
-@query("g28_profile", "SELECT tid, CAST(dob AS VARCHAR) AS dob, e.name, games, goals FROM (SELECT tid, dob, max(name) AS name FROM ent WHERE season = 1999 GROUP BY 1, 2) e JOIN (SELECT tid, count(*) AS games, CAST(sum(goals) AS BIGINT) AS goals FROM cur WHERE season = 1999 GROUP BY 1) USING (tid)")
+@query("g28_profile", "SELECT season, tid, CAST(dob AS VARCHAR) AS dob, e.name, games, goals FROM (SELECT season, tid, dob, max(name) AS name FROM ent GROUP BY 1, 2, 3) e JOIN (SELECT season, tid, count(*) AS games, CAST(sum(goals) AS BIGINT) AS goals FROM cur GROUP BY 1, 2) USING (season, tid)")
 def g28(spark, d):
-    e = A.entities(spark, d).where("season = 1999").groupBy("tid", C("dob").cast("string").alias("dob")).agg(F.max("name").alias("name"))
-    t = X.current(spark, d).where("season = 1999").groupBy("tid").agg(F.count("*").alias("games"), F.sum("goals").alias("goals"))
-    return e.join(t, "tid")
+    e = A.entities(spark, d).groupBy("season", "tid", C("dob").cast("string").alias("dob")).agg(F.max("name").alias("name"))
+    t = X.current(spark, d).groupBy("season", "tid").agg(F.count("*").alias("games"), F.sum("goals").alias("goals"))
+    return e.join(t, ["season", "tid"])
 
 
 @query("g29_group_kpis", "SELECT season, phase, club, CAST(sum(ability * 100) AS BIGINT) AS bill, round(avg(season - year(dob)), 3) AS mean_age, round(100.0 * count(*) FILTER (ability > 100) / count(ability), 1) AS share FROM ent GROUP BY ALL")

@@ -89,12 +89,12 @@ def r8(spark, d):
     return wide.select("award", *[C(f"`{y}`").alias(f"s{y}") for y in range(1995, 2002)])
 
 
-_SQUAD = f"SELECT season, phase, tid, club, league, position, {_UNIT} AS unit, eff, idx AS pos_index, pctile FROM (SELECT *, round(coalesce(100 + 15 * (eff - avg(eff) OVER w) / nullif(stddev_samp(eff) OVER w, 0), 100.0), 1) AS idx, round(100 * percent_rank() OVER (PARTITION BY season, phase, position, league ORDER BY eff), 1) AS pctile, row_number() OVER (PARTITION BY season, phase, tid ORDER BY familiarity DESC, position) AS k FROM eff WHERE method = 'm0' WINDOW w AS (PARTITION BY season, phase, position)) WHERE k = 1 AND season = 1999"
+_SQUAD = f"SELECT season, phase, tid, club, league, position, {_UNIT} AS unit, eff, idx AS pos_index, pctile FROM (SELECT *, round(coalesce(100 + 15 * (eff - avg(eff) OVER w) / nullif(stddev_samp(eff) OVER w, 0), 100.0), 1) AS idx, round(100 * percent_rank() OVER (PARTITION BY season, phase, position, league ORDER BY eff), 1) AS pctile, row_number() OVER (PARTITION BY season, phase, tid ORDER BY familiarity DESC, position) AS k FROM eff WHERE method = 'm0' WINDOW w AS (PARTITION BY season, phase, position)) WHERE k = 1"
 
 
 def squad_frame(spark, d):
     """Each entity at its primary position, with its index and percentile against all who can play there."""
-    e = X.effective(spark, d).where("method = 'm0' and season = 1999")
+    e = X.effective(spark, d).where("method = 'm0'")
     e = scoring.index_within(e, "eff", ["season", "phase", "position"], "pos_index")
     e = e.select("*", scoring.percent_rank("eff", ["season", "phase", "position", "league"], "pctile"))
     first = R.first_per_key(e, ["season", "phase", "tid"], [F.desc("familiarity"), "position"])
@@ -126,30 +126,30 @@ def r11(spark, d):
     return s.agg(side(US).alias("us"), side(THEM).alias("them"), F.round(side(US) - side(THEM), 2).alias("edge"))
 
 
-@query("r12_key_players", f"SELECT s.phase, s.club, s.tid, s.pos_index, t.top FROM (SELECT *, row_number() OVER (PARTITION BY phase, club ORDER BY pos_index DESC, tid) AS q FROM ({_SQUAD})) s JOIN (SELECT phase, tid, coalesce(string_agg(attribute || ' ' || value, ', ' ORDER BY k) FILTER (k <= 3), '') AS top FROM (SELECT phase, tid, attribute, value, row_number() OVER (PARTITION BY phase, tid ORDER BY value >= 9 DESC, value DESC, attribute) + CASE WHEN value >= 9 THEN 0 ELSE 100 END AS k FROM (UNPIVOT (SELECT phase, tid, a0, a1, a2, a3, a4, a5, a6, a7 FROM attr WHERE season = 1999) ON a0, a1, a2, a3, a4, a5, a6, a7 INTO NAME attribute VALUE value)) GROUP BY ALL) t USING (phase, tid) WHERE q <= 3")
+@query("r12_key_players", f"SELECT s.phase, s.club, s.tid, s.pos_index, t.top FROM (SELECT *, row_number() OVER (PARTITION BY phase, club ORDER BY pos_index DESC, tid) AS q FROM ({_SQUAD})) s JOIN (SELECT phase, tid, coalesce(string_agg(attribute || ' ' || value, ', ' ORDER BY k) FILTER (k <= 3), '') AS top FROM (SELECT phase, tid, attribute, value, row_number() OVER (PARTITION BY phase, tid ORDER BY value >= 9 DESC, value DESC, attribute) + CASE WHEN value >= 9 THEN 0 ELSE 100 END AS k FROM (UNPIVOT (SELECT phase, tid, a0, a1, a2, a3, a4, a5, a6, a7 FROM attr) ON a0, a1, a2, a3, a4, a5, a6, a7 INTO NAME attribute VALUE value)) GROUP BY ALL) t USING (phase, tid) WHERE q <= 3")
 def r12(spark, d):
     best = R.best_n(squad_frame(spark, d), ["phase", "club"], F.lit(3), [F.desc("pos_index"), "tid"])
-    top = A.with_attributes(A.entities(spark, d)).where("season = 1999").select("phase", "tid", top_values(A.ATTRS, 3, 9).alias("top"))
+    top = A.with_attributes(A.entities(spark, d)).select("phase", "tid", top_values(A.ATTRS, 3, 9).alias("top"))
     return best.join(top, ["phase", "tid"]).select("phase", "club", "tid", "pos_index", "top")
 
 
-@query("r13_scout_flags", f"SELECT us, them, played, CASE WHEN won = 0 AND played >= 3 THEN 'bogey' WHEN lost = 0 AND played >= 3 THEN 'owned' ELSE 'even' END AS history, CASE WHEN abs(edge) < 3 THEN 'level' WHEN edge > 0 THEN 'stronger' ELSE 'weaker' END AS verdict FROM (SELECT us, them, {_WDL} FROM res GROUP BY us, them) h JOIN (SELECT a.club AS us, b.club AS them, a.s - b.s AS edge FROM (SELECT club, CAST(sum(CAST(round(pos_index * 10) AS BIGINT)) AS DOUBLE) / (10 * count(*)) AS s FROM {_XI} WHERE phase = '1999-07-01' GROUP BY club) a, (SELECT club, CAST(sum(CAST(round(pos_index * 10) AS BIGINT)) AS DOUBLE) / (10 * count(*)) AS s FROM {_XI} WHERE phase = '1999-07-01' GROUP BY club) b WHERE a.club = {US}) USING (us, them)")
+@query("r13_scout_flags", f"SELECT phase, us, them, played, CASE WHEN won = 0 AND played >= 3 THEN 'bogey' WHEN lost = 0 AND played >= 3 THEN 'owned' ELSE 'even' END AS history, CASE WHEN abs(edge) < 3 THEN 'level' WHEN edge > 0 THEN 'stronger' ELSE 'weaker' END AS verdict FROM (SELECT us, them, {_WDL} FROM res GROUP BY us, them) h JOIN (SELECT phase, a.club AS us, b.club AS them, a.s - b.s AS edge FROM (SELECT phase, club, CAST(sum(CAST(round(pos_index * 10) AS BIGINT)) AS DOUBLE) / (10 * count(*)) AS s FROM {_XI} GROUP BY phase, club) a JOIN (SELECT phase, club, CAST(sum(CAST(round(pos_index * 10) AS BIGINT)) AS DOUBLE) / (10 * count(*)) AS s FROM {_XI} GROUP BY phase, club) b USING (phase) WHERE a.club = {US}) USING (us, them)")
 def r13(spark, d):
-    """What the rules say about each opponent: history and strength."""
+    """What the rules say about each opponent: history, and strength at each snapshot."""
     tenths = F.round(C("pos_index") * 10).cast("long")
-    xi = _best_xi(squad_frame(spark, d)).where("phase = '1999-07-01'").groupBy("club").agg((F.sum(tenths).cast("double") / (10 * F.count("*"))).alias("s"))
-    own = xi.where(C("club") == US).select(C("club").alias("us"), C("s").alias("own"))
-    edge = xi.crossJoin(F.broadcast(own)).select("us", C("club").alias("them"), (C("own") - C("s")).alias("edge"))
+    xi = _best_xi(squad_frame(spark, d)).groupBy("phase", "club").agg((F.sum(tenths).cast("double") / (10 * F.count("*"))).alias("s"))
+    own = xi.where(C("club") == US).select("phase", C("club").alias("us"), C("s").alias("own"))
+    edge = xi.join(own, "phase").select("phase", "us", C("club").alias("them"), (C("own") - C("s")).alias("edge"))
     h = R.wdl(["us", "them"], X.results(spark, d)).join(edge, ["us", "them"])
     history = F.when((C("won") == 0) & (C("played") >= 3), "bogey").when((C("lost") == 0) & (C("played") >= 3), "owned").otherwise("even")
     verdict = F.when(F.abs("edge") < 3, "level").when(C("edge") > 0, "stronger").otherwise("weaker")
-    return h.select("us", "them", "played", history.alias("history"), verdict.alias("verdict"))
+    return h.select("phase", "us", "them", "played", history.alias("history"), verdict.alias("verdict"))
 
 
-@query("r14_position_review", f"SELECT phase, tid, role, depth, pct, CASE WHEN depth <= 2 AND age <= 21 THEN 'keep: young starter' WHEN depth <= 2 AND pct < 40 THEN 'keep: upgrade' WHEN depth <= 2 THEN 'keep: starter' WHEN depth = 3 THEN 'keep: cover' WHEN age <= 20 THEN 'keep: reserve' WHEN age >= 23 AND pct < 33 THEN 'sell' ELSE 'surplus' END AS read FROM (SELECT phase, tid, role, rank() OVER (PARTITION BY phase, role ORDER BY eff DESC) AS depth, pct, CAST(season - year(dob) AS BIGINT) AS age FROM (SELECT *, row_number() OVER (PARTITION BY phase, tid, role ORDER BY eff DESC, position) AS k FROM (SELECT *, CASE WHEN count(*) OVER p >= 2 THEN round(100.0::DOUBLE * (count(*) OVER p - rank() OVER (PARTITION BY phase, position, league ORDER BY eff DESC)) / (count(*) OVER p - 1), 1) END AS pct FROM eff WHERE method = 'm0' AND season = 1999 WINDOW p AS (PARTITION BY phase, position, league)) WHERE club = {US}) WHERE k = 1)")
+@query("r14_position_review", f"SELECT phase, tid, role, depth, pct, CASE WHEN depth <= 2 AND age <= 21 THEN 'keep: young starter' WHEN depth <= 2 AND pct < 40 THEN 'keep: upgrade' WHEN depth <= 2 THEN 'keep: starter' WHEN depth = 3 THEN 'keep: cover' WHEN age <= 20 THEN 'keep: reserve' WHEN age >= 23 AND pct < 33 THEN 'sell' ELSE 'surplus' END AS read FROM (SELECT phase, tid, role, rank() OVER (PARTITION BY phase, role ORDER BY eff DESC) AS depth, pct, CAST(season - year(dob) AS BIGINT) AS age FROM (SELECT *, row_number() OVER (PARTITION BY phase, tid, role ORDER BY eff DESC, position) AS k FROM (SELECT *, CASE WHEN count(*) OVER p >= 2 THEN round(100.0::DOUBLE * (count(*) OVER p - rank() OVER (PARTITION BY phase, position, league ORDER BY eff DESC)) / (count(*) OVER p - 1), 1) END AS pct FROM eff WHERE method = 'm0' WINDOW p AS (PARTITION BY phase, position, league)) WHERE club = {US}) WHERE k = 1)")
 def r14(spark, d):
     """Per role the depth, where it stands in the league, and what the rules advise."""
-    e, scope = X.effective(spark, d).where("method = 'm0' and season = 1999"), ["phase", "position", "league"]
+    e, scope = X.effective(spark, d).where("method = 'm0'"), ["phase", "position", "league"]
     n, r = F.count("*").over(Window.partitionBy(*scope)), F.rank().over(Window.partitionBy(*scope).orderBy(F.desc("eff")))
     own = e.withColumn("pct", scoring.rank_percent(r, n)).where(C("club") == US)
     own = R.first_per_key(own, ["phase", "tid", "role"], [F.desc("eff"), "position"])
@@ -183,10 +183,10 @@ def r17(spark, d):
     return i.select("season", "league", "n", "idx", place.alias("place"))
 
 
-@query("r18_recruitment", "SELECT phase, tid, role, n_name AS origin, age FROM (SELECT *, row_number() OVER (PARTITION BY phase, tid ORDER BY eff DESC, position) AS k, CAST(season - year(dob) AS BIGINT) AS age FROM eff WHERE method = 'm0' AND season = 1999) JOIN nation ON n_nationkey = club AND n_regionkey IN (0, 2) WHERE k = 1 AND age <= 22")
+@query("r18_recruitment", "SELECT phase, tid, role, n_name AS origin, age FROM (SELECT *, row_number() OVER (PARTITION BY phase, tid ORDER BY eff DESC, position) AS k, CAST(season - year(dob) AS BIGINT) AS age FROM eff WHERE method = 'm0') JOIN nation ON n_nationkey = club AND n_regionkey IN (0, 2) WHERE k = 1 AND age <= 22")
 def r18(spark, d):
     n = A.table(spark, d, "nation").where("n_regionkey in (0, 2)").select(C("n_nationkey").cast("long").alias("club"), C("n_name").alias("origin"))
-    best = R.first_per_key(X.effective(spark, d).where("method = 'm0' and season = 1999"), ["phase", "tid"], [F.desc("eff"), "position"])
+    best = R.first_per_key(X.effective(spark, d).where("method = 'm0'"), ["phase", "tid"], [F.desc("eff"), "position"])
     age = S.season_age(C("season"), C("dob"))
     return best.join(F.broadcast(n), "club").where(age <= 22).select("phase", "tid", "role", "origin", age.alias("age"))
 

@@ -48,7 +48,7 @@ def _fee():
 
 
 _over("p14_fee_and_season", lambda s, d: A.table(s, d, "orders"), ("o_orderkey",), lambda: [S.fee(_fee()).alias("fee"), S.season_from_code(C("o_orderkey") % 60).alias("season")], "orders", "CASE o_orderkey % 5 WHEN 0 THEN 'stay' WHEN 1 THEN 'loan' WHEN 2 THEN 'free' WHEN 3 THEN 'free' ELSE CAST(o_orderkey AS VARCHAR) END AS fee, 1971 + o_orderkey % 60 AS season")
-_over("p16_fold", lambda s, d: A.table(s, d, "documents"), ("doc_id",), lambda: [F.md5(S.fold(F.substring("text", 1, 200))).alias("folded")], "documents", "md5(translate(lower(substr(text, 1, 200)), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿıß', 'aaaaaaceeeeiiiinooooouuuuyyis')) AS folded")
+_over("p16_fold", lambda s, d: A.table(s, d, "documents"), ("doc_id",), lambda: [F.md5(S.fold(C("text"))).alias("folded")], "documents", "md5(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿıß', 'aaaaaaceeeeiiiinooooouuuuyyis')) AS folded")
 _over("p18_friendly", lambda s, d: A.fixtures(s, d), ("anchor",), lambda: [S.is_friendly(F.when(C("anchor") % 4 == 0, F.lit("A Friendly Cup")).otherwise(C("comp"))).alias("friendly")], "fix", "coalesce(contains(lower(CASE WHEN anchor % 4 = 0 THEN 'A Friendly Cup' ELSE comp END), 'friend'), false) AS friendly")
 _over("p19_storage_key", A.fixtures, ("anchor",), lambda: [S.storage_key(C("home"), C("comp")).alias("k")], "fix", "concat_ws('-', CAST(home AS VARCHAR), regexp_replace(comp, '[^A-Za-z0-9_.-]', '_', 'g')) AS k")
 _over("p20_foot", A.entities, _ID, lambda: [S.foot(C("ck") % 20 + 1, C("ck") * 3 % 20 + 1).alias("foot")], "(SELECT *, ck % 20 + 1 AS l, ck * 3 % 20 + 1 AS r FROM ent)", "CASE WHEN l >= 16 AND r >= 16 AND abs(l - r) <= 3 THEN 'Either' WHEN l > r THEN CASE WHEN r <= 7 THEN 'Left only' ELSE 'Left' END WHEN r > l THEN CASE WHEN l <= 7 THEN 'Right only' ELSE 'Right' END WHEN l >= 16 THEN 'Either' ELSE 'Right' END AS foot")

@@ -30,9 +30,9 @@ _W2 = ", ".join(
 )
 
 
-@query("w2_effective_table", f"SELECT season, phase, tid, method, position, eff, {_W2} FROM eff WHERE season = 1999")
+@query("w2_effective_table", f"SELECT season, phase, tid, method, position, eff, {_W2} FROM eff")
 def w2(spark, d):
-    e = X.effective(spark, d).where("season = 1999").select("season", "phase", "tid", "method", "position", "club", "league", "ability", "eff")
+    e = X.effective(spark, d).select("season", "phase", "tid", "method", "position", "club", "league", "ability", "eff")
     return scoring.standing(e, SCOPES, "eff", "ability").drop("club", "league")
 
 
@@ -210,15 +210,16 @@ def k11(spark, d):
     return peers.agg((1 + F.count_if(C("eff") > 300)).alias("place"), (1 + F.count("*")).alias("n"))
 
 
-_HOST = "(SELECT t.season, t.tid, o.club, 1 + count(*) FILTER (o.eff > t.eff) AS r, count(*) AS n FROM (SELECT * FROM prim WHERE phase LIKE '%-07-01' AND method = 'm0' AND club = 3) t JOIN (SELECT * FROM prim WHERE phase LIKE '%-07-01' AND method = 'm0' AND club <> 3) o USING (season, position) GROUP BY ALL)"
+_HOST = "(SELECT t.season, t.phase, t.tid, o.club, 1 + count(*) FILTER (o.eff > t.eff) AS r, count(*) AS n FROM (SELECT * FROM prim WHERE method = 'm0' AND club = 3) t JOIN (SELECT * FROM prim WHERE method = 'm0' AND club <> 3) o USING (season, phase, position) GROUP BY ALL)"
 
 
-@query("k12_host_clubs", f"SELECT season, tid, count(*) FILTER (r = 1 AND n >= 3) AS firsts, arg_min(club, (r, -n, club)) AS best_host FROM {_HOST} GROUP BY ALL")
+@query("k12_host_clubs", f"SELECT season, phase, tid, count(*) FILTER (r = 1 AND n >= 3) AS firsts, arg_min(club, (r, -n, club)) AS best_host FROM {_HOST} GROUP BY ALL")
 def k12(spark, d):
-    p = X.primary(spark, d).where("phase like '%-07-01' and method = 'm0'").select("season", "position", "tid", "club", "eff")
-    t, o = p.where("club = 3").select("season", "position", "tid", C("eff").alias("own")), p.where("club <> 3").select("season", "position", "club", "eff")
-    hosts = t.join(o, ["season", "position"]).groupBy("season", "tid", "club").agg((1 + F.count_if(C("eff") > C("own"))).alias("r"), F.count("*").alias("n"))
-    return hosts.groupBy("season", "tid").agg(F.count_if((C("r") == 1) & (C("n") >= 3)).alias("firsts"), F.min_by("club", F.struct("r", (-C("n")).alias("n"), "club")).alias("best_host"))
+    at = ["season", "phase"]
+    p = X.primary(spark, d).where("method = 'm0'").select(*at, "position", "tid", "club", "eff")
+    t, o = p.where("club = 3").select(*at, "position", "tid", C("eff").alias("own")), p.where("club <> 3").select(*at, "position", "club", "eff")
+    hosts = t.join(o, [*at, "position"]).groupBy(*at, "tid", "club").agg((1 + F.count_if(C("eff") > C("own"))).alias("r"), F.count("*").alias("n"))
+    return hosts.groupBy(*at, "tid").agg(F.count_if((C("r") == 1) & (C("n") >= 3)).alias("firsts"), F.min_by("club", F.struct("r", (-C("n")).alias("n"), "club")).alias("best_host"))
 
 
 @query("u1_two_perspectives", "SELECT anchor, us, them, gf, ga, venue FROM side")
