@@ -166,8 +166,12 @@ def quality(
 
 
 def keep_quality(docs: DataFrame, *, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """The documents that the rules keep, without their boilerplate lines, with the columns of ``docs``."""
-    verdict = quality(docs, key=key, text=text, host=host).where("kept").select(F.col(key).alias("__key"), "drop").dropDuplicates(["__key"])
+    """The documents that the rules keep, without their boilerplate lines, with the columns of ``docs``.
+
+    Rows that repeat a doc_id share a verdict: they stay if one of them is kept, without the lines that the one with the fewest loses.
+    """
+    verdict = quality(docs, key=key, text=text, host=host).where("kept").groupBy(F.col(key).alias("__key"))
+    verdict = verdict.agg(F.min(F.struct(F.size("drop").alias("n"), "drop")).alias("v")).select("__key", "v.drop")
     whole = F.size("drop") == 0
     lines = F.filter(F.split(F.col(text), "\n", -1), lambda _, i: ~F.array_contains("drop", i))
     joined = docs.join(verdict, F.col(key).eqNullSafe(F.col("__key")))
