@@ -1,9 +1,16 @@
 """The pipeline's stages one after another, each against a plain version of itself on a small table."""
 
+import hashlib
 import random
+import re
+from collections import Counter, defaultdict
 
-import corpus_pipeline
+import public_tokenizers
 import pytest
+import xxhash
+from tokenizers import Tokenizer
+
+import corpus_pipeline
 from snapstats.llm import registry
 from snapstats.llm.common import stored
 
@@ -63,3 +70,116 @@ def test_registry_has_one_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
     assert "pipeline" in names and set(registry.oracle_sql()) <= set(names)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "near dedup", "decontamination", "packing"]
+
+
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t)
+
+
+def _quality(docs):
+    """{id: (text, host)} to the kept texts without common lines."""
+    lines = {k: [(i, " ".join(_words(x.translate(LOW)))) for i, x in enumerate((t or "").split("\n")) if _words(x)] for k, (t, _) in docs.items()}
+    md5 = lambda x: hashlib.md5(x.encode()).digest()[:8]
+    mark = {k: min((md5(x) for _, x in v), default=None) for k, v in lines.items()}
+    of_line, of_host = defaultdict(set), defaultdict(set)
+    for k, v in lines.items():
+        for _, x in v:
+            of_line[docs[k][1], x].add(mark[k])
+            of_host[docs[k][1]].add(mark[k])
+    out = {}
+    for k, (t, host) in docs.items():
+        w = _words(t or "")
+        n = Counter(zip(w, w[1:], w[2:]))
+        repeat = {j for i, g in enumerate(zip(w, w[1:], w[2:])) if n[g] > 1 for j in (i, i + 1, i + 2)}
+        gone = {i: x for i, x in lines[k] if len(of_line[host, x]) > max(10, 0.02 * len(of_host[host]))}
+        left = len(w) - sum(len(x.split()) for x in gone.values())
+        if len(w) >= 50 and 100 * len(repeat) <= 50 * len(w) and left >= 0.3 * len(w):
+            out[k] = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
+    return out
+
+
+def _line_dedup(texts):
+    seen, out = set(), {}
+    for k in sorted(texts):
+        lines = texts[k].split("\n")
+        full = [i for i, x in enumerate(lines) if x.strip(" \t\r\x0b\x0c")]
+        gone = set()
+        for i in range(len(full) - 2):
+            g = tuple(lines[j].strip(" \t\r\x0b\x0c") for j in full[i : i + 3])
+            if g in seen:
+                gone |= set(full[i : i + 3])
+            seen.add(g)
+        out[k] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return out
+
+
+def _near_dedup(texts):
+    def fingerprint(t):
+        w = _words(t.translate(LOW))
+        h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))] if w else []
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    prints = {k: fingerprint(t) for k, t in texts.items()}
+    groups: list[set] = []
+    for k in sorted(prints):
+        near = [g for g in groups if any((prints[k] ^ prints[o]).bit_count() <= 2 for o in g)]
+        groups = [g for g in groups if g not in near] + [{k}.union(*near)]
+    return {min(g): texts[min(g)] for g in groups}
+
+
+def _decontaminate(texts, items):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    phrases = set()
+    for t in items:
+        w = word.findall(t.translate(LOW))
+        n = min(10, len(w))
+        phrases |= {tuple(w[i : i + n]) for i in range(len(w) - n + 1 if n else 0)}
+    out = {}
+    for k, t in texts.items():
+        at = list(word.finditer(t.translate(LOW)))
+        hit = {j for n in {len(p) for p in phrases} for i in range(len(at) - n + 1) if tuple(m[0] for m in at[i : i + n]) in phrases for j in range(i, i + n)}
+        for j in sorted(hit, reverse=True):
+            end = at[j + 1].start() if j + 1 in hit else at[j].end()
+            t = t[: at[j].start()] + t[end:]
+        out[k] = t
+    return out
+
+
+def test_all_stages_against_brute_force(spark, tmp_path):
+    r = random.Random(23)
+    line = lambda n=12: " ".join(f"w{r.randrange(3000)}é" for _ in range(n))
+    passage, common = line(30), "All Rights   reserved by nobody in particular."
+    docs = {}
+    for i in range(90):
+        body = [line() for _ in range(r.randint(3, 9))]
+        if i % 2:
+            body.insert(1, common)
+        if i % 6 == 0 and i:
+            body[1:1] = docs[i - 6][0].split("\n")[:4]
+        if i % 7 == 0:
+            body.append(f"{line(3)} {passage[: r.randint(60, 400)]}. {line(3)}")
+        docs[i] = ("\n".join(body), f"s{i % 2}")
+    long = "\n".join(line() for _ in range(9))
+    docs |= {96: (long, "s0"), 90: (docs[4][0], "s0"), 91: (None, "s1"), 92: ("", None), 93: (long.replace("\n", " "), None), 94: (long.replace("\n", "  "), "s0"), 95: ("again and " * 90, "s1")}
+    spark.createDataFrame([(k, t, "en", s, len(t or "")) for k, (t, s) in docs.items()], "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, passage), (2, line(4))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    kept = _quality(docs)
+    deduped = _line_dedup(kept)
+    single = _near_dedup(deduped)
+    clean = _decontaminate(single, [passage, *(x.text for x in spark.read.parquet(str(tmp_path / "benchmark.parquet")).where("item_id = 2").collect())])
+    assert len(kept) < len(docs) and deduped != kept and len(single) < len(deduped) and clean != single
+
+    rows = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for (name, stage), want in zip(corpus_pipeline.STAGES, (kept, deduped, single, clean)):
+        rows = stored(stage(spark, rows, str(tmp_path)))
+        assert {x.doc_id: x.text for x in rows.collect()} == want, name
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    lengths = {k: len(tok.encode(t, add_special_tokens=False).ids) + 1 for k, t in clean.items()}
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((x.doc_id, x.length) for x in packed) == sorted(lengths.items())
+    assert len({x.sequence_id for x in packed}) <= -(-sum(lengths.values()) // 2048) + 1
