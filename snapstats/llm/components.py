@@ -2,8 +2,9 @@
 
 A round replaces edges by edges to smaller neighbours and keeps the components; after O(log^2 n) rounds
 each node is linked to the smallest of its component and to nothing else. A hub's edges stay rows (no list
-of neighbours is built), its minimum is a partial aggregate, and the joins on it are ones that adaptive
-execution can split. Each round is checkpointed, so the plan does not grow and a lost executor costs one
+of neighbours is built) and its minimum is a partial aggregate. The minima are written before they are
+joined: only a join whose two sides are both plain exchanges can be split by adaptive execution where a hub
+fills a partition. Each round is checkpointed, so the plan does not grow and a lost executor costs one
 round.
 """
 
@@ -12,17 +13,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapstats.llm.common import checkpoint
+from snapstats.llm.common import checkpoint, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = stored(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
