@@ -30,6 +30,8 @@ def entities(spark, d) -> DataFrame:
     slots = F.broadcast(c.agg(F.floor(F.count("*") / 4).cast("long").alias("s")))
     who = c.join(slots).select("*", (F.col("c_custkey") % F.col("s")).alias("tid"), F.expr("c_custkey div s").alias("turn"))
     club = (F.col("c_nationkey") + F.col("season")) % 25
+    # the source is one small file, so one task; what it expands to is work for all of them
+    who = who.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
     return who.join(F.broadcast(slices(spark, d)), F.expr("turn = (season - 1995) div 2")).select(
         "season",
         "phase",
