@@ -2,8 +2,9 @@
 
 Each line is normalised and hashed; for each (host, line) the distinct documents are counted; lines above
 the limit are removed; a document of which too little is left is rejected, as is one that fails the base
-rules. Copies are not distinct documents: a document is known by its smallest line hash, so a group of
-copies counts about once and does not turn its own lines into boilerplate.
+rules. A document is known by 128 bits of its whole normalised text, so exact copies count once and
+documents that share lines but differ in any other count each. The query ``op4_quality_rules`` has a
+contract in SQL that knows a document by its smallest line hash; it asks for that with ``known_by``.
 
 One pass over the texts writes what the rest needs (counts, line hashes, words in each line), a few per
 cent of the input; all later joins and shuffles move only that.
@@ -39,7 +40,7 @@ _COUNTED = np.zeros(256, bool)
 _COUNTED[list(SYMBOLS)] = True
 _STATS = (
     "key long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
-    " signature long, lines array<struct<hash: long, at: int, words: int>>"
+    " signature long, document binary, lines array<struct<hash: long, at: int, words: int>>"
 )
 _LINES = pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int32()), ("words", pa.int32())]))
 
@@ -82,18 +83,20 @@ def _stats(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, end, cut = words_of(data, at)
         letters = np.concatenate([[0], np.cumsum(~SPACE[data] & ((data & 0xC0) != 0x80))])
         symbols = np.concatenate([[0], np.cumsum(_COUNTED[data])])
-        dups, signatures, lines = [], [], []
+        dups, signatures, documents, lines = [], [], [], []
         raw = data.tobytes()
         for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
-            seen, n_dup, found = set(), 0, []
+            seen, n_dup, found, whole = set(), 0, [], hashlib.md5()
             for n, line in enumerate(raw[i:j].split(b"\n")):
                 words = normal_line(line)
                 if words:
                     n_dup += line in seen
                     seen.add(line)
+                    whole.update(words + b"\n")
                     found.append((_line_hash(words), n, words.count(b" ") + 1))
             dups.append(n_dup)
             signatures.append(_signed(min(found)[0]) if found else None)
+            documents.append(whole.digest())
             lines.append([{"hash": _signed(h), "at": n, "words": w} for h, n, w in found])
         yield pa.RecordBatch.from_arrays(
             [
@@ -105,20 +108,21 @@ def _stats(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(dups, pa.int64()),
                 pa.array(_repeat_words(hasher, data, start, end, cut)),
                 pa.array(signatures, pa.int64()),
+                pa.array(documents, pa.binary()),
                 pa.array(lines, _LINES),
             ],
-            ["key", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "signature", "lines"],
+            ["key", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "signature", "document", "lines"],
         )
 
 
-def frequent_lines(lines: DataFrame, docs_of_line: int = LINE_DOCS, share: float = LINE_SHARE) -> DataFrame:
-    """(host, hash) of the lines above the limits; ``lines`` has host, signature, hash.
+def frequent_lines(lines: DataFrame, docs_of_line: int = LINE_DOCS, share: float = LINE_SHARE, known_by: str = "document") -> DataFrame:
+    """(host, hash) of the lines above the limits; ``lines`` has host, hash and the column that documents are known by.
 
     Both counts collapse to distinct (host, line, document) before they count, so Spark adds up partial
     counts in each task and no task holds a host or a line.
     """
-    of_host = lines.select("host", "signature").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    of_line = lines.select("host", "hash", "signature").distinct().groupBy("host", "hash").agg(F.count("*").alias("docs"))
+    of_host = lines.select("host", known_by).distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+    of_line = lines.select("host", "hash", known_by).distinct().groupBy("host", "hash").agg(F.count("*").alias("docs"))
     often = of_line.where(F.col("docs") > docs_of_line).alias("l")
     return (
         often.join(of_host.alias("h"), F.col("l.host").eqNullSafe(F.col("h.host")))
@@ -136,11 +140,12 @@ def quality(
     docs_of_line: int = LINE_DOCS,
     share: float = LINE_SHARE,
     least_left: float = LEAST_LEFT,
+    known_by: str = "document",
 ) -> DataFrame:
     """A row for each document: its base counts, base_failed, n_left (words after the removal), drop (numbers of the removed lines), kept."""
     stats = stored(frame(docs, F.col(host).cast("string").alias("host"), key=key, text=text).mapInArrow(_stats, _STATS))
-    lines = stats.select("key", "host", "signature", F.explode("lines").alias("line")).select("key", "host", "signature", "line.*")
-    often = frequent_lines(lines, docs_of_line, share)
+    lines = stats.select("key", "host", known_by, F.explode("lines").alias("line")).select("key", "host", known_by, "line.*")
+    often = frequent_lines(lines, docs_of_line, share, known_by)
     a, b = lines.alias("a"), often.alias("b")
     removed = (
         a.join(b, (F.col("a.hash") == F.col("b.hash")) & F.col("a.host").eqNullSafe(F.col("b.host")))
@@ -151,7 +156,7 @@ def quality(
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     left = F.greatest(F.col("n_words") - F.coalesce("lost", F.lit(0)), F.lit(0))
-    return stats.drop("lines", "signature", "host").join(removed, "key", "left").select(
+    return stats.drop("lines", "signature", "document", "host").join(removed, "key", "left").select(
         real_key(key),
         "n_words",
         "word_chars",
@@ -180,7 +185,7 @@ def keep_quality(docs: DataFrame, *, key: str = "doc_id", text: str = "text", ho
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return quality(docs).select(
+    return quality(docs, known_by="signature").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_left"
     )
 

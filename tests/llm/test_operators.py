@@ -265,6 +265,18 @@ def test_op4_common_lines_go(spark):
     assert "boilerplate" not in kept[3] and kept[3].count("\n") == 1 and 101 not in kept
 
 
+def test_op4_documents_that_share_most_lines_count_each(spark):
+    r = random.Random(4)
+    own = lambda n: " ".join(f"w{r.randrange(10**9)}" for _ in range(n))
+    template = [own(6) for _ in range(20)]
+    rows = [(i, "\n".join([*template, *(own(6) for _ in range(3))]), "s") for i in range(60)]
+    rows += [(100 + i, "\n".join(own(6) for _ in range(23)), "s") for i in range(140)]
+    rows += [(300 + i, rows[100][1], "s") for i in range(40)]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i].drop == list(range(20)) and not got[i].kept for i in range(60))
+    assert all(got[i].drop == [] and got[i].kept for i in range(100, 240)) and all(got[i].kept for i in range(300, 340))
+
+
 def test_op4_odd(empty, odd):
     assert quality.quality(empty).count() == 0
     assert quality.quality(odd).count() == 7
