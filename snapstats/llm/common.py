@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 #: Stands for a null key inside an operator; results carry the null again.
 NULL_KEY = -(2**63)
+#: The column of ``numbered``.
+ROW = "__row"
 #: Bytes of text that are hashed at once. A longer document is a block of its own.
 BLOCK = 1 << 20
 #: Hashes that a task holds before it sends them.
@@ -76,6 +78,17 @@ def real_key(name: str = "doc_id"):
     return F.when(F.col("key") != NULL_KEY, F.col("key")).alias(name)
 
 
+def numbered(docs: DataFrame, *by) -> DataFrame:
+    """``docs`` with a number of its own for each row in ``ROW``; numbers follow the order of ``by``, if given.
+
+    They are written before they are used, so whatever is computed from them, again or by a second attempt of
+    a task, has the same ones. Rows that are alike in ``by`` are numbered in any order.
+    """
+    if by:
+        docs = docs.repartitionByRange(*by).sortWithinPartitions(*by)
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def buckets(spark: SparkSession) -> int:
     """A power of two, at least twice the shuffle partitions, so that each has work."""
     return 1 << max(8, (2 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())

@@ -10,7 +10,7 @@ One pass over the texts writes what the rest needs (counts, line hashes, words i
 cent of the input; all later joins and shuffles move only that.
 
 Null text: no words, so the base rules reject it. Null host: a host of its own. Rows that repeat a doc_id
-count as one document in the line counts; each gets its own verdict. Empty table: empty result.
+count each, unless their texts are alike; each gets its own verdict. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapstats.llm.common import LOWER, SPACE, Hasher, blocks, frame, real_key, split_runs, stored, words_of
+from snapstats.llm.common import LOWER, ROW, SPACE, Hasher, blocks, frame, numbered, real_key, split_runs, stored, words_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -39,7 +39,7 @@ SYMBOLS = b"#*$%&|<>"
 _COUNTED = np.zeros(256, bool)
 _COUNTED[list(SYMBOLS)] = True
 _STATS = (
-    "key long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
+    "key long, row long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
     " signature long, document binary, lines array<struct<hash: long, at: int, words: int>>"
 )
 _LINES = pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int32()), ("words", pa.int32())]))
@@ -101,6 +101,7 @@ def _stats(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(keys),
+                batch.column("row").slice(first, len(keys)),
                 batch.column("host").slice(first, len(keys)),
                 pa.array(np.diff(cut)),
                 pa.array(letters[at[1:]] - letters[at[:-1]]),
@@ -111,7 +112,7 @@ def _stats(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(documents, pa.binary()),
                 pa.array(lines, _LINES),
             ],
-            ["key", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "signature", "document", "lines"],
+            ["key", "row", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "signature", "document", "lines"],
         )
 
 
@@ -143,20 +144,19 @@ def quality(
     known_by: str = "document",
 ) -> DataFrame:
     """A row for each document: its base counts, base_failed, n_left (words after the removal), drop (numbers of the removed lines), kept."""
-    stats = stored(frame(docs, F.col(host).cast("string").alias("host"), key=key, text=text).mapInArrow(_stats, _STATS))
-    lines = stats.select("key", "host", known_by, F.explode("lines").alias("line")).select("key", "host", known_by, "line.*")
+    row = F.monotonically_increasing_id().alias("row")  # written with the rest, so all that follows sees the same
+    stats = stored(frame(docs, F.col(host).cast("string").alias("host"), row, key=key, text=text).mapInArrow(_stats, _STATS))
+    lines = stats.select("row", "host", known_by, F.explode("lines").alias("line")).select("row", "host", known_by, "line.*")
     often = frequent_lines(lines, docs_of_line, share, known_by)
     a, b = lines.alias("a"), often.alias("b")
     removed = (
         a.join(b, (F.col("a.hash") == F.col("b.hash")) & F.col("a.host").eqNullSafe(F.col("b.host")))
-        .select("key", "at", "words")
-        .distinct()
-        .groupBy("key")
+        .groupBy("row")
         .agg(F.sum("words").alias("lost"), F.array_sort(F.collect_list("at")).alias("drop"))
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     left = F.greatest(F.col("n_words") - F.coalesce("lost", F.lit(0)), F.lit(0))
-    return stats.drop("lines", "signature", "document", "host").join(removed, "key", "left").select(
+    return stats.drop("lines", "signature", "document", "host").join(removed, "row", "left").select(
         real_key(key),
         "n_words",
         "word_chars",
@@ -173,14 +173,14 @@ def quality(
 def keep_quality(docs: DataFrame, *, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """The documents that the rules keep, without their boilerplate lines, with the columns of ``docs``.
 
-    Rows that repeat a doc_id share a verdict: they stay if one of them is kept, without the lines that the one with the fewest loses.
+    Each row has its own verdict, whatever its doc_id.
     """
-    verdict = quality(docs, key=key, text=text, host=host).where("kept").groupBy(F.col(key).alias("__key"))
-    verdict = verdict.agg(F.min(F.struct(F.size("drop").alias("n"), "drop")).alias("v")).select("__key", "v.drop")
+    columns, docs = docs.columns, numbered(docs)
+    verdict = quality(docs, key=ROW, text=text, host=host).where("kept").select(ROW, "drop")
     whole = F.size("drop") == 0
     lines = F.filter(F.split(F.col(text), "\n", -1), lambda _, i: ~F.array_contains("drop", i))
-    joined = docs.join(verdict, F.col(key).eqNullSafe(F.col("__key")))
-    return joined.withColumn(text, F.when(whole, F.col(text)).otherwise(F.array_join(lines, "\n"))).select(docs.columns)
+    joined = docs.join(verdict, ROW)
+    return joined.withColumn(text, F.when(whole, F.col(text)).otherwise(F.array_join(lines, "\n"))).select(columns)
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:

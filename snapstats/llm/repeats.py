@@ -17,7 +17,8 @@ neither a passage that a third of the documents share nor a large group of copie
 
 Null text: empty, nothing to remove. Documents shorter than a window keep all. Rows without a key share one
 that is smaller than all others. Rows that repeat a key are the same document: they don't count as
-earlier than each other, and what is removed at a position of one is removed from all. Empty table: empty
+earlier than each other, and what is removed at a position of one is removed from all; only
+``without_later_lines``, which returns the rows themselves, numbers them and tells them apart. Empty table: empty
 result. Columns other than key and text never enter.
 """
 
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from snapstats.llm.common import (
     KEYED,
     OCCURRENCES,
+    ROW,
     Hasher,
     Occurrences,
     blocks,
@@ -41,6 +43,7 @@ from snapstats.llm.common import (
     by_key,
     frame,
     later,
+    numbered,
     real_key,
     repeated,
     unpacked,
@@ -236,13 +239,17 @@ def line_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", widt
 
 
 def without_later_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = LINES) -> DataFrame:
-    """``docs`` with the removed lines cut out of their texts; all rows and columns stay."""
-    starts = later_line_windows(frame(docs, key=key, text=text), width)
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text], F.col(text).isNull().alias("__null")).alias("row")
-    joined = frame(docs, whole, key=key, text=text).join(starts, "key", "left").select("row", "text", "packed")
+    """``docs`` with the removed lines cut out of their texts; all rows and columns stay.
+
+    Of rows with one key, or without one, those with the smaller text hash come first.
+    """
+    columns, docs = docs.columns, numbered(docs, F.col(key).cast("long").asc_nulls_first(), F.xxhash64(text))
+    starts = later_line_windows(frame(docs, key=ROW, text=text), width)
+    whole = F.struct(*[F.col(f"`{c}`") for c in columns if c != text], F.col(text).isNull().alias("__null")).alias("row")
+    joined = frame(docs, whole, key=ROW, text=text).join(starts, "key", "left").select("row", "text", "packed")
     out = joined.mapInArrow(_kept_lines(width, False), joined.select("row", "text").schema)
     kept = F.when(~F.col("row.__null"), F.col("text")).alias(text)
-    return out.select(*[kept if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return out.select(*[kept if c == text else F.col(f"row.`{c}`").alias(c) for c in columns])
 
 
 def op6_difference_cover(spark, sf_dir: str) -> DataFrame:

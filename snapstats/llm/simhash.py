@@ -26,10 +26,10 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapstats.llm.common import LOWER, NULL_KEY, blocks, frame, real_key, stored
+from snapstats.llm.common import LOWER, NULL_KEY, ROW, blocks, frame, numbered, real_key, stored
 from snapstats.llm.components import components
 
 SHINGLE = 3
@@ -179,15 +179,13 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, that of the smallest key, with the columns of ``docs``.
+    """One row of each component, that of the smallest key, with the columns of ``docs``.
 
-    Rows without a key count as one document; they stay if their component has no known key.
+    A row without a key stays only if its component has no known key.
     """
-    found = near_duplicates(docs, key=key, text=text)
-    chosen = found.where(F.col("key") == F.coalesce("component", F.lit(NULL_KEY))).select(F.col("key").alias("__key")).distinct()
-    joined = docs.withColumn("__key", F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY))).join(chosen, "__key")
-    nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))  # the join's order: no further sort
-    return joined.withColumn("__nth", nth).where(F.col("__nth") == 1).select(docs.columns)
+    columns, docs = docs.columns, numbered(docs, F.col(key).cast("long").asc_nulls_last(), F.xxhash64(text))
+    found = near_duplicates(docs, key=ROW, text=text)
+    return docs.join(found.where("key = component").select(F.col("key").alias(ROW)), ROW).select(columns)
 
 
 def op1_simhash_anchors(spark, sf_dir: str) -> DataFrame:

@@ -65,6 +65,23 @@ def test_near_dedup_keeps_one(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 9]
 
 
+def test_rows_that_share_a_doc_id(spark):
+    r = random.Random(3)
+    line = lambda n=14: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    common = line(30)
+    bodies = ["\n".join(line() for _ in range(9)) for _ in range(40)]
+    texts = [f"{common}\n{b}" for b in bodies[:20]] + bodies[20:]
+    ids = [None if i % 2 else 7 for i in range(40)]
+    docs = lambda texts: spark.createDataFrame([(k, t, "en", "s", 1) for k, t in zip(ids, texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((x.doc_id, x.text) for x in corpus_pipeline.quality_rules(spark, docs(texts), "").collect()), key=str)
+    assert got == sorted(zip(ids, bodies), key=str)
+    assert len(corpus_pipeline.near_dedup(spark, docs(bodies[:20] * 2), "").collect()) == 20
+    kept = [x.text for x in corpus_pipeline.line_dedup(spark, docs(bodies[:20] * 2), "").collect()]
+    assert sorted(x for x in kept if x) == sorted(bodies[:20]) and kept.count("") == 20
+    unlike = docs([f"{line()}\n{bodies[0]}", *bodies[1:4], f"{bodies[0]}\n{line()}"])
+    assert sum(bodies[0] in x.text for x in corpus_pipeline.line_dedup(spark, unlike, "").collect()) == 1
+
+
 def test_registry_has_one_query_for_each_operator():
     names = list(registry.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
