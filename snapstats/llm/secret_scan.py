@@ -45,7 +45,13 @@ LEAST_LENGTH = 8
 # possessive, and only from a name's first letter: a text without blanks is still read in one go
 _NAME = r"(?<![\w$])[A-Za-z_$][\w$]*+(?:[.\-][A-Za-z_$][\w$]*+)*+"
 _PAIR = re.compile(rf"""(?<![.\-])["']?({_NAME})["']?(?:\[["']?({_NAME})["']?\])?[ \t]*(?::=|=>|=(?!=)|:(?!:))[ \t]*""", re.ASCII)
-_PART = re.compile(rf"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|({_NAME})(?![\w(])|([^\s"'`,;&<>()\[\]{{}}+]+))""", re.ASCII)
+# a value without quotes ends at a blank, comma, semicolon, quote or closing bracket, and where the next assignment begins
+_NEXT = rf"""(?!["']?{_NAME}["']?[ \t]*[:=])"""
+_BARE = rf"""(?:\$\{{[^{{}}\s]*+\}}|\{{\{{[^{{}}\n]*+\}}\}}|[&?(\[]{_NEXT}|\{{{_NEXT}|<(?!/)|\+(?!["'`])|[^\s"'`,;&?<>()\[\]{{}}+])++"""
+_PART = re.compile(rf"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|(?![(\[<&]|\{{(?!\{{))({_BARE}))""", re.ASCII)
+_CALL = re.compile(rf"{_NAME}[(\[]", re.ASCII)
+_ONE_NAME = re.compile(_NAME, re.ASCII)
+_BETWEEN = re.compile(r"\+|\.\.|\|\|")
 _JOIN = re.compile(r"[ \t]*(?:\+|\.\.|\|\|)[ \t]*(?=[\"'`A-Za-z_$])", re.ASCII)
 _TAG = re.compile(rf"<({_NAME})>([^<>\s]+)</\1>", re.ASCII)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", re.ASCII)
@@ -53,11 +59,11 @@ _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", re.ASCII)
 
 @dataclass
 class Pair:
-    """An assignment: literals as (start, end, value), and names it takes its value from."""
+    """An assignment: literals and values without quotes, which may be names, as (start, end, value)."""
 
     name: str
     literals: list[tuple[int, int, str]] = field(default_factory=list)
-    names: list[str] = field(default_factory=list)
+    bare: list[tuple[int, int, str]] = field(default_factory=list)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -67,6 +73,12 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
+def _assigns(text: str, at: int) -> bool:
+    """Whether the next assignment begins here, as in "a: b: c"; the = that pads base64 begins none."""
+    m = None if text[at : at + 1] in ("'", '"') else _PAIR.match(text, at)
+    return bool(m) and m.end() < len(text) and text[m.end()] not in "\r\n,;)]}"
+
+
 def pairs(text: str) -> Iterator[Pair]:
     """The name-literal pairs of a text, in order."""
     found = [(m.start(), Pair(m[1], [(m.start(2), m.end(2), m[2])])) for m in _TAG.finditer(text)]
@@ -74,26 +86,35 @@ def pairs(text: str) -> Iterator[Pair]:
     while m := _PAIR.search(text, at):
         pair = Pair(m[1] + (f".{m[2]}" if m[2] else ""))
         at = m.end()
-        while part := _PART.match(text, at):
+        while part := None if _assigns(text, at) else _PART.match(text, at):
             kind = part.lastindex
-            if kind == 4 and _PAIR.match(text, part.start(4)):
-                break  # the next assignment, as in "a: b: c"
-            bare = kind == 5 or kind == 4 and any(c.isdigit() for c in part[4]) and len(part[4]) >= 12
-            if kind <= 3 or bare:
-                pair.literals.append((part.start(kind), part.end(kind), part[kind]))
-            if kind == 4:
-                pair.names.append(part[4])
+            (pair.literals if kind <= 3 else pair.bare).append((part.start(kind), part.end(kind), part[kind]))
             at = part.end()
             if not (more := _JOIN.match(text, at)):
                 break
             at = more.end()
-        if pair.literals or pair.names:
+        if pair.literals or pair.bare:
             found.append((m.start(), pair))
         at = max(at, m.end())
     found.sort(key=lambda x: x[0])
     yield from (p for _, p in found)
 
 
+def _resolved(pair: Pair, bound: dict[str, int]) -> list[int]:
+    """The nodes that the values without quotes refer to; a value that is no bound name becomes a literal.
+
+    A single name that is not bound is code from elsewhere, unless it has a digit; so is a call.
+    """
+    refers = []
+    for start, end, value in pair.bare:
+        names = _BETWEEN.split(value)
+        if all(n in bound for n in names):
+            refers += [bound[n] for n in names]
+        elif not _CALL.match(value) and (any(c.isdigit() for c in value) or not all(_ONE_NAME.fullmatch(n) for n in names)):
+            pair.literals.append((start, end, value))
+    return refers
+
+
 def name_weight(name: str) -> int:
     """By the words of the name: camel case, snake case, dots and hyphens separate them; two neighbours count joined, too."""
     words = [w.lower() for w in _WORDS.findall(name)]
@@ -119,7 +140,7 @@ def literal_spans(text: str) -> list[tuple[int, int, str]]:
     bound: dict[str, int] = {}
     by_weight: dict[int, list[int]] = {}
     for pair in pairs(text):
-        refers = [bound[n] for n in pair.names if n in bound]
+        refers = _resolved(pair, bound)
         if pair.literals or refers:
             bound[pair.name] = len(nodes)
             by_weight.setdefault(name_weight(pair.name), []).append(len(nodes))

@@ -305,6 +305,21 @@ def test_op5_secrets():
     assert secret_scan.literal_spans("a plain sentence: it goes on = here, with a key: to nothing") == []
 
 
+def test_op5_values_without_quotes_are_read_to_their_end():
+    whole = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYzKEY", "Tr0ub4dor&3", "p@ssw0rd123", "aB3+xYz/9Qw+Lm4=", "Zx81QwErTy42!more%Part"]
+    for name in ("AWS_SECRET_ACCESS_KEY=", "db_password: ", "pwd=", "export SECRET="):
+        for value in whole:
+            for end in ("", "\n", " # note", ";", ",", ")"):
+                text = name + value + end
+                assert [text[a:b] for a, b, _ in secret_scan.literal_spans(text)] == [value], text
+    text = "https://h/?token=aB3xYz9QwLm4&password=Tr0ub4dor3x"
+    assert {text[a:b] for a, b, _ in secret_scan.literal_spans(text)} == {"aB3xYz9QwLm4", "Tr0ub4dor3x"}
+    for text in ("password = ${DATABASE_PASSWORD_1}", "password = {{ vault_password_1 }}", "password = config.user_password", "token = get_token_from(request)", "secret = first+second"):
+        assert secret_scan.literal_spans(text) == [], text
+    text = "plain1 = 'Zx81-QwErTy-42'\nclient_secret = plain1\n"
+    assert [text[a:b] for a, b, _ in secret_scan.literal_spans(text)] == ["Zx81-QwErTy-42"]
+
+
 def test_op5_against_brute(docs, texts, spark, empty, odd):
     rows = [(i, (t or "") + "\n" + CODE * (i % 3)) for i, t in texts.items()]
     got = by_id(secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")))
