@@ -154,7 +154,9 @@ def match_large(count: dict[int, int], capacity: int) -> list[tuple[int, tuple[i
         a = lengths[-1]
         fit = bisect_left(lengths, capacity - a + 1) - 1
         b = lengths[fit] if fit >= 0 else None
-        if b is None or b == a and left[a] == 1:
+        if b == a and left[a] == 1:  # alone of its length: the next shorter one fits as well
+            b = lengths[fit - 1] if fit else None
+        if b is None:
             n, items = left[a], (a,)
         else:
             n, items = (left[a] // 2 if a == b else min(left[a], left[b])), (a, b)

@@ -173,6 +173,11 @@ def test_op2_plan(seed):
     assert sum(b for b, _ in runs) <= 1.25 * max(1, sum(x * n for x, n in count.items()) / 100) + 2
 
 
+def test_op2_single_large_pieces_share_a_bin():
+    assert packing.match_large({900: 1, 800: 1}, 2048) == [(1, (900, 800))]
+    assert sum(b for b, _ in packing.pack({900: 1, 800: 3, 700: 2}, 2048)) == 3
+
+
 def test_op2_cache_generations():
     import public_tokenizers
     from tokenizers import Tokenizer
