@@ -1,21 +1,28 @@
 """What the operators of this subpackage share.
 
-Three things recur:
+Four things recur:
 
+* ``placed`` knows each row by its place, whatever its key: keys may be null or repeat;
 * ``frame`` narrows a documents table to a key and a text, so that extra or clashing columns of the
   caller never meet a join, and so that only two columns leave the scan;
 * ``Hasher`` hashes byte or word ranges of whole Arrow buffers with numpy, without a Python step per
   word;
-* the *packed exchange*: a task sends one row per bucket that holds thousands of hashes as binary
-  arrays. It shuffles 8 bytes a hash instead of a row a hash, and each task sends a hash once however
-  often it saw it, so a hash that fills a third of the corpus arrives once per batch, not once per row.
+* the *packed exchange*: a task sends one row per bucket that holds many hashes as binary arrays. It
+  shuffles 8 bytes a hash instead of a row a hash, and each task sends a hash once however often it saw
+  it, so a hash that fills a third of the corpus arrives once per batch, not once per row. Spark sorts a
+  partition by bucket, and Python works on one bucket at a time; there are as many buckets as the input's
+  bytes ask for, so a bucket stays small.
 """
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +31,14 @@ from pyspark.sql import functions as F
 
 #: Stands for a null key inside an operator; results carry the null again.
 NULL_KEY = -(2**63)
-#: The column of ``numbered``.
-ROW = "__row"
+#: The place of a row: the file and its number there.
+FILE, AT = "__file", "__at"
 #: Bytes of text that are hashed at once. A longer document is a block of its own.
 BLOCK = 1 << 20
 #: Hashes that a task holds before it sends them.
-HELD = 2_000_000
+HELD = 500_000
+#: Bytes of input for each bucket of a packed exchange, and the most buckets; with more, a task would send a row for a few hashes.
+BUCKET, MOST_BUCKETS = 4 << 20, 1 << 16
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -78,20 +87,75 @@ def real_key(name: str = "doc_id"):
     return F.when(F.col("key") != NULL_KEY, F.col("key")).alias(name)
 
 
-def numbered(docs: DataFrame, *by) -> DataFrame:
-    """``docs`` with a number of its own for each row in ``ROW``; numbers follow the order of ``by``, if given.
+def _reads_parquet(docs: DataFrame) -> bool:
+    """Whether each row of ``docs`` is a row of a Parquet file, so that the reader can tell its place."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if "_metadata" in docs.columns or not plan.deterministic():
+        return False
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    return plan.relation().fileFormat().toString() == "Parquet"
 
-    They are written before they are used, so whatever is computed from them, again or by a second attempt of
-    a task, has the same ones. Rows that are alike in ``by`` are numbered in any order.
+
+def placed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the place of each row in ``FILE`` and ``AT``: what tells rows apart when keys are null or repeat.
+
+    A table that is read from Parquet has it in the reader. Other rows are written first, so whatever is
+    computed from a place, again or by a second attempt of a task, finds the same row there.
+    """
+    if _reads_parquet(docs):
+        return docs.select("*", F.xxhash64("_metadata.file_path").alias(FILE), F.coalesce("_metadata.row_index", F.lit(0).cast("long")).alias(AT))
+    return stored(docs.select("*", F.lit(0).cast("long").alias(FILE), F.monotonically_increasing_id().alias(AT)))
+
+
+def numbers(places: DataFrame, *by) -> DataFrame:
+    """(FILE, AT, key): the rows numbered from 0 without gaps, in the order of ``by`` and then of their places.
+
+    Only ``by`` and the places are sorted. What is broadcast is the first number of each partition.
     """
-    if by:
-        docs = docs.repartitionByRange(*by).sortWithinPartitions(*by)
-    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    order = [*by, FILE, AT]
+    nth = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("nth")
+    rows = places.repartitionByRange(*order).sortWithinPartitions(*order).select(FILE, AT, F.spark_partition_id().alias("part"), nth)
+    rows, first, at = stored(rows), [], 0
+    for part, n in sorted(tuple(x) for x in rows.groupBy("part").count().collect()):
+        first.append((part, at))
+        at += n
+    return rows.join(F.broadcast(places.sparkSession.createDataFrame(first, "part int, first long")), "part").select(FILE, AT, (F.col("first") + F.col("nth")).alias("key"))
+
+
+def at_places(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` with the numbers of ``numbers``. The texts are shuffled by place; every other join by place can use that shuffle, too."""
+    return rows.join(ids.hint("shuffle_hash"), [FILE, AT])
+
+
+def buckets(docs: DataFrame) -> int:
+    """A power of two: by the bytes that ``docs`` reads, and at least twice the shuffle partitions, so that each has work."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = max(256, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET)
+    return min(MOST_BUCKETS, 1 << (n - 1).bit_length())
 
 
-def buckets(spark: SparkSession) -> int:
-    """A power of two, at least twice the shuffle partitions, so that each has work."""
-    return 1 << max(8, (2 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
+@cache
+def _trim() -> Callable | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except AttributeError:  # only GNU's C library has it
+        return None
+
+
+def arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow``; at its end a task hands freed memory back, so that waiting workers hold little."""
+
+    def lean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if _trim():
+            _trim()(0)
+
+    return df.mapInArrow(lean, schema)
 
 
 def long_array(column: pa.Array) -> np.ndarray:
@@ -122,6 +186,17 @@ def blocks(batches: Iterable[pa.RecordBatch], limit: int = BLOCK) -> Iterator[tu
             i = j
 
 
+def few_rows(batches: Iterable[pa.RecordBatch], limit: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``limit`` bytes of whole texts, so that a step in Python holds few of them."""
+    for batch in batches:
+        _, at = text_buffer(batch.column("text"))
+        i = 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1)
+            yield batch.slice(i, j - i)
+            i = j
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the information of each 64-bit value over all its bits."""
     x = x ^ (x >> np.uint64(32))
@@ -190,6 +265,12 @@ def split_runs(sorted_values: np.ndarray) -> np.ndarray:
     return first
 
 
+def ranks(first: np.ndarray) -> np.ndarray:
+    """The number of each entry in its group, from where groups begin."""
+    at = np.flatnonzero(first)
+    return np.arange(len(first)) - np.repeat(at, np.diff(np.append(at, len(first))))
+
+
 def pack_ints(values: np.ndarray, steps: bool = False) -> bytes:
     """Whole numbers in as few bytes each as the largest needs; with ``steps`` their differences, which are small for keys in order."""
     values = values.astype(np.int64, copy=False)
@@ -242,13 +323,32 @@ def keyed(n_buckets: int, keys: np.ndarray, values: np.ndarray) -> Iterator[pa.R
     )
 
 
-def _rows_of_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, values = [], []
+def to_buckets(found: DataFrame) -> DataFrame:
+    """Each bucket in one partition, its rows in a run; the sort is Spark's, which can spill."""
+    return found.repartition("bucket").sortWithinPartitions("bucket")
+
+
+def bucketwise(batches: Iterable[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of one bucket after those of another."""
+    held, now = [], None
     for batch in batches:
-        keys += [unpack_ints(x, True) for x in batch.column("k").to_pylist()]
-        values += [unpack_ints(x) for x in batch.column("v").to_pylist()]
-    k, v = joined(keys), joined(values)
-    if len(k):
+        of = batch.column("bucket").to_numpy()
+        cut = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+        for i, j in zip(cut, cut[1:]):
+            if i < j:
+                if held and of[i] != now:
+                    yield held
+                    held = []
+                now = of[i]
+                held.append(batch.slice(i, j - i))
+    if held:
+        yield held
+
+
+def _rows_of_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for some in bucketwise(batches):
+        k = joined([unpack_ints(x, True) for b in some for x in b.column("k").to_pylist()])
+        v = joined([unpack_ints(x) for b in some for x in b.column("v").to_pylist()])
         order = np.lexsort((v, k))
         k, v = k[order], v[order]
         at = np.flatnonzero(split_runs(k))
@@ -258,79 +358,84 @@ def _rows_of_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def by_key(found: DataFrame) -> DataFrame:
     """(key, packed): one row for each key of KEYED rows, with all its values, each once. A key is a document, so they are bounded by its length."""
-    return found.repartition("bucket").mapInArrow(_rows_of_keys, PER_KEY)
+    return arrow(to_buckets(found), _rows_of_keys, PER_KEY)
 
 
 def unpacked(packed: bytes | None) -> np.ndarray:
     return unpack_ints(packed) if packed else np.zeros(0, np.int64)
 
 
-# --- the packed exchange of occurrences: (hash, second hash, key, position) ---
+# --- the packed exchange of occurrences: (hash, second hash, row number, position) ---
 
 OCCURRENCES = "bucket int, known boolean, h binary, g binary, k binary, p binary"
 
 
-def send(n_buckets: int, known: bool, h: np.ndarray, g: np.ndarray | None, k: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
+@dataclass
+class Found:
+    """Occurrences: hashes ``h`` and, if one is not enough, ``g``; row numbers ``k``; positions ``p``."""
+
+    h: np.ndarray
+    g: np.ndarray | None
+    k: np.ndarray
+    p: np.ndarray
+
+    def take(self, which: np.ndarray) -> Found:
+        return Found(*(None if x is None else x[which] for x in (self.h, self.g, self.k, self.p)))
+
+    @staticmethod
+    def concat(parts: list[Found]) -> Found:
+        columns = ([getattr(x, name) for x in parts] for name in "hgkp")
+        return Found(*(None if c[0] is None else np.concatenate(c) for c in columns))
+
+    def sorted(self) -> tuple[Found, np.ndarray]:
+        """By (h, g, k, p), and where in that order another pair of hashes begins."""
+        own = self.take(np.lexsort([x for x in (self.p, self.k, self.g, self.h) if x is not None]))
+        first = split_runs(own.h)
+        return own, first if own.g is None else first | split_runs(own.g)
+
+
+def send(n_buckets: int, known: bool, found: Found) -> Iterator[pa.RecordBatch]:
     """Occurrences as rows of OCCURRENCES. What is ``known`` only passes through, so it goes by key, not by hash."""
-    if not len(h):
+    if not len(found.k):
         return
     shift = np.uint64(64 - (n_buckets.bit_length() - 1))
-    order, buckets_, spans = _spans(((mix(k.view(np.uint64)) if known else h) >> shift).astype(np.int32))
+    found = found.take(np.lexsort((found.p, found.k)))  # rows in order have small steps
+    order, buckets_, spans = _spans(((mix(found.k.view(np.uint64)) if known else found.h) >> shift).astype(np.int32))
+    found = found.take(order)
     columns: list[pa.Array] = [pa.array(buckets_), pa.array(np.full(len(buckets_), known))]
-    for values in (h, g):
-        if known or values is None:
-            columns.append(pa.array([b""] * len(spans), pa.binary()))
-        else:
-            values = values[order]
-            columns.append(pa.array([values[i:j].tobytes() for i, j in spans], pa.binary()))
-    k, p = k[order], p[order]
-    columns.append(pa.array([pack_ints(k[i:j], True) for i, j in spans], pa.binary()))
-    columns.append(pa.array([pack_ints(p[i:j]) for i, j in spans], pa.binary()))
+    for values in (found.h, found.g):
+        columns.append(pa.array([b"" if known or values is None else values[i:j].tobytes() for i, j in spans], pa.binary()))
+    for values, steps in ((found.k, True), (found.p, False)):
+        columns.append(pa.array([pack_ints(values[i:j], steps) for i, j in spans], pa.binary()))
     yield pa.RecordBatch.from_arrays(columns, ["bucket", "known", "h", "g", "k", "p"])
 
 
-def by_hash(h: np.ndarray, g: np.ndarray, k: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order by (h, g, k, p), and where in it another pair of hashes begins."""
-    order = np.lexsort((p, k, g, h))
-    return order, split_runs(h[order]) | split_runs(g[order])
-
-
-def _not_first(order: np.ndarray, first: np.ndarray, k: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """In the order of ``by_hash``: occurrences at another (key, position) than their first. A repeated row is not earlier than itself."""
-    lead = order[first][np.cumsum(first) - 1]
-    return (k[order] != k[lead]) | (p[order] != p[lead])
-
-
-def received(batches: Iterable[pa.RecordBatch]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """(h, g, k, p) of the occurrences to compare, and (k, p) of those already known, of one partition; without a second hash g is zero."""
-    h, g = [], []
-    where: tuple[list, list, list, list] = ([], [], [], [])
-    for batch in batches:
-        flags = batch.column("known").to_pylist()
-        h += batch.column("h").to_pylist()
-        g += batch.column("g").to_pylist()
-        for i, (name, steps) in enumerate((("k", True), ("p", False))):
-            for known, value in zip(flags, batch.column(name).to_pylist()):
-                where[i + 2 * known].append(unpack_ints(value, steps))
-    k, p, known_k, known_p = (joined(x) for x in where)
-    first, second = np.frombuffer(b"".join(h), np.uint64), np.frombuffer(b"".join(g), np.uint64)
-    return [first, second if len(second) else np.zeros(len(first), np.uint64), k, p], [known_k, known_p]
+def received(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[Found, np.ndarray, np.ndarray]]:
+    """For each bucket the occurrences to compare, and (k, p) of those already known."""
+    for some in bucketwise(batches):
+        known = [x for b in some for x in b.column("known").to_pylist()]
+        column = {c: [x for b in some for x in b.column(c).to_pylist()] for c in "hgkp"}
+        h, g = (np.frombuffer(b"".join(column[c]), np.uint64) for c in "hg")
+        k, p, known_k, known_p = (
+            joined([unpack_ints(x, c == "k") for x, flag in zip(column[c], known) if flag == which]) for which in (False, True) for c in "kp"
+        )
+        yield Found(h, g if len(g) else None, k, p), known_k, known_p
 
 
 class Occurrences:
     """What a task has found and not sent yet.
 
-    Of each hash the earliest occurrence goes to the hash's bucket. With ``later_only`` the others are
-    known to be repeats of an earlier one; otherwise the earliest is known to be repeated as well, and goes
-    both ways.
+    Of each hash the first ``copies`` occurrences go to the hash's bucket; the others are known to repeat
+    those. With ``all_known`` the first ones of a hash with more than that are known to be repeated as well,
+    and go both ways.
     """
 
-    def __init__(self, n_buckets: int, later_only: bool):
-        self.n_buckets, self.later_only, self.parts, self.n = n_buckets, later_only, [], 0
+    def __init__(self, n_buckets: int, copies: int = 1, all_known: bool = False):
+        self.n_buckets, self.copies, self.all_known, self.parts, self.n = n_buckets, copies, all_known, [], 0
 
     def add(self, h, g, k, p) -> Iterator[pa.RecordBatch]:
         if len(h):
-            self.parts.append((h, g, k, p))
+            self.parts.append(Found(h, g, k, p))
             self.n += len(h)
         if self.n >= HELD:
             yield from self.flush()
@@ -338,18 +443,14 @@ class Occurrences:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.parts:
             return
-        h, k, p = (np.concatenate([part[i] for part in self.parts]) for i in (0, 2, 3))
-        g = None if self.parts[0][1] is None else np.concatenate([part[1] for part in self.parts])
+        found, first = Found.concat(self.parts).sorted()
         self.parts, self.n = [], 0
-        order, first = by_hash(h, np.zeros(len(h), np.uint64) if g is None else g, k, p)
-        reps, rest = order[first], order[_not_first(order, first, k, p)] if self.later_only else order[~first]
-        if not self.later_only:
-            alone = np.append(first[1:], True)[first]
-            rest = np.concatenate([rest, reps[~alone]])
-        reps.sort()
-        rest.sort()
-        yield from send(self.n_buckets, False, h[reps], None if g is None else g[reps], k[reps], p[reps])
-        yield from send(self.n_buckets, True, h[rest], None, k[rest], p[rest])
+        nth = ranks(first)
+        rest = ~(first & np.append(first[1:], True)) if self.all_known else nth >= self.copies
+        reps, rest = found.take(nth < self.copies), found.take(rest)
+        del found, first
+        yield from send(self.n_buckets, False, reps)
+        yield from send(self.n_buckets, True, rest)
 
 
 def repeated(n_buckets: int):
@@ -358,17 +459,24 @@ def repeated(n_buckets: int):
 
 
 def later(n_buckets: int):
-    """Positions by key of all occurrences that another with a smaller (key, position) precedes."""
+    """Positions by key of all occurrences that another in an earlier row, or earlier in their own, precedes."""
     return _matched(n_buckets, later_only=True)
 
 
 def _matched(n_buckets: int, later_only: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (h, g, k, p), (known_k, known_p) = received(batches)
-        if len(h):
-            order, first = by_hash(h, g, k, p)
-            out = _not_first(order, first, k, p) if later_only else ~(first & np.append(first[1:], True))
-            known_k, known_p = np.concatenate([known_k, k[order[out]]]), np.concatenate([known_p, p[order[out]]])
-        yield from keyed(n_buckets, known_k, known_p)
+        keys, places, n = [], [], 0
+        for found, k, p in received(batches):
+            if len(found.h):
+                found, first = found.sorted()
+                found = found.take(~first if later_only else ~(first & np.append(first[1:], True)))
+                k, p = np.concatenate([k, found.k]), np.concatenate([p, found.p])
+            keys.append(k)
+            places.append(p)
+            n += len(k)
+            if n >= HELD:
+                yield from keyed(n_buckets, joined(keys), joined(places))
+                keys, places, n = [], [], 0
+        yield from keyed(n_buckets, joined(keys), joined(places))
 
     return run

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
-from snapstats.llm.common import blocks, frame, real_key
+from snapstats.llm.common import arrow, blocks, few_rows, frame, real_key
 from snapstats.llm.fmindex import FMIndex
 
 WINDOW = 10
@@ -159,7 +159,7 @@ def found_phrases(docs: DataFrame, tests: DataFrame, *more, key: str = "doc_id",
     for block in range(n_blocks):
         own = tests.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == block).collect()
         phrases = Phrases.of([(r.item if r.item is not None else "", r.item_text.encode()) for r in own], window)
-        out = out.mapInArrow(_search(spark.sparkContext.broadcast(phrases)), schema)
+        out = arrow(out, _search(spark.sparkContext.broadcast(phrases)), schema)
     return out
 
 
@@ -183,7 +183,7 @@ def _summary(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def contamination(docs: DataFrame, tests: DataFrame, **names) -> DataFrame:
     """A row per document: words, words hit, items that occur, a digest of their ids, whether any word is hit."""
     found = found_phrases(docs, tests, **names).drop("text")
-    summary = found.mapInArrow(_summary, "key long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    summary = arrow(found, _summary, "key long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
     return summary.select(real_key(names.get("key", "doc_id")), *summary.columns[1:])
 
 
@@ -200,7 +200,7 @@ def cut_words(text: bytes, spans: np.ndarray) -> bytes:
 
 
 def _clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in few_rows(batches):
         texts = batch.column("text").to_pylist()
         for i, s in enumerate(batch.column("spans").to_pylist()):
             if s:
@@ -211,11 +211,12 @@ def _clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def clean(docs: DataFrame, tests: DataFrame, *, text: str = "text", **names) -> DataFrame:
     """``docs`` without the words of test passages. The other columns travel along as one struct, so nothing is joined."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text], F.col(text).isNull().alias("__null")).alias("row")
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("rest")
+    whole = F.struct(rest, F.col(f"`{text}`").isNull().alias("null")).alias("row")
     found = found_phrases(docs, tests, whole, text=text, **names).drop("items", "n_words")
-    out = found.mapInArrow(_clean, StructType([f for f in found.schema.fields if f.name not in ("text", "spans")]).add("text", "string"))
-    kept = F.when(~F.col("row.__null"), F.col("text")).alias(text)
-    return out.select(*[kept if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    out = arrow(found, _clean, StructType([f for f in found.schema.fields if f.name not in ("text", "spans")]).add("text", "string"))
+    kept = F.when(~F.col("row.null"), F.col("text")).alias(text)
+    return out.select(*[kept if c == text else F.col(f"row.rest.`{c}`").alias(c) for c in docs.columns])
 
 
 def op10_fm_index_decontamination(spark, sf_dir: str) -> DataFrame:

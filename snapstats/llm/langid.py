@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapstats.llm.common import NULL_KEY, frame, mix, real_key, split_runs
+from snapstats.llm.common import NULL_KEY, arrow, frame, mix, real_key, split_runs
 
 UNKNOWN = "und"
 SLOTS = 1 << 20
@@ -152,7 +152,7 @@ class Model:
 
 def fit(rows: DataFrame, *, least_share: float = LEAST_SHARE, slots: int = SLOTS, hashes: int = HASHES) -> Model:
     """``rows`` has lang and text, neither null. The driver gets the kept trigrams only, whose number is bounded (see above)."""
-    counted = rows.select("lang", "text").mapInArrow(_count, "lang string, gram long, docs long")
+    counted = arrow(rows.select("lang", "text"), _count, "lang string, gram long, docs long")
     counted = counted.groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
     of_lang = rows.groupBy("lang").agg(F.count("*").alias("all_docs"))
     kept = counted.join(of_lang, "lang").where(F.col("docs") >= least_share * F.col("all_docs")).select("lang", "gram").toArrow()
@@ -201,7 +201,7 @@ def predict(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "
                 scores += b
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["key", "lang_pred", "score"])
 
-    found = frame(docs, key=key, text=text).mapInArrow(run, "key long, lang_pred string, score double")
+    found = arrow(frame(docs, key=key, text=text), run, "key long, lang_pred string, score double")
     return found.select(real_key(key), "lang_pred", "score")
 
 

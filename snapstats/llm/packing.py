@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapstats.llm.common import blocks, frame, real_key, stored
+from snapstats.llm.common import arrow, blocks, frame, real_key, stored
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -238,14 +238,14 @@ def pack_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     ``tokenizer`` is the path of a vocabulary file that each worker can read; by default the public one.
     """
-    pieces = stored(frame(docs, key=key, text=text).mapInArrow(_tokenize(tokenizer, capacity), _PIECES))
+    pieces = stored(arrow(frame(docs, key=key, text=text), _tokenize(tokenizer, capacity), _PIECES))
     by_task = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = by_task.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     count = {x: n for x, n in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
     ranked = pieces.join(base, ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth")).drop("part", "nth", "base")
-    placed = ranked.mapInArrow(
-        _place(slots(pack(count, capacity))), "key long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    placed = arrow(
+        ranked, _place(slots(pack(count, capacity))), "key long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )
     return placed.select(real_key(key), *placed.columns[1:])
 

@@ -3,19 +3,21 @@
 Each line is normalised and hashed; for each (host, line) the distinct documents are counted; lines above
 the limit are removed; a document of which too little is left is rejected, as is one that fails the base
 rules. A document is known by 128 bits of its whole normalised text, so exact copies count once and
-documents that share lines but differ in any other count each. The query ``op4_quality_rules`` has a
-contract in SQL that knows a document by its smallest line hash; it asks for that with ``known_by``.
+documents that share lines but differ in any other count each.
 
 One pass over the texts writes what the rest needs (counts, line hashes, words in each line), a few per
 cent of the input; all later joins and shuffles move only that.
 
-Null text: no words, so the base rules reject it. Null host: a host of its own. Rows that repeat a doc_id
-count each, unless their texts are alike; each gets its own verdict. Empty table: empty result.
+Null text: no words, so the base rules reject it. Null host: a host of its own. Each row has its own verdict,
+known by its place in the table: rows that repeat a doc_id, or have none, count each, unless their texts are
+alike. A very long text is one block of work of its own; its lines leave as three arrays of numbers. Empty
+table: empty result. Columns of the caller, whatever their names, stay apart in a struct.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapstats.llm.common import LOWER, ROW, SPACE, Hasher, blocks, frame, numbered, real_key, split_runs, stored, words_of
+from snapstats.llm.common import AT, FILE, LOWER, SPACE, Hasher, arrow, blocks, placed, split_runs, stored, words_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -39,24 +41,15 @@ SYMBOLS = b"#*$%&|<>"
 _COUNTED = np.zeros(256, bool)
 _COUNTED[list(SYMBOLS)] = True
 _STATS = (
-    "key long, row long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
-    " signature long, document binary, lines array<struct<hash: long, at: int, words: int>>"
+    f"{FILE} long, {AT} long, key long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
+    " document binary, lines array<struct<hash: long, at: int, words: int>>"
 )
-_LINES = pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int32()), ("words", pa.int32())]))
 
 
 def normal_line(line: bytes) -> bytes:
     return b" ".join(line.translate(LOWER).split())
 
 
-def _line_hash(line: bytes) -> int:
-    return int.from_bytes(hashlib.md5(line).digest()[:8], "big")
-
-
-def _signed(x: int) -> int:
-    return x - 2**64 if x >= 2**63 else x
-
-
 def _repeat_words(hasher: Hasher, data: np.ndarray, start: np.ndarray, end: np.ndarray, cut: np.ndarray) -> np.ndarray:
     """For each row: words inside three-word windows that the row has twice or more."""
     rows = len(cut) - 1
@@ -83,47 +76,41 @@ def _stats(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, end, cut = words_of(data, at)
         letters = np.concatenate([[0], np.cumsum(~SPACE[data] & ((data & 0xC0) != 0x80))])
         symbols = np.concatenate([[0], np.cumsum(_COUNTED[data])])
-        dups, signatures, documents, lines = [], [], [], []
+        dups, documents, cuts = [], [], [0]
+        hashes, places, sizes = [], array("i"), array("i")
         raw = data.tobytes()
         for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
-            seen, n_dup, found, whole = set(), 0, [], hashlib.md5()
+            seen, n_dup, whole = set(), 0, hashlib.md5()
             for n, line in enumerate(raw[i:j].split(b"\n")):
                 words = normal_line(line)
                 if words:
                     n_dup += line in seen
                     seen.add(line)
                     whole.update(words + b"\n")
-                    found.append((_line_hash(words), n, words.count(b" ") + 1))
+                    hashes.append(hashlib.md5(words).digest()[:8])
+                    places.append(n)
+                    sizes.append(words.count(b" ") + 1)
             dups.append(n_dup)
-            signatures.append(_signed(min(found)[0]) if found else None)
             documents.append(whole.digest())
-            lines.append([{"hash": _signed(h), "at": n, "words": w} for h, n, w in found])
+            cuts.append(len(places))
+        fields = [pa.array(np.frombuffer(b"".join(hashes), ">i8").astype(np.int64)), pa.array(np.frombuffer(places, np.int32)), pa.array(np.frombuffer(sizes, np.int32))]
+        lines = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays(fields, ["hash", "at", "words"]))
+        rest = [batch.column(x).slice(first, len(keys)) for x in (FILE, AT, "key", "host")]
+        counts = [np.diff(cut), letters[at[1:]] - letters[at[:-1]], symbols[at[1:]] - symbols[at[:-1]], np.array(dups, np.int64), _repeat_words(hasher, data, start, end, cut)]
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(keys),
-                batch.column("row").slice(first, len(keys)),
-                batch.column("host").slice(first, len(keys)),
-                pa.array(np.diff(cut)),
-                pa.array(letters[at[1:]] - letters[at[:-1]]),
-                pa.array(symbols[at[1:]] - symbols[at[:-1]]),
-                pa.array(dups, pa.int64()),
-                pa.array(_repeat_words(hasher, data, start, end, cut)),
-                pa.array(signatures, pa.int64()),
-                pa.array(documents, pa.binary()),
-                pa.array(lines, _LINES),
-            ],
-            ["key", "row", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "signature", "document", "lines"],
+            [*rest, *(pa.array(x) for x in counts), pa.array(documents, pa.binary()), lines],
+            [FILE, AT, "key", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "document", "lines"],
         )
 
 
-def frequent_lines(lines: DataFrame, docs_of_line: int = LINE_DOCS, share: float = LINE_SHARE, known_by: str = "document") -> DataFrame:
-    """(host, hash) of the lines above the limits; ``lines`` has host, hash and the column that documents are known by.
+def frequent_lines(lines: DataFrame, docs_of_line: int = LINE_DOCS, share: float = LINE_SHARE) -> DataFrame:
+    """(host, hash) of the lines above the limits; ``lines`` has host, hash and document.
 
     Both counts collapse to distinct (host, line, document) before they count, so Spark adds up partial
     counts in each task and no task holds a host or a line.
     """
-    of_host = lines.select("host", known_by).distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    of_line = lines.select("host", "hash", known_by).distinct().groupBy("host", "hash").agg(F.count("*").alias("docs"))
+    of_host = lines.select("host", "document").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+    of_line = lines.select("host", "hash", "document").distinct().groupBy("host", "hash").agg(F.count("*").alias("docs"))
     often = of_line.where(F.col("docs") > docs_of_line).alias("l")
     return (
         often.join(of_host.alias("h"), F.col("l.host").eqNullSafe(F.col("h.host")))
@@ -132,32 +119,24 @@ def frequent_lines(lines: DataFrame, docs_of_line: int = LINE_DOCS, share: float
     )
 
 
-def quality(
-    docs: DataFrame,
-    *,
-    key: str = "doc_id",
-    text: str = "text",
-    host: str = "source",
-    docs_of_line: int = LINE_DOCS,
-    share: float = LINE_SHARE,
-    least_left: float = LEAST_LEFT,
-    known_by: str = "document",
-) -> DataFrame:
-    """A row for each document: its base counts, base_failed, n_left (words after the removal), drop (numbers of the removed lines), kept."""
-    row = F.monotonically_increasing_id().alias("row")  # written with the rest, so all that follows sees the same
-    stats = stored(frame(docs, F.col(host).cast("string").alias("host"), row, key=key, text=text).mapInArrow(_stats, _STATS))
-    lines = stats.select("row", "host", known_by, F.explode("lines").alias("line")).select("row", "host", known_by, "line.*")
-    often = frequent_lines(lines, docs_of_line, share, known_by)
+def _verdicts(rows: DataFrame, key: str, text: str, host: str, docs_of_line: int, share: float, least_left: float) -> DataFrame:
+    """What ``quality`` returns, with the places of the ``placed`` rows."""
+    narrow = rows.select(FILE, AT, F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{host}`").cast("string").alias("host"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    stats = stored(arrow(narrow, _stats, _STATS))
+    lines = stats.select(FILE, AT, "host", "document", F.explode("lines").alias("line")).select(FILE, AT, "host", "document", "line.*")
+    often = frequent_lines(lines, docs_of_line, share)
     a, b = lines.alias("a"), often.alias("b")
     removed = (
         a.join(b, (F.col("a.hash") == F.col("b.hash")) & F.col("a.host").eqNullSafe(F.col("b.host")))
-        .groupBy("row")
+        .groupBy(FILE, AT)
         .agg(F.sum("words").alias("lost"), F.array_sort(F.collect_list("at")).alias("drop"))
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     left = F.greatest(F.col("n_words") - F.coalesce("lost", F.lit(0)), F.lit(0))
-    return stats.drop("lines", "signature", "document", "host").join(removed, "row", "left").select(
-        real_key(key),
+    return stats.drop("lines", "document", "host").join(removed, [FILE, AT], "left").select(
+        FILE,
+        AT,
+        F.col("key").alias(key),
         "n_words",
         "word_chars",
         "n_symbols",
@@ -170,24 +149,37 @@ def quality(
     )
 
 
+def quality(
+    docs: DataFrame,
+    *,
+    key: str = "doc_id",
+    text: str = "text",
+    host: str = "source",
+    docs_of_line: int = LINE_DOCS,
+    share: float = LINE_SHARE,
+    least_left: float = LEAST_LEFT,
+) -> DataFrame:
+    """A row for each document: its base counts, base_failed, n_left (words after the removal), drop (numbers of the removed lines), kept."""
+    return _verdicts(placed(docs), key, text, host, docs_of_line, share, least_left).drop(FILE, AT)
+
+
 def keep_quality(docs: DataFrame, *, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """The documents that the rules keep, without their boilerplate lines, with the columns of ``docs``.
 
     Each row has its own verdict, whatever its doc_id.
     """
-    columns, docs = docs.columns, numbered(docs)
-    verdict = quality(docs, key=ROW, text=text, host=host).where("kept").select(ROW, "drop")
-    whole = F.size("drop") == 0
-    lines = F.filter(F.split(F.col(text), "\n", -1), lambda _, i: ~F.array_contains("drop", i))
-    joined = docs.join(verdict, ROW)
-    return joined.withColumn(text, F.when(whole, F.col(text)).otherwise(F.array_join(lines, "\n"))).select(columns)
+    rows = placed(docs)
+    verdict = _verdicts(rows, key, text, host, LINE_DOCS, LINE_SHARE, LEAST_LEFT).where("kept").select(FILE, AT, "drop")
+    whole = rows.select(FILE, AT, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(verdict, [FILE, AT])
+    body = F.col(f"row.`{text}`")
+    lines = F.filter(F.split(body, "\n", -1), lambda _, i: ~F.array_contains("drop", i))
+    left = F.when(F.size("drop") == 0, body).otherwise(F.array_join(lines, "\n")).alias(text)
+    return whole.select(*[left if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return quality(docs, known_by="signature").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_left"
-    )
+    return quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_left")
 
 
 OP4_SQL = rf"""
@@ -203,7 +195,7 @@ lw AS (
   SELECT *, regexp_extract_all(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
   FROM ln),
 lh AS (SELECT doc_id, source, i, raw, len(ws) AS n, substr(md5(array_to_string(ws, ' ')), 1, 16) AS h FROM lw WHERE len(ws) > 0),
-sig AS (SELECT doc_id, min(h) AS s FROM lh GROUP BY 1),
+sig AS (SELECT doc_id, md5(string_agg(array_to_string(ws, ' ') || chr(10), '' ORDER BY i)) AS s FROM lw WHERE len(ws) > 0 GROUP BY 1),
 ls AS (SELECT lh.*, s FROM lh JOIN sig USING (doc_id)),
 host AS (SELECT source, count(DISTINCT s) AS docs FROM ls GROUP BY 1),
 freq AS (

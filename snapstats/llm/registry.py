@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from snapstats.llm import decontaminate, langid, packing, quality, repeats, secret_scan, sharding, simhash, suffixes
+from snapstats.llm import decontaminate, langid, packing, pipeline, quality, repeats, secret_scan, sharding, simhash, suffixes
 
 
 def queries():
@@ -18,7 +17,7 @@ def queries():
         "op8_language_bitmask": langid.op8_language_bitmask,
         "op9_permutation_table": sharding.op9_permutation_table,
         "op10_fm_index_decontamination": decontaminate.op10_fm_index_decontamination,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 

@@ -15,11 +15,11 @@ Lines use overlapping three-line windows directly: there are few lines.
 Both passes ship packed hashes (``common``): a hash that a task has seen many times leaves it once, so
 neither a passage that a third of the documents share nor a large group of copies gathers in one task.
 
-Null text: empty, nothing to remove. Documents shorter than a window keep all. Rows without a key share one
-that is smaller than all others. Rows that repeat a key are the same document: they don't count as
-earlier than each other, and what is removed at a position of one is removed from all; only
-``without_later_lines``, which returns the rows themselves, numbers them and tells them apart. Empty table: empty
-result. Columns other than key and text never enter.
+Each row is a document of its own, known by its number in the order of keys. Null text: empty, nothing to
+remove. Documents shorter than a window keep all. Rows without a key come first; rows that share a key, or
+have none, follow the order of their places in the table, so of two such rows that are alike the later one
+repeats the earlier one, and nothing is cut from a row that another row repeats. Empty table: empty
+result. Columns other than key and text never enter a comparison.
 """
 
 from __future__ import annotations
@@ -33,19 +33,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapstats.llm.common import (
+    AT,
+    FILE,
     KEYED,
     OCCURRENCES,
-    ROW,
     Hasher,
     Occurrences,
+    arrow,
+    at_places,
     blocks,
     buckets,
     by_key,
-    frame,
+    few_rows,
     later,
-    numbered,
-    real_key,
+    numbers,
+    placed,
     repeated,
+    to_buckets,
     unpacked,
     words_of,
 )
@@ -83,7 +87,7 @@ def _anchors(n_buckets: int, window: int):
     width = window - PERIOD + 1
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, hasher = Occurrences(n_buckets, later_only=False), Hasher(6)
+        found, hasher = Occurrences(n_buckets, all_known=True), Hasher(6)
         for keys, data, at, _, _ in blocks(batches):
             start, end, cut = words_of(data, at)
             row, nth, left = _places(cut)
@@ -98,7 +102,7 @@ def _anchors(n_buckets: int, window: int):
 
 def _extend(n_buckets: int, window: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, hasher = Occurrences(n_buckets, later_only=True), _Pair(60)
+        found, hasher = Occurrences(n_buckets), _Pair(60)
         for keys, data, at, first, batch in blocks(batches):
             start, end, cut = words_of(data, at)
             row, nth, left = _places(cut)
@@ -119,7 +123,7 @@ def _extend(n_buckets: int, window: int):
 
 
 def _matched(sent: DataFrame, match: Callable) -> DataFrame:
-    return by_key(sent.repartition("bucket").mapInArrow(match, KEYED))
+    return by_key(arrow(to_buckets(sent), match, KEYED))
 
 
 def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
@@ -132,18 +136,36 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     return np.cumsum(step - ends)[:n] > 0
 
 
-def later_word_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(key, packed): packed word numbers at which a window starts that has started before. ``docs`` is a ``frame``."""
+def _texts(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(place, every column but the text as the struct row, text), and the numbers of the rows in the order of keys.
+
+    Every later step joins the first by place with all its columns, so that one shuffle of the texts serves all of them.
+    """
+    rows = placed(docs)
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("rest")
+    rest = F.struct(rest, F.col(f"`{text}`").isNull().alias("null")).alias("row")
+    ids = numbers(rows.select(FILE, AT, F.col(f"`{key}`").cast("long").alias("by")), F.col("by").asc_nulls_first())
+    return rows.select(FILE, AT, rest, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")), ids
+
+
+def _back(found: DataFrame, ids: DataFrame) -> DataFrame:
+    """What is known of a row, by its place."""
+    return found.join(ids, "key").select(FILE, AT, "key", "packed")
+
+
+def later_word_windows(texts: DataFrame, ids: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(place, key, packed): packed word numbers at which a window starts that has started before."""
     if window < PERIOD:
         raise ValueError(f"a window must have {PERIOD} words or more, for an anchor to fit at any offset")
-    n_buckets = buckets(docs.sparkSession)
-    near = _matched(docs.mapInArrow(_anchors(n_buckets, window), OCCURRENCES), repeated(n_buckets))
-    return _matched(docs.join(near, "key").select("key", "text", "packed").mapInArrow(_extend(n_buckets, window), OCCURRENCES), later(n_buckets))
+    n_buckets = buckets(texts)
+    near = _back(_matched(arrow(at_places(texts, ids), _anchors(n_buckets, window), OCCURRENCES), repeated(n_buckets)), ids)
+    found = arrow(texts.join(near, [FILE, AT]), _extend(n_buckets, window), OCCURRENCES)
+    return _back(_matched(found, later(n_buckets)), ids)
 
 
 def _kept_words(window: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             counts, removed, digests = [], [], []
             for text, parts in zip(batch.column("text").to_pylist(), batch.column("packed").to_pylist()):
                 words = text.encode().split()
@@ -153,8 +175,8 @@ def _kept_words(window: int):
                 kept = [w for w, x in zip(words, gone) if not x] if parts else words
                 digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())],
-                ["key", "n_words", "n_removed", "kept_sha256"],
+                [batch.column("id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())],
+                ["id", "n_words", "n_removed", "kept_sha256"],
             )
 
     return run
@@ -162,10 +184,11 @@ def _kept_words(window: int):
 
 def word_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """A row per document: words, words removed, a digest of the words kept."""
-    docs = frame(docs, key=key, text=text)
-    joined = docs.join(later_word_windows(docs, window), "key", "left").select("key", "text", "packed")
-    out = joined.mapInArrow(_kept_words(window), "key long, n_words long, n_removed long, kept_sha256 string")
-    return out.select(real_key(key), *out.columns[1:])
+    texts, ids = _texts(docs.select(key, text), key, text)
+    found = texts.join(later_word_windows(texts, ids, window), [FILE, AT], "left")
+    joined = found.select(F.col(f"row.rest.`{key}`").cast("long").alias("id"), "text", "packed")
+    out = arrow(joined, _kept_words(window), "id long, n_words long, n_removed long, kept_sha256 string")
+    return out.withColumnRenamed("id", key)
 
 
 def text_lines(text: bytes) -> tuple[list[bytes], list[int]]:
@@ -176,7 +199,7 @@ def text_lines(text: bytes) -> tuple[list[bytes], list[int]]:
 
 def _line_windows(n_buckets: int, width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Occurrences(n_buckets, later_only=True)
+        found = Occurrences(n_buckets)
         for keys, data, at, _, _ in blocks(batches):
             raw, digests, key, place = data.tobytes(), [], [], []
             for k, i, j in zip(keys.tolist(), at[:-1].tolist(), at[1:].tolist()):
@@ -194,10 +217,10 @@ def _line_windows(n_buckets: int, width: int):
     return run
 
 
-def later_line_windows(docs: DataFrame, width: int = LINES) -> DataFrame:
-    """(key, packed): packed numbers of the non-blank lines at which a window starts that has started before."""
-    n_buckets = buckets(docs.sparkSession)
-    return _matched(docs.mapInArrow(_line_windows(n_buckets, width), OCCURRENCES), later(n_buckets))
+def later_line_windows(texts: DataFrame, ids: DataFrame, width: int = LINES) -> DataFrame:
+    """(place, key, packed): packed numbers of the non-blank lines at which a window starts that has started before."""
+    n_buckets = buckets(texts)
+    return _back(_matched(arrow(at_places(texts, ids), _line_windows(n_buckets, width), OCCURRENCES), later(n_buckets)), ids)
 
 
 def cut_lines(text: bytes, starts: np.ndarray, width: int) -> tuple[bytes, int, int]:
@@ -212,19 +235,19 @@ def cut_lines(text: bytes, starts: np.ndarray, width: int) -> tuple[bytes, int,
 
 def _kept_lines(width: int, summary: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             cut = [cut_lines(t.encode(), unpacked(p), width) for t, p in zip(batch.column("text").to_pylist(), batch.column("packed").to_pylist())]
             if not summary:
                 yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([t.decode() for t, _, _ in cut], pa.string())], ["row", "text"])
                 continue
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("key"),
+                    batch.column("id"),
                     pa.array([n for _, n, _ in cut], pa.int64()),
                     pa.array([n for _, _, n in cut], pa.int64()),
                     pa.array([hashlib.sha256(t).hexdigest() for t, _, _ in cut], pa.string()),
                 ],
-                ["key", "n_lines", "n_removed", "kept_sha256"],
+                ["id", "n_lines", "n_removed", "kept_sha256"],
             )
 
     return run
@@ -232,24 +255,20 @@ def _kept_lines(width: int, summary: bool):
 
 def line_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = LINES) -> DataFrame:
     """A row per document: non-blank lines, lines removed, a digest of the text that is left."""
-    docs = frame(docs, key=key, text=text)
-    joined = docs.join(later_line_windows(docs, width), "key", "left").select("key", "text", "packed")
-    out = joined.mapInArrow(_kept_lines(width, True), "key long, n_lines long, n_removed long, kept_sha256 string")
-    return out.select(real_key(key), *out.columns[1:])
+    texts, ids = _texts(docs.select(key, text), key, text)
+    found = texts.join(later_line_windows(texts, ids, width), [FILE, AT], "left")
+    joined = found.select(F.col(f"row.rest.`{key}`").cast("long").alias("id"), "text", "packed")
+    out = arrow(joined, _kept_lines(width, True), "id long, n_lines long, n_removed long, kept_sha256 string")
+    return out.withColumnRenamed("id", key)
 
 
 def without_later_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = LINES) -> DataFrame:
-    """``docs`` with the removed lines cut out of their texts; all rows and columns stay.
-
-    Of rows with one key, or without one, those with the smaller text hash come first.
-    """
-    columns, docs = docs.columns, numbered(docs, F.col(key).cast("long").asc_nulls_first(), F.xxhash64(text))
-    starts = later_line_windows(frame(docs, key=ROW, text=text), width)
-    whole = F.struct(*[F.col(f"`{c}`") for c in columns if c != text], F.col(text).isNull().alias("__null")).alias("row")
-    joined = frame(docs, whole, key=ROW, text=text).join(starts, "key", "left").select("row", "text", "packed")
-    out = joined.mapInArrow(_kept_lines(width, False), joined.select("row", "text").schema)
-    kept = F.when(~F.col("row.__null"), F.col("text")).alias(text)
-    return out.select(*[kept if c == text else F.col(f"row.`{c}`").alias(c) for c in columns])
+    """``docs`` with the removed lines cut out of their texts; all rows and columns stay, and a null text stays null."""
+    texts, ids = _texts(docs, key, text)
+    joined = texts.join(later_line_windows(texts, ids, width), [FILE, AT], "left").select("row", "text", "packed")
+    out = arrow(joined, _kept_lines(width, False), joined.select("row", "text").schema)
+    kept = F.when(~F.col("row.null"), F.col("text")).alias(text)
+    return out.select(*[kept if c == text else F.col(f"row.rest.`{c}`").alias(c) for c in docs.columns])
 
 
 def op6_difference_cover(spark, sf_dir: str) -> DataFrame:

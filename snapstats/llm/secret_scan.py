@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from snapstats.llm.common import frame, real_key
+from snapstats.llm.common import arrow, few_rows, frame, real_key
 
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -164,7 +164,7 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
 
 
 def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in few_rows(batches):
         counts, digests, spans = [], [], []
         for text in batch.column("text").to_pylist():
             base = base_spans(text)
@@ -182,8 +182,8 @@ def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document: how many spans of each kind, a digest of the pattern spans, and all spans."""
-    found = frame(docs, key=key, text=text).mapInArrow(
-        _scan, "key long, " + "".join(f"n_{k} long, " for k in KINDS) + "base_sha256 string, spans string"
+    found = arrow(
+        frame(docs, key=key, text=text), _scan, "key long, " + "".join(f"n_{k} long, " for k in KINDS) + "base_sha256 string, spans string"
     )
     return found.select(real_key(key), *found.columns[1:])
 

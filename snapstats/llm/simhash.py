@@ -12,6 +12,15 @@ distinct fingerprints is refined: its members are dealt to the anchors of the tr
 radius 0), where two fingerprints that differ in two bits or fewer meet at a word one bit from both. A fine
 anchor has 65 members at most. So each replica is compared with ``DENSE`` fingerprints at most.
 
+``keep_one`` links documents whose sets of five-word shingles are alike by 0.8 or more. One fingerprint of a
+whole document cannot tell that: at 0.8 about ten of 64 bits differ, and no code covers ten bits with few
+anchors. So it takes ``SAMPLES`` fingerprints, each of the ``SAMPLE`` shingles that are least under a hash of
+its own; documents with the same sample have the same fingerprint and meet at it (the trivial code, threshold
+0). At 0.8 a sample agrees with 0.26, one of 16 with 0.99. Those that meet are compared with the first and
+the last of the anchor, not with each other, by a sketch: the least shingle in each of 512 ranges of a hash,
+whose share of agreement is the similarity. Documents with equal samples and sketches are copies; one of them
+stands for all.
+
 Exact copies collapse to one fingerprint before anything is replicated. Null text: no words, fingerprint
 zero, linked like any other. Null key: keeps its row; a component's id is the smallest known key. Repeated
 rows are rows of the same component. Empty table: empty result.
@@ -29,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapstats.llm.common import LOWER, NULL_KEY, ROW, blocks, frame, numbered, real_key, stored
+from snapstats.llm.common import AT, FILE, LOWER, NULL_KEY, Hasher, arrow, blocks, frame, mix, numbers, placed, real_key, split_runs, stored, words_of
 from snapstats.llm.components import components
 
 SHINGLE = 3
@@ -37,6 +46,12 @@ SEED = 42
 BITS = 2
 DENSE = 512
 
+#: Of near-duplicates: words in a shingle and least similarity of the sets of shingles.
+WIDTH, SIMILARITY = 5, 0.8
+SAMPLES, SAMPLE = 16, 6
+#: Ranges of a sketch, and how far an estimate may fall short: 1.3 standard deviations of it at 0.8.
+RANGES, SLACK = 512, 0.023
+
 #: Fixed value: the generator polynomial x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 of the binary Golay code.
 GENERATOR = 0b101011100011
 BLOCK_BITS, CHECK_BITS, RADIUS = 23, 11, 3
@@ -145,8 +160,8 @@ def links(distinct: DataFrame, threshold: int = BITS, dense: int = DENSE) -> Dat
     """(a, b), a < b: distinct fingerprints that differ in ``threshold`` bits or fewer."""
     if threshold != BITS:
         raise ValueError("the refinement of dense anchors is exact for a threshold of 2")
-    homes = distinct.mapInArrow(_homes, "anchor long, fp long")
-    replicas = distinct.mapInArrow(_replicas(threshold), "anchor long, fp long")
+    homes = arrow(distinct, _homes, "anchor long, fp long")
+    replicas = arrow(distinct, _replicas(threshold), "anchor long, fp long")
     crowded = stored(homes.groupBy("anchor").count().where(F.col("count") > dense).select("anchor"))
     refine = bool(crowded.head(1))
     sparse = homes.join(crowded, "anchor", "left_anti") if refine else homes
@@ -168,7 +183,7 @@ def _fine_links(members: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = SHINGLE, threshold: int = BITS, dense: int = DENSE) -> DataFrame:
     """(key, fp, component): a row for each document; the component is the smallest known key reachable over links."""
-    prints = stored(frame(docs, key=key, text=text).mapInArrow(_fingerprint(width), "key long, fp long"))
+    prints = stored(arrow(frame(docs, key=key, text=text), _fingerprint(width), "key long, fp long"))
     least = F.min(F.when(F.col("key") != NULL_KEY, F.col("key"))).alias("least")
     distinct = stored(prints.groupBy("fp").agg(least))
     root = components(links(distinct.select("fp"), threshold, dense), "a", "b")
@@ -178,14 +193,108 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     return prints.join(named, "fp").select("key", "fp", "component")
 
 
-def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component, that of the smallest key, with the columns of ``docs``.
+_LOWER = np.frombuffer(LOWER, np.uint8)
+_SKETCHED = f"{FILE} long, {AT} long, samples array<long>, sketch binary"
+
+
+def shingle_sets(data: np.ndarray, at: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash), sorted: the distinct shingles of each text, in lower case; of fewer words the whole sequence, of none nothing."""
+    hasher, data = Hasher(11), _LOWER[data]
+    start, end, cut = words_of(data, at)
+    n = np.diff(cut)
+    of_word = hasher.ranges(hasher.sums(hasher.bytes[data]), start, end)
+    row = np.repeat(np.arange(len(n)), n)
+    hashed = hasher.windows(of_word, width)
+    inside = row[: len(hashed)] == row[len(row) - len(hashed) :]
+    few = np.flatnonzero((n > 0) & (n < width))
+    whole = hasher.ranges(hasher.sums(of_word), cut[few], cut[few + 1])
+    row, hashed = np.concatenate([row[: len(hashed)][inside], few]), np.concatenate([hashed[inside], whole])
+    order = np.lexsort((hashed, row))
+    row, hashed = row[order], hashed[order]
+    new = split_runs(row) | split_runs(hashed)
+    return row[new], hashed[new]
+
+
+def sample_prints(row: np.ndarray, hashed: np.ndarray, rows: int) -> np.ndarray:
+    """For each row the SimHash fingerprints of its ``SAMPLES`` samples; of few shingles all are the sample."""
+    out = np.zeros((rows, SAMPLES), np.uint64)
+    if not len(row):
+        return out
+    begin = np.flatnonzero(split_runs(row))
+    own = row[begin]
+    draw = np.random.default_rng(12).integers(0, 2**64, (SAMPLES, SAMPLE, 2), np.uint64)
+    for i in range(SAMPLES):
+        least = np.stack([np.minimum.reduceat(mix(hashed * (a | np.uint64(1)) + b), begin) for a, b in draw[i]], 1)
+        ones = np.unpackbits(least.view(np.uint8).reshape(len(own), SAMPLE, 8), axis=2, bitorder="little").sum(1)
+        out[own, i] = np.packbits(2 * ones > SAMPLE, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
+
+
+def sketches(row: np.ndarray, hashed: np.ndarray, rows: int) -> np.ndarray:
+    """For each row ``RANGES`` bytes: one of the least shingle in the range, 0 if there is none."""
+    out = np.zeros((rows, RANGES), np.uint8)
+    place = (hashed >> np.uint64(64 - (RANGES.bit_length() - 1))).astype(np.int64)
+    first = split_runs(row) | split_runs(place)
+    out[row[first], place[first]] = hashed[first] % np.uint64(255) + np.uint64(1)
+    return out
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The estimated similarity of the sets behind two rows of sketches."""
+    some = (a > 0) | (b > 0)
+    return ((a == b) & some).sum(1) / np.maximum(1, some.sum(1))
+
+
+def _sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for keys, data, at, first, batch in blocks(batches):
+        row, hashed = shingle_sets(data, at)
+        prints = sample_prints(row, hashed, len(keys)).view(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, prints.size + 1, SAMPLES, dtype=np.int32)), pa.array(prints.ravel()))
+        parts = [x.tobytes() for x in sketches(row, hashed, len(keys))]
+        yield pa.RecordBatch.from_arrays([batch.column("key").slice(first, len(keys)), batch.column(AT).slice(first, len(keys)), lists, pa.array(parts, pa.binary())], [FILE, AT, "samples", "sketch"])
+
+
+def _verified(least: float):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                some = batch.slice(i, 2048)
+                one, two = (np.frombuffer(b"".join(some.column(c).to_pylist()), np.uint8).reshape(-1, RANGES) for c in ("one", "two"))
+                near = pa.array(alike(one, two) >= least)
+                yield pa.RecordBatch.from_arrays([some.column("a").filter(near), some.column("b").filter(near)], ["a", "b"])
+
+    return run
+
 
-    A row without a key stays only if its component has no known key.
+def similar(rows: DataFrame, ids: DataFrame, *, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(place, key, root): the numbers of ``placed`` rows, and the least number among all that links reach."""
+    texts = rows.select(F.col(FILE).alias("key"), AT, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    known = stored(arrow(texts, _sketched, _SKETCHED).join(ids, [FILE, AT]).withColumn("print", F.md5(F.concat(F.array_join("samples", ","), F.hex("sketch")))))
+    copies = stored(known.groupBy("print").agg(F.min("key").alias("rep")))
+    reps = known.join(copies, "print").where("key = rep").select("key", "samples", "sketch")
+    at = reps.select("key", F.posexplode("samples").alias("nth", "sample"))
+    ends = at.groupBy("nth", "sample").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
+    met = at.join(ends, ["nth", "sample"]).select(F.col("key").alias("b"), F.explode(F.array("low", "high")).alias("a")).where("a <> b")
+    pairs = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    one, two = (reps.select(F.col("key").alias(k), F.col("sketch").alias(name)) for k, name in (("a", "one"), ("b", "two")))
+    links = arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two"), _verified(similarity - SLACK), "a long, b long")
+    root = components(links, "a", "b")
+    named = known.select(FILE, AT, "key", "print").join(copies, "print").join(root, F.col("rep") == F.col("node"), "left")
+    return named.select(FILE, AT, "key", F.coalesce("root", "rep").alias("root"))
+
+
+def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each group of near-duplicates, that of the smallest key, with the columns of ``docs``.
+
+    Similarity is that of the sets of five-word shingles. Rows without a key come last; rows that share a key
+    or have none follow the order of their places, and each is a document of its own. Texts without a word
+    are alike.
     """
-    columns, docs = docs.columns, numbered(docs, F.col(key).cast("long").asc_nulls_last(), F.xxhash64(text))
-    found = near_duplicates(docs, key=ROW, text=text)
-    return docs.join(found.where("key = component").select(F.col("key").alias(ROW)), ROW).select(columns)
+    rows = placed(docs)
+    ids = numbers(rows.select(FILE, AT, F.col(f"`{key}`").cast("long").alias("by")), F.col("by").asc_nulls_last())
+    kept = similar(rows, ids, text=text, similarity=similarity).where("key = root").select(FILE, AT)
+    whole = rows.select(FILE, AT, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return whole.join(kept, [FILE, AT], "left_semi").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op1_simhash_anchors(spark, sf_dir: str) -> DataFrame:

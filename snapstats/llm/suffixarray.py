@@ -3,17 +3,15 @@
 Suffixes are S (smaller than the next) or L (larger). Leftmost S suffixes (LMS) are sorted first: their
 substrings by one induction, then, if some are equal, the string of their ranks recursively. From the
 sorted LMS suffixes all L suffixes are induced from left to right, then all S suffixes from right to left.
-The scans go bucket by bucket: what a bucket's entries induce is computed for all of them at once, again
-for those that fall in the same bucket. A rank string has too many buckets for that to pay; the recursion
-ends there with rank doubling.
+The scans over few letters go bucket by bucket: what a bucket's entries induce is computed for all of them at
+once, again for those that fall in the same bucket. A string of ranks has too many buckets for that to pay;
+its scans go entry by entry. Both are linear, and every level of the recursion is induced.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from snapstats.llm.fmindex import suffix_order
-
 #: The most letters for which bucket-wise induction is used.
 LETTERS = 1024
 
@@ -67,13 +65,37 @@ def _induce(text: np.ndarray, small: np.ndarray, ends: np.ndarray, seeds: np.nda
     return order
 
 
+def _induce_each(text: np.ndarray, small: np.ndarray, ends: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """As ``_induce``, one entry after another."""
+    letters, is_small, order = text.tolist(), small.tolist(), [-1] * len(text)
+    back = ends.tolist()
+    for x in seeds[::-1].tolist():
+        c = letters[x]
+        back[c] -= 1
+        order[back[c]] = x
+    front = [0, *ends[:-1].tolist()]
+    for i in range(len(order)):
+        x = order[i] - 1
+        if x >= 0 and not is_small[x]:
+            c = letters[x]
+            order[front[c]] = x
+            front[c] += 1
+    back = ends.tolist()
+    for i in range(len(order) - 1, -1, -1):
+        x = order[i] - 1
+        if x >= 0 and is_small[x]:
+            c = letters[x]
+            back[c] -= 1
+            order[back[c]] = x
+    return np.array(order, np.int32)
+
+
 def suffix_array(letters: np.ndarray, n_letters: int) -> np.ndarray:
     """The suffixes of a sequence of numbers below n_letters in order, without the empty one."""
     n = len(letters)
     if n < 2:
         return np.arange(n, dtype=np.int32)
-    if n_letters > LETTERS:
-        return suffix_order(letters).astype(np.int32)
+    induce = _induce if n_letters <= LETTERS else _induce_each
     text = np.append(letters.astype(np.int32) + 1, 0)
     ends = np.cumsum(np.bincount(text, minlength=n_letters + 1)).astype(np.int64)
     small = _types(text)
@@ -82,7 +104,7 @@ def suffix_array(letters: np.ndarray, n_letters: int) -> np.ndarray:
     if len(lms) > 2:
         is_lms = np.zeros(n + 1, bool)
         is_lms[lms] = True
-        order = _induce(text, small, ends, seeds)
+        order = induce(text, small, ends, seeds)
         ranked = order[is_lms[order]]
         name = _names(text, lms, ranked)
         rank = np.empty(n + 1, np.int32)
@@ -91,7 +113,7 @@ def suffix_array(letters: np.ndarray, n_letters: int) -> np.ndarray:
             seeds = ranked
         else:
             seeds = lms[suffix_array(rank[lms], int(name[-1]) + 1)]
-    return _induce(text, small, ends, seeds)[1:]
+    return induce(text, small, ends, seeds)[1:]
 
 
 def _names(text: np.ndarray, lms: np.ndarray, ranked: np.ndarray) -> np.ndarray:

@@ -6,19 +6,21 @@ windows and the bytes under it. Equal windows have equal smallest grams, so each
 occurrences of its windows and is judged alone.
 
 1. A scan sends, for each piece, the hash of its gram and a hash of its bytes, packed, each pair once per
-   batch. Grams that occur once end here: most of a corpus. Pieces whose bytes occur twice or more are
-   repeated as a whole, every copy of them. Of the grams with several distinct pieces one copy of each goes on.
+   batch. Grams that occur once end here: most of a corpus, in which no window can be repeated. Of the others
+   each distinct piece goes on, once if it occurs once and twice if it has copies.
 2. Those pieces' bytes go to their shards. A shard's suffix array comes from induced sorting, the common
    prefixes of neighbours from the permuted form; windows with a neighbour that shares 200 bytes are repeated.
+   A third copy of a piece and further ones are as repeated as the two that were sorted, and inherit that.
 3. A gram with more than ``CROWD`` distinct pieces (a passage in many contexts) is not sorted in one place:
-   its windows are dealt by their own hash, 128 bits, and counted.
+   its windows are dealt by their own hash, 128 bits, and counted. That is exact, too, and keeps any one
+   passage from gathering in one task.
 
-The pieces of a document are the same in both scans, so only their places travel in between. Both scans of
-the text after the first share one shuffle.
+The pieces of a document are the same in both scans, so only their places travel in between. All scans of
+the texts share one shuffle.
 
-Null text: empty. Texts below 200 bytes keep all. Rows without a key, or that repeat one, count as further
-documents in what is repeated; they are told apart by key only, so what is removed from one row is removed
-at the same place from all rows of that key. Empty table: empty result.
+Each row is a document of its own, known by its number, whatever its key. Null text: empty. Texts below 200
+bytes keep all. Rows without a key, or that repeat one, are further documents, so of rows that are alike all
+go. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -32,20 +34,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapstats.llm.common import (
+    AT,
+    FILE,
+    HELD,
     KEYED,
     OCCURRENCES,
+    Found,
     Hasher,
     Occurrences,
+    arrow,
+    at_places,
     blocks,
     buckets,
-    by_hash,
+    bucketwise,
     by_key,
-    frame,
+    few_rows,
     keyed,
     mix,
-    real_key,
+    numbers,
+    placed,
+    ranks,
     received,
     split_runs,
+    to_buckets,
     unpacked,
 )
 from snapstats.llm.suffixarray import permuted_prefixes, suffix_array
@@ -59,7 +70,7 @@ SHARD = 1 << 20
 #: Not a byte of UTF-8: ends a piece.
 STOP = 0xFF
 
-#: What is known of a piece, beside its place: copies elsewhere (WHOLE), others with its gram (SORT), too many of them (DEAL).
+#: What is known of a piece, beside its place: as repeated as two copies that are sorted (WHOLE), to be sorted (SORT), one of too many of its gram (DEAL).
 WHOLE, SORT, DEAL = 1, 2, 4
 
 _WORK = "bucket int, kind int, h binary, g binary, k binary, p binary, n binary, body binary"
@@ -104,7 +115,7 @@ class _Pieces:
 
 def _find(n_buckets: int, window: int, gram: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, whole, found = Hasher(3), Hasher(33), Occurrences(n_buckets, later_only=False)
+        grams, whole, found = Hasher(3), Hasher(33), Occurrences(n_buckets, copies=2)
         for keys, data, at, _, _ in blocks(batches):
             x = _Pieces(grams, data, at, window, gram)
             if len(x.begin):
@@ -118,22 +129,26 @@ def _find(n_buckets: int, window: int, gram: int):
 def _judge(n_buckets: int, crowd: int):
     """Places with what is known of them, packed as place * 8 + flags."""
 
+    def judged(found: Found) -> tuple[np.ndarray, np.ndarray]:
+        found, first = found.sorted()
+        group, nth = np.cumsum(first) - 1, ranks(first)
+        gram = np.cumsum(split_runs(found.h)) - 1
+        kinds = np.bincount(gram[first])[gram]  # distinct pieces of the gram
+        copies = np.bincount(group)[group]
+        flags = np.where(nth > 1, WHOLE, SORT)
+        many = kinds > crowd
+        flags[many] = np.where(nth > 0, WHOLE, DEAL | np.where(copies > 1, WHOLE, 0))[many]  # for the other pieces' sake one copy is dealt as well
+        use = (kinds > 1) | (copies > 1)
+        return found.k[use], (found.p * 8 + flags)[use]
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (h, g, k, p), (known_k, known_p) = received(batches)
-        keys, codes = [known_k], [known_p * 8 + WHOLE]
-        if len(h):
-            order, first = by_hash(h, g, k, p)
-            h, k, p = h[order], k[order], p[order]
-            group = np.cumsum(first) - 1
-            twice = np.bincount(group)[group] > 1
-            keys.append(k[twice])
-            codes.append(p[twice] * 8 + WHOLE)
-            gram = np.cumsum(split_runs(h)) - 1
-            kinds = np.bincount(gram[first], minlength=gram[-1] + 1)[gram]
-            use = first & (kinds > 1)
-            keys.append(k[use])
-            codes.append(p[use] * 8 + np.where(kinds[use] > crowd, DEAL, SORT))
-        yield from keyed(n_buckets, np.concatenate(keys), np.concatenate(codes))
+        for found, known_k, known_p in received(batches):
+            keys, codes = [known_k], [known_p * 8 + WHOLE]
+            if len(found.h):
+                k, c = judged(found)
+                keys.append(k)
+                codes.append(c)
+            yield from keyed(n_buckets, np.concatenate(keys), np.concatenate(codes))
 
     return run
 
@@ -176,22 +191,18 @@ def _ship(n_buckets: int, window: int, gram: int):
             done = np.flatnonzero(flags & WHOLE)
             yield from _rows(n_buckets, _DONE, mix(key[done].view(np.uint64)), {"k": key[done], "p": place[done], "n": n[done] + (window - 1)})
             sort = np.flatnonzero(flags & SORT)
-            judged = np.where(flags[sort] & WHOLE, -n[sort], n[sort])  # below 0: here for the others only
             body = [data[b : b + m + window - 1].tobytes() for b, m in zip(x.begin[sort].tolist(), x.n[sort].tolist())]
-            yield from _rows(n_buckets, _SORTED, x.hash[sort], {"h": x.hash[sort], "k": key[sort], "p": place[sort], "n": judged}, body)
+            yield from _rows(n_buckets, _SORTED, x.hash[sort], {"h": x.hash[sort], "k": key[sort], "p": place[sort], "n": n[sort]}, body)
             deal = np.flatnonzero(flags & DEAL)
             if len(deal):
                 start = np.repeat(x.begin[deal] - np.cumsum(x.n[deal]) + x.n[deal], x.n[deal]) + np.arange(x.n[deal].sum())
                 h, g = (w.ranges(w.sums(w.bytes[data]), start, start + window) for w in windows)
                 row = np.repeat(x.row[deal], x.n[deal])
                 # one occurrence of a window here is enough for the others to know; more of them are repeated already
-                order, first = by_hash(h, g, keys[row], start)
-                alone = np.zeros(len(order), bool)
-                alone[first] = np.append(first[1:], True)[first]
-                lead, rest = order[first], order[~alone]
-                for kind, use in ((_DEALT, lead), (_DONE, rest)):
-                    by = h[use] if kind == _DEALT else mix(keys[row[use]].view(np.uint64))
-                    yield from _rows(n_buckets, kind, by, {"h": h[use], "g": g[use], "k": keys[row[use]], "p": (start[use] - at[row[use]]).astype(np.int32), "n": np.full(len(use), window, np.int32)})
+                here, first = Found(h, g, keys[row], start - at[row]).sorted()
+                for kind, use in ((_DEALT, here.take(first)), (_DONE, here.take(~(first & np.append(first[1:], True))))):
+                    by = use.h if kind == _DEALT else mix(use.k.view(np.uint64))
+                    yield from _rows(n_buckets, kind, by, {"h": use.h, "g": use.g, "k": use.k, "p": use.p.astype(np.int32), "n": np.full(len(use.h), window, np.int32)})
 
     return run
 
@@ -210,7 +221,7 @@ def repeated_windows(bodies: list[bytes], window: int = WINDOW) -> tuple[np.ndar
     return piece[inside], (at - begin[piece])[inside]
 
 
-def _sorted_spans(h: np.ndarray, k: np.ndarray, p: np.ndarray, n: np.ndarray, bodies: list[bytes], window: int, shard: int) -> Iterator[tuple[np.ndarray, ...]]:
+def _sorted_spans(h: np.ndarray, k: np.ndarray, p: np.ndarray, bodies: list[bytes], window: int, shard: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(key, begin, end) of what is repeated, from one suffix array for several whole grams."""
     order = np.argsort(h, kind="stable")
     begins = np.flatnonzero(split_runs(h[order])).tolist() + [len(order)]
@@ -220,8 +231,7 @@ def _sorted_spans(h: np.ndarray, k: np.ndarray, p: np.ndarray, n: np.ndarray, bo
         if following is None or size[following] - size[first] > shard:
             use = order[first:j]
             piece, offset = repeated_windows([bodies[x] for x in use], window)
-            judged = n[use[piece]] > 0
-            piece, offset = use[piece[judged]], offset[judged]
+            piece = use[piece]
             if len(piece):
                 new = np.ones(len(piece), bool)
                 new[1:] = (piece[1:] != piece[:-1]) | (offset[1:] != offset[:-1] + 1)
@@ -234,34 +244,47 @@ def _sorted_spans(h: np.ndarray, k: np.ndarray, p: np.ndarray, n: np.ndarray, bo
 def _match(n_buckets: int, window: int, shard: int):
     """Spans by key, packed as begin * 2^32 + end."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, dict[str, list[bytes]]] = {kind: {c: [] for c in "hgkpn"} for kind in (_DONE, _SORTED, _DEALT)}
+    types = {"h": np.uint64, "g": np.uint64, "k": np.int64, "p": np.int32, "n": np.int32}
+
+    def spans_of(some: list[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        parts: dict[int, dict[str, list[bytes]]] = {kind: {c: [] for c in types} for kind in (_DONE, _SORTED, _DEALT)}
         bodies: list[bytes] = []
-        for batch in batches:
+        for batch in some:
             kinds = batch.column("kind").to_pylist()
-            for c in "hgkpn":
+            for c in types:
                 for kind, value in zip(kinds, batch.column(c).to_pylist()):
                     parts[kind][c].append(value)
             for kind, n, body in zip(kinds, batch.column("n").to_pylist(), batch.column("body").to_pylist()):
                 if kind == _SORTED:
                     at = 0
-                    for size in (np.abs(np.frombuffer(n, np.int32)) + (window - 1)).tolist():
+                    for size in (np.frombuffer(n, np.int32) + (window - 1)).tolist():
                         bodies.append(body[at : at + size])
                         at += size
-        types = {"h": np.uint64, "g": np.uint64, "k": np.int64, "p": np.int32, "n": np.int32}
         got = {kind: {c: np.frombuffer(b"".join(v), types[c]) for c, v in own.items()} for kind, own in parts.items()}
         done = got[_DONE]
-        spans = [(done["k"], done["p"].astype(np.int64), done["p"].astype(np.int64) + done["n"])]
+        yield done["k"], done["p"].astype(np.int64), done["p"].astype(np.int64) + done["n"]
         if bodies:
             own = got[_SORTED]
-            spans += _sorted_spans(own["h"], own["k"], own["p"].astype(np.int64), own["n"], bodies, window, shard)
+            yield from _sorted_spans(own["h"], own["k"], own["p"].astype(np.int64), bodies, window, shard)
         own = got[_DEALT]
         if len(own["h"]):
-            order, first = by_hash(own["h"], own["g"], own["k"], own["p"])
-            use = order[~(first & np.append(first[1:], True))]
-            spans.append((own["k"][use], own["p"][use].astype(np.int64), own["p"][use].astype(np.int64) + window))
-        key, begin, end = (np.concatenate(x) for x in zip(*spans))
-        yield from keyed(n_buckets, key, begin << 32 | end)
+            found, first = Found(own["h"], own["g"], own["k"], own["p"].astype(np.int64)).sorted()
+            found = found.take(~(first & np.append(first[1:], True)))
+            yield found.k, found.p, found.p + window
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for some in bucketwise(batches):
+            held += spans_of(some)
+            if sum(len(k) for k, _, _ in held) >= HELD:
+                yield from _spans(held)
+                held = []
+        yield from _spans(held)
+
+    def _spans(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        if held:
+            key, begin, end = (np.concatenate(x) for x in zip(*held))
+            yield from keyed(n_buckets, key, begin << 32 | end)
 
     return run
 
@@ -279,7 +302,7 @@ def merged(packed: bytes | None, n: int) -> list[tuple[int, int]]:
 
 
 def _kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in few_rows(batches):
         rows = []
         for text, packed in zip(batch.column("text").to_pylist(), batch.column("packed").to_pylist()):
             raw = text.encode()
@@ -291,28 +314,29 @@ def _kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append((len(raw), sum(b - a for a, b in runs), len(runs), digest.hexdigest()))
         n, gone, spans, digests = zip(*rows) if rows else ([], [], [], [])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("key"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())],
-            ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+            [batch.column("id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())],
+            ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
         )
 
 
-def repeated_spans(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD, shard: int = SHARD) -> DataFrame:
-    """(key, packed): packed spans under repeated strings; they may overlap. ``docs`` is a ``frame``."""
+def repeated_spans(texts: DataFrame, ids: DataFrame, *, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD, shard: int = SHARD) -> DataFrame:
+    """(place, packed): packed spans under repeated strings; they may overlap. ``texts`` has places and text, ``ids`` the numbers of the places."""
     if not 0 < gram <= window:
         raise ValueError("a gram must fit into a window")
-    n_buckets = buckets(docs.sparkSession)
-    found = docs.mapInArrow(_find(n_buckets, window, gram), OCCURRENCES).repartition("bucket")
-    places = by_key(found.mapInArrow(_judge(n_buckets, crowd), KEYED))
-    work = docs.join(places, "key").select("key", "text", "packed").mapInArrow(_ship(n_buckets, window, gram), _WORK)
-    return by_key(work.repartition("bucket").mapInArrow(_match(n_buckets, window, shard), KEYED))
+    n_buckets = buckets(texts)
+    found = arrow(at_places(texts, ids), _find(n_buckets, window, gram), OCCURRENCES)
+    places = by_key(arrow(to_buckets(found), _judge(n_buckets, crowd), KEYED)).join(ids, "key")
+    work = arrow(texts.join(places, [FILE, AT]), _ship(n_buckets, window, gram), _WORK)
+    return by_key(arrow(to_buckets(work), _match(n_buckets, window, shard), KEYED)).join(ids, "key").select(FILE, AT, "packed")
 
 
 def string_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """A row per document: bytes, bytes removed, maximal removed runs, a digest of the bytes kept."""
-    docs = frame(docs, key=key, text=text)
-    joined = docs.join(repeated_spans(docs, **how), "key", "left").select("key", "text", "packed")
-    out = joined.mapInArrow(_kept, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.select(real_key(key), *out.columns[1:])
+    rows = placed(docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))).select(FILE, AT, "id", "text")
+    spans = repeated_spans(rows, numbers(rows.select(FILE, AT)), **how)
+    joined = rows.join(spans, [FILE, AT], "left").select("id", "text", "packed")
+    out = arrow(joined, _kept, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return out.withColumnRenamed("id", key)
 
 
 def op3_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

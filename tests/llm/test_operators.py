@@ -136,6 +136,8 @@ def test_op1_odd(empty, odd):
     assert len(found) == 7 and {r.component for r in found} == {None, 1, 2}
     kept = sorted((r.doc_id is None, r.doc_id or 0) for r in simhash.keep_one(odd).collect())
     assert kept == [(False, 1), (False, 2), (True, 0)]
+    five = odd.sparkSession.createDataFrame([(k, f"{x} " * 20) for k, x in zip((None, None, None, 7, 7), "abcde")], "doc_id long, text string")
+    assert simhash.keep_one(five).count() == 5
     assert simhash.keep_one(empty).count() == 0
 
 
@@ -219,6 +221,10 @@ def test_op3_strings(docs, texts, how):
 def test_op3_odd(spark, empty, odd):
     assert suffixes.string_dedup(empty).count() == 0
     assert all(r.n_removed == 0 for r in suffixes.string_dedup(odd).collect())
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(150)) for x in "abcd")
+    rows = spark.createDataFrame([(None, a + b), (None, c + d), (None, a)], "doc_id long, text string")
+    gone = {r.n_bytes: r.n_removed for r in suffixes.string_dedup(rows).collect()}
+    assert gone == {len(a + b): len(a), len(c + d): 0, len(a): len(a)} or gone == {len(a + b): len(a)}  # all four are of one length
     long = spark.createDataFrame([(1, "q" * 500), (1, "q" * 500), (2, "x" * 199), (3, "x" * 199)], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_removed) for r in suffixes.string_dedup(long).collect()) == [(1, 500), (1, 500), (2, 0), (3, 0)]
 
@@ -288,6 +294,15 @@ def test_op4_odd(empty, odd):
     assert quality.keep_quality(empty).columns == empty.columns
 
 
+def test_op4_a_footer_in_all_documents_goes(spark):
+    """Whatever its hash: what counts is documents."""
+    r = random.Random(8)
+    own = lambda n: " ".join(f"w{r.randrange(10**9)}" for _ in range(n))
+    footer = min((f"all rights reserved {i}" for i in range(2000)), key=lambda x: hashlib.md5(x.encode()).digest())
+    docs = spark.createDataFrame([(i, f"{own(70)}\n{footer}", "s") for i in range(200)], "doc_id long, text string, source string")
+    assert all(r.drop == [1] and r.kept for r in quality.quality(docs).collect())
+
+
 CODE = '''
 DB_PASSWORD = "s3cr3tPa55word!"
 x = "Zx81-QwErTy-42"; name = 'harmless value'
@@ -365,7 +380,11 @@ def test_op6_odd(spark, empty, odd):
     rows = spark.createDataFrame([(None, text), (4, text), (4, text), (9, "x " + text)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_removed) for r in repeats.word_dedup(rows).collect()) == [(0, 0), (4, 30), (4, 30), (9, 30)]
     same = spark.createDataFrame([(4, text), (4, text)], "doc_id long, text string")
-    assert [r.n_removed for r in repeats.word_dedup(same).collect()] == [0, 0]
+    assert sorted(r.n_removed for r in repeats.word_dedup(same).collect()) == [0, 30]
+    other = " ".join(f"v{i}" for i in range(160))
+    for key in (None, 2):  # a row that repeats nothing keeps all, whatever the row beside it with its id loses
+        rows = spark.createDataFrame([(1 if key else None, text), (key, f"{text} tail"), (key, other)], "doc_id long, text string")
+        assert sorted((r.n_words, r.n_removed) for r in repeats.word_dedup(rows).collect()) in ([(30, 0), (31, 30), (160, 0)], [(30, 30), (31, 0), (160, 0)])
 
 
 def test_op7_lines(docs, texts):
@@ -387,6 +406,10 @@ def test_op7_odd(empty, odd):
     assert repeats.line_dedup(empty).count() == 0
     assert repeats.without_later_lines(empty).columns == empty.columns
     assert repeats.without_later_lines(odd).count() == 7
+    spark = odd.sparkSession
+    body = lambda c: "\n".join(f"{c} line {i}" for i in range(6))
+    rows = spark.createDataFrame([(1, body("a")), (2, body("a") + "\nmore"), (2, body("b"))], "doc_id long, text string")
+    assert sorted((r.n_lines, r.n_removed) for r in repeats.line_dedup(rows).collect()) == [(6, 0), (6, 0), (7, 6)]
 
 
 def test_op8_held_out_accuracy(spark):

@@ -1,18 +1,16 @@
 """The pipeline's stages one after another, each against a plain version of itself on a small table."""
 
-import hashlib
 import random
 import re
 from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
-import xxhash
 from tokenizers import Tokenizer
 
-import corpus_pipeline
+from snapstats.llm import pipeline as corpus_pipeline
 from snapstats.llm import registry
-from snapstats.llm.common import stored
+from snapstats.llm.common import shared_dir, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -48,8 +46,8 @@ def test_stages(spark, corpus):
     good, lines, near, clean, packed = steps
     assert set(good) == set(texts) - {13, 14} and all(good[k].text == texts[k] for k in good)
     assert lines[11].text.split("\n") == [x for i, x in enumerate(texts[11].split("\n")) if not 1 <= i <= 4]
-    assert lines[10].text == "" and lines[3].text == texts[3]
-    assert set(near) == set(lines)  # an emptied copy is no near-duplicate of what it copied
+    assert 10 not in lines and lines[3].text == texts[3]  # of a copy nothing is left
+    assert set(near) == set(lines) == set(good) - {10}
     assert passage in near[12].text and passage not in clean[12].text and clean[12].n_chars == len(clean[12].text)
     assert all(clean[k].text == near[k].text for k in clean if k != 12)
     assert {r.doc_id for r in packed} == set(clean)
@@ -77,11 +75,65 @@ def test_rows_that_share_a_doc_id(spark):
     assert got == sorted(zip(ids, bodies), key=str)
     assert len(corpus_pipeline.near_dedup(spark, docs(bodies[:20] * 2), "").collect()) == 20
     kept = [x.text for x in corpus_pipeline.line_dedup(spark, docs(bodies[:20] * 2), "").collect()]
-    assert sorted(x for x in kept if x) == sorted(bodies[:20]) and kept.count("") == 20
+    assert sorted(kept) == sorted(bodies[:20])
     unlike = docs([f"{line()}\n{bodies[0]}", *bodies[1:4], f"{bodies[0]}\n{line()}"])
     assert sum(bodies[0] in x.text for x in corpus_pipeline.line_dedup(spark, unlike, "").collect()) == 1
 
 
+def test_clashing_columns(spark):
+    r = random.Random(9)
+    body = lambda: "\n".join(" ".join(f"w{r.randrange(10**6)}" for _ in range(14)) for _ in range(9))
+    names = ["drop", "__key", "key", "row", "ROW2", "at", "host", "packed", "sketch", "root", "lines", "__null"]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"`{n}` long" for n in names)
+    some = [body() for _ in range(6)]
+    docs = spark.createDataFrame([(k, t, "s", *range(len(names))) for k, t in zip([None, None, None, 7, 7, 8], some)], schema)
+    spark.createDataFrame([], "item_id long, text string").write.mode("overwrite").parquet(folder := f"{shared_dir(spark)}/clash/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder.rsplit("/", 1)[0])
+        assert out.columns == docs.columns, name
+        assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, docs.collect()), key=str), name
+    assert corpus_pipeline.pack(spark, docs, "").count() == 6
+
+
+def test_empty_tables(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_links_what_is_alike(spark):
+    """Pairs of 300 words with single words replaced: those alike by 0.85 or more are found, those below 0.7 are not."""
+    r = random.Random(5)
+    rows, pairs = [], []
+    for i in range(600):
+        w = [f"w{r.randrange(10**5)}" for _ in range(300)]
+        v = list(w)
+        for at in r.sample(range(300), r.randint(1, 14)):
+            v[at] = f"x{r.randrange(10**5)}"
+        a, b = ({tuple(t[j : j + 5]) for j in range(296)} for t in (w, v))
+        rows += [(2 * i, " ".join(w), "en", "s", 1), (2 * i + 1, " ".join(v), "en", "s", 1)]
+        pairs.append((2 * i + 1, len(a & b) / len(a | b)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    kept = {x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert set(range(0, 1200, 2)) <= kept
+    near, far, edge = ([k for k, x in pairs if f(x)] for f in (lambda x: x >= 0.85, lambda x: x < 0.7, lambda x: 0.8 <= x < 0.85))
+    assert len(near) > 100 and sum(k not in kept for k in near) >= 0.98 * len(near)
+    assert len(edge) > 20 and sum(k not in kept for k in edge) >= 0.9 * len(edge)
+    assert len(far) > 100 and all(k in kept for k in far)
+
+
+def test_near_dedup_from_files_and_rows(spark, tmp_path):
+    """Rows of a file are known by their place there, others by a number; the result is the same."""
+    r = random.Random(6)
+    some = [" ".join(f"w{r.randrange(10**5)}" for _ in range(80)) for _ in range(5)]
+    rows = [(None, some[0]), (None, some[1]), (None, some[2]), (7, some[3]), (7, some[4]), (7, some[4]), (8, some[4] + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.repartition(3).write.parquet(str(tmp_path / "docs"))
+    for table in (docs, spark.read.parquet(str(tmp_path / "docs"))):
+        assert sorted(x.text for x in corpus_pipeline.near_dedup(spark, table, "").collect()) == sorted(some)
+
+
 def test_registry_has_one_query_for_each_operator():
     names = list(registry.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
@@ -99,8 +151,7 @@ def _words(t):
 def _quality(docs):
     """{id: (text, host)} to the kept texts without common lines."""
     lines = {k: [(i, " ".join(_words(x.translate(LOW)))) for i, x in enumerate((t or "").split("\n")) if _words(x)] for k, (t, _) in docs.items()}
-    md5 = lambda x: hashlib.md5(x.encode()).digest()[:8]
-    mark = {k: min((md5(x) for _, x in v), default=None) for k, v in lines.items()}
+    mark = {k: tuple(x for _, x in v) for k, v in lines.items()}
     of_line, of_host = defaultdict(set), defaultdict(set)
     for k, v in lines.items():
         for _, x in v:
@@ -129,20 +180,22 @@ def _line_dedup(texts):
             if g in seen:
                 gone |= set(full[i : i + 3])
             seen.add(g)
-        out[k] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+        left = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+        if _words(left):
+            out[k] = left
     return out
 
 
 def _near_dedup(texts):
-    def fingerprint(t):
+    def shingles(t):
         w = _words(t.translate(LOW))
-        h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))] if w else []
-        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
-    prints = {k: fingerprint(t) for k, t in texts.items()}
+    sets = {k: shingles(t) for k, t in texts.items()}
+    alike = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
     groups: list[set] = []
-    for k in sorted(prints):
-        near = [g for g in groups if any((prints[k] ^ prints[o]).bit_count() <= 2 for o in g)]
+    for k in sorted(sets):
+        near = [g for g in groups if any(alike(sets[k], sets[o]) for o in g)]
         groups = [g for g in groups if g not in near] + [{k}.union(*near)]
     return {min(g): texts[min(g)] for g in groups}
 
