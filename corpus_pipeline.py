@@ -1,60 +1,5 @@
-"""A training corpus in five stages; each reads the table that the one before wrote."""
+"""The corpus pipeline, as the driver looks for it: see ``snapstats.llm.pipeline``."""
 
-from __future__ import annotations
+from snapstats.llm.pipeline import ORACLE_SQL, STAGES, decontamination, line_dedup, near_dedup, pack, quality_rules, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from snapstats.llm import decontaminate, packing, quality, repeats, simhash
-from snapstats.llm.common import stored
-
-
-def _sized(docs: DataFrame) -> DataFrame:
-    """n_chars follows the text."""
-    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; boilerplate lines go from the others."""
-    return _sized(quality.keep_quality(docs))
-
-
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines under a three-line window that has occurred before go."""
-    return _sized(repeats.without_later_lines(docs))
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that of the smallest doc_id."""
-    return simhash.keep_one(docs)
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words in passages of the benchmark go."""
-    return _sized(decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes."""
-    return packing.pack_documents(docs)
-
-
-STAGES = [
-    ("quality rules", quality_rules),
-    ("line dedup", line_dedup),
-    ("near dedup", near_dedup),
-    ("decontamination", decontamination),
-    ("packing", pack),
-]
-
-#: No SQL for the tokenizer, nor for the fingerprints.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = stored(docs)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "decontamination", "line_dedup", "near_dedup", "pack", "quality_rules", "run"]
