@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from collections.abc import Mapping
 
 from pyspark.sql import Column
@@ -123,13 +125,24 @@ def points(ours: Column, theirs: Column) -> Column:
     return F.when(ours > theirs, 3).when(ours == theirs, 1).when(ours < theirs, 0).cast("long")
 
 
-#: Letters that lose their mark when text is folded.
-MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿıß", "aaaaaaceeeeiiiinooooouuuuyyis"
+def _plain_letters() -> tuple[str, str]:
+    """Letters of the Latin blocks that decompose into one letter and marks, and that letter: found by rule."""
+    pairs = {}
+    for point in (*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(point)) if not unicodedata.combining(c))
+        if len(plain) == 1 and plain != chr(point):
+            pairs[chr(point)] = plain
+    return "".join(pairs), "".join(pairs.values())
+
+
+MARKED, PLAIN = _plain_letters()
 
 
 def fold(text: Column) -> Column:
-    """Lower case without marks, so that a plain query matches."""
-    return F.translate(F.lower(text), MARKED, PLAIN)
+    """Lower case without marks, so that a plain query matches; the dotted and the dotless i are one letter, and a sharp s is two."""
+    one_i = F.translate(text, "\u0131\u0130I", "iii")
+    lower = F.replace(F.lower(one_i), F.lit("\u00df"), F.lit("ss"))
+    return F.translate(F.regexp_replace(lower, "\\p{M}", ""), MARKED, PLAIN)
 
 
 def contains_folded(text: Column, query: str) -> Column:
@@ -146,14 +159,15 @@ def storage_key(key: Column, name: Column) -> Column:
     return F.concat_ws("-", key.cast("string"), F.regexp_replace(name, "[^A-Za-z0-9_.-]", "_"))
 
 
+#: Both feet are as good from 16 each and within 3; the weaker one does not count up to 7.
+FOOT_GOOD, FOOT_NEAR, FOOT_NONE = 16, 3, 7
+
+
 def foot(left: Column, right: Column) -> Column:
-    both = (left >= 16) & (right >= 16) & (F.abs(left - right) <= 3)
-    return (
-        F.when(both, "Either")
-        .when(left > right, F.when(right <= 7, "Left only").otherwise("Left"))
-        .when(right > left, F.when(left <= 7, "Right only").otherwise("Right"))
-        .otherwise(F.when(left >= 16, "Either").otherwise("Right"))
-    )
+    """The better foot, "only" if the other does not count, or either; the right one where they tie below that."""
+    weaker, side = F.when(left < right, left).otherwise(right), F.when(left > right, "Left").otherwise("Right")
+    either = (weaker >= FOOT_GOOD) & (F.abs(left - right) <= FOOT_NEAR)
+    return F.when(either, "Either").when((left != right) & (weaker <= FOOT_NONE), F.concat(side, F.lit(" only"))).otherwise(side)
 
 
 def parse_ratings(text: Column) -> Column:

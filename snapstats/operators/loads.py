@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from snapstats.operators.models import leaf_paths
 
@@ -17,22 +16,22 @@ def read_bundle(spark: SparkSession, path: str, section: str, fields: str) -> Da
     return raw.select(F.explode(section).alias("key", "__v")).select("key", "__v.*")
 
 
-def read_keyed_files(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """CSV files of one folder; the file's name is the key."""
-    read = spark.read.csv(folder, schema=schema, header=True)
-    return read.select("*", F.regexp_extract(F.col("_metadata.file_name"), r"([^/]+)\.csv$", 1).alias("key"))
+def read_keyed_files(spark: SparkSession, folder: str, schema: str, pattern: str = r"([^/]+)\.csv$") -> DataFrame:
+    """CSV files below a folder; ``pattern`` takes the key out of each file's path, by default its name."""
+    read = spark.read.csv(folder, schema=schema, header=True, recursiveFileLookup=True)
+    return read.select("*", F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).alias("key"))
 
 
-def read_commented(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_commented(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
     """A CSV seed with # comments and blank lines."""
-    read = spark.read.csv(path, schema=schema, header=True, comment="#", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    read = spark.read.csv(path, schema=schema, header=header, comment="#", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     return read.where(F.coalesce(*[F.col(c).cast("string") for c in read.columns]).isNotNull())
 
 
-def labels(spark: SparkSession, root: str, marker: str = "summary.json") -> DataFrame:
-    """Every folder under root with the marker file in it."""
+def labels(spark: SparkSession, root: str, marker: str = "summary.json", pattern: str = r"([^/]+)/[^/]+$") -> DataFrame:
+    """Every folder under root with a file in it that is called as ``marker`` says."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", marker).option("recursiveFileLookup", "true").load(root)
-    return files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("label")).distinct()
+    return files.select(F.regexp_extract("path", pattern, 1).alias("label")).distinct()
 
 
 def replace_slices(df: DataFrame, path: str, by: Sequence[str]) -> None:
@@ -40,18 +39,38 @@ def replace_slices(df: DataFrame, path: str, by: Sequence[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def load_label(tables: dict[str, DataFrame], root: str, by: dict[str, Sequence[str]], staging: str, groups: Sequence[str] | None = None) -> list[str]:
+    """L8 for one label: its tables, or the named ``groups`` of them, each by its own slices (season and phase, and the source where it has one).
+
+    All or nothing: every table is written to ``staging`` first, so a table that fails leaves the store as it was;
+    the slices of the store are then overwritten from there. Returns what was loaded.
+    """
+    wanted = [n for n in tables if groups is None or n in groups]
+    if groups is not None and (unknown := set(groups) - set(tables)):
+        raise ValueError(f"no such tables: {sorted(unknown)}")
+    for name in wanted:
+        tables[name].write.parquet(f"{staging}/{name}")
+    for name in wanted:
+        staged = tables[name].sparkSession.read.schema(tables[name].schema).parquet(f"{staging}/{name}")
+        replace_slices(staged, f"{root}/{name}", by[name])
+    return wanted
+
+
 def archive(current: DataFrame, details: DataFrame, keys: Sequence[str], label: str, path: str) -> None:
     """A label's rows with their details, kept once: the label is a partition that a repeat overwrites."""
     kept = current.join(details, list(keys), "left").withColumn("label", F.lit(label))
     replace_slices(kept, path, ["label"])
 
 
-def slice_key(dates: DataFrame, date: str, season=None, phase=None) -> DataFrame:
-    """Season (the year the campaign ends in) and phase of a snapshot from its newest match; given values win; without matches the first of July."""
-    newest = dates.agg(F.max(date).alias("at"))
+def slice_key(dates: DataFrame, date: str, keys: Sequence[str] = (), season=None, phase=None) -> DataFrame:
+    """For each snapshot (``keys``; all rows are one without) its season, the year the campaign ends in, and phase, from its newest match.
+
+    Given values win; without matches the phase is the first of July.
+    """
+    newest = dates.groupBy(*keys).agg(F.max(date).alias("at"))
     by_date = F.when(F.month("at") >= 8, F.year("at") + 1).otherwise(F.year("at")).cast("long")
     season = F.coalesce(F.lit(season).cast("long"), by_date)
-    return newest.select(season.alias("season"), F.coalesce(F.lit(phase).cast("string"), F.col("at").cast("string"), F.concat(F.lit(season).cast("string"), F.lit("-07-01"))).alias("phase"))
+    return newest.select(*keys, season.alias("season"), F.coalesce(F.lit(phase).cast("string"), F.col("at").cast("string"), F.concat(F.lit(season).cast("string"), F.lit("-07-01"))).alias("phase"))
 
 
 def reconcile(loaded: DataFrame, expected: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -106,11 +125,17 @@ def config_bundle(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def output_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """Files and bytes of each written output (a folder below ``folder``)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(folder)
-    name = F.regexp_extract("path", rf"{folder.rstrip('/').split('/')[-1]}/([^/]+)/", 1)
-    return files.groupBy(name.alias("output")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+    """Files, bytes, rows and snapshots (the distinct season and phase, in order) of each written output, a folder below ``folder``.
 
+    Rows are counted by file, from the reader's metadata, with no column read.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(folder)
+    pattern = rf"{folder.rstrip('/').split('/')[-1]}/([^/]+)/"
+    name = F.regexp_extract("path", pattern, 1)
+    sizes = files.groupBy(name.alias("output")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+    rows = spark.read.schema("season long, phase string").option("recursiveFileLookup", "true").parquet(folder)
+    of = F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).alias("output")
+    counts = rows.groupBy(of, "season", "phase").agg(F.count("*").alias("n"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("season", "phase"))), lambda x: F.concat_ws("/", x["season"].cast("string"), x["phase"])), ",")
+    return sizes.join(counts.groupBy("output").agg(F.sum("n").alias("rows"), listed.alias("snapshots")), "output")
 
-def empty(spark: SparkSession, schema: StructType | str) -> DataFrame:
-    return spark.createDataFrame([], schema)

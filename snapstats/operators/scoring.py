@@ -24,10 +24,10 @@ def weighted_scores(wide: DataFrame, weights: DataFrame, attributes: Sequence[st
 
 
 def weighted_scores_exploded(wide: DataFrame, weights: DataFrame, attributes: Sequence[str], keys: Sequence[str], *, combo: Sequence[str] = ("method", "role"), attribute: str = "attribute", weight: str = "weight", out: str = "rating") -> DataFrame:
-    """The same by unpivot, all combinations and a left join; for weights that are data themselves."""
+    """The same by unpivot, all combinations and a left join; for weights that are data themselves, so nothing is told to be broadcast."""
     long = wide.unpivot(list(keys), list(attributes), attribute, "__value").where(F.col("__value").isNotNull())
-    every = long.crossJoin(F.broadcast(weights.select(*combo).distinct()))
-    joined = every.join(F.broadcast(weights), [*combo, attribute], "left")
+    every = long.crossJoin(weights.select(*combo).distinct())
+    joined = every.join(weights, [*combo, attribute], "left")
     return joined.groupBy(*keys, *combo).agg(F.sum(F.col("__value") * F.coalesce(weight, F.lit(1))).cast("long").alias(out))
 
 
@@ -62,36 +62,93 @@ def standing(df: DataFrame, scopes: dict[str, Sequence[str]], fit: str, level: s
     return df.select("*", *columns).drop(level)
 
 
-def standing_by_counts(df: DataFrame, scope: Sequence[str], fit: str, out: str) -> DataFrame:
-    """W2 for large pools: percentile and rank from a histogram of the distinct scores, so no window holds a pool's rows.
+def histogram_places(df: DataFrame, scope: Sequence[str], value: str) -> DataFrame:
+    """(*scope, __v, __below, __same, __n, __nulls) for each distinct value of a scope: rows below it, rows equal to it, all rows, and those that are null.
 
-    Scores are few (weights and values are small whole numbers), so the histogram is small, and only it is
-    sorted; the rows are joined to it.
+    Nulls come last, so all known values are below them. A task counts its own rows first; what is sorted is
+    the distinct values of a scope, not its rows.
     """
-    counts = df.groupBy(*scope, fit).agg(F.count("*").alias("__same"))
-    w = Window.partitionBy(*scope).orderBy(F.col(fit).asc_nulls_last())
-    below = F.coalesce(F.sum("__same").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("__same").over(Window.partitionBy(*scope))
-    placed = counts.select(*scope, fit, "__same", below.alias("__below"), total.alias("__n"))
-    null = F.when(F.col("__n") > 1, F.round(100 * (F.col("__below") / (F.col("__n") - 1)), 1)).otherwise(0.0)
-    placed = placed.select(*scope, fit, null.alias(f"pctile_{out}"), (F.col("__n") - F.col("__below") - F.col("__same") + 1).alias(f"rank_{out}"), F.col("__n").alias(f"n_{out}"))
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*scope, fit)]
-    return df.alias("a").join(placed.alias("b"), same).select("a.*", f"b.pctile_{out}", f"b.rank_{out}", f"b.n_{out}")
-
-
-def index_within(df: DataFrame, value: str, scope: Sequence[str], out: str, *, mean: float = 100, spread: float = 15) -> DataFrame:
-    """The value standardised within its scope (sample deviation); the mean where there is no spread."""
+    counts = df.groupBy(*scope, F.col(value).alias("__v")).agg(F.count("*").alias("__same"))
     w = Window.partitionBy(*scope)
-    sd = F.stddev_samp(value).over(w)
-    z = mean + spread * (F.col(value) - F.avg(value).over(w)) / F.when(sd > 0, sd)
-    return df.withColumn(out, F.round(F.coalesce(z, F.lit(float(mean))), 1))
+    below = F.coalesce(F.sum("__same").over(w.orderBy(F.col("__v").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    nulls = F.coalesce(F.sum(F.when(F.col("__v").isNull(), F.col("__same"))).over(w), F.lit(0))
+    return counts.select(*scope, "__v", "__same", below.alias("__below"), F.sum("__same").over(w).alias("__n"), nulls.alias("__nulls"))
 
 
-def below_share(value: str, scope: Sequence[str], out: str, *, least: int = 8):
-    """Share of the others in the scope strictly below; null with fewer than ``least`` others."""
-    n = F.count("*").over(Window.partitionBy(*scope)) - 1
-    below = F.rank().over(Window.partitionBy(*scope).orderBy(F.col(value).asc_nulls_last())) - 1
-    return F.when(n >= least, F.round(100 * below / n, 1)).alias(out)
+def with_places(df: DataFrame, scope: Sequence[str], value: str, columns: dict) -> DataFrame:
+    """``df`` with columns made of ``__below``, ``__same``, ``__n`` and ``__nulls`` of its value in its scope.
+
+    The histogram is joined without a hint: adaptive execution broadcasts it once its size is known to be
+    small, and shuffles otherwise.
+    """
+    places = histogram_places(df, scope, value)
+    out = places.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(scope)], F.col("__v"), *[c.alias(n) for n, c in columns.items()])
+    same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(scope)] + [F.col(value).eqNullSafe(F.col("__v"))]
+    on = same[0]
+    for x in same[1:]:
+        on = on & x
+    return df.join(out, on).drop("__v", *[f"__k{i}" for i in range(len(scope))])
+
+
+def share_below(digits: int = 1):
+    """W1 from a histogram: 100 * percent_rank."""
+    return F.when(F.col("__n") > 1, F.round(100 * (F.col("__below") / (F.col("__n") - 1)), digits)).otherwise(0.0)
+
+
+def place_from_top():
+    """The rank of a value from the largest, nulls last."""
+    known = F.col("__n") - F.col("__nulls")
+    return F.when(F.col("__v").isNull(), known + 1).otherwise(known - F.col("__below") - F.col("__same") + 1)
+
+
+def standing_by_counts(df: DataFrame, scopes: dict[str, Sequence[str]], fit: str, level: str | None = None, keep=None) -> DataFrame:
+    """W2 for large pools: ``standing`` from histograms, so no window holds a pool's rows and no pool is sorted.
+
+    ``keep`` stores the input once (a checkpoint into shared storage), as every scope reads it twice.
+    """
+    df = keep(df) if keep else df
+    for name, scope in scopes.items():
+        df = with_places(df, scope, fit, {f"pctile_{name}": share_below(), f"rank_{name}": place_from_top(), f"n_{name}": F.col("__n")})
+        if level:
+            df = with_places(df, scope, level, {f"level_{name}": share_below()})
+    return df.drop(level) if level else df
+
+
+def places_in_pools(targets: DataFrame, pool: DataFrame, at: Sequence[str], group: str, key: str, value: str) -> DataFrame:
+    """For each target row, which names a group: 1 + the group's rows strictly above it, and 1 + the group's other rows.
+
+    Targets join the pool as further rows and one window ranks them all, so no pair of a target and a rival is
+    made. A row of the pool with the target's key is the target itself. ``targets`` and ``pool`` have at, group, key and value.
+    """
+    columns = [*at, group, key, value]
+    both = pool.select(*columns, F.lit(0).alias("__t")).unionByName(targets.select(*columns, F.lit(1).alias("__t")))
+    mine, w = F.count_if(F.col("__t") == 0), Window.partitionBy(*at, group)
+    upto = mine.over(w.orderBy(F.col(value).desc_nulls_last()).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    same = mine.over(Window.partitionBy(*at, group, value))
+    own = mine.over(Window.partitionBy(*at, group, key))
+    placed = both.select("*", (1 + upto - same).alias("rank"), (1 + mine.over(w) - own).alias("n")).where("__t = 1")
+    return placed.drop("__t")
+
+
+def index_within(df: DataFrame, value: str, scope: Sequence[str], out: str, *, mean: float = 100, spread: float = 15, keep=None) -> DataFrame:
+    """The value standardised within its scope (sample deviation); the mean where there is no spread.
+
+    Mean and deviation are partial aggregates, joined back; no window holds a scope's rows.
+    """
+    df = keep(df) if keep else df
+    names = [f"__k{i}" for i in range(len(scope))]
+    stats = df.groupBy(*[F.col(c).alias(k) for c, k in zip(scope, names)]).agg(F.avg(value).alias("__mean"), F.stddev_samp(value).alias("__sd"))
+    on = F.lit(True)
+    for c, k in zip(scope, names):
+        on = on & F.col(c).eqNullSafe(F.col(k))
+    z = mean + spread * (F.col(value) - F.col("__mean")) / F.when(F.col("__sd") > 0, F.col("__sd"))
+    return df.join(stats, on).withColumn(out, F.round(F.coalesce(z, F.lit(float(mean))), 1)).drop("__mean", "__sd", *names)
+
+
+def below_share(least: int = 8):
+    """W5 from a histogram: share of the others in the scope strictly below; null with fewer than ``least`` others."""
+    n = F.col("__n") - 1
+    return F.when(n >= least, F.round(100 * F.col("__below") / n, 1))
 
 
 def rank_percent(rank, n):
@@ -99,14 +156,11 @@ def rank_percent(rank, n):
     return F.when(n >= 2, F.round(F.lit(100.0) * (n - rank) / (n - 1), 1))
 
 
-def average_rank_percent(value: str, scope: Sequence[str], out: str):
-    """The mean rank of ties, as a share of the pool."""
-    w = Window.partitionBy(*scope)
-    low = F.rank().over(w.orderBy(F.col(value).asc_nulls_last()))
-    same = F.count("*").over(Window.partitionBy(*scope, value))
-    return F.round(100 * (low + (same - 1) / F.lit(2.0)) / F.count("*").over(w), 4).alias(out)
+def average_rank_percent():
+    """W7 from a histogram: the mean rank of ties, as a share of the pool."""
+    return F.round(100 * (F.col("__below") + 1 + (F.col("__same") - 1) / F.lit(2.0)) / F.col("__n"), 4)
 
 
-def inclusive_percent(value: str, scope: Sequence[str], out: str):
-    """The share of the reference that is not above."""
-    return F.round(100 * F.cume_dist().over(Window.partitionBy(*scope).orderBy(F.col(value).asc_nulls_last())), 4).alias(out)
+def inclusive_percent():
+    """W8 from a histogram: the share of the reference that is not above."""
+    return F.round(100 * ((F.col("__below") + F.col("__same")) / F.col("__n")), 4)

@@ -120,14 +120,14 @@ def chain_positions(df: DataFrame, row: str, nxt: str, *, rounds: int = 40, keep
     before = df.where(F.col(nxt).isNotNull()).select(F.col(nxt).alias("row"), F.col(row).alias("back"))
     state = df.select(F.col(row).alias("row")).join(before, "row", "left")
     state = state.select("row", F.coalesce("back", "row").alias("head"), F.when(F.col("back").isNull(), 0).otherwise(1).cast("long").alias("position"))
+    state = keep(state) if keep else state
     for _ in range(rounds):
-        state = keep(state) if keep else state
         a, b = state.alias("a"), state.alias("b")
-        state = a.join(b, F.col("a.head") == F.col("b.row")).select("a.row", F.col("b.head").alias("head"), (F.col("a.position") + F.col("b.position")).alias("position"), (F.col("b.position") > 0).alias("moved"))
-        state = keep(state) if keep else state
-        if state.agg(F.bool_or("moved")).head()[0] is not True:
+        further = a.join(b, F.col("a.head") == F.col("b.row")).select("a.row", F.col("b.head").alias("head"), (F.col("a.position") + F.col("b.position")).alias("position"), (F.col("b.position") > 0).alias("moved"))
+        further = keep(further) if keep else further  # the next round and the test whether it is needed both read this
+        state = further.drop("moved")
+        if further.agg(F.bool_or("moved")).head()[0] is not True:
             break
-        state = state.drop("moved")
     return state.select("row", "head", "position")
 
 

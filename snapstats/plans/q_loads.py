@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,16 +9,17 @@ from pyspark.sql import functions as F
 from snapstats.functions import scalars as S
 from snapstats.operators import loads as L
 from snapstats.operators import relational as R
+from snapstats.operators import scoring
 from snapstats.plans import frames as X
 from snapstats.plans.catalog import query
+from snapstats.session import shared_dir
 from snapstats.sources import adapters as A
 
 C = F.col
 
 
 def _folder(spark) -> str:
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    return f"{(given or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
 
 
 @query("l1_bundle_loader", "SELECT CAST(n_nationkey AS VARCHAR) AS key, n_name AS name, CAST(n_regionkey AS BIGINT) AS region FROM nation")
@@ -54,21 +54,20 @@ def l4(spark, d):
 
 @query("l5_key_from_file_name", "SELECT CAST(league AS VARCHAR) AS key, club, count(*) AS n FROM ent GROUP BY ALL")
 def l5(spark, d):
-    """One CSV file per league; the name is the key. Written by Spark's partitioned writer, so read by folder name, too."""
+    """CSV files by league. Spark's writer puts the league in the folder's name, so the key is taken from there."""
     n = A.entities(spark, d).groupBy("league", "club").agg(F.count("*").alias("n"))
     path = _folder(spark)
     n.repartition("league").write.partitionBy("league").option("header", "true").csv(path)
-    read = spark.read.schema("club long, n long").option("header", "true").option("recursiveFileLookup", "true").csv(path)
-    return read.select(F.regexp_extract(C("_metadata.file_path"), "league=([^/]+)/", 1).alias("key"), "club", "n")
+    return L.read_keyed_files(spark, path, "club long, n long", "league=([^/]+)/").select("key", "club", "n")
 
 
 @query("l6_commented_seed", "SELECT n_nationkey AS id, n_name AS name FROM nation")
 def l6(spark, d):
     n = A.table(spark, d, "nation").select(F.concat_ws(",", C("n_nationkey").cast("string"), "n_name").alias("value"))
-    lines = n.union(n.select(F.lit("# a comment").alias("value")).distinct())
+    lines = n.union(n.select(F.explode(F.array(F.lit("# a comment"), F.lit(""), F.lit("  "))).alias("value")).distinct())
     path = _folder(spark)
     lines.write.text(path)
-    return spark.read.csv(path, schema="id int, name string", comment="#").where("id is not null")
+    return L.read_commented(spark, path, "id int, name string", header=False)
 
 
 @query("l8_slice_replace", "SELECT season, phase, league, count(*) AS n, CAST(sum(CASE WHEN season = 1999 THEN tid + 1000 ELSE tid END) AS BIGINT) AS ids FROM ent GROUP BY ALL")
@@ -93,9 +92,7 @@ def l9(spark, d):
 
 @query("l10_slice_key", "SELECT us, CAST(CASE WHEN month(m) >= 8 THEN year(m) + 1 ELSE year(m) END AS BIGINT) AS season, CAST(m AS VARCHAR) AS phase FROM (SELECT us, max(date) AS m FROM res GROUP BY us)")
 def l10(spark, d):
-    newest = X.results(spark, d).groupBy("us").agg(F.max("date").alias("at"))
-    season = F.when(F.month("at") >= 8, F.year("at") + 1).otherwise(F.year("at")).cast("long")
-    return newest.select("us", season.alias("season"), C("at").cast("string").alias("phase"))
+    return L.slice_key(X.results(spark, d), "date", ["us"])
 
 
 @query("l11_label_discovery", "SELECT DISTINCT 'league-' || league AS label FROM ent WHERE league <> 3")
@@ -103,8 +100,7 @@ def l11(spark, d):
     path = _folder(spark)
     e = A.entities(spark, d).where("league <> 3").select(F.concat(F.lit("league-"), C("league")).alias("label"), F.lit("{}").alias("value")).distinct()
     e.write.partitionBy("label").text(path)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.regexp_extract("path", "label=([^/]+)/", 1).alias("label")).distinct()
+    return L.labels(spark, path, "*.txt", "label=([^/]+)/")
 
 
 @query("l12_reconcile", "SELECT season, coalesce(n, 0) AS loaded, coalesce(e, 0) AS expected FROM (SELECT season, count(*) AS n FROM ent GROUP BY 1) FULL JOIN (SELECT CAST(year(o_orderdate) AS BIGINT) AS season, count(*) AS e FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) USING (season) WHERE coalesce(n, 0) <> coalesce(e, 0)")
@@ -142,13 +138,13 @@ def l16(spark, d):
     return R.insert_absent(R.upsert(old, new, ["method"]), o.withColumn("src", F.lit("default")), ["method"])
 
 
-@query("l17_clone_weights", "SELECT o_orderkey % 3 AS g, method || '-copy' AS method, role, attribute, weight FROM wgt, (SELECT DISTINCT o_orderkey % 3 AS o_orderkey FROM orders) WHERE weight > 2 AND method = 'm0'")
+@query("l17_clone_weights", "SELECT season, phase, tid, 'm0-copy' AS method, role, CAST(sum(value * coalesce(weight, 1)) AS BIGINT) AS rating FROM (SELECT * FROM (UNPIVOT (SELECT season, phase, tid, a0, a1, a2, a3, a4, a5, a6, a7 FROM attr) ON a0, a1, a2, a3, a4, a5, a6, a7 INTO NAME attribute VALUE value), (SELECT DISTINCT role FROM wgt WHERE method = 'm0' AND weight > 2)) v LEFT JOIN (SELECT role, attribute, weight FROM wgt WHERE method = 'm0' AND weight > 2) w USING (role, attribute) GROUP BY ALL")
 def l17(spark, d):
-    """A weight-set under another name; the matrix form and back keeps only what differs from the default."""
+    """A weight-set under another name, by way of the matrix form; only what differs from the default is kept. All entities are scored with it."""
     w = A.weights(spark).where("method = 'm0'").withColumn("method", F.concat("method", F.lit("-copy")))
     wide = w.groupBy("method", "role").pivot("attribute", A.ATTRS).agg(F.first("weight"))
     long = wide.unpivot(["method", "role"], A.ATTRS, "attribute", "weight").where("weight > 2")
-    return A.table(spark, d, "orders").select((C("o_orderkey") % 3).alias("g")).distinct().join(F.broadcast(long))
+    return scoring.weighted_scores(A.with_attributes(A.entities(spark, d)), long, A.ATTRS).select("season", "phase", "tid", "method", "role", "rating")
 
 
 @query("l18_schema_evolution", "SELECT season, phase, tid, name, CASE WHEN season >= 1998 THEN club END AS club, CAST(NULL AS BIGINT) AS squad FROM ent")
@@ -159,9 +155,10 @@ def l18(spark, d):
     return L.evolve(old, new, {"season": "long", "phase": "string", "tid": "long", "name": "string", "club": "long", "squad": "long"})
 
 
-@query("l19_positional_json", "SELECT season, '{\"fields\":[\"tid\",\"name\"],\"rows\":[' || string_agg('[\"' || tid || '\",\"' || name || '\"]', ',' ORDER BY tid, phase) || ']}' AS json, count(*) AS n FROM ent WHERE club = 4 GROUP BY season")
+@query("l19_positional_json", "SELECT season, phase, club, '{\"fields\":[\"tid\",\"name\"],\"rows\":[' || string_agg('[\"' || tid || '\",\"' || name || '\"]', ',' ORDER BY tid, name) || ']}' AS json, count(*) AS n FROM ent GROUP BY season, phase, club")
 def l19(spark, d):
-    return L.positional_json(A.entities(spark, d).where("club = 4"), ["season"], ["tid", "name"], ["tid", "phase"])
+    """One document for each squad, so each is bounded by a squad's size."""
+    return L.positional_json(A.entities(spark, d), ["season", "phase", "club"], ["tid", "name"], ["tid", "name"])
 
 
 @query("l20_leak_audit", "SELECT 'nested' AS output, 'rows.[].ability' AS path FROM (SELECT DISTINCT 1 AS x FROM customer) UNION ALL SELECT DISTINCT 'tags', 'm{}.ABILITY' FROM ent WHERE ability IS NOT NULL")
@@ -199,16 +196,34 @@ def l24(spark, d):
     return L.entry_log(log, ["k"], "at", "op")
 
 
-@query("l25_config_bundle")
+@query("l25_config_bundle", "SELECT '{\"nations\":[' || (SELECT string_agg('{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}', ',' ORDER BY n_nationkey) FROM nation) || '],\"regions\":[' || (SELECT string_agg('{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}', ',' ORDER BY r_regionkey) FROM region) || ']}' AS bundle")
 def l25(spark, d):
     n, r = A.table(spark, d, "nation").select("n_nationkey", "n_name"), A.table(spark, d, "region").select("r_regionkey", "r_name")
     return L.config_bundle({"nations": n, "regions": r})
 
 
-@query("l26_output_manifest")
+_LIST = "string_agg(DISTINCT season || '/' || phase, ',' ORDER BY season || '/' || phase)"
+
+
+@query("l26_output_manifest", f"SELECT 'entities' AS output, count(*) AS rows, {_LIST} AS snapshots FROM ent UNION ALL SELECT 'slices', count(*), {_LIST} FROM slices")
 def l26(spark, d):
+    """Files and bytes depend on the writer; the operator has them, the query shows what SQL can tell."""
     path = _folder(spark)
-    e = A.entities(spark, d)
-    e.write.parquet(f"{path}/entities")
+    A.entities(spark, d).write.parquet(f"{path}/entities")
     A.slices(spark, d).write.parquet(f"{path}/slices")
-    return L.output_manifest(spark, path)
+    return L.output_manifest(spark, path).where("files > 0 and bytes > 0").select("output", "rows", "snapshots")
+
+
+@query("l8_group_load", "SELECT season, phase, src, count(*) AS n, CAST(sum(CASE WHEN season = 1999 AND src = 'b' THEN tid + 1000 ELSE tid END) AS BIGINT) AS ids FROM (SELECT season, phase, tid, CASE WHEN ck % 2 = 0 THEN 'a' ELSE 'b' END AS src FROM ent) GROUP BY ALL")
+def l8_groups(spark, d):
+    """Two tables of a label, one of them with a source; then only that one again, for one season and source."""
+    path = _folder(spark)
+    e = A.entities(spark, d).select("season", "phase", "tid", F.when(C("ck") % 2 == 0, "a").otherwise("b").alias("src"))
+    by = {"entities": ["season", "phase", "src"], "slices": ["season", "phase"]}
+    L.load_label({"entities": e, "slices": e.groupBy("season", "phase").agg(F.count("*").alias("n"))}, f"{path}/store", by, f"{path}/first")
+    again = e.where("season = 1999 and src = 'b'").withColumn("tid", C("tid") + 1000)
+    L.load_label({"entities": again, "slices": again.select("season", "phase", C("tid").alias("n"))}, f"{path}/store", by, f"{path}/second", ["entities"])
+    out = spark.read.schema("tid long, season long, phase string, src string").parquet(f"{path}/store/entities")
+    whole = spark.read.schema("n long, season long, phase string").parquet(f"{path}/store/slices")  # untouched by the second load
+    out = out.groupBy("season", "phase", "src").agg(F.count("*").alias("n"), F.sum("tid").alias("ids"))
+    return out.join(whole.select("season", "phase"), ["season", "phase"])

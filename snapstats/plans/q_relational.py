@@ -88,29 +88,20 @@ _RANKED = "SELECT t.season, t.phase, t.tid, t.position, CAST(l.league AS BIGINT)
 @query("j10_targets_by_league", _RANKED)
 def j10(spark, d):
     """Every target against every league: one row for each pair, even without a pool. The league list is five rows."""
+    return _ranked_targets(spark, d)
+
+
+def _ranked_targets(spark, d):
     p = X.primary(spark, d).where("method = 'm0'").select("season", "phase", "tid", "position", "league", "club", "eff")
-    leagues = spark.range(5).select(C("id").alias("lg"))
-    t = p.where("club = 3").crossJoin(F.broadcast(leagues)).alias("t")
-    on = (C("o.season") == C("t.season")) & (C("o.phase") == C("t.phase")) & (C("o.position") == C("t.position")) & (C("o.league") == C("t.lg")) & (C("o.tid") != C("t.tid"))
-    met = t.join(p.alias("o"), on, "left").groupBy("t.season", "t.phase", "t.tid", "t.position", C("t.lg").alias("league"))
-    return met.agg((1 + F.count_if(C("o.eff") > C("t.eff"))).alias("rank"), (1 + F.count("o.tid")).alias("n"))
+    leagues = spark.range(5).select(C("id").alias("league"))
+    t = p.where("club = 3").drop("league").crossJoin(F.broadcast(leagues))
+    return scoring.places_in_pools(t, p, ["season", "phase", "position"], "league", "tid", "eff").drop("eff")
 
 
 @query("g16_rank_by_counting", "SELECT season, phase, tid, position, CAST(league AS BIGINT) AS league, rank, n FROM (" + _RANKED + ") WHERE rank IS NOT NULL")
 def g16(spark, d):
-    """The scalable form: targets join the pool of each league as further rows, and one window ranks them all."""
-    p = X.primary(spark, d).where("method = 'm0'").select("season", "phase", "tid", "position", "league", "club", "eff")
-    t = p.where("club = 3").crossJoin(F.broadcast(spark.range(5).select(C("id").alias("lg"))))
-    pool = p.select("season", "phase", "position", C("league").alias("lg"), "tid", "eff", F.lit(0).alias("target"))
-    both = pool.unionByName(t.select("season", "phase", "position", "lg", "tid", "eff", F.lit(1).alias("target")))
-    # a target that is in the pool itself must not be counted twice
-    w = Window.partitionBy("season", "phase", "position", "lg")
-    up = w.orderBy(F.desc("eff")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    own = F.count_if(C("target") == 0).over(Window.partitionBy("season", "phase", "position", "lg", "tid"))
-    same = F.count_if(C("target") == 0).over(Window.partitionBy("season", "phase", "position", "lg", "eff"))
-    at_least = F.count_if(C("target") == 0).over(up)
-    placed = both.select("*", (at_least - same).alias("above"), F.count_if(C("target") == 0).over(w).alias("pool"), own.alias("own")).where("target = 1")
-    return placed.select("season", "phase", "tid", "position", C("lg").alias("league"), (1 + C("above")).alias("rank"), (1 + C("pool") - C("own")).alias("n"))
+    """The same by counting: where a pool is empty, a target is first of one."""
+    return _ranked_targets(spark, d).where(C("rank").isNotNull())
 
 
 @query("j11_scalar_subquery", "SELECT season, phase, tid, (SELECT max(x.league) FROM ent x WHERE x.season = ent.season AND x.phase = ent.phase AND x.club = 7) AS our_league FROM ent")
@@ -243,10 +234,10 @@ def g13(spark, d):
     return R.min_max_index(A.entities(spark, d), "club", "ability", 20, "idx", ["season"])
 
 
-@query("g14_median_of_bests", "SELECT season, league, median(best) AS med, CAST(max(best) AS BIGINT) AS top FROM (SELECT season, league, club, max(rating) AS best FROM score WHERE method = 'm0' AND role = 'r1' GROUP BY ALL) GROUP BY ALL")
+@query("g14_median_of_bests", "SELECT season, league, method, role, median(best) AS med, CAST(max(best) AS BIGINT) AS top FROM (SELECT season, league, club, method, role, max(rating) AS best FROM score GROUP BY ALL) GROUP BY ALL")
 def g14(spark, d):
-    best = X.scores(spark, d).where("method = 'm0' and role = 'r1'").groupBy("season", "league", "club").agg(F.max("rating").alias("best"))
-    return best.groupBy("season", "league").agg(F.median("best").alias("med"), F.max("best").alias("top"))
+    best = X.scores(spark, d).groupBy("season", "league", "club", "method", "role").agg(F.max("rating").alias("best"))
+    return best.groupBy("season", "league", "method", "role").agg(F.median("best").alias("med"), F.max("best").alias("top"))
 
 
 @query("g15_best_position_rating", "SELECT season, phase, tid, role, max(eff) AS best FROM eff WHERE familiarity >= 8 AND method = 'm1' GROUP BY ALL")
@@ -270,11 +261,13 @@ def g19(spark, d):
     return A.entities(spark, d).groupBy("season", "league", "club").agg(F.count("*").alias("n"))
 
 
-@query("g20_index_with_zero", "SELECT n_nationkey AS club, n_name AS name, count(DISTINCT tid) AS n FROM nation LEFT JOIN (SELECT * FROM ent WHERE season = 1999 AND ability > 190) e ON e.club = n_nationkey GROUP BY 1, 2")
+@query("g20_index_with_zero", "SELECT n_nationkey AS club, n_name AS name, s.season, count(DISTINCT tid) AS n FROM nation CROSS JOIN (SELECT DISTINCT season FROM slices) s LEFT JOIN (SELECT * FROM ent WHERE ability > 190) e ON e.club = n_nationkey AND e.season = s.season GROUP BY ALL")
 def g20(spark, d):
-    e = A.entities(spark, d).where("season = 1999 and ability > 190").groupBy("club").agg(F.countDistinct("tid").alias("n"))
-    n = A.table(spark, d, "nation").select(C("n_nationkey").alias("club"), C("n_name").alias("name"))
-    return n.join(e, "club", "left").select("club", "name", F.coalesce("n", F.lit(0)).alias("n"))
+    """Every club in every season with the number of its best players, 0 included; clubs times seasons are a few rows."""
+    e = A.entities(spark, d).where("ability > 190").groupBy("club", "season").agg(F.countDistinct("tid").alias("n"))
+    n = A.table(spark, d, "nation").select(C("n_nationkey").cast("long").alias("club"), C("n_name").alias("name"))
+    every = n.crossJoin(A.slices(spark, d).select("season").distinct())
+    return every.join(e, ["club", "season"], "left").fillna(0, ["n"])
 
 
 @query("g21_snapshot_history", "SELECT season, phase, is_staff, count(*) AS n FROM ent GROUP BY ALL")
@@ -346,11 +339,12 @@ def g29(spark, d):
     return A.entities(spark, d).groupBy("season", "phase", "club").agg(F.sum(C("ability") * 100).alias("bill"), F.round(F.avg(S.season_age(C("season"), C("dob"))), 3).alias("mean_age"), F.round(F.lit(100.0) * F.count_if(C("ability") > 100) / F.nullif(F.count("ability").cast("double"), F.lit(0.0)), 1).alias("share"))
 
 
-@query("g30_pivot", "SELECT club, " + ", ".join(f"max(ability) FILTER (season = {y}) AS s{y}" for y in range(1995, 2002)) + " FROM ent GROUP BY club")
+@query("g30_pivot", "SELECT club, string_agg(season || '=' || coalesce(CAST(top AS VARCHAR), '-'), ' ' ORDER BY season) AS tops FROM (SELECT club, season, max(ability) AS top FROM ent GROUP BY 1, 2) GROUP BY club")
 def g30(spark, d):
-    """The years are given, so no job runs to find them."""
-    p = A.entities(spark, d).groupBy("club").pivot("season", list(range(1995, 2002))).agg(F.max("ability"))
-    return p.select("club", *[C(f"`{y}`").alias(f"s{y}") for y in range(1995, 2002)])
+    """A row for each club, its seasons as one map in order: whatever seasons there are, and no job to find them first."""
+    top = A.entities(spark, d).groupBy("club", "season").agg(F.max("ability").alias("top"))
+    cells = F.array_sort(F.collect_list(F.struct("season", "top")))
+    return top.groupBy("club").agg(F.array_join(F.transform(cells, lambda x: F.concat_ws("=", x["season"].cast("string"), F.coalesce(x["top"].cast("string"), F.lit("-")))), " ").alias("tops"))
 
 
 @query("g31_differentials", "SELECT us, stat, round(avg(v), 4) AS mean FROM (SELECT us, 'goals' AS stat, gf - ga AS v FROM res UNION ALL SELECT us, 'crowd', CASE WHEN venue = 'H' AND anchor % 9 <> 0 THEN crowd END FROM res) WHERE v IS NOT NULL GROUP BY ALL")
@@ -359,10 +353,12 @@ def g31(spark, d):
     return r.unpivot(["us"], ["goals", "crowd"], "stat", "v").groupBy("us", "stat").agg(F.round(F.avg("v"), 4).alias("mean"))
 
 
-@query("g32_reference_with_counts", "SELECT n_nationkey AS id, n_name AS name, count(anchor) AS n FROM nation LEFT JOIN (SELECT * FROM fix WHERE season = 1998 AND comp = '1-URGENT') f ON f.home = n_nationkey GROUP BY 1, 2")
+@query("g32_reference_with_counts", "SELECT n_nationkey AS id, n_name AS name, season, comp, count(anchor) AS n FROM nation CROSS JOIN (SELECT DISTINCT season, comp FROM fix WHERE comp IS NOT NULL) s LEFT JOIN fix f ON f.home = n_nationkey AND f.season = s.season AND f.comp = s.comp GROUP BY ALL".replace("season, comp, count", "s.season, s.comp, count"))
 def g32(spark, d):
-    f = A.fixtures(spark, d).where("season = 1998 and comp = '1-URGENT'").groupBy(C("home").alias("id")).agg(F.count("*").alias("n"))
-    return A.table(spark, d, "nation").select(C("n_nationkey").alias("id"), C("n_name").alias("name")).join(f, "id", "left").fillna(0, ["n"])
+    """Every club under every season and competition, with its home matches; a competition without any has 0. The list of both is a few rows."""
+    f = A.fixtures(spark, d).where("comp is not null").groupBy(C("home").alias("id"), "season", "comp").agg(F.count("*").alias("n"))
+    every = A.table(spark, d, "nation").select(C("n_nationkey").alias("id"), C("n_name").alias("name")).crossJoin(f.select("season", "comp").distinct())
+    return every.join(f, ["id", "season", "comp"], "left").fillna(0, ["n"])
 
 
 @query("g33_slice_summary", "SELECT season, phase, count(*) AS n, count(*) FILTER (is_staff) AS staff, CAST(min(dob) AS VARCHAR) AS oldest, CAST(max(dob) AS VARCHAR) AS youngest, count(*) FILTER (league = 0) AS l0, count(*) FILTER (league = 4) AS l4 FROM ent GROUP BY ALL")

@@ -81,12 +81,16 @@ def r7(spark, d):
     return t.groupBy("season").agg(F.max_by("us", F.struct("points", (C("gf") - C("ga")).alias("gd"), u)).alias("champion"), F.max_by("us", F.struct("gf", u)).alias("attack"), F.max_by("us", F.struct((-C("ga")).alias("g"), u)).alias("defence"), F.max_by("us", F.struct("drawn", u)).alias("draws"))
 
 
-@query("r8_honours_matrix", "SELECT 'champion' AS award, " + ", ".join(f"max(us) FILTER (season = {y}) AS s{y}" for y in range(1995, 2002)) + " FROM (SELECT season, us, row_number() OVER (PARTITION BY season ORDER BY sum(pts) DESC, sum(gf - ga) DESC, us) AS k FROM res GROUP BY season, us) WHERE k = 1 UNION ALL SELECT 'goals', " + ", ".join(f"max(us) FILTER (season = {y})" for y in range(1995, 2002)) + " FROM (SELECT season, us, row_number() OVER (PARTITION BY season ORDER BY sum(gf) DESC, us) AS k FROM res GROUP BY season, us) WHERE k = 1")
+_WON = "SELECT season, us, CAST(sum(pts) AS BIGINT) AS p, CAST(sum(gf) AS BIGINT) AS f, CAST(sum(ga) AS BIGINT) AS a, CAST(sum(gf - ga) AS BIGINT) AS g, count(*) FILTER (result = 'D') AS dr FROM res GROUP BY season, us"
+
+
+@query("r8_honours_matrix", "SELECT award, who, count(*) AS won, string_agg(season, ' ' ORDER BY season) AS seasons FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS award, season, arg_max(us, {o}) AS who FROM ({_WON}) GROUP BY season" for n, o in (("champion", "(p, g, -us)"), ("attack", "(f, -us)"), ("defence", "(-a, -us)"), ("draws", "(dr, -us)"))) + ") GROUP BY award, who")
 def r8(spark, d):
-    won = r7(spark, d).select("season", C("champion").alias("champion"), C("attack").alias("goals"))
-    long = won.unpivot(["season"], ["champion", "goals"], "award", "who")
-    wide = long.groupBy("award").pivot("season", list(range(1995, 2002))).agg(F.max("who"))
-    return wide.select("award", *[C(f"`{y}`").alias(f"s{y}") for y in range(1995, 2002)])
+    """Who won what, how often and when; whatever seasons there are."""
+    names = ["champion", "attack", "defence", "draws"]
+    long = r7(spark, d).unpivot(["season"], names, "award", "who")
+    seasons = F.array_join(F.transform(F.array_sort(F.collect_list("season")), lambda x: x.cast("string")), " ")
+    return long.groupBy("award", "who").agg(F.count("*").alias("won"), seasons.alias("seasons"))
 
 
 _SQUAD = f"SELECT season, phase, tid, club, league, position, {_UNIT} AS unit, eff, idx AS pos_index, pctile FROM (SELECT *, round(coalesce(100 + 15 * (eff - avg(eff) OVER w) / nullif(stddev_samp(eff) OVER w, 0), 100.0), 1) AS idx, round(100 * percent_rank() OVER (PARTITION BY season, phase, position, league ORDER BY eff), 1) AS pctile, row_number() OVER (PARTITION BY season, phase, tid ORDER BY familiarity DESC, position) AS k FROM eff WHERE method = 'm0' WINDOW w AS (PARTITION BY season, phase, position)) WHERE k = 1"
@@ -167,7 +171,8 @@ def r15(spark, d):
     a = A.with_attributes(A.entities(spark, d)).where("ability is not null")
     one = F.coalesce("a1", F.lit(0))
     g = a.groupBy("season", "tid").agg(F.max("dob").alias("dob"), (F.max_by(one + C("ability"), "phase") - F.min_by(one, "phase")).alias("total"))
-    return g.select("season", "tid", S.age_band(S.season_age(C("season"), C("dob"))).alias("band"), "total", scoring.average_rank_percent("total", ["season"], "pct"))
+    g = g.select("season", "tid", S.age_band(S.season_age(C("season"), C("dob"))).alias("band"), "total")
+    return scoring.with_places(g, ["season"], "total", {"pct": scoring.average_rank_percent()})
 
 
 @query("r16_role_benchmarks", "SELECT season, phase, role, median(best) AS med, max(best) AS top FROM (SELECT season, phase, role, club, max(eff) AS best FROM eff WHERE method = 'm0' AND familiarity >= 8 GROUP BY ALL) GROUP BY ALL")
@@ -220,7 +225,7 @@ def r22(spark, d):
     base = A.weights(spark).where("method = 'm0' and role = 'r0'")
     duty = spark.createDataFrame([("m0", "r0", a, w) for a, w in _DUTY.items()], base.schema)
     s = scoring.weighted_scores(A.with_attributes(A.entities(spark, d)), R.upsert(base, duty, ["attribute"]), A.ATTRS, out="fit")
-    return s.select("season", "phase", "tid", "fit", scoring.inclusive_percent("fit", ["season", "phase"], "pct"))
+    return scoring.with_places(s.select("season", "phase", "tid", "fit"), ["season", "phase"], "fit", {"pct": scoring.inclusive_percent()})
 
 
 @query("r23_output_profile", "SELECT season, tid, round(100.0::DOUBLE * g / nullif(max(g) OVER (PARTITION BY season), 0), 2) AS goals, round(100.0::DOUBLE * a / nullif(max(a) OVER (PARTITION BY season), 0), 2) AS assists FROM (SELECT season, tid, sum(goals)::DOUBLE AS g, sum(assists)::DOUBLE AS a FROM cur GROUP BY 1, 2)")

@@ -36,7 +36,7 @@ _over("p4_age_at", A.entities, _ID, lambda: [S.age_at(C("dob"), F.to_date("phase
 _over("p5_season_age", A.entities, _ID, lambda: [S.season_age(C("season"), C("dob")).alias("age")], "ent", "CAST(season - year(dob) AS BIGINT) AS age")
 _over("p6_age_band", A.entities, _ID, lambda: [S.age_band(F.when(C("ck") % 9 != 0, S.season_age(C("season"), C("dob")))).alias("band")], "ent", "CASE WHEN ck % 9 = 0 THEN '?' WHEN season - year(dob) < 21 THEN 'U21' WHEN season - year(dob) <= 24 THEN '21-24' WHEN season - year(dob) <= 28 THEN '25-28' ELSE '29+' END AS band")
 _over("p7_label", A.entities, _ID, lambda: [S.label(F.when(C("ck") % 5 == 0, "").when(C("ck") % 5 != 1, C("name")), C("tid")).alias("label")], "ent", "CASE WHEN ck % 5 IN (0, 1) THEN '#' || tid ELSE name END AS label")
-_over("p8_surname_key", lambda s, d: A.table(s, d, "documents"), ("doc_id",), lambda: [S.surname_key(F.substring_index("text", ".", 1)).alias("k")], r"(SELECT doc_id, regexp_replace(split_part(text, '.', 1), '^ +| +$', '', 'g') AS t, string_split_regex(lower(regexp_replace(split_part(text, '.', 1), '^ +| +$', '', 'g')), '\s+') AS w FROM documents)", "CASE WHEN t = '' THEN chr(1114111) ELSE w[-1] || '|' || array_to_string(w[:-2], ' ') END AS k")
+_over("p8_surname_key", lambda s, d: A.table(s, d, "documents"), ("doc_id",), lambda: [F.md5(S.surname_key(C("text"))).alias("k")], r"(SELECT doc_id, regexp_replace(text, '^ +| +$', '', 'g') AS t, string_split_regex(lower(regexp_replace(text, '^ +| +$', '', 'g')), '\s+') AS w FROM documents)", "md5(CASE WHEN t = '' THEN chr(1114111) ELSE w[-1] || '|' || array_to_string(w[:-2], ' ') END) AS k")
 _over("p9_status", A.entities, _ID, lambda: [S.status(C("ck") % 6 == 0, C("ck") % 4 == 0).alias("status")], "ent", "CASE WHEN ck % 6 = 0 THEN 'loan' WHEN ck % 4 = 0 THEN 'reserve' ELSE 'first' END AS status")
 _over("p10_familiarity", lambda s, d: A.positions(A.entities(s, d)).withColumn("f", C("familiarity") * 2 - 10), (*_ID, "position"), lambda: [S.familiarity_multiplier(C("f")).alias("linear"), S.familiarity_multiplier(C("f"), "tiers").alias("tiers"), S.familiarity_multiplier(C("f"), "proportional").alias("proportional")], "(SELECT *, greatest(1, least(20, familiarity * 2 - 10))::DOUBLE AS f FROM pos)", "0.5::DOUBLE + 0.5::DOUBLE * (f / 20) AS linear, (CASE WHEN f >= 18 THEN 1.0 WHEN f >= 15 THEN 0.95 WHEN f >= 10 THEN 0.85 WHEN f >= 5 THEN 0.7 ELSE 0.5 END)::DOUBLE AS tiers, f / 20 AS proportional")
 _over("p12_person_id", A.entities, _ID, lambda: [S.person_id(C("tid"), F.when(C("ck") % 8 != 0, C("dob"))).alias("person")], "ent", "tid || '-' || CASE WHEN ck % 8 = 0 THEN '?' ELSE CAST(dob AS VARCHAR) END AS person")
@@ -48,10 +48,10 @@ def _fee():
 
 
 _over("p14_fee_and_season", lambda s, d: A.table(s, d, "orders"), ("o_orderkey",), lambda: [S.fee(_fee()).alias("fee"), S.season_from_code(C("o_orderkey") % 60).alias("season")], "orders", "CASE o_orderkey % 5 WHEN 0 THEN 'stay' WHEN 1 THEN 'loan' WHEN 2 THEN 'free' WHEN 3 THEN 'free' ELSE CAST(o_orderkey AS VARCHAR) END AS fee, 1971 + o_orderkey % 60 AS season")
-_over("p16_fold", lambda s, d: A.table(s, d, "documents"), ("doc_id",), lambda: [F.md5(S.fold(C("text"))).alias("folded")], "documents", "md5(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿıß', 'aaaaaaceeeeiiiinooooouuuuyyis')) AS folded")
+_over("p16_fold", lambda s, d: A.table(s, d, "documents"), ("doc_id",), lambda: [F.md5(S.fold(C("text"))).alias("folded")], "documents", "md5(strip_accents(replace(lower(translate(text, 'ıİI', 'iii')), 'ß', 'ss'))) AS folded")
 _over("p18_friendly", lambda s, d: A.fixtures(s, d), ("anchor",), lambda: [S.is_friendly(F.when(C("anchor") % 4 == 0, F.lit("A Friendly Cup")).otherwise(C("comp"))).alias("friendly")], "fix", "coalesce(contains(lower(CASE WHEN anchor % 4 = 0 THEN 'A Friendly Cup' ELSE comp END), 'friend'), false) AS friendly")
 _over("p19_storage_key", A.fixtures, ("anchor",), lambda: [S.storage_key(C("home"), C("comp")).alias("k")], "fix", "concat_ws('-', CAST(home AS VARCHAR), regexp_replace(comp, '[^A-Za-z0-9_.-]', '_', 'g')) AS k")
-_over("p20_foot", A.entities, _ID, lambda: [S.foot(C("ck") % 20 + 1, C("ck") * 3 % 20 + 1).alias("foot")], "(SELECT *, ck % 20 + 1 AS l, ck * 3 % 20 + 1 AS r FROM ent)", "CASE WHEN l >= 16 AND r >= 16 AND abs(l - r) <= 3 THEN 'Either' WHEN l > r THEN CASE WHEN r <= 7 THEN 'Left only' ELSE 'Left' END WHEN r > l THEN CASE WHEN l <= 7 THEN 'Right only' ELSE 'Right' END WHEN l >= 16 THEN 'Either' ELSE 'Right' END AS foot")
+_over("p20_foot", A.entities, _ID, lambda: [S.foot(C("ck") % 20 + 1, C("ck") * 3 % 20 + 1).alias("foot")], "(SELECT *, ck % 20 + 1 AS l, ck * 3 % 20 + 1 AS r FROM ent)", "CASE WHEN least(l, r) >= 16 AND greatest(l, r) - least(l, r) <= 3 THEN 'Either' ELSE CASE WHEN l > r THEN 'Left' ELSE 'Right' END || CASE WHEN l <> r AND least(l, r) <= 7 THEN ' only' ELSE '' END END AS foot")
 _over("p22_day_of_year", lambda s, d: A.table(s, d, "orders"), ("o_orderkey",), lambda: [S.day_of_year(F.year("o_orderdate"), C("o_orderkey") % 366).cast("string").alias("at")], "orders", "CAST(CAST(make_date(year(o_orderdate), 1, 1) + CAST(o_orderkey % 366 AS INTEGER) AS DATE) AS VARCHAR) AS at")
 _over("p23_durations", lambda s, d: A.table(s, d, "lineitem").join(A.table(s, d, "orders"), C("l_orderkey") == C("o_orderkey")).select("l_orderkey", "o_orderkey", S.inclusive_days(F.to_date("o_orderdate"), F.to_date("l_shipdate")).alias("days")).distinct(), ("l_orderkey", "days"), lambda: [S.months_long(C("days")).alias("months")], "(SELECT DISTINCT l_orderkey, datediff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) + 1 AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey)", "CAST(greatest(1, round(days / 30.0)) AS BIGINT) AS months")
 _over("p26_formation_lines", lambda s, d: A.fixtures(s, d).select("anchor", "formation", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(11).cast("long"))).alias("slot")), ("anchor", "slot"), lambda: [F.array_join(S.lines_of(C("formation")).cast("array<string>"), ",").alias("sizes"), S.line_of_slot(C("formation"), C("slot")).alias("line")], "(SELECT anchor, formation, slot, string_split(formation, '-') AS p FROM fix, range(1, 12) r(slot))", "array_to_string(p, ',') AS sizes, CAST(CASE WHEN slot = 1 THEN -1 WHEN slot <= 1 + p[1]::INT THEN 0 WHEN slot <= 1 + p[1]::INT + p[2]::INT THEN 1 WHEN slot <= 1 + p[1]::INT + p[2]::INT + p[3]::INT THEN 2 END AS BIGINT) AS line")

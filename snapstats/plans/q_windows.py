@@ -10,6 +10,7 @@ from snapstats.operators import relational as R
 from snapstats.operators import scoring, sequences
 from snapstats.plans import frames as X
 from snapstats.plans.catalog import query
+from snapstats.session import checkpoint
 from snapstats.sources import adapters as A
 
 C = F.col
@@ -17,8 +18,8 @@ C = F.col
 
 @query("w1_percentile_and_rank", "SELECT season, phase, tid, method, role, round(100 * percent_rank() OVER (PARTITION BY season, phase, method, role ORDER BY rating), 1) AS pctile, rank() OVER (PARTITION BY season, phase, method, role ORDER BY rating DESC) AS rank_overall FROM score")
 def w1(spark, d):
-    scope = ["season", "phase", "method", "role"]
-    return X.scores(spark, d).select("season", "phase", "tid", "method", "role", scoring.percent_rank("rating", scope, "pctile"), scoring.rank_desc("rating", scope, "rank_overall"))
+    s = X.scores(spark, d).select("season", "phase", "tid", "method", "role", "rating")
+    return scoring.with_places(s, ["season", "phase", "method", "role"], "rating", {"pctile": scoring.share_below(), "rank_overall": scoring.place_from_top()}).drop("rating")
 
 
 SCOPES = {"all": ["season", "phase", "method", "position"], "club": ["season", "phase", "method", "position", "club"], "league": ["season", "phase", "method", "position", "league"]}
@@ -33,13 +34,13 @@ _W2 = ", ".join(
 @query("w2_effective_table", f"SELECT season, phase, tid, method, position, eff, {_W2} FROM eff")
 def w2(spark, d):
     e = X.effective(spark, d).select("season", "phase", "tid", "method", "position", "club", "league", "ability", "eff")
-    return scoring.standing(e, SCOPES, "eff", "ability").drop("club", "league")
+    return scoring.standing_by_counts(e, SCOPES, "eff", "ability", keep=checkpoint).drop("club", "league")
 
 
 @query("w2_effective_table_by_counts", "SELECT season, phase, tid, method, position, round(100 * percent_rank() OVER w, 1) AS pctile_all, rank() OVER (PARTITION BY season, phase, method, position ORDER BY eff DESC) AS rank_all, count(*) OVER (PARTITION BY season, phase, method, position) AS n_all FROM eff WINDOW w AS (PARTITION BY season, phase, method, position ORDER BY eff)")
 def w2_counts(spark, d):
     e = X.effective(spark, d).select("season", "phase", "tid", "method", "position", "eff")
-    return scoring.standing_by_counts(e, SCOPES["all"], "eff", "all").drop("eff")
+    return scoring.standing_by_counts(e, {"all": SCOPES["all"]}, "eff").drop("eff")
 
 
 @query("w3_position_index", "SELECT season, phase, tid, method, position, round(coalesce(100 + 15 * (eff - avg(eff) OVER w) / nullif(stddev_samp(eff) OVER w, 0), 100.0), 1) AS pos_index FROM eff WINDOW w AS (PARTITION BY season, phase, method, position)")
@@ -53,10 +54,10 @@ def w4(spark, d):
     return e.select("season", "phase", "tid", "role", "position", scoring.rank_desc("eff", ["season", "phase", "role"], "depth"))
 
 
-@query("w5_strictly_below", "SELECT season, phase, tid, position, CASE WHEN count(*) OVER p - 1 >= 8 THEN round(100 * (rank() OVER (PARTITION BY season, phase, position ORDER BY eff) - 1) / (count(*) OVER p - 1), 1) END AS fit FROM eff WHERE method = 'm0' AND league = 2 WINDOW p AS (PARTITION BY season, phase, position)")
+@query("w5_strictly_below", "SELECT season, phase, tid, method, league, position, CASE WHEN count(*) OVER p - 1 >= 8 THEN round(100 * (rank() OVER (PARTITION BY season, phase, method, league, position ORDER BY eff) - 1) / (count(*) OVER p - 1), 1) END AS fit FROM eff WINDOW p AS (PARTITION BY season, phase, method, league, position)")
 def w5(spark, d):
-    e = X.effective(spark, d).where("method = 'm0' and league = 2")
-    return e.select("season", "phase", "tid", "position", scoring.below_share("eff", ["season", "phase", "position"], "fit"))
+    e = X.effective(spark, d).select("season", "phase", "tid", "method", "league", "position", "eff")
+    return scoring.with_places(e, ["season", "phase", "method", "league", "position"], "eff", {"fit": scoring.below_share()}).drop("eff")
 
 
 @query("w6_rank_percent", "SELECT season, phase, tid, position, CASE WHEN count(*) OVER p >= 2 THEN round(100.0::DOUBLE * (count(*) OVER p - rank() OVER (PARTITION BY season, phase, position, league ORDER BY eff DESC)) / (count(*) OVER p - 1), 1) END AS pct FROM eff WHERE method = 'm0' WINDOW p AS (PARTITION BY season, phase, position, league)")
@@ -68,12 +69,14 @@ def w6(spark, d):
 
 @query("w7_average_rank_percent", "SELECT season, phase, tid, round(100 * (rank() OVER (PARTITION BY season, phase ORDER BY ability NULLS LAST) + (count(*) OVER (PARTITION BY season, phase, ability) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY season, phase), 4) AS pct FROM ent")
 def w7(spark, d):
-    return A.entities(spark, d).select("season", "phase", "tid", scoring.average_rank_percent("ability", ["season", "phase"], "pct"))
+    e = A.entities(spark, d).select("season", "phase", "tid", "ability")
+    return scoring.with_places(e, ["season", "phase"], "ability", {"pct": scoring.average_rank_percent()}).drop("ability")
 
 
 @query("w8_inclusive_percent", "SELECT season, phase, tid, round(100 * cume_dist() OVER (PARTITION BY season, phase ORDER BY ability NULLS LAST), 4) AS pct FROM ent")
 def w8(spark, d):
-    return A.entities(spark, d).select("season", "phase", "tid", scoring.inclusive_percent("ability", ["season", "phase"], "pct"))
+    e = A.entities(spark, d).select("season", "phase", "tid", "ability")
+    return scoring.with_places(e, ["season", "phase"], "ability", {"pct": scoring.inclusive_percent()}).drop("ability")
 
 
 @query("w9_group_rank", "SELECT season, league, n, row_number() OVER (PARTITION BY season ORDER BY n DESC, league) AS place FROM (SELECT season, league, count(*) AS n FROM ent GROUP BY 1, 2)")
@@ -174,11 +177,12 @@ def k7(spark, d):
     return X.participation(spark, d).where("appeared").groupBy("anchor").agg(F.max_by("tid", order).alias("tid"))
 
 
-@query("k8_key_attributes", "SELECT o_custkey % 3 AS g, method, role, attribute, weight FROM wgt, (SELECT DISTINCT o_custkey % 3 AS o_custkey FROM orders) WHERE weight >= 4 AND method = 'm' || (o_custkey % 3)")
+@query("k8_key_attributes", "SELECT season, phase, method, tid, role, keys FROM prim JOIN (SELECT method, role, string_agg(attribute || ' ' || weight, ', ' ORDER BY weight DESC, attribute) AS keys FROM wgt WHERE weight >= 4 GROUP BY method, role) USING (method, role)")
 def k8(spark, d):
-    groups = A.table(spark, d, "orders").select((C("o_custkey") % 3).alias("g")).distinct()
-    heavy = F.broadcast(A.weights(spark).where("weight >= 4"))
-    return groups.join(heavy, C("method") == F.concat(F.lit("m"), C("g"))).select("g", "method", "role", "attribute", "weight").orderBy("g", "role", F.desc("weight"), "attribute")
+    """What counts most in the role of each entity's primary position: the heaviest first, then in their order."""
+    heavy = A.weights(spark).where("weight >= 4").groupBy("method", "role").agg(F.array_sort(F.collect_list(F.struct((-C("weight")).alias("w"), "attribute"))).alias("a"))
+    keys = F.array_join(F.transform("a", lambda x: F.concat_ws(" ", x["attribute"], (-x["w"]).cast("string"))), ", ")
+    return X.primary(spark, d).join(heavy, ["method", "role"]).select("season", "phase", "method", "tid", "role", keys.alias("keys"))
 
 
 def top_values(columns, n, floor, boost=None):
@@ -217,8 +221,10 @@ _HOST = "(SELECT t.season, t.phase, t.tid, o.club, 1 + count(*) FILTER (o.eff >
 def k12(spark, d):
     at = ["season", "phase"]
     p = X.primary(spark, d).where("method = 'm0'").select(*at, "position", "tid", "club", "eff")
-    t, o = p.where("club = 3").select(*at, "position", "tid", C("eff").alias("own")), p.where("club <> 3").select(*at, "position", "club", "eff")
-    hosts = t.join(o, [*at, "position"]).groupBy(*at, "tid", "club").agg((1 + F.count_if(C("eff") > C("own"))).alias("r"), F.count("*").alias("n"))
+    hosts = p.where("club <> 3")
+    # a target is placed at each club that has anyone in its position: clubs are few, their players are not paired with it
+    t = p.where("club = 3").drop("club").join(hosts.select(*at, "position", "club").distinct(), [*at, "position"])
+    hosts = scoring.places_in_pools(t, hosts, [*at, "position"], "club", "tid", "eff").select(*at, "tid", "club", C("rank").alias("r"), (C("n") - 1).alias("n"))
     return hosts.groupBy(*at, "tid").agg(F.count_if((C("r") == 1) & (C("n") >= 3)).alias("firsts"), F.min_by("club", F.struct("r", (-C("n")).alias("n"), "club")).alias("best_host"))
 
 

@@ -24,9 +24,23 @@ def session(master: str = "local[8]", *, app: str = "snapstats", **conf: str) ->
     return builder.getOrCreate()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder that ``spark.checkpoint.dir`` names; a temporary one only where none is named."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only on one machine a new temporary folder is set where none is named; on a cluster that would not be shared.
+    """
+    sc = spark.sparkContext
+    given = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not given:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        given = tempfile.mkdtemp(prefix="spark-")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(given)
+    return given
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

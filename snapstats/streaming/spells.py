@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -24,6 +24,22 @@ def stream_spells(events: DataFrame, keys: Sequence[str], at: str, gap_days: int
     return out.select(*keys, F.to_date("begin").alias("begin"), F.to_date("end").alias("end"), "n_rows")
 
 
-def stream_slices(rows: DataFrame, path: str, by: Sequence[str]) -> DataStreamWriter:
-    """L8 on a stream: each micro-batch replaces the slices it has; repeating a batch changes nothing."""
-    return rows.writeStream.foreachBatch(lambda batch, _: replace_slices(batch, path, by))
+def stream_slices(rows: DataFrame, path: str, by: Sequence[str], load: str) -> DataStreamWriter:
+    """L8 on a stream: the rows of one load replace what earlier loads wrote to the same slices.
+
+    Below its slice a row lies in a folder of its load and of its micro-batch, and a batch overwrites only its
+    own folders. So a batch that is repeated after a failure changes nothing, and a slice that arrives in several
+    batches keeps them all. ``read_slices`` takes the newest load of each slice. Loads are ordered by name.
+    """
+
+    def write(batch: DataFrame, n: int) -> None:
+        replace_slices(batch.withColumns({"load": F.lit(load), "batch": F.lit(n)}), path, [*by, "load", "batch"])
+
+    return rows.writeStream.foreachBatch(write)
+
+
+def read_slices(spark: SparkSession, path: str, by: Sequence[str], schema: str) -> DataFrame:
+    """The rows of each slice's newest load; ``schema`` names all columns but ``load`` and ``batch``."""
+    rows = spark.read.schema(f"{schema}, load string, batch long").parquet(path)
+    newest = rows.select(*by, "load").distinct().groupBy(*by).agg(F.max("load").alias("load"))
+    return rows.join(newest, [*by, "load"]).drop("load", "batch")

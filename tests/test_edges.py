@@ -3,6 +3,7 @@
 import datetime as dt
 import itertools
 import random
+import shutil
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from snapstats.functions import scalars as S
 from snapstats.operators import loads, models, relational, scoring, sequences
 from snapstats.session import checkpoint
+from snapstats.streaming.spells import read_slices, stream_slices, stream_spells
 
 D = dt.date.fromisoformat
 
@@ -67,7 +69,10 @@ def test_weighted_scores_agree(spark):
 
 def test_percentiles(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("a", 3), ("a", None), ("b", 5), (None, 2), (None, 4)], "g string, v long")
-    out = df.select("g", "v", scoring.percent_rank("v", ["g"], "p"), scoring.rank_desc("v", ["g"], "r"), scoring.below_share("v", ["g"], "b"), scoring.average_rank_percent("v", ["g"], "w"), scoring.inclusive_percent("v", ["g"], "i"))
+    out = df.select("g", "v", scoring.percent_rank("v", ["g"], "p"), scoring.rank_desc("v", ["g"], "r"))
+    columns = {"b": scoring.below_share(), "w": scoring.average_rank_percent(), "i": scoring.inclusive_percent(), "p2": scoring.share_below(), "r2": scoring.place_from_top()}
+    out = scoring.with_places(out, ["g"], "v", columns)
+    assert all((r.p, r.r) == (r.p2, r.r2) for r in out.collect())
     got = {(r.g, r.v): (r.p, r.r, r.b, r.w, r.i) for r in out.collect()}
     assert got["a", 1] == (0.0, 2, None, 37.5, 50.0) and got["a", None] == (100.0, 4, None, 100.0, 100.0)
     assert got["b", 5][:2] == (0.0, 1) and got[None, 4][:2] == (100.0, 1)
@@ -78,7 +83,7 @@ def test_percentiles(spark):
 def test_standing_by_counts_is_the_window(spark):
     r = random.Random(4)
     df = spark.createDataFrame([(r.choice(["x", "y", None]), float(r.randint(1, 9))) for _ in range(300)] + [("z", 1.0)], "g string, v double")
-    a = sorted((str(x.g), x.v, x.pctile_s, x.rank_s, x.n_s) for x in scoring.standing_by_counts(df, ["g"], "v", "s").collect())
+    a = sorted((str(x.g), x.v, x.pctile_s, x.rank_s, x.n_s) for x in scoring.standing_by_counts(df, {"s": ["g"]}, "v").collect())
     b = df.select("g", "v", scoring.percent_rank("v", ["g"], "p"), scoring.rank_desc("v", ["g"], "r"), F.count("*").over(__import__("pyspark").sql.Window.partitionBy("g")).alias("n"))
     assert a == sorted((str(x.g), x.v, x.p, x.r, x.n) for x in b.collect())
 
@@ -211,3 +216,70 @@ def test_empty_frames(spark):
     assert sequences.densest_window(none, ["k"], "d", 3, 1).count() == 0
     assert scoring.index_within(none, "v", ["k"], "x").count() == 0
     assert relational.min_max_index(none, "k", "v", 1, "i").count() == 0
+
+
+def _stream(spark, folder, load):
+    """One file for each micro-batch, to the end."""
+    rows = spark.readStream.schema("day string, x long").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    w = stream_slices(rows, f"{folder}/out", ["day"], load).trigger(availableNow=True)
+    w.option("checkpointLocation", f"{folder}/{load}").start().awaitTermination()
+    return {(r.day, r.x) for r in read_slices(spark, f"{folder}/out", ["day"], "day string, x long").collect()}
+
+
+def test_stream_slices_keeps_all_batches(spark, tmp_path):
+    """A day that arrives in two files loses nothing; a repeated batch changes nothing; a newer load replaces its days only."""
+    first, second = [("mon", i) for i in range(5)], [("mon", i) for i in range(5, 8)] + [("tue", 9)]
+    for part in (first, second):
+        spark.createDataFrame(part, "day string, x long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    assert _stream(spark, tmp_path, "a") == {*first, *second}
+    shutil.rmtree(f"{tmp_path}/a")  # as if the batches were run again
+    assert _stream(spark, tmp_path, "a") == {*first, *second}
+    newer = tmp_path / "newer"
+    spark.createDataFrame([("mon", 100)], "day string, x long").coalesce(1).write.parquet(f"{newer}/in")
+    shutil.copytree(f"{tmp_path}/out", f"{newer}/out")
+    assert _stream(spark, newer, "b") == {("mon", 100), ("tue", 9)}
+
+
+def test_stream_spells_drop_late_rows(spark, tmp_path):
+    """A spell leaves once the watermark has passed it; a row that comes later than that is left out."""
+    ts = lambda x: dt.datetime.fromisoformat(x)
+    batches = [[(1, ts("2024-01-01")), (1, ts("2024-01-02")), (2, ts("2024-01-01"))], [(1, ts("2024-02-10"))], [(2, ts("2024-01-02")), (1, ts("2024-04-01"))], [(3, ts("2024-06-01"))]]
+    for batch in batches:
+        spark.createDataFrame(batch, "k long, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        rows = spark.readStream.schema("k long, ts timestamp").parquet(f"{tmp_path}/in")
+        w = stream_spells(rows, ["k"], "ts", 1).writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out")
+        w.trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/state").start().awaitTermination()
+    got = {(r.k, str(r.begin), str(r.end), r.n_rows) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {(1, "2024-01-01", "2024-01-02", 2), (2, "2024-01-01", "2024-01-01", 1), (1, "2024-02-10", "2024-02-10", 1), (1, "2024-04-01", "2024-04-01", 1)}
+
+
+def test_load_label_is_all_or_nothing(spark, tmp_path):
+    good = spark.createDataFrame([(1, "a", 5), (2, "a", 6)], "season long, src string, x long")
+    by = {"good": ["season", "src"], "bad": ["season"]}
+    loads.load_label({"good": good}, f"{tmp_path}/store", by, f"{tmp_path}/one")
+    bad = good.select("season", F.raise_error(F.lit("no")).cast("string").alias("x"))
+    with pytest.raises(Exception, match="no"):
+        loads.load_label({"good": good.withColumn("x", F.col("x") * 10), "bad": bad}, f"{tmp_path}/store", by, f"{tmp_path}/two")
+    kept = spark.read.parquet(f"{tmp_path}/store/good")
+    assert sorted(r.x for r in kept.collect()) == [5, 6]
+    with pytest.raises(ValueError):
+        loads.load_label({"good": good}, f"{tmp_path}/store", by, f"{tmp_path}/three", ["other"])
+    assert loads.load_label({"good": good.where("season = 2").withColumn("x", F.lit(7).cast("long")), "bad": bad}, f"{tmp_path}/store", by, f"{tmp_path}/four", ["good"]) == ["good"]
+    assert sorted(r.x for r in spark.read.parquet(f"{tmp_path}/store/good").collect()) == [5, 7]
+
+
+def test_keyed_and_commented_files(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    for name in ("alpha", "beta"):
+        (tmp_path / "t" / f"{name}.csv").write_text("x,y\n1,2\n")
+    assert {tuple(r) for r in loads.read_keyed_files(spark, str(tmp_path / "t"), "x int, y int").collect()} == {(1, 2, "alpha"), (1, 2, "beta")}
+    (tmp_path / "seed.csv").write_text("id, name\n# note\n\n 1, a \n,\n# 2, b\n3,c\n")
+    assert sorted(tuple(r) for r in loads.read_commented(spark, str(tmp_path / "seed.csv"), "id int, name string").collect()) == [(1, "a"), (3, "c")]
+    for label in ("x", "y"):
+        (tmp_path / "l" / label).mkdir(parents=True)
+        (tmp_path / "l" / label / ("summary.json" if label == "x" else "other.json")).write_text("{}")
+    assert [r.label for r in loads.labels(spark, str(tmp_path / "l")).collect()] == ["x"]
+
+
+def test_fold_takes_every_mark(spark):
+    assert one(spark, S.fold(F.col("t")), t="Kırklareli ŞİŞLİ ğ Č ő ẞ e\u0301 Ǎ Straße") == "kirklareli sisli g c o ss e a strasse"
