@@ -1,12 +1,16 @@
 """Secrets in text: three fixed patterns, and literals that source or configuration assigns to sensitive names.
 
-The lexer reads each line that has an assignment: ``name = "x"``, ``name: x``, ``"name": "x"``,
-``name => x``, ``<name>x</name>``, ``export NAME=x``, with several on a line, and concatenations of literals
-and names. It yields (name, parts) pairs; a part is a literal with its place or a reference to a name. A
-name that is bound to literals is a constant, and a later assignment from it passes the literals on, so a
+A lexer cuts the lines that assign something into names, strings of all quote forms (prefixed, triple, raw),
+values without quotes, numbers and operators. A parser over these tokens yields (name, parts) pairs: a part is a
+literal with its place, or a reference to a name. It knows ``name = "x"``, ``name: x``, ``"name": "x"``,
+``name => x``, type annotations, subscripts, several targets (``a, b = "x", "y"``), concatenations with and
+without an operator, formatted strings (their fixed parts), calls that name what they hold
+(``define('NAME', 'x')``, ``getenv("NAME", "x")``), XML elements and attributes, and YAML block scalars.
+
+A name that is bound to literals is a constant, and a later assignment from it passes the literals on, so a
 literal first bound to a harmless name is scored by the sensitive name it reaches. The score of a literal is
 the weight of the name (credential words in its parts) plus points for length, mixed character classes and
-entropy; placeholders and dictionary-like values lose points.
+entropy; placeholders and dictionary-like values lose points. A concatenation is scored as a whole.
 
 Texts are scanned whole, one at a time; nothing is shuffled. Null text: no secrets. Empty text: no
 secrets. Repeated rows each get their own result. Empty table: empty result.
@@ -44,16 +48,31 @@ LEAST_LENGTH = 8
 
 # possessive, and only from a name's first letter: a text without blanks is still read in one go
 _NAME = r"(?<![\w$])[A-Za-z_$][\w$]*+(?:[.\-][A-Za-z_$][\w$]*+)*+"
-_PAIR = re.compile(rf"""(?<![.\-])["']?({_NAME})["']?(?:\[["']?({_NAME})["']?\])?[ \t]*(?::=|=>|=(?!=)|:(?!:))[ \t]*""", re.ASCII)
-# a value without quotes ends at a blank, comma, semicolon, quote or closing bracket, and where the next assignment begins
 _NEXT = rf"""(?!["']?{_NAME}["']?[ \t]*[:=])"""
-_BARE = rf"""(?:\$\{{[^{{}}\s]*+\}}|\{{\{{[^{{}}\n]*+\}}\}}|[&?(\[]{_NEXT}|\{{{_NEXT}|<(?!/)|\+(?!["'`])|[^\s"'`,;&?<>()\[\]{{}}+])++"""
-_PART = re.compile(rf"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|(?![(\[<&]|\{{(?!\{{))({_BARE}))""", re.ASCII)
-_CALL = re.compile(rf"{_NAME}[(\[]", re.ASCII)
+#: Tokens, the first that fits: strings with their prefix, names, numbers, operators; anything else is one character.
+_STRING = re.compile(
+    r"""(?P<prefix>\b[rbufRBUF]{1,2}|@)?(?:\"\"\"(?P<t1>(?:[^"\\]|\\.|"(?!""))*+)\"\"\"|\'\'\'(?P<t2>(?:[^'\\]|\\.|'(?!''))*+)\'\'\'"""
+    r"""|"(?P<q1>(?:[^"\\\n]|\\.)*+)"|'(?P<q2>(?:[^'\\\n]|\\.)*+)'|`(?P<q3>[^`\n]*+)`)""",
+    re.DOTALL,
+)
 _ONE_NAME = re.compile(_NAME, re.ASCII)
+_NUMBER = re.compile(r"[0-9][0-9_]*+(?![\w.])", re.ASCII)
+_OPERATOR = re.compile(r":=|=>|->|[=!<>]=|::|\|\||\.\.|</|/>|.", re.DOTALL)
+_BLANKS = re.compile(r"[ \t]*+")
+# a value without quotes ends at a blank, comma, semicolon, quote or closing bracket, and where the next assignment begins
+_BARE = re.compile(
+    rf"""(?![(\[<&]|\{{(?!\{{))(?:\$\{{[^{{}}\s]*+\}}|\{{\{{[^{{}}\n]*+\}}\}}|[&?(\[]{_NEXT}|\{{{_NEXT}|<(?!/)|\+(?!["'`])|[^\s"'`,;&?<>()\[\]{{}}+])++""", re.ASCII
+)
+_CALL = re.compile(rf"{_NAME}[(\[]", re.ASCII)
 _BETWEEN = re.compile(r"\+|\.\.|\|\|")
-_JOIN = re.compile(r"[ \t]*(?:\+|\.\.|\|\|)[ \t]*(?=[\"'`A-Za-z_$])", re.ASCII)
+_FIELD = re.compile(r"\{([^{}]*)\}")
+_TYPE = re.compile(r"[ \t]*[A-Za-z_][\w.]*(?:[ \t]*[\[<][\w.,|?\[\]<> \t]*[\]>])?[?!]?(?:[ \t]*\|[ \t]*[A-Za-z_][\w.]*)*[ \t]*(?==(?!=))", re.ASCII)
+_BLOCK = re.compile(r"[ \t]*[|>][+-]?[0-9]?[+-]?[ \t]*\n")
 _TAG = re.compile(rf"<({_NAME})>([^<>\s]+)</\1>", re.ASCII)
+#: Attributes that name what an element holds, and those that hold it.
+_NAMED_BY, _HELD_BY = {"key", "name", "id", "property"}, {"value", "content", "default", "val"}
+#: What any line has that assigns something.
+_MAY_ASSIGN = re.compile(r"""=|:|</|\(\s*["']""")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", re.ASCII)
 
 
@@ -73,31 +92,228 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
-def _assigns(text: str, at: int) -> bool:
-    """Whether the next assignment begins here, as in "a: b: c"; the = that pads base64 begins none."""
-    m = None if text[at : at + 1] in ("'", '"') else _PAIR.match(text, at)
-    return bool(m) and m.end() < len(text) and text[m.end()] not in "\r\n,;)]}"
-
-
-def pairs(text: str) -> Iterator[Pair]:
-    """The name-literal pairs of a text, in order."""
-    found = [(m.start(), Pair(m[1], [(m.start(2), m.end(2), m[2])])) for m in _TAG.finditer(text)]
-    at = 0
-    while m := _PAIR.search(text, at):
-        pair = Pair(m[1] + (f".{m[2]}" if m[2] else ""))
-        at = m.end()
-        while part := None if _assigns(text, at) else _PART.match(text, at):
-            kind = part.lastindex
-            (pair.literals if kind <= 3 else pair.bare).append((part.start(kind), part.end(kind), part[kind]))
-            at = part.end()
-            if not (more := _JOIN.match(text, at)):
+def _string_parts(m: re.Match) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+    """The literals of a string token, and the names in the fields of a formatted one."""
+    kind = next(k for k in ("t1", "t2", "q1", "q2", "q3") if m[k] is not None)
+    begin, value = m.start(kind), m[kind]
+    if "f" not in (m["prefix"] or "").lower() or "{" not in value:
+        return [(begin, begin + len(value), value)], []
+    literals, names, at = [], [], 0
+    for x in _FIELD.finditer(value):
+        if at < x.start():
+            literals.append((begin + at, begin + x.start(), value[at : x.start()]))
+        names.append((begin + x.start(1), begin + x.end(1), x[1]))
+        at = x.end()
+    if at < len(value):
+        literals.append((begin + at, begin + len(value), value[at:]))
+    return literals, names
+
+
+class _Parser:
+    """Assignments over the tokens of a text, from one line that may have some to the next."""
+
+    def __init__(self, text: str):
+        self.text, self.n, self.found = text, len(text), []
+        self.held: list[tuple[int, int, str]] = []
+
+    def blanks(self, at: int) -> int:
+        return _BLANKS.match(self.text, at).end()
+
+    def add(self, name: str, literals: list, bare: list, at: int) -> None:
+        if literals or bare:
+            self.found.append((at, Pair(name, list(literals), list(bare))))
+
+    def name_at(self, at: int) -> tuple[str, int] | None:
+        """A name, or a string that is one, with what is subscripted to it: the name and where it ends."""
+        text = self.text
+        if m := _ONE_NAME.match(text, at):
+            name, at = m[0], m.end()
+        elif text[at : at + 1] in "\"'" and (m := _STRING.match(text, at)) and (body := m["q1"] or m["q2"]) and _ONE_NAME.fullmatch(body):
+            name, at = body, m.end()
+        else:
+            return None
+        while text[at : at + 1] == "[":
+            m = _STRING.match(text, at + 1) or _ONE_NAME.match(text, at + 1)
+            if not m or text[m.end() : m.end() + 1] != "]":
                 break
-            at = more.end()
-        if pair.literals or pair.bare:
-            found.append((m.start(), pair))
-        at = max(at, m.end())
-    found.sort(key=lambda x: x[0])
-    yield from (p for _, p in found)
+            name, at = f"{name}.{m[0].strip(chr(34) + chr(39))}", m.end() + 1
+        return name, at
+
+    def assigns(self, at: int) -> bool:
+        """Whether the next assignment begins here, as in "a: b: c"; the = that pads base64 begins none."""
+        if self.text[at : at + 1] in ("'", '"'):
+            return False
+        named = self.name_at(at)
+        end = named and self.operator(self.blanks(named[1]))
+        return bool(end) and end < self.n and self.text[end] not in "\r\n,;)]}"
+
+    def operator(self, at: int) -> int | None:
+        """Where an assigning operator ends, with the blanks behind it."""
+        op = _OPERATOR.match(self.text, at)
+        return self.blanks(op.end()) if op and op[0] in ("=", ":", ":=", "=>") else None
+
+    def value(self, at: int, argument: bool = False) -> tuple[list, list, int]:
+        """(literals, values without quotes, end) of one value: parts that are concatenated. A call in an argument is left to be read on its own."""
+        text, literals, bare = self.text, [], []
+        while at < self.n and not self.assigns(at):
+            if m := _STRING.match(text, at):
+                own, names = _string_parts(m)
+                literals += own
+                bare += names
+            elif (m := _ONE_NAME.match(text, at)) and text[m.end() : m.end() + 1] == "(":
+                if argument:
+                    break
+                end = self.call(m[0], at, m.end())
+                bare.append((at, m.end() + 1, m[0] + "("))
+                if own := [x for x in self.held if x[0] > at]:
+                    literals += own
+                at = end
+                break
+            elif m := _BARE.match(text, at):
+                bare.append((at, m.end(), m[0]))
+            else:
+                break
+            at = m.end()
+            after = self.blanks(at)
+            op = _OPERATOR.match(text, after)
+            if op and op[0] in ("+", "..", "||"):
+                after = self.blanks(op.end())
+                if text[after : after + 1] in "\"'`" or _ONE_NAME.match(text, after):
+                    at = after
+                    continue
+            elif literals and _STRING.match(text, after):  # strings beside each other are one
+                at = after
+                continue
+            break
+        return literals, bare, at
+
+    def call(self, name: str, at: int, bracket: int) -> int:
+        """A call whose first argument names what the second holds; ``held`` has that. Returns where to read on."""
+        self.held, first = [], self.blanks(bracket + 1)
+        if not (m := _STRING.match(self.text, first)) or not (key := m["q1"] or m["q2"]) or not _ONE_NAME.fullmatch(key):
+            return bracket + 1
+        comma = self.blanks(m.end())
+        if self.text[comma : comma + 1] != ",":
+            return m.end()
+        literals, bare, end = self.value(self.blanks(comma + 1), argument=True)
+        self.held = literals
+        self.add(key, literals, bare if not literals else [], at)
+        return end
+
+    def block(self, name: str, at: int, end: int) -> int:
+        """The lines of a YAML block scalar: those that are indented deeper than the line that begins it."""
+        text = self.text
+        line = text.rfind("\n", 0, at) + 1
+        indent, literals = self.blanks(line) - line, []
+        while end < self.n:
+            stop = text.find("\n", end)
+            stop = self.n if stop < 0 else stop
+            begin = self.blanks(end)
+            if begin < stop and begin - end <= indent:
+                break
+            if (body := text[begin:stop].rstrip()) :
+                literals.append((begin, begin + len(body), body))
+            end = stop + 1
+        self.add(name, literals, [], at)
+        return min(end, self.n)
+
+    def element(self, at: int) -> int:
+        """The attributes of an XML element: each is an assignment, and one may name what another holds."""
+        end, named, held = at, None, []
+        while m := _ONE_NAME.match(self.text, self.blanks(end)):
+            begin, after = m.start(), self.blanks(m.end())
+            if self.text[after : after + 1] != "=" or not (x := _STRING.match(self.text, self.blanks(after + 1))):
+                break
+            literals, _ = _string_parts(x)
+            self.add(m[0], literals, [], begin)
+            if m[0].lower() in _NAMED_BY:
+                named = literals[0][2]
+            elif m[0].lower() in _HELD_BY:
+                held = literals
+            end = x.end()
+        if named and held:
+            self.add(named, held, [], at)
+        return end
+
+    def targets(self, at: int) -> int:
+        """An assignment that begins with the name at ``at``; returns where to read on."""
+        text, names, end = self.text, [], at
+        while named := self.name_at(end):
+            names.append(named[0])
+            end = self.blanks(named[1])
+            if text[end : end + 1] != ",":
+                break
+            end = self.blanks(end + 1)
+        if not names:
+            return at + 1
+        first_end = self.name_at(at)[1]
+        if len(names) == 1 and text[end : end + 1] == "(" and end == first_end:
+            return max(self.call(names[0], at, end), end + 1)
+        begin = self.operator(end) if named else None
+        if begin is None:
+            return first_end
+        if text[end] == ":":
+            if m := _BLOCK.match(text, begin):
+                return self.block(names[-1], at, m.end())
+            if (m := _TYPE.match(text, begin)) and not self.assigns_to_type(m):
+                begin = self.operator(m.end())
+        if len(names) == 1:
+            literals, bare, stop = self.value(begin)
+            self.add(names[0], literals, bare, at)
+            return max(stop, begin)
+        values = []
+        while len(values) < len(names):
+            literals, bare, begin = self.value(begin)
+            values.append((literals, bare))
+            begin = self.blanks(begin)
+            if text[begin : begin + 1] != ",":
+                break
+            begin = self.blanks(begin + 1)
+        for name, (literals, bare) in zip(names[-len(values) :], values):  # of fewer values the last is that of the last name
+            self.add(name, literals, bare, at)
+        return begin
+
+    def assigns_to_type(self, m: re.Match) -> bool:
+        """Whether what looks like a type is a sensitive name itself, as in "note: password = x"."""
+        return name_weight(m[0].strip()) > 1
+
+    def pairs(self) -> list[Pair]:
+        text = self.text
+        for m in _TAG.finditer(text):
+            self.found.append((m.start(), Pair(m[1], [(m.start(2), m.end(2), m[2])])))
+        at = 0
+        while m := _MAY_ASSIGN.search(text, at):
+            line = max(at, text.rfind("\n", 0, m.start()) + 1)
+            stop = text.find("\n", m.end())
+            at = self.line(line, self.n if stop < 0 else stop)
+        self.found.sort(key=lambda x: x[0])
+        return [p for _, p in self.found]
+
+    def line(self, at: int, stop: int) -> int:
+        """All assignments from ``at``; one that runs over the line's end takes ``at`` with it."""
+        text = self.text
+        while at < stop:
+            c = text[at]
+            if c == "<" and (m := _ONE_NAME.match(text, at + 1)):
+                at = self.element(m.end())
+            elif c in "\"'" or c == "$" or c == "_" or (c.isascii() and c.isalpha()):
+                before = at
+                if self.name_at(at):
+                    at = self.targets(at)
+                elif (at == 0 or not text[at - 1].isalnum()) and (m := _STRING.match(text, at)):  # not the apostrophe of a word
+                    at = m.end()
+                else:
+                    m = _ONE_NAME.match(text, at)
+                    at = m.end() if m else at + 1
+                at = max(at, before + 1)
+            else:
+                at += 1
+        return at
+
+
+def pairs(text: str) -> list[Pair]:
+    """The name-literal pairs of a text, in order."""
+    return _Parser(text).pairs()
 
 
 def _resolved(pair: Pair, bound: dict[str, int]) -> list[int]:
@@ -128,12 +344,14 @@ def literal_points(value: str) -> int:
     classes = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
     n = len(value)
     entropy = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
+    if value.isdigit():  # a number that is no year, count or round figure
+        return 2 * (n >= 10 and entropy >= 2.3)
     return (n >= 12) + (classes >= 2) + (classes >= 3) + (entropy >= 3) - 2 * (classes == 1)
 
 
 def literal_spans(text: str) -> list[tuple[int, int, str]]:
     """Literals that reach a sensitive name, each once."""
-    if "=" not in text and ":" not in text and "</" not in text:
+    if not _MAY_ASSIGN.search(text):
         return []
     # each assignment is a node; it refers to the nodes its names were bound to when it was read
     nodes: list[tuple[Pair, list[int]]] = []
@@ -155,7 +373,9 @@ def literal_spans(text: str) -> list[tuple[int, int, str]]:
                 seen.add(at)
                 pair, refers = nodes[at]
                 todo += refers
-                out.update(((start, end), None) for start, end, value in pair.literals if weight + literal_points(value) >= LEAST_SCORE)
+                whole = "".join(value for _, _, value in pair.literals)
+                if weight + literal_points(whole) >= LEAST_SCORE:
+                    out.update(((start, end), None) for start, end, value in pair.literals if value)
     return [(start, end, "literal") for start, end in out]
 
 

@@ -340,6 +340,81 @@ def test_op5_values_without_quotes_are_read_to_their_end():
     assert [text[a:b] for a, b, _ in secret_scan.literal_spans(text)] == ["Zx81-QwErTy-42"]
 
 
+SECRET = "Zx81QwErTy42!"
+FORMS = {
+    f'password = """{SECRET}"""': [SECRET],
+    f'<add key="Password" value="{SECRET}"/>': [SECRET],
+    f'<user password="{SECRET}" name="bob">': [SECRET],
+    f"password: |\n  {SECRET}\nother: 1": [SECRET],
+    f'user, password = "adminadmin", "{SECRET}"': [SECRET],
+    f'const password: string = "{SECRET}"': [SECRET],
+    f'password: Optional[str] = "{SECRET}"': [SECRET],
+    f"define('DB_PASSWORD', '{SECRET}');": [SECRET],
+    f'x = os.getenv("PW_SECRET", "{SECRET}")': [SECRET],
+    f'token = f"{SECRET}{{n}}Qq9"': [SECRET, "Qq9"],
+    "password = 8417263548": ["8417263548"],
+    'password = "Zx81" + "QwErTy42!"': ["Zx81", "QwErTy42!"],
+    'password = "Zx81" "QwErTy42!"': ["Zx81", "QwErTy42!"],
+    f"password={SECRET}": [SECRET],
+    f'config["db_password"] = "{SECRET}"': [SECRET],
+    f':password => "{SECRET}"': [SECRET],
+    f'note: password = "{SECRET}"': [SECRET],
+    f'connect(host="h", password="{SECRET}")': [SECRET],
+    f"a = '{SECRET}'\nb = a\nclient_secret = b": [SECRET],
+    f'String password = "{SECRET}";': [SECRET],
+    f'{{"user": "bob", "password": "{SECRET}", "x": 1}}': [SECRET],
+    f"don't forget: password = '{SECRET}', it's new": [SECRET],
+    f'some words, token = "{SECRET}" and more': [SECRET],
+    f'connect(open(get("db_password", "{SECRET}")))': [SECRET],
+    "f('a', " * 5000: [],
+    "secret:\n  - a\n": [],
+    "password = 2024": [],
+    'password = get_password("prompt text 12")': [],
+    "the token (see above): is fine": [],
+    f'colour = "{SECRET}"': [],
+}
+
+
+@pytest.mark.parametrize("text", FORMS)
+def test_op5_forms(text):
+    assert sorted(text[a:b] for a, b, _ in secret_scan.literal_spans(text)) == sorted(FORMS[text])
+
+
+def test_op5_against_a_generated_program():
+    """Lines made from forms with known names and literals, so every span is known; constants are passed on in between."""
+    r = random.Random(12)
+    letters = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    literal = lambda: "".join(r.choice(letters) for _ in range(14)) + "a7Q"
+    forms = ['{n} = "{v}"', "{n}: '{v}'", '"{n}": "{v}",', "export {n}={v}", '{n} := `{v}`', "<{n}>{v}</{n}>", '<set name="{n}" value="{v}"/>', "put('{n}', '{v}')", 'let {n}: string = "{v}";', '{n} = """{v}"""', "if {n} == '{v}':"]
+    for _ in range(40):
+        text, want, harmless = "", set(), []
+        for i in range(60):
+            secret = r.random() < 0.4
+            name, value, form = r.choice(["db_password", "clientSecret", "API_KEY", "auth_token"] if secret else ["colour", "width", "title", "path"]) + f"_{i}", literal(), r.choice(forms)
+            if secret and harmless and r.random() < 0.3:
+                of, span = r.choice(harmless)
+                line = f"{name} = {of}"
+                want.add(span)
+            else:
+                line = form.format(n=name, v=value)
+                at = len(text) + line.index(value)
+                if "==" in form:  # a comparison assigns nothing
+                    pass
+                elif secret:
+                    want.add((at, at + len(value)))
+                else:
+                    harmless.append((name, (at, at + len(value))))
+            text += line + "\n" + r.choice(["", "plain words, and more of them\n", "don't: mind this (at all)\n"])
+        assert {(a, b) for a, b, _ in secret_scan.literal_spans(text)} == want
+
+
+def test_op5_prose_is_left_alone():
+    r = random.Random(13)
+    words = "the of a note: see (above) it's token secret key password, like: so - \"quoted words\" and 3:30 http://x.y/z?a=b".split(" ")
+    text = "\n".join(" ".join(r.choice(words) for _ in range(200)) for _ in range(50))
+    assert secret_scan.literal_spans(text) == []
+
+
 def test_op5_against_brute(docs, texts, spark, empty, odd):
     rows = [(i, (t or "") + "\n" + CODE * (i % 3)) for i, t in texts.items()]
     got = by_id(secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")))
