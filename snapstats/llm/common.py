@@ -18,9 +18,9 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cache
 
@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from snapstats.session import checkpoint, shared_dir
+
 #: Stands for a null key inside an operator; results carry the null again.
 NULL_KEY = -(2**63)
 #: The place of a row: the file and its number there.
@@ -45,34 +47,43 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the cluster names none, as in tests, a new temporary folder is set.
-    """
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not given:
-        given = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(given)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(given)
-    return given
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage; the rows go to the shared folder and survive a lost executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: The tables stored since each ``scratch`` that is open began.
+_open: list[list[str]] = []
 
 
 def stored(df: DataFrame) -> DataFrame:
     """As ``checkpoint``, as a compressed Parquet table: for frames that grow with the corpus."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    for paths in _open:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are stored inside are deleted at its end, but for a result that is passed to what it yields.
+
+    Nothing lazy that reads such a table may be used after that.
+    """
+    paths: list[str] = []
+    _open.append(paths)
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = stored(df)
+        paths.pop()
+        return out
+
+    try:
+        yield keep
+    finally:
+        _open.remove(paths)
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def frame(docs: DataFrame, *more: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key long, text string, *more) of a documents table; a null key becomes NULL_KEY, a null text empty."""
     return docs.select(

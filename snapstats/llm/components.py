@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapstats.llm.common import checkpoint, stored
+from snapstats.llm.common import checkpoint, scratch, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -37,6 +37,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     edges = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     edges, before = checkpoint(edges), None
     while (state := _state(edges)) != before:
-        edges, before = checkpoint(_small_star(_large_star(edges))), state
+        with scratch(edges.sparkSession):
+            edges, before = checkpoint(_small_star(_large_star(edges))), state
     roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

@@ -1,13 +1,16 @@
 """Benchmark passages in training text, found with an FM-index of each training shard.
 
-A shard is what one Arrow batch of documents holds. Its words become symbols: those that occur in the test
+A shard is up to 2 MB of whole documents. Its words become symbols: those that occur in the test
 items keep a number, all others are one separator, which no phrase contains. Runs of test words too short
 for any phrase can't hold one and are left out; the rest is indexed. All phrases of the test set step
 backwards through the shard's wavelet ranks together; their occurrences come from sampled suffix positions,
 and the spans merge per document.
 
-The test set, not the corpus, is what is broadcast: it is split by item into blocks of a bounded number of
-characters, and the documents pass through the blocks one after another within the same task. No shuffle.
+The test set, not the corpus, is what is broadcast, as arrays of numbers: a hash for each distinct word, a
+number for each word of a phrase, and the items of each phrase. It is split by item into blocks of a bounded
+number of characters, so that a block's arrays stay below some 40 MB; the driver and a worker hold one block
+at a time. With one block nothing is shuffled. With more, the documents are scanned once for each, only the
+rows with hits are kept, and those are joined by place.
 
 Null or empty text: no words, no hits. Items without a word never occur; an item that repeats counts once.
 Repeated documents each get their own row. An empty test set leaves everything clean.
@@ -25,44 +28,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
-from snapstats.llm.common import arrow, blocks, few_rows, frame, real_key
+from snapstats.llm.common import AT, FILE, Hasher, arrow, blocks, few_rows, frame, placed, real_key, stored, words_of
 from snapstats.llm.fmindex import FMIndex
 
 WINDOW = 10
 #: Characters of test items in one broadcast.
-AT_ONCE = 8_000_000
+AT_ONCE = 4_000_000
 #: Fixed value: the bytes of a word are digits, letters and all beyond ASCII; A-Z count as a-z.
 WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
+#: Bytes of whole texts in one index.
+SHARD = 2 << 20
 _FOUND = StructType().add("n_words", "long").add("spans", "binary").add("items", ArrayType(StringType()))
 
 
-def words(text: bytes) -> list[bytes]:
-    return text.translate(WORD_BYTES).split()
+_WORDS = np.frombuffer(WORD_BYTES, np.uint8)
+
+
+def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word, and the words before each row."""
+    hasher, data = Hasher(10), _WORDS[data]
+    start, end, cut = words_of(data, at)
+    return hasher.ranges(hasher.sums(hasher.bytes[data]), start, end), cut
 
 
 @dataclass
 class Phrases:
-    """The windows of a block of test items: by length, the symbols of each distinct one and the items that have it."""
+    """The windows of a block of test items: the hashes of their words in order; by length, the symbols of each distinct one and the items that have it.
 
-    symbol: dict[bytes, int]
-    by_length: dict[int, tuple[np.ndarray, list[list[str]]]]
+    A word's symbol is its place among the hashes, from 1. The items of phrase i are ``of[begin[i] : begin[i + 1]]``.
+    """
+
+    known: np.ndarray
+    names: list[str]
+    by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
     @classmethod
     def of(cls, items: list[tuple[str, bytes]], width: int = WINDOW) -> Phrases:
-        symbol: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            own = [symbol.setdefault(w, len(symbol) + 1) for w in words(text)]
-            n = min(width, len(own))
-            for i in range(len(own) - n + 1 if n else 0):
-                found.setdefault(tuple(own[i : i + n]), set()).add(item)
-        by_length = {}
-        for n in sorted({len(p) for p in found}):
-            some = [p for p in found if len(p) == n]
-            by_length[n] = (np.array(some, np.int64), [sorted(found[p]) for p in some])
-        return cls(symbol, by_length)
+        names = sorted({item for item, _ in items})
+        number = {item: i for i, item in enumerate(names)}
+        owner = np.array([number[item] for item, _ in items], np.int64)
+        at = np.concatenate([[0], np.cumsum([len(text) for _, text in items])]).astype(np.int64)
+        hashed, cut = word_hashes(np.frombuffer(b"".join(text for _, text in items), np.uint8), at)
+        known, place = np.unique(hashed, return_inverse=True)
+        symbol, n, by_length = (place + 1).astype(np.int32), np.diff(cut), {}
+        for length in (x for x in np.unique(np.minimum(n, width)).tolist() if x):
+            rows = np.flatnonzero(np.minimum(n, width) == length)
+            each = n[rows] - length + 1
+            start = np.repeat(cut[rows] - np.cumsum(each) + each, each) + np.arange(each.sum())
+            phrases, which = np.unique(symbol[start[:, None] + np.arange(length)], axis=0, return_inverse=True)
+            pairs = np.unique(which.ravel() * len(names) + np.repeat(owner[rows], each))
+            begin = np.searchsorted(pairs // len(names), np.arange(len(phrases) + 1))
+            by_length[length] = (phrases, begin, (pairs % len(names)).astype(np.int32))
+        return cls(known, names, by_length)
+
+    def symbols(self, hashed: np.ndarray) -> np.ndarray:
+        """The symbol of each word, 0 for those that no item has."""
+        if not len(self.known):
+            return np.zeros(len(hashed), np.int32)
+        place = np.minimum(np.searchsorted(self.known, hashed), len(self.known) - 1)
+        return np.where(self.known[place] == hashed, place + 1, 0).astype(np.int32)
 
     @property
     def shortest(self) -> int:
@@ -91,76 +117,98 @@ def _merge(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.stack([start[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]], 1) if len(start) else np.zeros((0, 2), np.int64)
 
 
-def _shard(phrases: Phrases, texts: Iterable[bytes]) -> tuple[list[int], list[np.ndarray], list[set[str]]]:
+def _shard(phrases: Phrases, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[list[str]]]:
     """For each text: its words, the word spans of all occurrences, the items that occur."""
-    get = phrases.symbol.get
-    counts, parts = [], []
-    for text in texts:
-        own = words(text)
-        counts.append(len(own))
-        parts.append(np.fromiter((get(w, 0) for w in own), np.int32, len(own)))
-    cut = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-    symbols = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    spans: list[list[np.ndarray]] = [[] for _ in counts]
-    items: list[set[str]] = [set() for _ in counts]
+    hashed, cut = word_hashes(data, at)
+    symbols, rows = phrases.symbols(hashed), len(at) - 1
+    spans: list[np.ndarray] = [np.zeros((0, 2), np.int64)] * rows
+    items: list[list[str]] = [[]] * rows
     kept = np.flatnonzero(_runs(symbols, cut, phrases.shortest)) if phrases.by_length else np.zeros(0, np.int64)
-    if len(kept):
-        doc = np.searchsorted(cut, kept, "right") - 1
-        gap = np.ones(len(kept), bool)
-        gap[1:] = (np.diff(kept) > 1) | (np.diff(doc) > 0)
-        place = np.arange(len(kept)) + np.cumsum(gap)  # a separator before each run
-        separator = len(phrases.symbol) + 1
-        text = np.full(place[-1] + 1, separator, np.int64)
-        text[place] = symbols[kept]
-        back = np.zeros(len(text), np.int64)
-        back[place] = np.arange(len(kept))
-        index = FMIndex(text, separator)
-        for n, (patterns, of_pattern) in phrases.by_length.items():
-            which, at = index.occurrences(patterns)
-            at = back[at]
-            for w, d, i in zip(which.tolist(), doc[at].tolist(), kept[at].tolist()):
-                items[d].update(of_pattern[w])
-                spans[d].append((i - cut[d], i - cut[d] + n))
-    merged = [_merge(*np.array(s, np.int64).reshape(-1, 2).T) if s else np.zeros((0, 2), np.int64) for s in spans]
-    return counts, merged, items
-
-
-def _search(shared):
+    if not len(kept):
+        return np.diff(cut), spans, items
+    doc = np.searchsorted(cut, kept, "right") - 1
+    gap = np.ones(len(kept), bool)
+    gap[1:] = (np.diff(kept) > 1) | (np.diff(doc) > 0)
+    place = np.arange(len(kept)) + np.cumsum(gap)  # a separator before each run
+    separator = len(phrases.known) + 1
+    text = np.full(place[-1] + 1, separator, np.int64)
+    text[place] = symbols[kept]
+    back = np.zeros(len(text), np.int64)
+    back[place] = np.arange(len(kept))
+    index = FMIndex(text, separator)
+    found: list[tuple[np.ndarray, ...]] = []
+    owners: list[tuple[np.ndarray, np.ndarray]] = []
+    for n, (patterns, begin, of) in phrases.by_length.items():
+        which, at_ = index.occurrences(patterns)
+        at_ = back[at_]
+        start = kept[at_] - cut[doc[at_]]
+        found.append((doc[at_], start, start + n))
+        size = begin[which + 1] - begin[which]
+        owners.append((np.repeat(doc[at_], size), of[np.repeat(begin[which] - np.cumsum(size) + size, size) + np.arange(size.sum())]))
+    of_row, start, end = (np.concatenate(x) for x in zip(*found))
+    own, item = (np.concatenate(x) for x in zip(*owners))
+    pairs = np.unique(own * len(phrases.names) + item)
+    for row in np.unique(of_row).tolist():
+        here = of_row == row
+        spans[row] = _merge(start[here], end[here])
+        some = slice(*np.searchsorted(pairs, [row * len(phrases.names), (row + 1) * len(phrases.names)]))
+        items[row] = [phrases.names[i] for i in (pairs[some] % len(phrases.names)).tolist()]
+    return np.diff(cut), spans, items
+
+
+def _search(shared, hits_only: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = shared.value
-        for batch in batches:
-            def texts(batch=batch):
-                for _, data, at, _, _ in blocks([batch]):
-                    raw = data.tobytes()
-                    yield from (raw[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist()))
-
-            counts, spans, items = _shard(phrases, texts())
-            if "spans" in batch.schema.names:
-                for i, (s, more) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist())):
-                    if s:
-                        every = np.concatenate([spans[i], np.frombuffer(s, np.int64).reshape(-1, 2)])
-                        spans[i] = _merge(every[:, 0], every[:, 1])
-                        items[i].update(more)
-            rest = [x for x in batch.schema.names if x not in ("n_words", "spans", "items")]
-            found = [pa.array(counts, pa.int64()), pa.array([s.tobytes() for s in spans], pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in rest), *found], [*rest, "n_words", "spans", "items"])
+        for batch in few_rows(batches, SHARD):
+            counts, spans, items = _shard(phrases, *next((data, at) for _, data, at, _, _ in blocks([batch], 1 << 62)))
+            found = [pa.array(counts, pa.int64()), pa.array([s.tobytes() for s in spans], pa.binary()), pa.array(items, pa.list_(pa.string()))]
+            rest = [x for x in batch.schema.names if not hits_only or x != "text"]
+            out = pa.RecordBatch.from_arrays([*(batch.column(x) for x in rest), *found], [*rest, "n_words", "spans", "items"])
+            yield out.filter(pa.array([len(s) > 0 for s in spans])) if hits_only else out
 
     return run
 
 
+def _united(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans of all blocks of a row as one list."""
+    for batch in batches:
+        spans = [np.frombuffer(b"".join(s), np.int64).reshape(-1, 2) if s else np.zeros((0, 2), np.int64) for s in batch.column("spans").to_pylist()]
+        at = batch.schema.names.index("spans")
+        yield batch.set_column(at, "spans", pa.array([_merge(s[:, 0], s[:, 1]).tobytes() for s in spans], pa.binary()))
+
+
 def found_phrases(docs: DataFrame, tests: DataFrame, *more, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, at_once: int = AT_ONCE) -> DataFrame:
     """(key, text, *more, n_words, spans, items) of each document; spans are pairs of packed 64-bit word numbers, end exclusive."""
     spark = docs.sparkSession
     tests = tests.select(F.col(item).cast("string").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("item_text"))
     size = tests.agg(F.sum(F.length("item_text") + 1)).head()[0] or 0
     n_blocks = max(1, -(-size // at_once))
-    out = frame(docs, *more, key=key, text=text)
-    schema = StructType([*out.schema.fields, *_FOUND.fields])
-    for block in range(n_blocks):
-        own = tests.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == block).collect()
-        phrases = Phrases.of([(r.item if r.item is not None else "", r.item_text.encode()) for r in own], window)
-        out = arrow(out, _search(spark.sparkContext.broadcast(phrases)), schema)
-    return out
+
+    def block(i: int):
+        own = tests.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == i).collect()
+        return spark.sparkContext.broadcast(Phrases.of([(x.item if x.item is not None else "", x.item_text.encode()) for x in own], window))
+
+    if n_blocks == 1:
+        out = frame(docs, *more, key=key, text=text)
+        return arrow(out, _search(block(0), False), StructType([*out.schema.fields, *_FOUND.fields]))
+    rows = placed(docs)
+    out = frame(rows, FILE, AT, *more, key=key, text=text)
+    narrow, hits = out.select("key", FILE, AT, "text"), None
+    for i in range(n_blocks):
+        shared = block(i)
+        some = stored(arrow(narrow, _search(shared, True), StructType([*narrow.drop("text").schema.fields, *_FOUND.fields])).select(FILE, AT, "spans", "items"))
+        shared.destroy()
+        hits = some if hits is None else hits.unionByName(some)
+    lists = hits.groupBy(FILE, AT).agg(F.collect_list("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    joined = arrow(out, _counted, StructType([*out.schema.fields, _FOUND["n_words"]])).join(lists, [FILE, AT], "left").drop(FILE, AT)
+    joined = joined.withColumns({"spans": F.coalesce("spans", F.array().cast("array<binary>")), "items": F.coalesce("items", F.array().cast("array<string>"))})
+    return arrow(joined, _united, StructType([*joined.drop("spans", "items").schema.fields, _FOUND["spans"], _FOUND["items"]]))
+
+
+def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in few_rows(batches, SHARD):
+        for _, data, at, _, _ in blocks([batch], 1 << 62):
+            yield batch.append_column("n_words", pa.array(np.diff(word_hashes(data, at)[1])))
 
 
 def _summary(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
