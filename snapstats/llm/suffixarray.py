@@ -66,27 +66,27 @@ def _induce(text: np.ndarray, small: np.ndarray, ends: np.ndarray, seeds: np.nda
 
 
 def _induce_each(text: np.ndarray, small: np.ndarray, ends: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """As ``_induce``, one entry after another."""
-    letters, is_small, order = text.tolist(), small.tolist(), [-1] * len(text)
-    back = ends.tolist()
-    for x in seeds[::-1].tolist():
-        c = letters[x]
+    """As ``_induce``, one entry after another. For each suffix the bucket that it puts the one before it in is known before the scan, -1 for none."""
+    n = len(text)
+    order, back = [-1] * n, ends.tolist()
+    for x, c in zip(seeds[::-1].tolist(), text[seeds[::-1]].tolist()):
         back[c] -= 1
         order[back[c]] = x
-    front = [0, *ends[:-1].tolist()]
-    for i in range(len(order)):
-        x = order[i] - 1
-        if x >= 0 and not is_small[x]:
-            c = letters[x]
-            order[front[c]] = x
+    moves = np.full(n + 1, -1, np.int32)  # the last entry is for places that are empty
+    moves[1:n] = np.where(small[:-1], -1, text[:-1])
+    to, front = moves.tolist(), [0, *ends[:-1].tolist()]
+    for x in order:  # what is put lies ahead
+        c = to[x]
+        if c >= 0:
+            order[front[c]] = x - 1
             front[c] += 1
-    back = ends.tolist()
-    for i in range(len(order) - 1, -1, -1):
-        x = order[i] - 1
-        if x >= 0 and is_small[x]:
-            c = letters[x]
-            back[c] -= 1
-            order[back[c]] = x
+    moves[1:n] = np.where(small[:-1], text[:-1], -1)
+    to, back = moves.tolist(), ends.tolist()
+    for x in reversed(order):
+        c = to[x]
+        if c >= 0:
+            back[c] = at = back[c] - 1
+            order[at] = x - 1
     return np.array(order, np.int32)
 
 

@@ -7,10 +7,11 @@ occurrences of its windows and is judged alone.
 
 1. A scan sends, for each piece, the hash of its gram and a hash of its bytes, packed, each pair once per
    batch. Grams that occur once end here: most of a corpus, in which no window can be repeated. Of the others
-   each distinct piece goes on, once if it occurs once and twice if it has copies.
+   one copy of each distinct piece goes on, with the word whether there are more.
 2. Those pieces' bytes go to their shards. A shard's suffix array comes from induced sorting, the common
-   prefixes of neighbours from the permuted form; windows with a neighbour that shares 200 bytes are repeated.
-   A third copy of a piece and further ones are as repeated as the two that were sorted, and inherit that.
+   prefixes of neighbours from the permuted form; windows with a neighbour that shares 200 bytes are repeated,
+   and so are all windows of a piece that has copies, which the array holds once. The other copies, known by
+   128 bits of their bytes, inherit that.
 3. A gram with more than ``CROWD`` distinct pieces (a passage in many contexts) is not sorted in one place:
    its windows are dealt by their own hash, 128 bits, and counted. That is exact, too, and keeps any one
    passage from gathering in one task.
@@ -53,7 +54,6 @@ from snapstats.llm.common import (
     mix,
     numbers,
     placed,
-    ranks,
     received,
     split_runs,
     to_buckets,
@@ -70,7 +70,7 @@ SHARD = 1 << 20
 #: Not a byte of UTF-8: ends a piece.
 STOP = 0xFF
 
-#: What is known of a piece, beside its place: as repeated as two copies that are sorted (WHOLE), to be sorted (SORT), one of too many of its gram (DEAL).
+#: What is known of a piece, beside its place: it has copies (WHOLE), it is to be sorted (SORT), it is one of too many of its gram (DEAL).
 WHOLE, SORT, DEAL = 1, 2, 4
 
 _WORK = "bucket int, kind int, h binary, g binary, k binary, p binary, n binary, body binary"
@@ -115,7 +115,7 @@ class _Pieces:
 
 def _find(n_buckets: int, window: int, gram: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, whole, found = Hasher(3), Hasher(33), Occurrences(n_buckets, copies=2)
+        grams, whole, found = Hasher(3), Hasher(33), Occurrences(n_buckets, all_known=True)
         for keys, data, at, _, _ in blocks(batches):
             x = _Pieces(grams, data, at, window, gram)
             if len(x.begin):
@@ -131,13 +131,11 @@ def _judge(n_buckets: int, crowd: int):
 
     def judged(found: Found) -> tuple[np.ndarray, np.ndarray]:
         found, first = found.sorted()
-        group, nth = np.cumsum(first) - 1, ranks(first)
+        group = np.cumsum(first) - 1
         gram = np.cumsum(split_runs(found.h)) - 1
         kinds = np.bincount(gram[first])[gram]  # distinct pieces of the gram
         copies = np.bincount(group)[group]
-        flags = np.where(nth > 1, WHOLE, SORT)
-        many = kinds > crowd
-        flags[many] = np.where(nth > 0, WHOLE, DEAL | np.where(copies > 1, WHOLE, 0))[many]  # for the other pieces' sake one copy is dealt as well
+        flags = np.where(copies > 1, WHOLE, 0) | np.where(first, np.where(kinds > crowd, DEAL, SORT), 0)
         use = (kinds > 1) | (copies > 1)
         return found.k[use], (found.p * 8 + flags)[use]
 
@@ -188,11 +186,11 @@ def _ship(n_buckets: int, window: int, gram: int):
                 ok[ok] = x.begin[there[ok]] == begin[ok]
                 np.bitwise_or.at(flags, there[ok], codes[ok] & 7)
             key, place, n = keys[x.row], x.place, x.n.astype(np.int32)
-            done = np.flatnonzero(flags & WHOLE)
+            done = np.flatnonzero((flags & WHOLE > 0) & (flags & SORT == 0))  # those that are sorted come out of the array
             yield from _rows(n_buckets, _DONE, mix(key[done].view(np.uint64)), {"k": key[done], "p": place[done], "n": n[done] + (window - 1)})
             sort = np.flatnonzero(flags & SORT)
             body = [data[b : b + m + window - 1].tobytes() for b, m in zip(x.begin[sort].tolist(), x.n[sort].tolist())]
-            yield from _rows(n_buckets, _SORTED, x.hash[sort], {"h": x.hash[sort], "k": key[sort], "p": place[sort], "n": n[sort]}, body)
+            yield from _rows(n_buckets, _SORTED, x.hash[sort], {"h": x.hash[sort], "k": key[sort], "p": place[sort], "n": np.where(flags[sort] & WHOLE, -n[sort], n[sort])}, body)
             deal = np.flatnonzero(flags & DEAL)
             if len(deal):
                 start = np.repeat(x.begin[deal] - np.cumsum(x.n[deal]) + x.n[deal], x.n[deal]) + np.arange(x.n[deal].sum())
@@ -207,21 +205,21 @@ def _ship(n_buckets: int, window: int, gram: int):
     return run
 
 
-def repeated_windows(bodies: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(piece, offset) of each window of the pieces that stands elsewhere in them, too. What runs into the next piece is no window."""
+def repeated_windows(bodies: list[bytes], copied: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, offset) of each window of the pieces that stands elsewhere in them, too, or whose piece has copies. What runs into the next piece is no window."""
     data = np.frombuffer(b"".join(b + b"\xff" for b in bodies), np.uint8)
     before, prefix = permuted_prefixes(data, suffix_array(data, 256))
+    begin = np.cumsum([0] + [len(b) + 1 for b in bodies])
     long = prefix >= window
-    hit = long.copy()
+    hit = long | np.repeat(copied, np.diff(begin))
     hit[before[long]] = True
     at = np.flatnonzero(hit)
-    begin = np.cumsum([0] + [len(b) + 1 for b in bodies])
     piece = np.searchsorted(begin, at, "right") - 1
     inside = at + window < begin[piece + 1]
     return piece[inside], (at - begin[piece])[inside]
 
 
-def _sorted_spans(h: np.ndarray, k: np.ndarray, p: np.ndarray, bodies: list[bytes], window: int, shard: int) -> Iterator[tuple[np.ndarray, ...]]:
+def _sorted_spans(h: np.ndarray, k: np.ndarray, p: np.ndarray, copied: np.ndarray, bodies: list[bytes], window: int, shard: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(key, begin, end) of what is repeated, from one suffix array for several whole grams."""
     order = np.argsort(h, kind="stable")
     begins = np.flatnonzero(split_runs(h[order])).tolist() + [len(order)]
@@ -230,7 +228,7 @@ def _sorted_spans(h: np.ndarray, k: np.ndarray, p: np.ndarray, bodies: list[byte
     for j, following in zip(begins[1:], [*begins[2:], None]):
         if following is None or size[following] - size[first] > shard:
             use = order[first:j]
-            piece, offset = repeated_windows([bodies[x] for x in use], window)
+            piece, offset = repeated_windows([bodies[x] for x in use], copied[use], window)
             piece = use[piece]
             if len(piece):
                 new = np.ones(len(piece), bool)
@@ -257,7 +255,7 @@ def _match(n_buckets: int, window: int, shard: int):
             for kind, n, body in zip(kinds, batch.column("n").to_pylist(), batch.column("body").to_pylist()):
                 if kind == _SORTED:
                     at = 0
-                    for size in (np.frombuffer(n, np.int32) + (window - 1)).tolist():
+                    for size in (np.abs(np.frombuffer(n, np.int32)) + (window - 1)).tolist():
                         bodies.append(body[at : at + size])
                         at += size
         got = {kind: {c: np.frombuffer(b"".join(v), types[c]) for c, v in own.items()} for kind, own in parts.items()}
@@ -265,7 +263,7 @@ def _match(n_buckets: int, window: int, shard: int):
         yield done["k"], done["p"].astype(np.int64), done["p"].astype(np.int64) + done["n"]
         if bodies:
             own = got[_SORTED]
-            yield from _sorted_spans(own["h"], own["k"], own["p"].astype(np.int64), bodies, window, shard)
+            yield from _sorted_spans(own["h"], own["k"], own["p"].astype(np.int64), own["n"] < 0, bodies, window, shard)
         own = got[_DEALT]
         if len(own["h"]):
             found, first = Found(own["h"], own["g"], own["k"], own["p"].astype(np.int64)).sorted()
