@@ -136,16 +136,19 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     return np.cumsum(step - ends)[:n] > 0
 
 
-def _texts(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(place, every column but the text as the struct row, text), and the numbers of the rows in the order of keys.
+def _texts(docs: DataFrame, key: str, text: str, *rest) -> tuple[DataFrame, DataFrame]:
+    """(place, *rest, text), and the numbers of the rows in the order of keys.
 
-    Every later step joins the first by place with all its columns, so that one shuffle of the texts serves all of them.
+    Every later step joins the first by place and reads all its columns, down to the fields of a struct, so that
+    one shuffle of the texts serves all of them.
     """
     rows = placed(docs)
-    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("rest")
-    rest = F.struct(rest, F.col(f"`{text}`").isNull().alias("null")).alias("row")
     ids = numbers(rows.select(FILE, AT, F.col(f"`{key}`").cast("long").alias("by")), F.col("by").asc_nulls_first())
-    return rows.select(FILE, AT, rest, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")), ids
+    return rows.select(FILE, AT, *rest, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")), ids
+
+
+def _id(key: str):
+    return F.col(f"`{key}`").cast("long").alias("id")
 
 
 def _back(found: DataFrame, ids: DataFrame) -> DataFrame:
@@ -184,9 +187,8 @@ def _kept_words(window: int):
 
 def word_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """A row per document: words, words removed, a digest of the words kept."""
-    texts, ids = _texts(docs.select(key, text), key, text)
-    found = texts.join(later_word_windows(texts, ids, window), [FILE, AT], "left")
-    joined = found.select(F.col(f"row.rest.`{key}`").cast("long").alias("id"), "text", "packed")
+    texts, ids = _texts(docs, key, text, _id(key))
+    joined = texts.join(later_word_windows(texts, ids, window), [FILE, AT], "left").select("id", "text", "packed")
     out = arrow(joined, _kept_words(window), "id long, n_words long, n_removed long, kept_sha256 string")
     return out.withColumnRenamed("id", key)
 
@@ -255,16 +257,16 @@ def _kept_lines(width: int, summary: bool):
 
 def line_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = LINES) -> DataFrame:
     """A row per document: non-blank lines, lines removed, a digest of the text that is left."""
-    texts, ids = _texts(docs.select(key, text), key, text)
-    found = texts.join(later_line_windows(texts, ids, width), [FILE, AT], "left")
-    joined = found.select(F.col(f"row.rest.`{key}`").cast("long").alias("id"), "text", "packed")
+    texts, ids = _texts(docs, key, text, _id(key))
+    joined = texts.join(later_line_windows(texts, ids, width), [FILE, AT], "left").select("id", "text", "packed")
     out = arrow(joined, _kept_lines(width, True), "id long, n_lines long, n_removed long, kept_sha256 string")
     return out.withColumnRenamed("id", key)
 
 
 def without_later_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = LINES) -> DataFrame:
     """``docs`` with the removed lines cut out of their texts; all rows and columns stay, and a null text stays null."""
-    texts, ids = _texts(docs, key, text)
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("rest")
+    texts, ids = _texts(docs, key, text, F.struct(rest, F.col(f"`{text}`").isNull().alias("null")).alias("row"))
     joined = texts.join(later_line_windows(texts, ids, width), [FILE, AT], "left").select("row", "text", "packed")
     out = arrow(joined, _kept_lines(width, False), joined.select("row", "text").schema)
     kept = F.when(~F.col("row.null"), F.col("text")).alias(text)
