@@ -26,7 +26,10 @@ CTES = {
     "app": f"""SELECT l_orderkey AS anchor, l_suppkey AS tid, CAST(l_linenumber * 2 AS BIGINT) AS pos_order,
       CAST(CASE WHEN l_linenumber >= 6 AND q % 2 = 0 THEN 70 ELSE 255 END AS BIGINT) AS sub_on,
       CAST(CASE WHEN l_linenumber < 6 AND q % 3 = 0 THEN 60 ELSE 255 END AS BIGINT) AS sub_off, 50 + l_partkey % 50 AS rating, q % 4 AS goals, q % 3 AS assists,
-      q % 11 AS shots, q % 7 AS on_target, l_linenumber % 2 = 1 AS is_home, CAST(year(o_orderdate) AS BIGINT) AS season, {_Q} AS phase,
+      q % 11 AS shots, q % 7 AS on_target,
+      10 + l_partkey % 40 AS pass_a, 10 + l_partkey % 40 - q % 9 AS pass_c, q % 5 AS key_pass, q % 6 AS cross_a, least(q % 6, l_partkey % 4) AS cross_c,
+      l_partkey % 8 AS tack_a, least(l_partkey % 8, q % 5) AS tack_w, q % 9 AS head_a, least(q % 9, l_partkey % 6) AS head_w, (q + l_partkey) % 7 AS dribbles,
+      (q * 3 + l_partkey) % 5 AS intercept, (q + l_partkey) % 3 AS mistakes, CAST((q + l_partkey) % 10 = 0 AS BIGINT) AS yellow, l_linenumber % 2 = 1 AS is_home, CAST(year(o_orderdate) AS BIGINT) AS season, {_Q} AS phase,
       CAST(o_orderdate AS DATE) AS date, o_orderpriority AS comp, l_suppkey % 25 AS club
       FROM (SELECT *, CAST(floor(l_quantity) AS BIGINT) AS q, row_number() OVER (PARTITION BY l_orderkey, l_suppkey
         ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax) AS nth FROM lineitem)

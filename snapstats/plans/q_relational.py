@@ -179,13 +179,6 @@ def g4(spark, d):
     return X.current(spark, d).groupBy("tid").agg(F.count_if("appeared").alias("apps"), F.count_if("started").alias("starts"), F.sum("minutes").alias("minutes"), F.sum("goals").alias("goals"), F.round(F.avg(F.when(C("appeared"), C("rating"))), 3).alias("rating"))
 
 
-@query("g5_match_stats", "SELECT season, tid, count(*) AS games, CAST(sum(shots) AS BIGINT) AS shots, CAST(sum(on_target) AS BIGINT) AS on_target, round(100.0 * sum(on_target) / nullif(sum(shots), 0)::DOUBLE, 3) AS accuracy, round(sum(goals) / count(*), 3) AS per_game, round(90.0 * sum(goals) / nullif(sum(minutes), 0)::DOUBLE, 3) AS per_90 FROM cur WHERE appeared GROUP BY 1, 2")
-def g5(spark, d):
-    sums = {c: F.sum(c) for c in ("shots", "on_target", "goals", "minutes")}
-    a = X.current(spark, d).where("appeared").groupBy("season", "tid").agg(F.count("*").alias("games"), *[v.alias(k) for k, v in sums.items()])
-    return a.select("season", "tid", "games", "shots", "on_target", R.safe_ratio(F.lit(100.0) * C("on_target"), C("shots")).alias("accuracy"), R.safe_ratio(C("goals"), C("games")).alias("per_game"), R.safe_ratio(F.lit(90.0) * C("goals"), C("minutes")).alias("per_90"))
-
-
 _WDL = "count(*) AS played, count(*) FILTER (result = 'W') AS won, count(*) FILTER (result = 'D') AS drawn, count(*) FILTER (result = 'L') AS lost, CAST(sum(gf) AS BIGINT) AS gf, CAST(sum(ga) AS BIGINT) AS ga, CAST(sum(pts) AS BIGINT) AS points, round(sum(pts) / count(*), 3) AS ppg"
 
 

@@ -52,28 +52,6 @@ def r4(spark, d):
     return X.results(spark, d).groupBy("us").agg(F.max(gd).alias("best"), pick(gd.alias("x"), C("gf").alias("y")).alias("best_win"), pick((-gd).alias("x"), C("ga").alias("y")).alias("worst_loss"), pick((C("gf") + C("ga")).alias("x")).alias("most_goals"), pick(C("crowd").alias("x")).alias("biggest_crowd"))
 
 
-_RUN = "(SELECT us, '{n}' AS kind, max(k) AS length FROM (SELECT us, count(*) AS k FROM (SELECT us, {c} AS f, row_number() OVER (PARTITION BY us ORDER BY date, anchor, venue) - row_number() OVER (PARTITION BY us, {c} ORDER BY date, anchor, venue) AS g FROM res) WHERE f GROUP BY us, g) GROUP BY us)"
-
-
-@query("r5_streaks", " UNION ALL ".join("SELECT us, kind, length FROM " + _RUN.format(n=n, c=c) for n, c in (("wins", "(result = 'W')"), ("unbeaten", "(result <> 'L')"), ("scoring", "(gf > 0)"), ("clean", "(ga = 0)"))))
-def r5(spark, d):
-    r = X.results(spark, d)
-    kinds = {"wins": C("result") == "W", "unbeaten": C("result") != "L", "scoring": C("gf") > 0, "clean": C("ga") == 0}
-    long = r.select("us", "date", "anchor", "venue", F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), f.alias("flag")) for n, f in kinds.items()])).alias("k")).select("us", "date", "anchor", "venue", "k.*")
-    best = Q.runs(long, ["us", "kind"], ["date", "anchor", "venue"], "flag")
-    return best.groupBy("us", "kind").agg(F.max("length").alias("length"))
-
-
-@query("r6_awards", "SELECT season, arg_max(tid, (goals, -tid)) FILTER (goals > 0) AS scorer, arg_max(tid, (assists, -tid)) FILTER (assists > 0) AS provider, arg_max(tid, (rating, -tid)) FILTER (apps >= greatest(5, round(0.35 * games))) AS best, arg_max(tid, (rating, -tid)) FILTER (apps >= greatest(3, round(0.2 * games)) AND tid % 4 = 0) AS young, arg_max(tid, (bench, -tid)) FILTER (bench > 0) AS super_sub FROM (SELECT season, tid, CAST(sum(goals) AS BIGINT) AS goals, CAST(sum(assists) AS BIGINT) AS assists, count(*) AS apps, sum(rating) / count(*) AS rating, CAST(sum(CASE WHEN started THEN 0 ELSE goals END) AS BIGINT) AS bench, max(count(*)) OVER (PARTITION BY season) AS games FROM cur WHERE appeared GROUP BY 1, 2) GROUP BY season")
-def r6(spark, d):
-    t = X.current(spark, d).where("appeared").groupBy("season", "tid").agg(F.sum("goals").alias("goals"), F.sum("assists").alias("assists"), F.count("*").alias("apps"), (F.sum("rating") / F.count("*")).alias("rating"), F.sum(F.when(C("started"), 0).otherwise(C("goals"))).alias("bench"))
-    t = t.withColumn("games", F.max("apps").over(Window.partitionBy("season")))
-    pick = lambda ok, v: F.max_by(F.when(ok, C("tid")), F.when(ok, F.struct(C(v).alias("v"), (-C("tid")).alias("t"))))
-    regular = C("apps") >= F.greatest(F.lit(5), F.round(0.35 * C("games")))
-    young = (C("apps") >= F.greatest(F.lit(3), F.round(0.2 * C("games")))) & (C("tid") % 4 == 0)
-    return t.groupBy("season").agg(pick(C("goals") > 0, "goals").alias("scorer"), pick(C("assists") > 0, "assists").alias("provider"), pick(regular, "rating").alias("best"), pick(young, "rating").alias("young"), pick(C("bench") > 0, "bench").alias("super_sub"))
-
-
 @query("r7_team_awards", "SELECT season, arg_max(us, (points, gd, -us)) AS champion, arg_max(us, (gf, -us)) AS attack, arg_min(us, (ga, us)) AS defence, arg_max(us, (drawn, -us)) AS draws FROM (SELECT season, us, CAST(sum(pts) AS BIGINT) AS points, CAST(sum(gf) AS BIGINT) AS gf, CAST(sum(ga) AS BIGINT) AS ga, CAST(sum(gf - ga) AS BIGINT) AS gd, count(*) FILTER (result = 'D') AS drawn FROM res GROUP BY 1, 2) GROUP BY season")
 def r7(spark, d):
     t = R.wdl(["season", "us"], X.results(spark, d))

@@ -100,6 +100,19 @@ def fixtures(spark, d) -> DataFrame:
     )
 
 
+#: The counting statistics of an appearance.
+COUNTS = ["goals", "assists", "shots", "on_target", "pass_a", "pass_c", "key_pass", "cross_a", "cross_c", "tack_a", "tack_w", "head_a", "head_w", "dribbles", "intercept", "mistakes", "yellow"]
+
+
+def _counts(q, k) -> dict:
+    """From the quantity and the part's number; what is won never exceeds what is tried."""
+    return {
+        "pass_a": 10 + k % 40, "pass_c": 10 + k % 40 - q % 9, "key_pass": q % 5, "cross_a": q % 6, "cross_c": F.least(q % 6, k % 4),
+        "tack_a": k % 8, "tack_w": F.least(k % 8, q % 5), "head_a": q % 9, "head_w": F.least(q % 9, k % 6), "dribbles": (q + k) % 7,
+        "intercept": (q * 3 + k) % 5, "mistakes": (q + k) % 3, "yellow": F.when((q + k) % 10 == 0, 1).otherwise(0).cast("long"),
+    }
+
+
 def appearances(spark, d) -> DataFrame:
     """One row for each match and entity: the first by line number."""
     li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
@@ -118,6 +131,7 @@ def appearances(spark, d) -> DataFrame:
         (q % 3).alias("assists"),
         (q % 11).alias("shots"),
         (q % 7).alias("on_target"),
+        *[c.alias(n) for n, c in _counts(q, F.col("l_partkey")).items()],
         (F.col("l_linenumber") % 2 == 1).alias("is_home"),
         F.year("o_orderdate").cast("long").alias("season"),
         _quarter(F.col("o_orderdate")).alias("phase"),
