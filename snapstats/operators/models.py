@@ -35,7 +35,7 @@ def moments(df: DataFrame, keys: Sequence[str], xs: Sequence[str], y: str) -> Da
 
 
 def subset_fits(df: DataFrame, key: str, xs: Sequence[str], y: str, largest: int = 2) -> DataFrame:
-    """M2: a least-squares fit of each subset of ``xs``: coefficients and R².
+    """M2: a least-squares fit of each subset of ``xs``: constant, the coefficient of each of its features, and R².
 
     Rows are read once, for sums; a target's few subsets are then solved from a matrix of sums in a task of
     their own. Singular subsets give no row.
@@ -55,11 +55,27 @@ def subset_fits(df: DataFrame, key: str, xs: Sequence[str], y: str, largest: int
                         continue
                     beta = np.linalg.solve(a, b)
                     rest = m[-1, -1] - 2 * beta @ b + beta @ a @ beta
-                    out.append((row[key], "+".join(names[i] for i in some), size, float(beta[0]), float(beta[1]), float(1 - rest / spread) if spread > 0 else None))
-        return pd.DataFrame(out, columns=[key, "features", "size", "constant", "slope", "r2"])
+                    out.append((row[key], "+".join(names[i] for i in some), size, float(beta[0]), [float(x) for x in beta[1:]], float(1 - rest / spread) if spread > 0 else None))
+        return pd.DataFrame(out, columns=[key, "features", "size", "constant", "slopes", "r2"])
 
     kind = df.schema[key].dataType.simpleString()
-    return moments(df, [key], xs, y).groupBy(key).applyInPandas(solve, f"{key} {kind}, features string, size long, constant double, slope double, r2 double")
+    return moments(df, [key], xs, y).groupBy(key).applyInPandas(solve, f"{key} {kind}, features string, size long, constant double, slopes array<double>, r2 double")
+
+
+def exact_hits(df: DataFrame, fits: DataFrame, key: str, xs: Sequence[str], y: str) -> DataFrame:
+    """M2's second pass: ``fits`` with the rows of their target, and those whose rounded estimate is exact or off by one at most.
+
+    A target's fits are a few dozen whatever its rows are, so each row meets them through a join on the target
+    (the fits in one row, as an array) and the hits are added up before they are shuffled.
+    """
+    held = fits.groupBy(key).agg(F.collect_list(F.struct("features", "constant", F.split("features", "\\+").alias("names"), "slopes")).alias("__fits"))
+    value = F.create_map(*[x for n in xs for x in (F.lit(n), F.col(n).cast("double"))])
+    each = df.where(F.col(y).isNotNull()).join(held, key).select(key, F.col(y).alias("__y"), value.alias("__x"), F.explode("__fits").alias("__f"))
+    terms = F.zip_with("__f.names", "__f.slopes", lambda n, b: F.col("__x")[n] * b)
+    estimate = F.bround(F.aggregate(terms, F.col("__f.constant"), lambda a, x: a + x), 0)
+    off = F.abs(F.col("__y") - estimate)
+    hits = each.groupBy(key, F.col("__f.features").alias("features")).agg(F.count("*").alias("n"), F.count_if(off == 0).alias("exact"), F.count_if(off <= 1).alias("within_1"))
+    return fits.join(hits, [key, "features"], "left")
 
 
 def evaluate(df: DataFrame, actual: str, estimate: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -71,12 +87,14 @@ def evaluate(df: DataFrame, actual: str, estimate: str, keys: Sequence[str] = ()
 
 
 def tag_profile(df: DataFrame, entity: str, tag: str, value: str, samples: int = 10) -> DataFrame:
-    """M5: for each tag: rows, entities, share of entities, distinct values, smallest, largest, and its most frequent values.
+    """M5: for each tag: rows, entities, share of entities, distinct values, smallest, largest, its most frequent values, and how many are null, 0, positive and negative.
 
     Values are counted first, so neither the distinct count nor the samples hold a tag's rows together.
     """
     counts = df.groupBy(tag, value).agg(F.count("*").alias("__n"))
-    stats = counts.groupBy(tag).agg(F.sum("__n").alias("n"), F.count("*").alias("n_distinct"), F.min(value).alias("least"), F.max(value).alias("most"))
+    v, of = F.col(value), lambda ok: F.coalesce(F.sum(F.when(ok, F.col("__n"))), F.lit(0))
+    kinds = {"nulls": v.isNull(), "zeros": v == 0, "positive": v > 0, "negative": v < 0}
+    stats = counts.groupBy(tag).agg(F.sum("__n").alias("n"), F.count("*").alias("n_distinct"), F.min(value).alias("least"), F.max(value).alias("most"), *[of(ok).alias(n) for n, ok in kinds.items()])
     w = Window.partitionBy(tag).orderBy(F.desc("__n"), value)
     top = counts.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= samples)
     top = top.groupBy(tag).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__k", value))), lambda x: x[value].cast("string")), ",").alias("top"))
@@ -92,17 +110,31 @@ def value_hint(least, most, distinct):
         .when((least >= 1) & (most <= 12), "month")
         .when((least >= 1900) & (most <= 2100), "year")
         .when((least >= 0) & (most <= 20), "rating")
+        .when((least >= 0) & (most <= 366) & (distinct > 300), "day of the year")
+        .when((least >= 0) & (most <= 100) & (distinct > 60), "percentage")
         .when((least >= 0) & (most <= 2359) & (distinct > 100), "clock or count")
+        .when((least >= 19000101) & (most <= 21001231), "packed date")
+        .when((least >= 0) & (most > 65535) & (distinct <= 4096), "packed code")
         .when(distinct <= 32, "enum")
         .otherwise("number")
     )
 
 
 def coverage(df: DataFrame, group: str, at: str, kind: str) -> DataFrame:
-    """M8: what lies between a record's place and the next one's, by kind."""
-    w = Window.partitionBy(group).orderBy(at)
-    span = df.withColumn("__span", F.lead(at).over(w) - F.col(at))
-    return span.groupBy(kind).agg(F.count("*").alias("n"), F.sum("__span").alias("covered"), F.max("__span").alias("largest"))
+    """M8: what lies between a record's place and the next one's, by kind; of all together a row with kind null."""
+    span = _spans(df, group, at)
+    of = lambda g: g.agg(F.count("*").alias("n"), F.sum("__span").alias("covered"), F.max("__span").alias("largest"), F.count_if(F.col("__span").isNull()).alias("open"))
+    return of(span.groupBy(kind)).unionByName(of(span.groupBy(F.lit(None).cast("string").alias(kind))))
+
+
+def _spans(df: DataFrame, group: str, at: str) -> DataFrame:
+    return df.withColumn("__span", F.lead(at).over(Window.partitionBy(group).orderBy(at)) - F.col(at))
+
+
+def largest_spans(df: DataFrame, group: str, at: str, kind: str, n: int = 20) -> DataFrame:
+    """M8: the ``n`` longest stretches, which are a report's length; the earlier of equals."""
+    top = _spans(df, group, at).where(F.col("__span").isNotNull()).orderBy(F.desc("__span"), group, at).limit(n)
+    return top.select(group, at, kind, F.col("__span").alias("span"))
 
 
 def best_assignment(score: np.ndarray) -> list[int]:

@@ -32,14 +32,14 @@ _RATES = {"pass_rate": ("pass_c", "pass_a"), "tackle_rate": ("tack_w", "tack_a")
 _EACH = ("goals", "assists", "shots", "key_pass", "dribbles", "intercept")
 
 
-@query("g5_match_stats", f"SELECT *, games - starts AS subs, goals + assists AS involved, tack_w + intercept + head_w AS defended, round(minutes / games, 0) AS minutes_a_game, " + ", ".join(f"round(100.0::DOUBLE * {a} / nullif({b}, 0), 0) AS {n}" for n, (a, b) in _RATES.items()) + ", " + ", ".join(f"round({c} / games, 2) AS {c}_a_game, round(90.0::DOUBLE * {c} / nullif(minutes, 0), 2) AS {c}_a_90" for c in _EACH) + f" FROM (SELECT season, tid, count(*) AS games, count(*) FILTER (started) AS starts, CAST(sum(minutes) AS BIGINT) AS minutes, round(sum(rating) / count(*), 2) AS rating, {_SUMS} FROM cur WHERE appeared GROUP BY 1, 2)")
+@query("g5_match_stats", f"SELECT *, games - starts AS subs, goals + assists AS involved, tack_w + intercept + head_w AS defended, round(minutes / games, 6) AS minutes_a_game, " + ", ".join(f"round(100.0::DOUBLE * {a} / nullif({b}, 0), 0) AS {n}" for n, (a, b) in _RATES.items()) + ", " + ", ".join(f"round({c} / games, 6) AS {c}_a_game, round(90.0::DOUBLE * {c} / nullif(minutes, 0), 6) AS {c}_a_90" for c in _EACH) + f" FROM (SELECT season, tid, count(*) AS games, count(*) FILTER (started) AS starts, CAST(sum(minutes) AS BIGINT) AS minutes, round(sum(rating) / count(*), 6) AS rating, {_SUMS} FROM cur WHERE appeared GROUP BY 1, 2)")
 def g5(spark, d):
     a = X.current(spark, d).where("appeared").groupBy("season", "tid").agg(
-        F.count("*").alias("games"), F.count_if("started").alias("starts"), F.sum("minutes").alias("minutes"), F.round(F.sum("rating") / F.count("*"), 2).alias("rating"), *[F.sum(c).alias(c) for c in A.COUNTS]
+        F.count("*").alias("games"), F.count_if("started").alias("starts"), F.sum("minutes").alias("minutes"), F.round(F.sum("rating") / F.count("*"), 6).alias("rating"), *[F.sum(c).alias(c) for c in A.COUNTS]
     )
     rates = [R.safe_ratio(F.lit(100.0) * C(x), C(y), 0).alias(n) for n, (x, y) in _RATES.items()]
-    each = [e for c in _EACH for e in (R.safe_ratio(C(c), C("games"), 2).alias(f"{c}_a_game"), R.safe_ratio(F.lit(90.0) * C(c), C("minutes"), 2).alias(f"{c}_a_90"))]
-    more = [(C("games") - C("starts")).alias("subs"), (C("goals") + C("assists")).alias("involved"), (C("tack_w") + C("intercept") + C("head_w")).alias("defended"), R.safe_ratio(C("minutes"), C("games"), 0).alias("minutes_a_game")]
+    each = [e for c in _EACH for e in (R.safe_ratio(C(c), C("games"), 6).alias(f"{c}_a_game"), R.safe_ratio(F.lit(90.0) * C(c), C("minutes"), 6).alias(f"{c}_a_90"))]
+    more = [(C("games") - C("starts")).alias("subs"), (C("goals") + C("assists")).alias("involved"), (C("tack_w") + C("intercept") + C("head_w")).alias("defended"), R.safe_ratio(C("minutes"), C("games"), 6).alias("minutes_a_game")]
     return a.select("*", *more, *rates, *each)
 
 
@@ -62,11 +62,11 @@ def r4_players(spark, d):
 _CAREER = ["goals", "assists", "involved", "apps", "minutes", "best_rating", "conversion", "shots", "key_pass", "tack_w", "yellow"]
 
 
-@query("r4_career_records", f"SELECT record, arg_max(tid, (v, -tid)) AS tid, max(v) AS value FROM (UNPIVOT (SELECT tid, goals, assists, goals + assists AS involved, apps::DOUBLE AS apps, minutes, CASE WHEN apps >= {REGULAR} THEN rating END AS best_rating, CASE WHEN shots >= {LEAST_SHOTS} THEN round(100 * goals / shots, 0) END AS conversion, shots, key_pass, tack_w, yellow FROM (SELECT tid, count(*) AS apps, sum(minutes)::DOUBLE AS minutes, round(sum(rating) / count(*), 2) AS rating, " + ", ".join(f"sum({c})::DOUBLE AS {c}" for c in ("goals", "assists", "shots", "key_pass", "tack_w", "yellow")) + f" FROM cur WHERE appeared GROUP BY tid)) ON {', '.join(_CAREER)} INTO NAME record VALUE v) GROUP BY record")
+@query("r4_career_records", f"SELECT record, arg_max(tid, (v, -tid)) AS tid, max(v) AS value FROM (UNPIVOT (SELECT tid, goals, assists, goals + assists AS involved, apps::DOUBLE AS apps, minutes, CASE WHEN apps >= {REGULAR} THEN rating END AS best_rating, CASE WHEN shots >= {LEAST_SHOTS} THEN round(100 * goals / shots, 0) END AS conversion, shots, key_pass, tack_w, yellow FROM (SELECT tid, count(*) AS apps, sum(minutes)::DOUBLE AS minutes, round(sum(rating) / count(*), 6) AS rating, " + ", ".join(f"sum({c})::DOUBLE AS {c}" for c in ("goals", "assists", "shots", "key_pass", "tack_w", "yellow")) + f" FROM cur WHERE appeared GROUP BY tid)) ON {', '.join(_CAREER)} INTO NAME record VALUE v) GROUP BY record")
 def r4_careers(spark, d):
     """Leaders over all seasons."""
     sums = [F.sum(c).cast("double").alias(c) for c in ("goals", "assists", "shots", "key_pass", "tack_w", "yellow", "minutes")]
-    t = X.current(spark, d).where("appeared").groupBy("tid").agg(F.count("*").alias("n"), F.round(F.sum("rating") / F.count("*"), 2).alias("rating"), *sums)
+    t = X.current(spark, d).where("appeared").groupBy("tid").agg(F.count("*").alias("n"), F.round(F.sum("rating") / F.count("*"), 6).alias("rating"), *sums)
     t = t.select("tid", "goals", "assists", (C("goals") + C("assists")).alias("involved"), C("n").cast("double").alias("apps"), "minutes", F.when(C("n") >= REGULAR, C("rating")).alias("best_rating"), F.when(C("shots") >= LEAST_SHOTS, F.round(100 * C("goals") / C("shots"), 0)).alias("conversion"), "shots", "key_pass", "tack_w", "yellow")
     long = t.unpivot(["tid"], _CAREER, "record", "v").where("v is not null")
     return long.groupBy("record").agg(best(F.lit(True), C("v")).alias("tid"), F.max("v").alias("value"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from snapstats.operators import models as M
@@ -25,16 +26,35 @@ _FIT = " UNION ALL ".join(f"SELECT target, 'x{k}' AS features, CAST(1 AS BIGINT)
 @query("m2_one_feature_fits", _FIT)
 def m2(spark, d):
     fits = M.subset_fits(A.features(spark, d), "target", ["x1", "x2", "x3", "x4"], "y", 1)
-    return fits.withColumns({c: F.round(c, 6) for c in ("constant", "slope", "r2")})
+    return fits.select("target", "features", "size", F.round("constant", 6).alias("constant"), F.round(C("slopes")[0], 6).alias("slope"), F.round("r2", 6).alias("r2"))
 
 
-@query("m2_subset_search")
+_CENTRED = "(SELECT target, y, x1, x2, x3, x4, y - avg(y) OVER t AS cy, " + ", ".join(f"x{k} - avg(x{k}) OVER t AS c{k}" for k in range(1, 5)) + " FROM feat WINDOW t AS (PARTITION BY target))"
+
+
+def _pair_sql(i: int, j: int) -> str:
+    """Both coefficients of a fit with two features, by Cramer's rule on centred sums, and its exact hits."""
+    sums = f"SELECT target, avg(y) AS my, avg(x{i}) AS mi, avg(x{j}) AS mj, sum(c{i} * c{i}) AS a, sum(c{i} * c{j}) AS b, sum(c{j} * c{j}) AS c, sum(c{i} * cy) AS p, sum(c{j} * cy) AS q FROM {_CENTRED} GROUP BY target"
+    fit = f"SELECT target, (p * c - q * b) / (a * c - b * b) AS u, (q * a - p * b) / (a * c - b * b) AS v, my, mi, mj FROM ({sums})"
+    return f"SELECT f.target, 'x{i}+x{j}' AS features, round(any_value(u), 6) AS slope_1, round(any_value(v), 6) AS slope_2, count(*) FILTER (round_even(my - u * mi - v * mj + u * x{i} + v * x{j}, 0) = y) AS exact, count(*) AS n FROM ({fit}) f JOIN feat USING (target) GROUP BY f.target"
+
+
+@query("m2_subset_search", " UNION ALL ".join(_pair_sql(i, j) for i in range(1, 5) for j in range(i + 1, 5)))
 def m2_all(spark, d):
-    """Every subset up to three features, ranked within its target."""
-    from pyspark.sql import Window
+    """The fits with two features, with both coefficients and their exact hits; ``m2_ranked_subsets`` has all sizes in their order."""
+    return _searched(spark, d).where("size = 2").select("target", "features", F.round(C("slopes")[0], 6).alias("slope_1"), F.round(C("slopes")[1], 6).alias("slope_2"), "exact", "n")
+
 
-    fits = M.subset_fits(A.features(spark, d), "target", ["x1", "x2", "x3", "x4"], "y", 3)
-    return fits.withColumn("place", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("r2"), "size", "features")))
+def _searched(spark, d):
+    f, xs = A.features(spark, d), ["x1", "x2", "x3", "x4"]
+    return M.exact_hits(f, M.subset_fits(f, "target", xs, "y", 3), "target", xs, "y")
+
+
+@query("m2_ranked_subsets")
+def m2_ranked(spark, d):
+    """Every subset up to three features, ranked within its target by exact hits, those off by one, R², size."""
+    order = Window.partitionBy("target").orderBy(F.desc("exact"), F.desc("within_1"), F.desc("r2"), "size", "features")
+    return _searched(spark, d).withColumn("place", F.row_number().over(order))
 
 
 @query("m3_evaluate", "SELECT target, count(*) AS n, round(100.0::DOUBLE * count(*) FILTER (abs(y - e) <= 0) / count(*), 2) AS exact, round(100.0::DOUBLE * count(*) FILTER (abs(y - e) <= 1) / count(*), 2) AS within_1, round(1 - sum((y - e) * (y - e))::DOUBLE / nullif((sum(y * y) - sum(y) * sum(y) / count(*)::DOUBLE), 0), 6) AS r2 FROM (SELECT target, y, y + x1 % 3 AS e FROM feat) GROUP BY target")
@@ -52,7 +72,7 @@ def m4(spark, d):
 _COUNTS = "(SELECT tag, value, count(*) AS k FROM kv GROUP BY 1, 2)"
 
 
-@query("m5_tag_profile", f"SELECT s.tag, s.n, n_distinct, least, most, entities, top, round(100.0::DOUBLE * entities / (SELECT count(DISTINCT entity) FROM kv), 2) AS presence FROM (SELECT tag, CAST(sum(k) AS BIGINT) AS n, count(*) AS n_distinct, min(value) AS least, max(value) AS most FROM {_COUNTS} GROUP BY 1) s JOIN (SELECT tag, count(DISTINCT entity) AS entities FROM kv GROUP BY 1) USING (tag) JOIN (SELECT tag, string_agg(CAST(value AS VARCHAR), ',' ORDER BY i) AS top FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY k DESC, value) AS i FROM {_COUNTS}) WHERE i <= 10 GROUP BY 1) USING (tag)")
+@query("m5_tag_profile", f"SELECT s.tag, s.n, n_distinct, least, most, nulls, zeros, positive, negative, entities, top, round(100.0::DOUBLE * entities / (SELECT count(DISTINCT entity) FROM kv), 2) AS presence FROM (SELECT tag, CAST(sum(k) AS BIGINT) AS n, count(*) AS n_distinct, min(value) AS least, max(value) AS most, CAST(coalesce(sum(k) FILTER (value IS NULL), 0) AS BIGINT) AS nulls, CAST(coalesce(sum(k) FILTER (value = 0), 0) AS BIGINT) AS zeros, CAST(coalesce(sum(k) FILTER (value > 0), 0) AS BIGINT) AS positive, CAST(coalesce(sum(k) FILTER (value < 0), 0) AS BIGINT) AS negative FROM {_COUNTS} GROUP BY 1) s JOIN (SELECT tag, count(DISTINCT entity) AS entities FROM kv GROUP BY 1) USING (tag) JOIN (SELECT tag, string_agg(CAST(value AS VARCHAR), ',' ORDER BY i) AS top FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY k DESC, value) AS i FROM {_COUNTS}) WHERE i <= 10 GROUP BY 1) USING (tag)")
 def m5(spark, d):
     return M.tag_profile(A.key_values(spark, d), "entity", "tag", "value")
 
@@ -63,7 +83,7 @@ def m6(spark, d):
     return A.key_values(spark, d).join(known, "value", "left_semi").groupBy("value", "tag").agg(F.count("*").alias("n"))
 
 
-_HINT = "CASE WHEN lo >= 0 AND hi <= 1 THEN 'bool' WHEN lo >= 1 AND hi <= 12 THEN 'month' WHEN lo >= 1900 AND hi <= 2100 THEN 'year' WHEN lo >= 0 AND hi <= 20 THEN 'rating' WHEN lo >= 0 AND hi <= 2359 AND n > 100 THEN 'clock or count' WHEN n <= 32 THEN 'enum' ELSE 'number' END"
+_HINT = "CASE WHEN lo >= 0 AND hi <= 1 THEN 'bool' WHEN lo >= 1 AND hi <= 12 THEN 'month' WHEN lo >= 1900 AND hi <= 2100 THEN 'year' WHEN lo >= 0 AND hi <= 20 THEN 'rating' WHEN lo >= 0 AND hi <= 366 AND n > 300 THEN 'day of the year' WHEN lo >= 0 AND hi <= 100 AND n > 60 THEN 'percentage' WHEN lo >= 0 AND hi <= 2359 AND n > 100 THEN 'clock or count' WHEN lo >= 19000101 AND hi <= 21001231 THEN 'packed date' WHEN lo >= 0 AND hi > 65535 AND n <= 4096 THEN 'packed code' WHEN n <= 32 THEN 'enum' ELSE 'number' END"
 _HINTED = ("l_linenumber", "l_suppkey", "l_partkey", "l_orderkey")
 
 
@@ -74,12 +94,18 @@ def m7(spark, d):
     return s.withColumn("hint", M.value_hint(C("least"), C("most"), C("n_distinct")))
 
 
-@query("m8_coverage", "SELECT kind, count(*) AS n, CAST(sum(s) AS BIGINT) AS covered, max(s) AS largest FROM (SELECT event_type AS kind, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) - event_id AS s FROM events) GROUP BY kind")
+@query("m8_coverage", "SELECT kind, count(*) AS n, CAST(sum(s) AS BIGINT) AS covered, max(s) AS largest, count(*) FILTER (s IS NULL) AS open FROM (SELECT event_type AS kind, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) - event_id AS s FROM events) GROUP BY ROLLUP (kind)")
 def m8(spark, d):
     e = A.table(spark, d, "events").select("user_id", "event_id", C("event_type").alias("kind"))
     return M.coverage(e, "user_id", "event_id", "kind")
 
 
+@query("m8_largest_spans", "SELECT user_id, event_id, event_type AS kind, s AS span FROM (SELECT user_id, event_id, event_type, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) - event_id AS s FROM events) WHERE s IS NOT NULL ORDER BY s DESC, user_id, event_id LIMIT 20")
+def m8_largest(spark, d):
+    e = A.table(spark, d, "events").select("user_id", "event_id", C("event_type").alias("kind"))
+    return M.largest_spans(e, "user_id", "event_id", "kind")
+
+
 @query("m9_assignment")
 def m9(spark, d):
     """For each club and slice: one entity for each position, none twice, of the largest total."""

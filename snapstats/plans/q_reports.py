@@ -12,6 +12,7 @@ from snapstats.operators import sequences as Q
 from snapstats.plans import frames as X
 from snapstats.plans.catalog import query
 from snapstats.plans.q_windows import top_values
+from snapstats.session import checkpoint
 from snapstats.sources import adapters as A
 
 C = F.col
@@ -71,6 +72,7 @@ def r8(spark, d):
     return long.groupBy("award", "who").agg(F.count("*").alias("won"), seasons.alias("seasons"))
 
 
+# Each at its primary position, with index and percentile.
 _SQUAD = f"SELECT season, phase, tid, club, league, position, {_UNIT} AS unit, eff, idx AS pos_index, pctile FROM (SELECT *, round(coalesce(100 + 15 * (eff - avg(eff) OVER w) / nullif(stddev_samp(eff) OVER w, 0), 100.0), 1) AS idx, round(100 * percent_rank() OVER (PARTITION BY season, phase, position, league ORDER BY eff), 1) AS pctile, row_number() OVER (PARTITION BY season, phase, tid ORDER BY familiarity DESC, position) AS k FROM eff WHERE method = 'm0' WINDOW w AS (PARTITION BY season, phase, position)) WHERE k = 1"
 
 
@@ -83,9 +85,14 @@ def squad_frame(spark, d):
     return first.select("season", "phase", "tid", "club", "league", "position", A.unit_of(C("position")).alias("unit"), "eff", "pos_index", "pctile")
 
 
-@query("r9_squad_frame", _SQUAD)
+@query("r9_squad_frame", f"SELECT s.*, " + ", ".join(A.ATTRS) + f", level FROM ({_SQUAD}) s JOIN (SELECT season, phase, tid, {', '.join(A.ATTRS)} FROM attr) USING (season, phase, tid) JOIN (SELECT season, phase, tid, position, round(100 * percent_rank() OVER (PARTITION BY season, phase, position, league ORDER BY ability NULLS LAST), 1) AS level FROM eff WHERE method = 'm0') USING (season, phase, tid, position)")
 def r9(spark, d):
-    return squad_frame(spark, d)
+    """With the attributes and the level's percentile: the level itself does not leave."""
+    keys = ["season", "phase", "tid"]
+    e = X.effective(spark, d).where("method = 'm0'").select(*keys, "position", "league", "ability")
+    level = scoring.with_places(e, ["season", "phase", "position", "league"], "ability", {"level": scoring.share_below()}).select(*keys, "position", "level")
+    a = A.with_attributes(A.entities(spark, d)).select(*keys, *A.ATTRS)
+    return squad_frame(spark, d).join(a, keys).join(level, [*keys, "position"])
 
 
 def _best_xi(df):
@@ -95,17 +102,42 @@ def _best_xi(df):
 _XI = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY phase, club, unit ORDER BY pos_index DESC, tid) AS q FROM ({_SQUAD})) WHERE q <= CASE unit WHEN 'u0' THEN 1 WHEN 'u1' THEN 4 ELSE 3 END)"
 
 
-@query("r10_team_strength", f"SELECT phase, club, unit, round(CAST(sum(CAST(round(pos_index * 10) AS BIGINT)) AS DOUBLE) / (10 * count(*)), 2) AS strength, count(*) AS n FROM {_XI} GROUP BY ALL")
+_STRENGTH = "round(CAST(sum(CAST(round(pos_index * 10) AS BIGINT)) AS DOUBLE) / (10 * count(*)), 2) AS strength, round(CAST(sum(CAST(round(pctile * 10) AS BIGINT)) AS DOUBLE) / (10 * count(*)), 0) AS pctile, count(*) AS n"
+
+
+@query("r10_team_strength", f"SELECT phase, club, unit, {_STRENGTH} FROM {_XI} GROUP BY ALL UNION ALL SELECT phase, club, 'team', {_STRENGTH} FROM {_XI} GROUP BY ALL")
 def r10(spark, d):
-    tenths = F.round(C("pos_index") * 10).cast("long")
-    return _best_xi(squad_frame(spark, d)).groupBy("phase", "club", "unit").agg(F.round(F.sum(tenths).cast("double") / (10 * F.count("*")), 2).alias("strength"), F.count("*").alias("n"))
+    """Index and percentile of each unit's best, and of the side; each player is counted under both in one pass."""
+    return team_strength(squad_frame(spark, d))
+
 
+def team_strength(squad):
+    tenths = lambda c: F.sum(F.round(C(c) * 10).cast("long")).cast("double") / (10 * F.count("*"))
+    both = _best_xi(squad).select("phase", "club", "pos_index", "pctile", F.explode(F.array("unit", F.lit("team"))).alias("unit"))
+    return both.groupBy("phase", "club", "unit").agg(F.round(tenths("pos_index"), 2).alias("strength"), F.round(tenths("pctile"), 0).alias("pctile"), F.count("*").alias("n"))
 
-@query("r11_unit_comparison", f"SELECT phase, unit, max(s) FILTER (club = {US}) AS us, max(s) FILTER (club = {THEM}) AS them, round(max(s) FILTER (club = {US}) - max(s) FILTER (club = {THEM}), 2) AS edge FROM (SELECT phase, club, unit, round(CAST(sum(CAST(round(pos_index * 10) AS BIGINT)) AS DOUBLE) / (10 * count(*)), 2) AS s FROM {_XI} WHERE club IN ({US}, {THEM}) GROUP BY ALL) GROUP BY ALL")
+
+_GROUPS = {"physical": ("a0", "a1", "a2"), "mental": ("a3", "a4"), "technical": ("a5", "a6", "a7")}
+_METRICS = f"(SELECT s.phase, s.club, s.unit, m.metric, m.v FROM ({_SQUAD}) s JOIN (UNPIVOT (SELECT phase, tid, " + ", ".join(f"a{k}::DOUBLE AS a{k}" for k in range(8)) + ", " + ", ".join(f"list_avg(list_filter([{', '.join(c)}], lambda x: x IS NOT NULL)) AS {n}" for n, c in _GROUPS.items()) + f" FROM attr) ON a0, a1, a2, a3, a4, a5, a6, a7, {', '.join(_GROUPS)} INTO NAME metric VALUE v) m USING (phase, tid) WHERE s.club IN ({US}, {THEM}) AND unit <> 'u0')"
+
+
+@query("r11_unit_comparison", f"SELECT phase, unit, metric, us, them, round(us - them, 1) AS edge, us_n, them_n FROM (SELECT phase, unit, metric, round(avg(v) FILTER (club = {US}), 1) AS us, round(avg(v) FILTER (club = {THEM}), 1) AS them, count(*) FILTER (club = {US}) AS us_n, count(*) FILTER (club = {THEM}) AS them_n FROM {_METRICS} GROUP BY ALL)")
 def r11(spark, d):
-    s = r10(spark, d).where(C("club").isin(US, THEM)).groupBy("phase", "unit")
-    side = lambda k: F.max(F.when(C("club") == k, C("strength")))
-    return s.agg(side(US).alias("us"), side(THEM).alias("them"), F.round(side(US) - side(THEM), 2).alias("edge"))
+    """Us against them in each line: the groups of attributes and every attribute."""
+    squad = squad_frame(spark, d).where(C("club").isin(US, THEM) & (C("unit") != "u0")).select("phase", "tid", "club", "unit")
+    m = attribute_metrics(spark, d).join(squad, ["phase", "tid"]).groupBy("phase", "unit", "metric")
+    side = lambda k: F.round(F.avg(F.when(C("club") == k, C("v"))), 1)
+    out = m.agg(side(US).alias("us"), side(THEM).alias("them"), F.count_if(C("club") == US).alias("us_n"), F.count_if(C("club") == THEM).alias("them_n"))
+    return out.withColumn("edge", F.round(C("us") - C("them"), 1))
+
+
+def attribute_metrics(spark, d):
+    """(phase, tid, metric, v): each attribute, and the mean of the known ones of each group."""
+    a = A.with_attributes(A.entities(spark, d))
+    known = lambda names: F.array_compact(F.array(*[C(c).cast("double") for c in names]))
+    mean = lambda names: F.when(F.size(known(names)) > 0, F.aggregate(known(names), F.lit(0.0), lambda x, y: x + y) / F.size(known(names)))
+    wide = a.select("phase", "tid", *[C(c).cast("double").alias(c) for c in A.ATTRS], *[mean(c).alias(n) for n, c in _GROUPS.items()])
+    return wide.unpivot(["phase", "tid"], [*A.ATTRS, *_GROUPS], "metric", "v").where("v is not null")
 
 
 @query("r12_key_players", f"SELECT s.phase, s.club, s.tid, s.pos_index, t.top FROM (SELECT *, row_number() OVER (PARTITION BY phase, club ORDER BY pos_index DESC, tid) AS q FROM ({_SQUAD})) s JOIN (SELECT phase, tid, coalesce(string_agg(attribute || ' ' || value, ', ' ORDER BY k) FILTER (k <= 3), '') AS top FROM (SELECT phase, tid, attribute, value, row_number() OVER (PARTITION BY phase, tid ORDER BY value >= 9 DESC, value DESC, attribute) + CASE WHEN value >= 9 THEN 0 ELSE 100 END AS k FROM (UNPIVOT (SELECT phase, tid, a0, a1, a2, a3, a4, a5, a6, a7 FROM attr) ON a0, a1, a2, a3, a4, a5, a6, a7 INTO NAME attribute VALUE value)) GROUP BY ALL) t USING (phase, tid) WHERE q <= 3")
@@ -115,33 +147,41 @@ def r12(spark, d):
     return best.join(top, ["phase", "tid"]).select("phase", "club", "tid", "pos_index", "top")
 
 
-@query("r13_scout_flags", f"SELECT phase, us, them, played, CASE WHEN won = 0 AND played >= 3 THEN 'bogey' WHEN lost = 0 AND played >= 3 THEN 'owned' ELSE 'even' END AS history, CASE WHEN abs(edge) < 3 THEN 'level' WHEN edge > 0 THEN 'stronger' ELSE 'weaker' END AS verdict FROM (SELECT us, them, {_WDL} FROM res GROUP BY us, them) h JOIN (SELECT phase, a.club AS us, b.club AS them, a.s - b.s AS edge FROM (SELECT phase, club, CAST(sum(CAST(round(pos_index * 10) AS BIGINT)) AS DOUBLE) / (10 * count(*)) AS s FROM {_XI} GROUP BY phase, club) a JOIN (SELECT phase, club, CAST(sum(CAST(round(pos_index * 10) AS BIGINT)) AS DOUBLE) / (10 * count(*)) AS s FROM {_XI} GROUP BY phase, club) b USING (phase) WHERE a.club = {US}) USING (us, them)")
+#: A side with fewer rated players than this is partly known; matches from which a history counts; an index edge up to which sides are level; values below which a defence is soft.
+WHOLE, HISTORY, LEVEL, SOFT = 11, 3, 3, {"a1": 9, "a2": 8, "a4": 9}
+_STR = f"(SELECT phase, club, unit, {_STRENGTH} FROM {_XI} GROUP BY ALL UNION ALL SELECT phase, club, 'team', {_STRENGTH} FROM {_XI} GROUP BY ALL)"
+_SOFT_SQL = f"(SELECT phase, club AS them, string_agg(metric || ' ' || CAST(v AS VARCHAR), ', ' ORDER BY metric) AS soft FROM (SELECT s.phase, s.club, metric, round(avg(v), 1) AS v FROM ({_SQUAD}) s JOIN (UNPIVOT (SELECT phase, tid, a1::DOUBLE AS a1, a2::DOUBLE AS a2, a4::DOUBLE AS a4 FROM attr) ON a1, a2, a4 INTO NAME metric VALUE v) USING (phase, tid) WHERE unit = 'u1' GROUP BY ALL) WHERE v < CASE metric " + " ".join(f"WHEN '{c}' THEN {v}" for c, v in SOFT.items()) + " END GROUP BY ALL)"
+_MEN = f"(SELECT phase, club AS them, string_agg(tid || ':' || position, ', ' ORDER BY q) AS danger FROM (SELECT *, row_number() OVER (PARTITION BY phase, club ORDER BY pos_index DESC, tid) AS q FROM ({_SQUAD})) WHERE q <= 3 GROUP BY ALL)"
+_UNITS = f"(SELECT phase, them, string_agg(unit || CASE WHEN edge >= 0 THEN ' we lead ' ELSE ' they lead ' END || CAST(edge AS VARCHAR), ', ' ORDER BY unit) AS units FROM (SELECT t.phase, t.club AS them, t.unit, round(o.strength - t.strength, 2) AS edge FROM {_STR} t JOIN {_STR} o ON o.phase = t.phase AND o.unit = t.unit AND o.club = {US} WHERE t.unit <> 'team') GROUP BY ALL)"
+
+
+@query("r13_scout_flags", f"SELECT t.phase, {US} AS us, t.club AS them, count_all AS rated, count_all < {WHOLE} AS partial, o.strength AS our_index, t.strength AS their_index, o.pctile AS our_pctile, t.pctile AS their_pctile, CASE WHEN abs(o.strength - t.strength) < {LEVEL} THEN 'level' WHEN o.strength > t.strength THEN 'stronger' ELSE 'weaker' END AS verdict, coalesce(played, 0) AS played, CASE WHEN played IS NULL THEN 'none' WHEN won = 0 AND played >= {HISTORY} THEN 'bogey' WHEN lost = 0 AND played >= {HISTORY} THEN 'owned' ELSE 'even' END AS history, units, danger, coalesce(soft, '') AS soft FROM (SELECT * FROM {_STR} WHERE unit = 'team') t JOIN (SELECT * FROM {_STR} WHERE unit = 'team' AND club = {US}) o ON o.phase = t.phase JOIN (SELECT phase, club, count(*) AS count_all FROM ({_SQUAD}) GROUP BY ALL) n ON n.phase = t.phase AND n.club = t.club LEFT JOIN (SELECT them, {_WDL} FROM res WHERE us = {US} AND comp IS DISTINCT FROM '5-LOW' GROUP BY them) h ON h.them = t.club LEFT JOIN {_UNITS} u ON u.phase = t.phase AND u.them = t.club LEFT JOIN {_MEN} m ON m.phase = t.phase AND m.them = t.club LEFT JOIN {_SOFT_SQL} s ON s.phase = t.phase AND s.them = t.club WHERE t.club <> {US}")
 def r13(spark, d):
-    """What the rules say about each opponent: history, and strength at each snapshot."""
-    tenths = F.round(C("pos_index") * 10).cast("long")
-    xi = _best_xi(squad_frame(spark, d)).groupBy("phase", "club").agg((F.sum(tenths).cast("double") / (10 * F.count("*"))).alias("s"))
-    own = xi.where(C("club") == US).select("phase", C("club").alias("us"), C("s").alias("own"))
-    edge = xi.join(own, "phase").select("phase", "us", C("club").alias("them"), (C("own") - C("s")).alias("edge"))
-    h = R.wdl(["us", "them"], X.results(spark, d)).join(edge, ["us", "them"])
-    history = F.when((C("won") == 0) & (C("played") >= 3), "bogey").when((C("lost") == 0) & (C("played") >= 3), "owned").otherwise("even")
-    verdict = F.when(F.abs("edge") < 3, "level").when(C("edge") > 0, "stronger").otherwise("weaker")
-    return h.select("phase", "us", "them", "played", history.alias("history"), verdict.alias("verdict"))
-
-
-@query("r14_position_review", f"SELECT phase, tid, role, depth, pct, CASE WHEN depth <= 2 AND age <= 21 THEN 'keep: young starter' WHEN depth <= 2 AND pct < 40 THEN 'keep: upgrade' WHEN depth <= 2 THEN 'keep: starter' WHEN depth = 3 THEN 'keep: cover' WHEN age <= 20 THEN 'keep: reserve' WHEN age >= 23 AND pct < 33 THEN 'sell' ELSE 'surplus' END AS read FROM (SELECT phase, tid, role, rank() OVER (PARTITION BY phase, role ORDER BY eff DESC) AS depth, pct, CAST(season - year(dob) AS BIGINT) AS age FROM (SELECT *, row_number() OVER (PARTITION BY phase, tid, role ORDER BY eff DESC, position) AS k FROM (SELECT *, CASE WHEN count(*) OVER p >= 2 THEN round(100.0::DOUBLE * (count(*) OVER p - rank() OVER (PARTITION BY phase, position, league ORDER BY eff DESC)) / (count(*) OVER p - 1), 1) END AS pct FROM eff WHERE method = 'm0' WINDOW p AS (PARTITION BY phase, position, league)) WHERE club = {US}) WHERE k = 1)")
-def r14(spark, d):
-    """Per role the depth, where it stands in the league, and what the rules advise."""
-    e, scope = X.effective(spark, d).where("method = 'm0'"), ["phase", "position", "league"]
-    n, r = F.count("*").over(Window.partitionBy(*scope)), F.rank().over(Window.partitionBy(*scope).orderBy(F.desc("eff")))
-    own = e.withColumn("pct", scoring.rank_percent(r, n)).where(C("club") == US)
-    own = R.first_per_key(own, ["phase", "tid", "role"], [F.desc("eff"), "position"])
-    own = own.select("phase", "tid", "role", scoring.rank_desc("eff", ["phase", "role"], "depth"), "pct", S.season_age(C("season"), C("dob")).alias("age"))
-    starter, age, pct = C("depth") <= 2, C("age"), C("pct")
-    read = (
-        F.when(starter & (age <= 21), "keep: young starter").when(starter & (pct < 40), "keep: upgrade").when(starter, "keep: starter")
-        .when(C("depth") == 3, "keep: cover").when(age <= 20, "keep: reserve").when((age >= 23) & (pct < 33), "sell").otherwise("surplus")
+    """What the rules say about each opponent at each snapshot: coverage, strength, history (low-priority matches do not count), lines, danger men, a soft defence."""
+    squad = checkpoint(squad_frame(spark, d))
+    at, them = ["phase", "them"], C("club").alias("them")
+    strength = checkpoint(team_strength(squad))
+    ours = strength.where(C("club") == US).select("phase", "unit", C("strength").alias("our_index"), C("pctile").alias("our_pctile"))
+    both = strength.where(C("club") != US).join(ours, ["phase", "unit"]).select("phase", "unit", them, "our_index", "our_pctile", C("strength").alias("their_index"), C("pctile").alias("their_pctile"))
+    edge = F.round(C("our_index") - C("their_index"), 2)
+    line = F.concat("unit", F.when(edge >= 0, " we lead ").otherwise(" they lead "), edge.cast("string"))
+    units = both.where("unit <> 'team'").groupBy(*at).agg(F.array_join(F.array_sort(F.collect_list(line)), ", ").alias("units"))
+    rated = squad.groupBy("phase", them).agg(F.count("*").alias("rated"))
+    top = R.best_n(squad, ["phase", "club"], F.lit(3), [F.desc("pos_index"), "tid"]).groupBy("phase", them)
+    men = F.transform(F.array_sort(F.collect_list(F.struct((-C("pos_index")).alias("i"), "tid", "position"))), lambda x: F.concat(x["tid"], F.lit(":"), x["position"]))
+    danger = top.agg(F.array_join(men, ", ").alias("danger"))
+    weak = attribute_metrics(spark, d).where(C("metric").isin(*SOFT)).join(squad.where("unit = 'u1'").select("phase", "tid", "club"), ["phase", "tid"])
+    weak = weak.groupBy("phase", them, "metric").agg(F.round(F.avg("v"), 1).alias("v")).where(C("v") < S.lookup(C("metric"), SOFT))
+    soft = weak.groupBy(*at).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "metric", C("v").cast("string")))), ", ").alias("soft"))
+    history = R.wdl(["them"], X.results(spark, d).where((C("us") == US) & ~C("comp").eqNullSafe(F.lit("5-LOW")))).select("them", "played", "won", "lost")
+    out = both.where("unit = 'team'").drop("unit").join(rated, at).join(history, "them", "left").join(units, at, "left").join(danger, at, "left").join(soft, at, "left")
+    read = F.when(C("played").isNull(), "none").when((C("won") == 0) & (C("played") >= HISTORY), "bogey").when((C("lost") == 0) & (C("played") >= HISTORY), "owned").otherwise("even")
+    gap = C("our_index") - C("their_index")
+    verdict = F.when(F.abs(gap) < LEVEL, "level").when(gap > 0, "stronger").otherwise("weaker")
+    return out.select(
+        "phase", F.lit(US).alias("us"), "them", "rated", (C("rated") < WHOLE).alias("partial"), "our_index", "their_index", "our_pctile", "their_pctile", verdict.alias("verdict"),
+        F.coalesce("played", F.lit(0)).alias("played"), read.alias("history"), "units", "danger", F.coalesce("soft", F.lit("")).alias("soft"),
     )
-    return own.select("phase", "tid", "role", "depth", "pct", read.alias("read"))
 
 
 @query("r15_growth_table", "SELECT season, tid, band, total, round(100 * (rank() OVER (PARTITION BY season ORDER BY total) + (count(*) OVER (PARTITION BY season, total) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY season), 4) AS pct FROM (SELECT season, tid, CASE WHEN season - year(max(dob)) < 21 THEN 'U21' WHEN season - year(max(dob)) <= 24 THEN '21-24' WHEN season - year(max(dob)) <= 28 THEN '25-28' ELSE '29+' END AS band, arg_max(coalesce(a1, 0) + ability, phase) - arg_min(coalesce(a1, 0), phase) AS total FROM attr WHERE ability IS NOT NULL GROUP BY season, tid)")
@@ -244,15 +284,6 @@ def r27(spark, d):
     return f.withColumn("x", F.row_number().over(Window.partitionBy("anchor", "line").orderBy("slot")).cast("long"))
 
 
-@query("r28_history_export", f"SELECT tid, string_agg(a0, ',' ORDER BY phase) AS a0, count(*) AS n FROM (SELECT a.tid, a.phase, coalesce(CAST(a.a0 AS VARCHAR), '-') AS a0 FROM attr a JOIN (SELECT tid, arg_max(dob, phase) AS dob, arg_max(club, phase) AS club FROM ent GROUP BY tid) c ON c.tid = a.tid AND c.dob = a.dob WHERE c.club = {US}) GROUP BY tid")
-def r28(spark, d):
-    e = A.entities(spark, d)
-    present = e.groupBy("tid").agg(F.max_by("dob", "phase").alias("dob"), F.max_by("club", "phase").alias("now")).where(C("now") == US)
-    own = A.with_attributes(e).join(present, ["tid", "dob"])
-    series = F.transform(F.array_sort(F.collect_list(F.struct("phase", F.coalesce(C("a0").cast("string"), F.lit("-")).alias("v")))), lambda x: x["v"])
-    return own.groupBy("tid").agg(F.array_join(series, ",").alias("a0"), F.count("*").alias("n"))
-
-
 @query("r29_filtered_grid", "SELECT tid, count(*) AS games, CAST(sum(goals) AS BIGINT) AS goals, CAST(sum(minutes) AS BIGINT) AS minutes FROM cur WHERE appeared AND season BETWEEN 1997 AND 1999 AND comp = '2-HIGH' GROUP BY tid")
 def r29(spark, d):
     rows = X.current(spark, d).where("appeared and season between 1997 and 1999 and comp = '2-HIGH'")
@@ -262,11 +293,3 @@ def r29(spark, d):
 @query("r30_progression_view", "SELECT tid, name, season, phase, club, ability FROM ent WHERE NOT is_staff")
 def r30(spark, d):
     return A.entities(spark, d).where("not is_staff").select("tid", "name", "season", S.phase_key(C("phase")).alias("phase"), "club", "ability")
-
-
-@query("r31_side_by_side", "SELECT attribute, max(value) FILTER (tid = 5) AS t5, max(value) FILTER (tid = 11) AS t11, max(value) FILTER (tid = 20) AS t20 FROM (UNPIVOT (SELECT tid, a0, a1, a2, a3, a4, a5, a6, a7 FROM attr WHERE phase = '1999-07-01' AND tid IN (5, 11, 20)) ON a0, a1, a2, a3, a4, a5, a6, a7 INTO NAME attribute VALUE value) GROUP BY attribute")
-def r31(spark, d):
-    a = A.with_attributes(A.entities(spark, d)).where(C("tid").isin(5, 11, 20) & (C("phase") == "1999-07-01"))
-    long = a.unpivot(["tid"], A.ATTRS, "attribute", "value").where("value is not null")
-    wide = long.groupBy("attribute").pivot("tid", [5, 11, 20]).agg(F.max("value"))
-    return wide.select("attribute", *[C(f"`{t}`").alias(f"t{t}") for t in (5, 11, 20)])
