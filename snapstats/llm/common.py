@@ -36,7 +36,7 @@ NULL_KEY = -(2**63)
 #: The place of a row: the file and its number there.
 FILE, AT = "__file", "__at"
 #: Bytes of text that are hashed at once. A longer document is a block of its own.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Hashes that a task holds before it sends them.
 HELD = 500_000
 #: Bytes of input for each bucket of a packed exchange, and the most buckets; with more, a task would send a row for a few hashes.
@@ -233,7 +233,7 @@ class Hasher:
 
     def _powers(self, n: int) -> None:
         if len(self.up) <= n:
-            n = max(n + 1, 2 * len(self.up))
+            n = 1 << (n + 1).bit_length()
             for name, base in (("up", self.base), ("down", pow(self.base, -1, 2**64))):
                 steps = np.full(n, base % 2**64, np.uint64)
                 steps[0] = 1

@@ -48,7 +48,7 @@ def _is_letter() -> np.ndarray:
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(trigram, row) of all texts in order, and whether each row has a letter. Runs of other characters count as one space."""
     letter = _is_letter()
-    points = np.frombuffer(" ".join(texts).lower().encode("utf-32-le", "surrogatepass"), np.uint32) if texts else np.zeros(0, np.uint32)
+    points = np.frombuffer((" ".join(texts) + " ").lower().encode("utf-32-le", "surrogatepass"), np.uint32) if texts else np.zeros(0, np.uint32)
     length = np.array([len(t.lower()) for t in texts], np.int64)
     row = np.repeat(np.arange(len(texts)), length + 1)[: len(points)]
     kept = letter[points]

@@ -6,8 +6,9 @@ windows and the bytes under it. Equal windows have equal smallest grams, so each
 occurrences of its windows and is judged alone.
 
 1. A scan sends, for each piece, the hash of its gram and a hash of its bytes, packed, each pair once per
-   batch. Grams that occur once end here: most of a corpus, in which no window can be repeated. Of the others
-   one copy of each distinct piece goes on, with the word whether there are more.
+   batch. Grams that occur once end here: most of a corpus, in which no window can be repeated, and so do those
+   whose pieces are all equal, in which every window is. Where a gram's pieces differ, one copy of each goes on,
+   with the word whether there are more.
 2. Those pieces' bytes go to their shards. A shard's suffix array comes from induced sorting, the common
    prefixes of neighbours from the permuted form; windows with a neighbour that shares 200 bytes are repeated,
    and so are all windows of a piece that has copies, which the array holds once. The other copies, known by
@@ -135,7 +136,7 @@ def _judge(n_buckets: int, crowd: int):
         gram = np.cumsum(split_runs(found.h)) - 1
         kinds = np.bincount(gram[first])[gram]  # distinct pieces of the gram
         copies = np.bincount(group)[group]
-        flags = np.where(copies > 1, WHOLE, 0) | np.where(first, np.where(kinds > crowd, DEAL, SORT), 0)
+        flags = np.where(copies > 1, WHOLE, 0) | np.where(first & (kinds > 1), np.where(kinds > crowd, DEAL, SORT), 0)
         use = (kinds > 1) | (copies > 1)
         return found.k[use], (found.p * 8 + flags)[use]
 

@@ -7,11 +7,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from snapstats.llm import decontaminate, langid, packing, quality, repeats, secret_scan, sharding, simhash, suffixes
+from snapstats.llm import common, decontaminate, langid, packing, quality, repeats, secret_scan, sharding, simhash, suffixes
+from snapstats.llm.common import arrow
 from snapstats.llm.components import components
 from snapstats.llm.fmindex import FMIndex
 from snapstats.llm.suffixarray import permuted_prefixes, suffix_array
@@ -500,6 +502,94 @@ def test_op8_held_out_accuracy(spark):
     assert all(0 <= s <= 1 for _, s in got.values()) and [got[k][0] for k in (1000, 1001, 1002)] == ["und"] * 3 and got[1003][0] == "aa"
 
 
+def _plain_trigrams(text):
+    """As the operator says: letters in lower case, runs of anything else one space, and one after the last letter."""
+    chars = [c if c.isalpha() else " " for c in f"{text.lower()} "]
+    kept = [c for i, c in enumerate(chars) if c != " " or i == 0 or chars[i - 1] != " "]
+    return ["".join(kept[i : i + 3]) for i in range(len(kept) - 2)]
+
+
+def test_op8_against_plain_sets(spark):
+    """Counts and predictions of the bit-sliced table are those of one plain set for each language."""
+    r = random.Random(21)
+    stems = {"aa": "kula motu rasi veno", "bb": "strn gelp dofk wimt", "cc": "éau oux que ille", "dd": "kula motu oux que"}
+    text = lambda l: "".join(r.choice(stems[l].split()) + r.choice(["", " ", ", ", "-", "  9 "]) for _ in range(r.randint(1, 40)))
+    rows = [(i, text(l), l) for i, l in enumerate(r.choice(list(stems)) for _ in range(500))] + [(900, "Éau, OUX!", "cc"), (901, "x", "aa"), (902, "?", "aa"), (903, "", "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.fit(docs.where(langid.fold(F.col("doc_id")) != 2))
+    train = [(t, l) for k, t, l in rows if langid.fold_of(k) != 2]
+    n_docs = Counter(l for _, l in train)
+    held = Counter((l, g) for t, l in train for g in set(_plain_trigrams(t)))
+    kept = {l: {g for (m, g), n in held.items() if m == l and n >= langid.LEAST_SHARE * n_docs[l]} for l in n_docs}
+    assert model.languages == sorted(kept) and model.false_positives.max() < 1e-6
+    got = by_id(langid.predict(docs, model))
+    for k, t, _ in rows:
+        grams = _plain_trigrams(t)
+        counts = {l: sum(g in kept[l] for g in grams) for l in sorted(kept)}
+        want = max(sorted(counts), key=lambda l: counts[l])
+        if not any(c.isalpha() for c in t):
+            assert got[k] == ("und", 0.0)
+        elif sum(counts.values()):
+            assert got[k][0] == want and got[k][1] == pytest.approx(counts[want] / sum(counts.values()), abs=1e-4)
+
+
+def test_op8_correction_of_false_positives():
+    """In a table too small for its n-grams, the corrected counts come near those of plain sets."""
+    r = np.random.default_rng(3)
+    model = langid.Model(["a", "b"], np.zeros((1 << 12, 1), np.uint64), 4)
+    grams = r.integers(1, 2**62, 4000, np.uint64)
+    model.add(0, grams[:1500])
+    model.add(1, grams[1000:2500])
+    false = model.false_positives
+    assert false.min() > 0.05
+    masks = model.masks(grams[:4000])[:, 0]
+    for i, truth in ((0, 1500), (1, 1500)):
+        hits = int(((masks >> np.uint64(i)) & np.uint64(1)).sum())
+        corrected = (hits - 4000 * false[i]) / (1 - false[i])
+        assert abs(hits - truth) > 100 and abs(corrected - truth) < 60
+
+
+def test_very_long_text(spark):
+    """A text of 4 MB beside short ones, through every operator that looks inside."""
+    r = random.Random(31)
+    words = [f"w{i}" for i in range(20000)]
+    long = "\n".join(" ".join(r.choice(words) for _ in range(12)) for _ in range(52000))
+    short = long[1000:3000]
+    docs = spark.createDataFrame([(1, long, "s"), (2, short, "s"), (3, None, "s"), (4, "", None)], "doc_id long, text string, source string").repartition(2)
+    assert len(long) > 3_500_000
+    gone = {x.doc_id: x.n_removed for x in suffixes.string_dedup(docs).collect()}
+    assert gone == {1: 2000, 2: 2000, 3: 0, 4: 0}
+    later = {x.doc_id: x.n_removed for x in repeats.word_dedup(docs).collect()}
+    assert later[1] == 0 and later[2] >= len(short.split()) - 2
+    assert {x.doc_id: x.n_words for x in quality.quality(docs).collect()}[1] == len(long.split())
+    assert simhash.near_duplicates(docs).count() == 4 and simhash.keep_one(docs).count() == 3
+    tests = spark.createDataFrame([("a", " ".join(long.split()[5000:5030]))], "item_id string, text string")
+    assert {x.doc_id: x.n_hit for x in decontaminate.contamination(docs, tests).collect()} == {1: 30, 2: 0, 3: 0, 4: 0}
+    assert secret_scan.scan(docs).count() == 4
+    assert sum(x.length for x in packing.pack_documents(docs).collect()) > 600_000
+
+
+def test_a_bucket_at_a_time(spark):
+    """What a worker holds follows the bucket, not the partition: twenty times the rows in as few partitions take no more."""
+    seen = []
+
+    def _sizes(batches):
+        from snapstats.llm import common
+
+        for some in common.bucketwise(batches):
+            yield pa.RecordBatch.from_arrays([some[0].column("bucket").slice(0, 1), pa.array([sum(b.num_rows for b in some)], pa.int64())], ["bucket", "n"])
+
+    for batch, size in ((200, 1), (200, 20)):
+        rows = [(b, n) for b in range(8) for n in range(batch * size)]
+        df = spark.createDataFrame(rows, "bucket int, n int").repartition(2, "bucket").sortWithinPartitions("bucket")
+        sizes = arrow(df, _sizes, "bucket int, n long").collect()
+        assert sorted(x.bucket for x in sizes) == list(range(8))
+        seen.append(max(x.n for x in sizes))
+    assert seen == [200, 4000]  # a bucket's own rows; more input means more buckets
+    small, large = (common.buckets(spark.range(1).select(F.lit(None).alias("x"))), common.MOST_BUCKETS)
+    assert small == 256 and large == 1 << 16
+
+
 def test_op8_bitmask_returns_all_languages():
     grams = np.arange(1, 3001, dtype=np.uint64)
     model = langid.Model([f"l{i:02}" for i in range(70)], np.zeros((1 << 16, 2), np.uint64), 4)
