@@ -246,12 +246,15 @@ def r22(spark, d):
     return scoring.with_places(s.select("season", "phase", "tid", "fit"), ["season", "phase"], "fit", {"pct": scoring.inclusive_percent()})
 
 
-@query("r23_output_profile", "SELECT season, tid, round(100.0::DOUBLE * g / nullif(max(g) OVER (PARTITION BY season), 0), 2) AS goals, round(100.0::DOUBLE * a / nullif(max(a) OVER (PARTITION BY season), 0), 2) AS assists FROM (SELECT season, tid, sum(goals)::DOUBLE AS g, sum(assists)::DOUBLE AS a FROM cur GROUP BY 1, 2)")
+_AXES = ("goals", "assists", "shots", "key_pass", "pass_c", "cross_c", "tack_w", "head_w", "dribbles", "intercept", "minutes")
+
+
+@query("r23_output_profile", "SELECT season, tid, " + ", ".join(f"round(100.0::DOUBLE * {c} / nullif(max({c}) OVER (PARTITION BY season), 0), 4) AS {c}" for c in _AXES) + " FROM (SELECT season, tid, " + ", ".join(f"sum({c})::DOUBLE AS {c}" for c in _AXES) + " FROM cur GROUP BY 1, 2)")
 def r23(spark, d):
-    t = X.current(spark, d).groupBy("season", "tid").agg(F.sum("goals").cast("double").alias("g"), F.sum("assists").cast("double").alias("a"))
-    w = Window.partitionBy("season")
-    share = lambda c: F.round(F.lit(100.0) * C(c) / F.nullif(F.max(c).over(w), F.lit(0.0)), 2)
-    return t.select("season", "tid", share("g").alias("goals"), share("a").alias("assists"))
+    """Every output of a season as a share of the best one's: the maxima are one small aggregate, joined back."""
+    t = X.current(spark, d).groupBy("season", "tid").agg(*[F.sum(c).cast("double").alias(c) for c in _AXES])
+    top = t.groupBy("season").agg(*[F.max(c).alias(f"max_{c}") for c in _AXES])
+    return t.join(top, "season").select("season", "tid", *[F.round(F.lit(100.0) * C(c) / F.nullif(C(f"max_{c}"), F.lit(0.0)), 4).alias(c) for c in _AXES])
 
 
 @query("r24_growth_series", "SELECT tid, ck, string_agg(CAST(rating AS VARCHAR), ',' ORDER BY phase) AS series, arg_max(rating, phase) - arg_min(rating, phase) AS growth FROM (SELECT s.phase, s.tid, e.ck, s.rating FROM score s JOIN ent e USING (season, phase, tid) WHERE method = 'm1' AND role = 'r2') GROUP BY tid, ck")
@@ -277,11 +280,14 @@ def r26(spark, d):
     return found.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "club")).cast("long"))
 
 
-@query("r27_field_layout", "SELECT anchor, slot, line, row_number() OVER (PARTITION BY anchor, line ORDER BY slot) AS x FROM (SELECT anchor, slot, CAST(CASE WHEN slot = 1 THEN -1 WHEN slot <= 1 + p[1]::INT THEN 0 WHEN slot <= 1 + p[1]::INT + p[2]::INT THEN 1 ELSE 2 END AS BIGINT) AS line FROM (SELECT anchor, slot, string_split(formation, '-') AS p FROM fix, range(1, 12) r(slot)))")
+@query("r27_field_layout", "SELECT anchor, slot, line, row_number() OVER (PARTITION BY anchor, line ORDER BY slot) AS x, round(100.0::DOUBLE * row_number() OVER (PARTITION BY anchor, line ORDER BY slot) / (count(*) OVER (PARTITION BY anchor, line) + 1), 4) AS across, 25 * (line + 1) AS up FROM (SELECT anchor, slot, CAST(CASE WHEN slot = 1 THEN -1 WHEN slot <= 1 + p[1]::INT THEN 0 WHEN slot <= 1 + p[1]::INT + p[2]::INT THEN 1 ELSE 2 END AS BIGINT) AS line FROM (SELECT anchor, slot, string_split(formation, '-') AS p FROM fix, range(1, 12) r(slot)))")
 def r27(spark, d):
     f = A.fixtures(spark, d).select("anchor", "formation", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(11).cast("long"))).alias("slot"))
     f = f.select("anchor", "slot", S.line_of_slot(C("formation"), C("slot")).alias("line"))
-    return f.withColumn("x", F.row_number().over(Window.partitionBy("anchor", "line").orderBy("slot")).cast("long"))
+    w = Window.partitionBy("anchor", "line")
+    x = F.row_number().over(w.orderBy("slot")).cast("long")
+    # a line's players stand evenly across the field; lines stand a quarter of it apart
+    return f.select("*", x.alias("x"), F.round(F.lit(100.0) * x / (F.count("*").over(w) + 1), 4).alias("across"), (25 * (C("line") + 1)).alias("up"))
 
 
 @query("r29_filtered_grid", "SELECT tid, count(*) AS games, CAST(sum(goals) AS BIGINT) AS goals, CAST(sum(minutes) AS BIGINT) AS minutes FROM cur WHERE appeared AND season BETWEEN 1997 AND 1999 AND comp = '2-HIGH' GROUP BY tid")
@@ -290,6 +296,25 @@ def r29(spark, d):
     return rows.groupBy("tid").agg(F.count("*").alias("games"), F.sum("goals").alias("goals"), F.sum("minutes").alias("minutes"))
 
 
+_GRID = ("season", "comp", "club", "unit")
+
+
+@query("r29_grid_by_all", "SELECT season, comp, club, unit, tid, count(*) AS games, CAST(sum(goals) AS BIGINT) AS goals, CAST(sum(minutes) AS BIGINT) AS minutes FROM (SELECT *, 'u' || (tid % 4) AS unit FROM cur WHERE appeared) GROUP BY GROUPING SETS ((season, comp, club, unit, tid), (season, club, tid), (club, unit, tid), (tid))")
+def r29_grid(spark, d):
+    """The grid under every filter that it offers, and without: the filters are levels of one aggregation."""
+    rows = X.current(spark, d).where("appeared").withColumn("unit", F.concat(F.lit("u"), C("tid") % 4))
+    sets = [[C(c) for c in x] for x in ((*_GRID, "tid"), ("season", "club", "tid"), ("club", "unit", "tid"), ("tid",))]
+    g = rows.groupingSets(sets, *[C(c) for c in (*_GRID, "tid")])
+    return g.agg(F.count("*").alias("games"), F.sum("goals").alias("goals"), F.sum("minutes").alias("minutes"))
+
+
+@query("r29_drill_down", "SELECT tid, season, string_agg(CAST(date AS VARCHAR) || ' ' || minutes || ' ' || goals || ' ' || rating, '; ' ORDER BY date, anchor) AS matches FROM cur WHERE appeared GROUP BY tid, season")
+def r29_drill(spark, d):
+    """The matches behind a player's season, in order."""
+    line = F.struct("date", "anchor", F.concat_ws(" ", C("date").cast("string"), C("minutes").cast("string"), C("goals").cast("string"), C("rating").cast("string")).alias("t"))
+    return X.current(spark, d).where("appeared").groupBy("tid", "season").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["t"]), "; ").alias("matches"))
+
+
 @query("r30_progression_view", "SELECT tid, name, season, phase, club, ability FROM ent WHERE NOT is_staff")
 def r30(spark, d):
     return A.entities(spark, d).where("not is_staff").select("tid", "name", "season", S.phase_key(C("phase")).alias("phase"), "club", "ability")

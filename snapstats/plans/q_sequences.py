@@ -149,9 +149,9 @@ def t13_check(spark, d):
     return Q.forest_faults(c, "row_id", "next_id")
 
 
-@query("t14_best_month", "SELECT us, CAST(m AS VARCHAR) AS month, pts, n FROM (SELECT *, row_number() OVER (PARTITION BY us ORDER BY pts / n DESC, n DESC, m) AS k FROM (SELECT us, CAST(date_trunc('month', date) AS DATE) AS m, CAST(sum(pts) AS BIGINT) AS pts, count(*) AS n FROM res GROUP BY 1, 2 HAVING count(*) >= 3)) WHERE k = 1")
+@query("t14_best_month", "SELECT us, CAST(m AS VARCHAR) AS month, pts, n FROM (SELECT *, row_number() OVER (PARTITION BY us ORDER BY pts / n DESC, n DESC, m) AS k FROM (SELECT us, CAST(date_trunc('month', date) AS DATE) AS m, CAST(sum(pts) AS BIGINT) AS pts, count(*) AS n FROM res GROUP BY 1, 2 HAVING count(*) >= 2)) WHERE k = 1")
 def t14(spark, d):
-    m = X.results(spark, d).groupBy("us", F.trunc("date", "month").alias("m")).agg(F.sum("pts").alias("pts"), F.count("*").alias("n")).where("n >= 3")
+    m = X.results(spark, d).groupBy("us", F.trunc("date", "month").alias("m")).agg(F.sum("pts").alias("pts"), F.count("*").alias("n")).where("n >= 2")
     best = R.first_per_key(m, ["us"], [F.desc(C("pts") / C("n")), F.desc("n"), "m"])
     return best.select("us", C("m").cast("string").alias("month"), "pts", "n")
 
