@@ -273,7 +273,8 @@ def similar(rows: DataFrame, ids: DataFrame, *, text: str = "text", similarity:
     copies = stored(known.groupBy("print").agg(F.min("key").alias("rep")))
     reps = known.join(copies, "print").where("key = rep").select("key", "samples", "sketch")
     at = reps.select("key", F.posexplode("samples").alias("nth", "sample"))
-    ends = at.groupBy("nth", "sample").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
+    # written, so that adaptive execution can split the join where a sample is that of a third of all rows
+    ends = stored(at.groupBy("nth", "sample").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high"))
     met = at.join(ends, ["nth", "sample"]).select(F.col("key").alias("b"), F.explode(F.array("low", "high")).alias("a")).where("a <> b")
     pairs = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     one, two = (reps.select(F.col("key").alias(k), F.col("sketch").alias(name)) for k, name in (("a", "one"), ("b", "two")))
