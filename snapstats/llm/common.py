@@ -107,7 +107,8 @@ def _reads_parquet(docs: DataFrame) -> bool:
         plan = plan.children().head()
     if plan.nodeName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
         return False
-    return plan.relation().fileFormat().toString() == "Parquet"
+    files = plan.relation()
+    return files.fileFormat().toString() == "Parquet" and files.location().rootPaths().size() == 1  # of several, one may be read twice
 
 
 def placed(docs: DataFrame) -> DataFrame:

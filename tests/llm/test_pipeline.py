@@ -132,6 +132,10 @@ def test_near_dedup_from_files_and_rows(spark, tmp_path):
     docs.repartition(3).write.parquet(str(tmp_path / "docs"))
     for table in (docs, spark.read.parquet(str(tmp_path / "docs"))):
         assert sorted(x.text for x in corpus_pipeline.near_dedup(spark, table, "").collect()) == sorted(some)
+    path = str(tmp_path / "docs")
+    twice = spark.read.parquet(path, path)
+    assert twice.count() == 14 and corpus_pipeline.near_dedup(spark, twice, "").count() == 5
+    assert corpus_pipeline.line_dedup(spark, twice, "").count() == corpus_pipeline.line_dedup(spark, docs.union(docs), "").count() == 14
 
 
 def test_registry_has_one_query_for_each_operator():
