@@ -46,17 +46,26 @@ def rank_desc(value: str, scope: Sequence[str], out: str):
     return F.rank().over(Window.partitionBy(*scope).orderBy(F.col(value).desc_nulls_last())).cast("long").alias(out)
 
 
+def rank_from_below(value: str, scope: Sequence[str], out: str):
+    """``rank_desc`` over the order of ``percent_rank``, so both share one sort: the known rows of the scope less those up to this value."""
+    pool = Window.partitionBy(*scope)
+    upto = F.count("*").over(pool.orderBy(F.col(value).asc_nulls_last()).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    known = F.count(value).over(pool)
+    return F.when(F.col(value).isNull(), known + 1).otherwise(known - upto + 1).alias(out)
+
+
 def standing(df: DataFrame, scopes: dict[str, Sequence[str]], fit: str, level: str) -> DataFrame:
     """For each named scope the percentile by fit and by level, the rank by fit and the pool size; the level itself is dropped.
 
-    Windows of one scope share its partitioning and, where they can, its sort.
+    A scope takes one shuffle and two sorts: whatever is told by fit comes from the same one. Windows spill,
+    and pools are many; for few and very large ones there is ``standing_by_counts``.
     """
     columns = []
     for name, scope in scopes.items():
         columns += [
             percent_rank(fit, scope, f"pctile_{name}"),
+            rank_from_below(fit, scope, f"rank_{name}"),
             percent_rank(level, scope, f"level_{name}"),
-            rank_desc(fit, scope, f"rank_{name}"),
             F.count("*").over(Window.partitionBy(*scope)).alias(f"n_{name}"),
         ]
     return df.select("*", *columns).drop(level)
@@ -104,6 +113,8 @@ def place_from_top():
 def standing_by_counts(df: DataFrame, scopes: dict[str, Sequence[str]], fit: str, level: str | None = None, keep=None) -> DataFrame:
     """W2 for large pools: ``standing`` from histograms, so no window holds a pool's rows and no pool is sorted.
 
+    It pays where a pool has many more rows than distinct values; in the given tables it has not.
+
     ``keep`` stores the input once (a checkpoint into shared storage), as every scope reads it twice.
     """
     df = keep(df) if keep else df

@@ -10,7 +10,6 @@ from snapstats.operators import relational as R
 from snapstats.operators import scoring, sequences
 from snapstats.plans import frames as X
 from snapstats.plans.catalog import query
-from snapstats.session import checkpoint
 from snapstats.sources import adapters as A
 
 C = F.col
@@ -18,8 +17,8 @@ C = F.col
 
 @query("w1_percentile_and_rank", "SELECT season, phase, tid, method, role, round(100 * percent_rank() OVER (PARTITION BY season, phase, method, role ORDER BY rating), 1) AS pctile, rank() OVER (PARTITION BY season, phase, method, role ORDER BY rating DESC) AS rank_overall FROM score")
 def w1(spark, d):
-    s = X.scores(spark, d).select("season", "phase", "tid", "method", "role", "rating")
-    return scoring.with_places(s, ["season", "phase", "method", "role"], "rating", {"pctile": scoring.share_below(), "rank_overall": scoring.place_from_top()}).drop("rating")
+    scope = ["season", "phase", "method", "role"]
+    return X.scores(spark, d).select("season", "phase", "tid", "method", "role", scoring.percent_rank("rating", scope, "pctile"), scoring.rank_from_below("rating", scope, "rank_overall"))
 
 
 SCOPES = {"all": ["season", "phase", "method", "position"], "club": ["season", "phase", "method", "position", "club"], "league": ["season", "phase", "method", "position", "league"]}
@@ -34,7 +33,7 @@ _W2 = ", ".join(
 @query("w2_effective_table", f"SELECT season, phase, tid, method, position, eff, {_W2} FROM eff")
 def w2(spark, d):
     e = X.effective(spark, d).select("season", "phase", "tid", "method", "position", "club", "league", "ability", "eff")
-    return scoring.standing_by_counts(e, SCOPES, "eff", "ability", keep=checkpoint).drop("club", "league")
+    return scoring.standing(e, SCOPES, "eff", "ability").drop("club", "league")
 
 
 @query("w2_effective_table_by_counts", "SELECT season, phase, tid, method, position, round(100 * percent_rank() OVER w, 1) AS pctile_all, rank() OVER (PARTITION BY season, phase, method, position ORDER BY eff DESC) AS rank_all, count(*) OVER (PARTITION BY season, phase, method, position) AS n_all FROM eff WINDOW w AS (PARTITION BY season, phase, method, position ORDER BY eff)")

@@ -86,6 +86,9 @@ def test_standing_by_counts_is_the_window(spark):
     a = sorted((str(x.g), x.v, x.pctile_s, x.rank_s, x.n_s) for x in scoring.standing_by_counts(df, {"s": ["g"]}, "v").collect())
     b = df.select("g", "v", scoring.percent_rank("v", ["g"], "p"), scoring.rank_desc("v", ["g"], "r"), F.count("*").over(__import__("pyspark").sql.Window.partitionBy("g")).alias("n"))
     assert a == sorted((str(x.g), x.v, x.p, x.r, x.n) for x in b.collect())
+    nulls = df.unionByName(spark.createDataFrame([("x", None), ("x", None), ("w", None)], "g string, v double")).withColumn("l", F.col("v") * 7 % 5)
+    c, d = (sorted((str(tuple(x)) for x in f(nulls, {"s": ["g"]}, "v", "l").select("g", "v", "pctile_s", "rank_s", "level_s", "n_s").collect())) for f in (scoring.standing, scoring.standing_by_counts))
+    assert c == d
 
 
 def test_mirror_dedup(spark):
