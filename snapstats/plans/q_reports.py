@@ -78,8 +78,8 @@ _SQUAD = f"SELECT season, phase, tid, club, league, position, {_UNIT} AS unit, e
 
 def squad_frame(spark, d):
     """Each entity at its primary position, with its index and percentile against all who can play there."""
-    e = X.effective(spark, d).where("method = 'm0'")
-    e = scoring.index_within(e, "eff", ["season", "phase", "position"], "pos_index")
+    e = X.effective(spark, d).where("method = 'm0'").select("season", "phase", "tid", "club", "league", "position", "familiarity", "eff")
+    e = scoring.index_within(e, "eff", ["season", "phase", "position"], "pos_index", keep=checkpoint)
     e = e.select("*", scoring.percent_rank("eff", ["season", "phase", "position", "league"], "pctile"))
     first = R.first_per_key(e, ["season", "phase", "tid"], [F.desc("familiarity"), "position"])
     return first.select("season", "phase", "tid", "club", "league", "position", A.unit_of(C("position")).alias("unit"), "eff", "pos_index", "pctile")

@@ -10,6 +10,7 @@ from snapstats.operators import relational as R
 from snapstats.operators import scoring, sequences
 from snapstats.plans import frames as X
 from snapstats.plans.catalog import query
+from snapstats.session import checkpoint
 from snapstats.sources import adapters as A
 
 C = F.col
@@ -44,7 +45,8 @@ def w2_counts(spark, d):
 
 @query("w3_position_index", "SELECT season, phase, tid, method, position, round(coalesce(100 + 15 * (eff - avg(eff) OVER w) / nullif(stddev_samp(eff) OVER w, 0), 100.0), 1) AS pos_index FROM eff WINDOW w AS (PARTITION BY season, phase, method, position)")
 def w3(spark, d):
-    return scoring.index_within(X.effective(spark, d), "eff", SCOPES["all"], "pos_index").select("season", "phase", "tid", "method", "position", "pos_index")
+    e = X.effective(spark, d).select("season", "phase", "tid", "method", "position", "eff")
+    return scoring.index_within(e, "eff", SCOPES["all"], "pos_index", keep=checkpoint).drop("eff")
 
 
 @query("w4_depth", "SELECT season, phase, tid, role, position, rank() OVER (PARTITION BY season, phase, role ORDER BY eff DESC) AS depth FROM eff WHERE method = 'm0' AND club = 3")
