@@ -103,6 +103,19 @@ def insert_absent(old: DataFrame, defaults: DataFrame, keys: Sequence[str]) -> D
     return old.unionByName(defaults.join(old.select(*keys).distinct(), list(keys), "left_anti"), allowMissingColumns=True)
 
 
+def reseed(old: DataFrame, new: DataFrame, defaults: DataFrame, key: str, required: Sequence[str]) -> DataFrame:
+    """The named keys are replaced whole, defaults only fill in keys that are absent.
+
+    Nothing is returned to be written if a new row lacks a required value: the whole change is refused.
+    """
+    lacks = F.lit(False)
+    for c in (key, *required):
+        lacks = lacks | F.col(c).isNull()
+    if bad := new.where(lacks).limit(1).count():
+        raise ValueError(f"a new row lacks one of {[key, *required]}: {bad} or more of them")
+    return insert_absent(upsert(old, new, [key]), defaults, [key])
+
+
 def fallback_names(df: DataFrame, names: DataFrame, key: str, name: str) -> DataFrame:
     """Fill a missing name from the reference table."""
     return df.join(names.select(key, F.col(name).alias("__n")), key, "left").withColumn(name, F.coalesce(name, "__n")).drop("__n")

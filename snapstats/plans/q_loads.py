@@ -109,9 +109,11 @@ def l12(spark, d):
     return L.reconcile(A.entities(spark, d), o.groupBy(F.year("o_orderdate").cast("long").alias("season")).agg(F.count("*").alias("expected")), ["season"])
 
 
-@query("l13_slice_collisions", "SELECT season, string_agg(phase, ',' ORDER BY phase) AS labels, count(*) AS n, max(phase) AS kept FROM slices GROUP BY season HAVING count(*) > 1")
+@query("l13_slice_collisions", "SELECT CAST(year(o_orderdate) AS BIGINT) AS season, strftime(date_trunc('quarter', o_orderdate), '%Y-%m-%d') AS phase, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS labels, count(DISTINCT o_orderstatus) AS n, max(o_orderstatus) AS kept FROM orders GROUP BY ALL HAVING count(DISTINCT o_orderstatus) > 1")
 def l13(spark, d):
-    s = A.slices(spark, d).groupBy("season").agg(F.array_join(F.array_sort(F.collect_list("phase")), ",").alias("labels"), F.count("*").alias("n"), F.max("phase").alias("kept"))
+    """Labels that load into the same slice; the last one wins."""
+    o = A.table(spark, d, "orders").select(F.year("o_orderdate").cast("long").alias("season"), F.date_format(F.date_trunc("quarter", "o_orderdate"), "yyyy-MM-dd").alias("phase"), C("o_orderstatus").alias("label")).distinct()
+    s = o.groupBy("season", "phase").agg(F.array_join(F.array_sort(F.collect_list("label")), ",").alias("labels"), F.count("*").alias("n"), F.max("label").alias("kept"))
     return s.where("n > 1")
 
 
@@ -129,13 +131,20 @@ def l15(spark, d):
     return R.fallback_names(e, n, "club", "name").select("season", "phase", "tid", "name")
 
 
+@query("l15_child_names", "SELECT anchor, app.tid, e.name FROM app LEFT JOIN (SELECT season, phase, tid, coalesce(CASE WHEN ck % 3 <> 0 THEN name END, n_name) AS name FROM ent LEFT JOIN nation ON n_nationkey = club) e USING (season, phase, tid)")
+def l15_children(spark, d):
+    """The names, filled in where they were missing, on every row that belongs to the entity."""
+    names = l15(spark, d)
+    return A.appearances(spark, d).select("anchor", "season", "phase", "tid").join(names, ["season", "phase", "tid"], "left").select("anchor", "tid", "name")
+
+
 @query("l16_keyed_reseed", "SELECT o_orderstatus AS method, o_orderkey AS k, 'old' AS src FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_orderstatus <> 'O' UNION ALL SELECT 'O', o_orderkey, 'new' FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 2 = 0 UNION ALL SELECT 'P', o_orderkey, 'default' FROM orders WHERE o_orderstatus = 'P'")
 def l16(spark, d):
     """Named methods are replaced whole; defaults only fill in methods that are absent."""
     o = A.table(spark, d, "orders").select(C("o_orderstatus").alias("method"), C("o_orderkey").alias("k"))
     old = o.where("method in ('F', 'O')").withColumn("src", F.lit("old"))
     new = o.where("method = 'O' and k % 2 = 0").withColumn("src", F.lit("new"))
-    return R.insert_absent(R.upsert(old, new, ["method"]), o.withColumn("src", F.lit("default")), ["method"])
+    return R.reseed(old, new, o.withColumn("src", F.lit("default")), "method", ["k"])
 
 
 @query("l17_clone_weights", "SELECT season, phase, tid, 'm0-copy' AS method, role, CAST(sum(value * coalesce(weight, 1)) AS BIGINT) AS rating FROM (SELECT * FROM (UNPIVOT (SELECT season, phase, tid, a0, a1, a2, a3, a4, a5, a6, a7 FROM attr) ON a0, a1, a2, a3, a4, a5, a6, a7 INTO NAME attribute VALUE value), (SELECT DISTINCT role FROM wgt WHERE method = 'm0' AND weight > 2)) v LEFT JOIN (SELECT role, attribute, weight FROM wgt WHERE method = 'm0' AND weight > 2) w USING (role, attribute) GROUP BY ALL")

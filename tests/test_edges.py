@@ -286,3 +286,11 @@ def test_keyed_and_commented_files(spark, tmp_path):
 
 def test_fold_takes_every_mark(spark):
     assert one(spark, S.fold(F.col("t")), t="Kırklareli ŞİŞLİ ğ Č ő ẞ e\u0301 Ǎ Straße") == "kirklareli sisli g c o ss e a strasse"
+
+
+def test_reseed_refuses_a_malformed_change(spark):
+    old, new, default = (spark.createDataFrame(rows, "method string, k long") for rows in ([("a", 1), ("b", 2)], [("b", 5)], [("b", 9), ("c", 3)]))
+    assert sorted(tuple(r) for r in relational.reseed(old, new, default, "method", ["k"]).collect()) == [("a", 1), ("b", 5), ("c", 3)]
+    for bad in ([("b", None)], [(None, 1)]):
+        with pytest.raises(ValueError):
+            relational.reseed(old, spark.createDataFrame([("b", 5), *bad], "method string, k long"), default, "method", ["k"])
