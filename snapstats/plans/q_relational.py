@@ -27,7 +27,7 @@ def j1(spark, d):
 @query("j2_same_dimension_twice", "SELECT anchor, h.n_name AS home_name, a.n_name AS away_name FROM fix LEFT JOIN nation h ON h.n_nationkey = home LEFT JOIN nation a ON a.n_nationkey = away")
 def j2(spark, d):
     f, n = A.fixtures(spark, d), A.table(spark, d, "nation").select("n_nationkey", "n_name")
-    h, a = (F.broadcast(n.withColumnsRenamed({"n_nationkey": k, "n_name": f"{k}_name"})) for k in ("home", "away"))
+    h, a = (n.withColumnsRenamed({"n_nationkey": k, "n_name": f"{k}_name"}) for k in ("home", "away"))
     return f.join(h, "home", "left").join(a, "away", "left").select("anchor", "home_name", "away_name")
 
 
@@ -120,7 +120,7 @@ def j13(spark, d):
 @query("j14_eligibility", "SELECT season, phase, tid, n_nationkey IS NOT NULL AS eligible, CASE WHEN ck % 5 <> 0 THEN n_name END AS origin FROM ent LEFT JOIN (SELECT * FROM nation WHERE n_regionkey IN (0, 2)) ON n_nationkey = club")
 def j14(spark, d):
     n = A.table(spark, d, "nation").where("n_regionkey in (0, 2)").select(C("n_nationkey").cast("long").alias("club"), "n_name")
-    e = A.entities(spark, d).join(F.broadcast(n), "club", "left")
+    e = A.entities(spark, d).join(n, "club", "left")
     return e.select("season", "phase", "tid", C("n_name").isNotNull().alias("eligible"), F.when(C("ck") % 5 != 0, C("n_name")).alias("origin"))
 
 

@@ -25,7 +25,7 @@ _UNIT = "'u' || (CAST(substr(position, 2) AS BIGINT) % 4)"
 def r1(spark, d):
     n = A.table(spark, d, "nation").select(C("n_nationkey").cast("long").alias("them"), C("n_name").alias("opponent"))
     own = R.latest_slice(X.results(spark, d), ["season"], "phase").where(C("us") == US)
-    return own.join(F.broadcast(n), "them", "left").select("anchor", C("date").cast("string").alias("date"), "venue", "opponent", "gf", "ga", "result", "pts")
+    return own.join(n, "them", "left").select("anchor", C("date").cast("string").alias("date"), "venue", "opponent", "gf", "ga", "result", "pts")
 
 
 @query("r2_enriched_appearances", "SELECT anchor, c.tid, started, minutes, goals, e.name, p.position FROM cur c JOIN ent e USING (season, phase, tid) LEFT JOIN (SELECT season, phase, tid, position FROM (SELECT *, row_number() OVER (PARTITION BY season, phase, tid ORDER BY familiarity DESC, position) AS k FROM pos) WHERE k = 1) p USING (season, phase, tid)")
@@ -211,7 +211,7 @@ def r18(spark, d):
     n = A.table(spark, d, "nation").where("n_regionkey in (0, 2)").select(C("n_nationkey").cast("long").alias("club"), C("n_name").alias("origin"))
     best = R.first_per_key(X.effective(spark, d).where("method = 'm0'"), ["phase", "tid"], [F.desc("eff"), "position"])
     age = S.season_age(C("season"), C("dob"))
-    return best.join(F.broadcast(n), "club").where(age <= 22).select("phase", "tid", "role", "origin", age.alias("age"))
+    return best.join(n, "club").where(age <= 22).select("phase", "tid", "role", "origin", age.alias("age"))
 
 
 @query("r19_team_vs_league", f"SELECT phase, unit, club, rank() OVER (PARTITION BY phase, unit, league ORDER BY s DESC) AS place, q1, q3 FROM (SELECT phase, unit, league, club, CAST(sum(CAST(round(pos_index * 10) AS BIGINT)) AS DOUBLE) / count(*) AS s, quantile_cont(CAST(round(pos_index * 10) AS BIGINT), 0.25) AS q1, quantile_cont(CAST(round(pos_index * 10) AS BIGINT), 0.75) AS q3 FROM ({_SQUAD}) GROUP BY ALL)")
@@ -230,7 +230,7 @@ def r20(spark, d):
 @query("r21_bio", "SELECT season, phase, tid, CAST(datediff('year', dob, CAST(phase AS DATE)) - CASE WHEN (month(CAST(phase AS DATE)), day(CAST(phase AS DATE))) < (month(dob), day(dob)) THEN 1 ELSE 0 END AS BIGINT) AS age, ability * 1000 AS value, n_name AS origin, CASE WHEN ck % 6 = 0 THEN 'loan' WHEN ck % 4 = 0 THEN 'reserve' ELSE 'first' END AS status FROM ent LEFT JOIN nation ON n_nationkey = ck % 30")
 def r21(spark, d):
     n = A.table(spark, d, "nation").select(C("n_nationkey").cast("long").alias("from"), C("n_name").alias("origin"))
-    e = A.entities(spark, d).withColumn("from", C("ck") % 30).join(F.broadcast(n), "from", "left")
+    e = A.entities(spark, d).withColumn("from", C("ck") % 30).join(n, "from", "left")
     return e.select("season", "phase", "tid", S.age_at(C("dob"), F.to_date("phase")).alias("age"), (C("ability") * 1000).alias("value"), "origin", S.status(C("ck") % 6 == 0, C("ck") % 4 == 0).alias("status"))
 
 

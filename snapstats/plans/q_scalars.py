@@ -62,7 +62,7 @@ _over("l21_clean_numbers", lambda s, d: A.table(s, d, "orders"), ("o_orderkey",)
 @query("p11_code_maps", "SELECT season, phase, tid, position, 'r' || (CAST(substr(position, 2) AS BIGINT) % 4) AS role, 'u' || (CAST(substr(position, 2) AS BIGINT) % 4) AS unit FROM pos")
 def p11(spark, d):
     codes = spark.createDataFrame([(f"P{i}", f"r{i % 4}", f"u{i % 4}") for i in range(A.POSITIONS)], "position string, role string, unit string")
-    return A.positions(A.entities(spark, d)).join(F.broadcast(codes), "position").select(*_ID, "position", "role", "unit")
+    return A.positions(A.entities(spark, d)).join(codes, "position").select(*_ID, "position", "role", "unit")
 
 
 @query("p15_our_side", "SELECT anchor, us, them, gf, ga, venue, result, pts FROM res WHERE us = 7")
