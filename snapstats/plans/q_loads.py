@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from snapstats.functions import scalars as S
 from snapstats.operators import loads as L
 from snapstats.operators import relational as R
 from snapstats.operators import scoring

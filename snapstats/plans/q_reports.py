@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from snapstats.functions import scalars as S
 from snapstats.operators import relational as R
 from snapstats.operators import scoring
-from snapstats.operators import sequences as Q
 from snapstats.plans import frames as X
 from snapstats.plans.catalog import query
 from snapstats.plans.q_windows import top_values
