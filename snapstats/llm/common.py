@@ -277,12 +277,6 @@ def split_runs(sorted_values: np.ndarray) -> np.ndarray:
     return first
 
 
-def ranks(first: np.ndarray) -> np.ndarray:
-    """The number of each entry in its group, from where groups begin."""
-    at = np.flatnonzero(first)
-    return np.arange(len(first)) - np.repeat(at, np.diff(np.append(at, len(first))))
-
-
 def pack_ints(values: np.ndarray, steps: bool = False) -> bytes:
     """Whole numbers in as few bytes each as the largest needs; with ``steps`` their differences, which are small for keys in order."""
     values = values.astype(np.int64, copy=False)
@@ -437,13 +431,12 @@ def received(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[Found, np.ndar
 class Occurrences:
     """What a task has found and not sent yet.
 
-    Of each hash the first ``copies`` occurrences go to the hash's bucket; the others are known to repeat
-    those. With ``all_known`` the first ones of a hash with more than that are known to be repeated as well,
-    and go both ways.
+    Of each hash the first occurrence goes to the hash's bucket; the others are known to repeat it. With
+    ``all_known`` the first of several is known to be repeated as well, and goes both ways.
     """
 
-    def __init__(self, n_buckets: int, copies: int = 1, all_known: bool = False):
-        self.n_buckets, self.copies, self.all_known, self.parts, self.n = n_buckets, copies, all_known, [], 0
+    def __init__(self, n_buckets: int, all_known: bool = False):
+        self.n_buckets, self.all_known, self.parts, self.n = n_buckets, all_known, [], 0
 
     def add(self, h, g, k, p) -> Iterator[pa.RecordBatch]:
         if len(h):
@@ -457,9 +450,8 @@ class Occurrences:
             return
         found, first = Found.concat(self.parts).sorted()
         self.parts, self.n = [], 0
-        nth = ranks(first)
-        rest = ~(first & np.append(first[1:], True)) if self.all_known else nth >= self.copies
-        reps, rest = found.take(nth < self.copies), found.take(rest)
+        rest = ~(first & np.append(first[1:], True)) if self.all_known else ~first
+        reps, rest = found.take(first), found.take(rest)
         del found, first
         yield from send(self.n_buckets, False, reps)
         yield from send(self.n_buckets, True, rest)
