@@ -62,14 +62,23 @@ def j12(spark, d):
     return Q.overlap_once(_spells(spark, d, "click"), _spells(spark, d, "purchase"), ["tid"])
 
 
-@query("t5_timeline", f"SELECT x.tid, 'exact' AS source, CAST(x.b AS VARCHAR) AS b, CAST(x.e AS VARCHAR) AS e, m.right_id AS folded FROM {_SP.format(bit=2)} x LEFT JOIN (SELECT * FROM {_MET} WHERE i = 1 AND j = 1) m ON m.left_id = x.id UNION ALL SELECT tid, 'window', CAST(b AS VARCHAR), CAST(e AS VARCHAR), NULL FROM {_SP.format(bit=32)} y WHERE y.id NOT IN (SELECT right_id FROM {_MET} WHERE i = 1 AND j = 1)")
+_NEWEST = "(SELECT max(date) FROM wk)"
+
+
+@query("t5_timeline", f"SELECT tid, source, CAST(b AS VARCHAR) AS b, CAST(e AS VARCHAR) AS e, folded, e >= {_NEWEST} - 1 AS ongoing FROM (SELECT x.tid, 'exact' AS source, x.b, x.e, m.right_id AS folded FROM {_SP.format(bit=2)} x LEFT JOIN (SELECT * FROM {_MET} WHERE i = 1 AND j = 1) m ON m.left_id = x.id UNION ALL SELECT tid, 'window', b, e, NULL FROM {_SP.format(bit=32)} y WHERE y.id NOT IN (SELECT right_id FROM {_MET} WHERE i = 1 AND j = 1) UNION ALL SELECT o.tid, 'observed', o.b, o.e, NULL FROM {_SP.format(bit=1)} o WHERE NOT EXISTS (SELECT 1 FROM {_SP.format(bit=2)} x WHERE x.tid = o.tid AND x.b <= o.e AND o.b <= x.e))")
 def t5(spark, d):
-    """Exact spells, with the window that each absorbs, and the windows that none does."""
-    a, b = _spells(spark, d, "click"), _spells(spark, d, "purchase")
+    """Exact spells, with the window that each absorbs; the windows that none does; the observed runs that no exact spell touches. Those that reach the newest day are ongoing."""
+    a, b, seen = (_spells(spark, d, kind) for kind in ("click", "purchase", "error"))
     met = Q.overlap_once(a, b, ["tid"])
-    exact = a.join(met.select(C("left_id").alias("id"), C("right_id").alias("folded")), "id", "left").select("tid", F.lit("exact").alias("source"), C("begin").cast("string").alias("b"), C("end").cast("string").alias("e"), "folded")
-    alone = b.join(met.select(C("right_id").alias("id")), "id", "left_anti").select("tid", F.lit("window").alias("source"), C("begin").cast("string").alias("b"), C("end").cast("string").alias("e"), F.lit(None).cast("string").alias("folded"))
-    return exact.unionByName(alone)
+    row = lambda df, source, folded: df.select("tid", F.lit(source).alias("source"), "begin", "end", folded.cast("string").alias("folded"))
+    exact = row(a.join(met.select(C("left_id").alias("id"), C("right_id").alias("folded")), "id", "left"), "exact", C("folded"))
+    alone = row(b.join(met.select(C("right_id").alias("id")), "id", "left_anti"), "window", F.lit(None))
+    o, x = seen.alias("o"), a.alias("x")
+    runs = o.join(x, (C("o.tid") == C("x.tid")) & (C("x.begin") <= C("o.end")) & (C("o.begin") <= C("x.end")), "left_anti")
+    every = exact.unionByName(alone).unionByName(row(runs, "observed", F.lit(None)))
+    newest = A.weekly_status(spark, d).agg(F.max("date").alias("newest"))
+    out = every.crossJoin(F.broadcast(newest))  # one row
+    return out.select("tid", "source", C("begin").cast("string").alias("b"), C("end").cast("string").alias("e"), "folded", (C("end") >= F.date_sub("newest", 1)).alias("ongoing"))
 
 
 _AT = "lpad(CAST(season AS VARCHAR), 4, '0') || phase"
