@@ -34,6 +34,8 @@ CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 #: The id after each document.
 END = 0
+#: Bytes of whole texts that are encoded at once.
+AT_ONCE = 1 << 20
 #: Words in one generation of the cache, and the longest that is kept.
 CACHED = 400_000
 LONG = 256
@@ -129,7 +131,7 @@ def _tokenize(path: str | None, capacity: int):
 
         ids = WordIds(path or public_tokenizers.path(TOKENIZER))
         part, count, end, width = TaskContext.get().partitionId(), Counter(), int(END).to_bytes(4, "little"), 4 * capacity
-        for keys, data, at, _, _ in blocks(batches):
+        for keys, data, at, _, _ in blocks(batches, AT_ONCE):
             raw = data.tobytes()
             rows: list[tuple] = []
             for key, own in zip(keys.tolist(), ids.of([raw[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())])):
