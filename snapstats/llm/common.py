@@ -5,8 +5,8 @@ Four things recur:
 * ``placed`` knows each row by its place, whatever its key: keys may be null or repeat;
 * ``frame`` narrows a documents table to a key and a text, so that extra or clashing columns of the
   caller never meet a join, and so that only two columns leave the scan;
-* ``Hasher`` hashes byte or word ranges of whole Arrow buffers with numpy, without a Python step per
-  word;
+* ``word_ids`` and ``windows_of`` hash the words of whole Arrow buffers and runs of words with numpy, without a
+  Python step per word;
 * the *packed exchange*: a task sends one row per bucket that holds many hashes as binary arrays. It
   shuffles 8 bytes a hash instead of a row a hash, and each task sends a hash once however often it saw
   it, so a hash that fills a third of the corpus arrives once per batch, not once per row. Spark sorts a
@@ -26,6 +26,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -219,10 +220,62 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Words beyond so many bytes are hashed one by one.
+LONG_WORD = 64
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def word_ids(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64 bits for each byte range: eight bytes at a time are mixed in, from a key that the length selects.
+
+    Ranges of eight bytes or fewer that differ, but are equally long, differ in their ids. Nothing is linear in
+    the letters, so no arrangement of them makes two words equal for every seed.
+    """
+    keys = np.random.default_rng(seed).integers(0, 2**64, LONG_WORD + 1, np.uint64)
+    n = end - start
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+    out = keys[np.minimum(n, LONG_WORD)]
+    for k in range(0, LONG_WORD, 8):
+        at = np.flatnonzero(n > k) if k else slice(None)
+        if not len(n[at]):
+            break
+        out[at] = mix(out[at] ^ (eight[start[at] + k] & _FIRST_BYTES[np.minimum(n[at] - k, 8)]))
+    for i in np.flatnonzero(n > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), seed)
+    return out
+
+
+def paired(a: np.ndarray, b: np.ndarray, key: int) -> np.ndarray:
+    """The hash of a sequence from those of its two parts; the order counts."""
+    return mix(a * np.uint64(0xC2B2AE3D27D4EB4F) + (b ^ np.uint64(key)))
+
+
+def windows_of(ids: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
+    """The hash of each run of ``width`` ids, from those of runs half as long, and so on: about log2(width) steps."""
+    keys = [int(x) for x in np.random.default_rng(seed + 7).integers(0, 2**64, 128, np.uint64)]
+    out, done, size, now = None, 0, 1, ids
+    while len(ids) >= width:
+        if width & size:
+            if out is None:
+                out = now
+            else:  # the part so far stands before that of this size
+                n = len(ids) - done - size + 1
+                out = paired(out[:n], now[done : done + n], keys[64 + size.bit_length()])
+            done += size
+        if done == width:
+            return out
+        now = paired(now[: len(now) - size], now[size:], keys[size.bit_length()])
+        size *= 2
+    return np.zeros(0, np.uint64)
+
+
 class Hasher:
-    """Polynomial hashes modulo 2^64 of ranges of a sequence of 64-bit values.
+    """Polynomial hashes modulo 2^64 of ranges of a sequence of 64-bit values, for ranges of a few hundred values.
 
-    Equal ranges have equal hashes wherever they stand. With prefix sums ``s`` of ``v[i] * base**i``, the
+    There are sequences of 1,024 values and more that collide whatever the base; nothing that long may be hashed
+    with it. Equal ranges have equal hashes wherever they stand. With prefix sums ``s`` of ``v[i] * base**i``, the
     hash of [i, j) is ``(s[j] - s[i]) * base**-i``.
     """
 
@@ -285,6 +338,27 @@ def pack_ints(values: np.ndarray, steps: bool = False) -> bytes:
     return bytes([width]) + (values[:1].tobytes() if steps else b"") + kept.astype(f"<i{width}").tobytes()
 
 
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Unsigned 64-bit values in order: the first, then their steps in as many bytes as the largest needs."""
+    if not len(values):
+        return b""
+    steps = np.diff(values)
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
+    return bytes([width]) + values[:1].tobytes() + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.uint64)
+    width = data[0]
+    steps = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    out = np.zeros((len(steps) + 1, 8), np.uint8)
+    out[1:, :width] = steps
+    out = out.reshape(-1).view(np.uint64)
+    out[0] = np.frombuffer(data, np.uint64, 1, 1)[0]
+    return np.cumsum(out, dtype=np.uint64)
+
+
 def unpack_ints(data: bytes, steps: bool = False) -> np.ndarray:
     if len(data) < 2:
         return np.zeros(0, np.int64)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from snapstats.llm import decontaminate, langid, packing, pipeline, quality, repeats, secret_scan, sharding, simhash, suffixes
+from snapstats.llm import collocations, decontaminate, langid, packing, pipeline, quality, repeats, runs, secret_scan, sharding, simhash, stream_dedup, suffixes
 
 
 def queries():
@@ -17,6 +17,9 @@ def queries():
         "op8_language_bitmask": langid.op8_language_bitmask,
         "op9_permutation_table": sharding.op9_permutation_table,
         "op10_fm_index_decontamination": decontaminate.op10_fm_index_decontamination,
+        "op11_de_bruijn": collocations.op11_de_bruijn,
+        "op12_stream_dedup": stream_dedup.op12_stream_dedup,
+        "op13_basic_factors": runs.op13_basic_factors,
         "pipeline": pipeline.run,
     }
 
@@ -27,4 +30,6 @@ def oracle_sql():
         "op6_difference_cover": repeats.OP6_SQL,
         "op7_line_windows": repeats.OP7_SQL,
         "op10_fm_index_decontamination": decontaminate.OP10_SQL,
+        "op11_de_bruijn": collocations.OP11_SQL,
+        "op12_stream_dedup": stream_dedup.OP12_SQL,
     }
