@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from snapstats.llm.common import AT, FILE, stored
 from snapstats.session import shared_dir
 
+#: Bytes of input for each state store, and the fewest stores. A store takes 4 MB of local disk before its first entry, so there are no more than the input asks for.
+STORE_BYTES, LEAST_STORES = 16 << 20, 12
 UPPER, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: The state store on disk; its buffers share a bounded piece of an executor's memory.
@@ -56,8 +58,12 @@ def _located(table: DataFrame, key: str, text: str, digest: Callable[[Column], C
 
 
 def advance(spark: SparkSession, path: str, folder: str, *, key: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256, files_at_once: int | None = None) -> None:
-    """Take what is new below ``path`` into the state of ``folder``, and end."""
-    source = spark.readStream.schema(spark.read.parquet(path).select(key, text).schema)
+    """Take what is new below ``path`` into the state of ``folder``, and end. The first call settles how many stores there are."""
+    table = spark.read.parquet(path)
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    stores = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(LEAST_STORES, size // STORE_BYTES))
+    conf = CONF | {"spark.sql.streaming.internal.stateStore.partitions": str(stores)}
+    source = spark.readStream.schema(table.select(key, text).schema)
     if files_at_once:
         source = source.option("maxFilesPerTrigger", files_at_once)
     # as a pattern, the path may be a file as well as a folder
@@ -66,8 +72,8 @@ def advance(spark: SparkSession, path: str, folder: str, *, key: str = "doc_id",
     def changed(entries: DataFrame, batch: int) -> None:
         entries.write.mode("overwrite").parquet(f"{folder}/changed/batch={batch}")
 
-    before = {name: spark.conf.get(name, None) for name in CONF}
-    for name, value in CONF.items():
+    before = {name: spark.conf.get(name, None) for name in conf}
+    for name, value in conf.items():
         spark.conf.set(name, value)
     try:
         query = state.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(changed).trigger(availableNow=True).start()
