@@ -6,6 +6,10 @@ a piece goes on nowhere, so its node gets an edge to the end, the piece-end corr
 run of three occurs as often as edges leave its node; a run of two as often as flow leaves the runs of three that
 begin with it, plus how often it ends a piece; a word likewise.
 
+Two passes read the texts. The first counts words; one of them in fewer than ``least`` places is in no phrase, so for the
+graph it ends a piece as punctuation does. Tasks tell such words by a bitmap of a fixed 2 MB that is broadcast: a rare word
+whose bit is set costs some edges and changes no result.
+
 A task aggregates the edges of a million words and their flow before it sends them, so a passage in a third of all
 documents arrives once a batch. Edges are dealt by node, pairs by pair, words by word: a hot pair's edges are
 spread over its nodes, and its own count arrives as partial sums. On the wire a batch has a dictionary of the words it
@@ -41,6 +45,8 @@ NO_LANG = "und"
 HELD, BUCKET = 1_000_000, 16 << 20
 #: Stands for the end of a piece; no word has it.
 END = 0
+#: Bits of the map of words that occur often enough.
+MAP_BITS = 1 << 24
 
 #: What parts pieces, and what parts words.
 PIECE = np.zeros(256, bool)
@@ -49,21 +55,12 @@ GAP = PIECE.copy()
 GAP[[9, 32]] = True
 _LOWER = np.frombuffer(LOWER, np.uint8)
 
-_SENT = "bucket int, kind int, words binary, a binary, b binary, c binary, d binary, n binary, texts array<binary>, langs array<string>"
-#: Runs of a size, 0 for words that are not there; ``alone`` marks an edge that is all of its node; texts of single words only.
-_COUNTED = "size int, w1 long, w2 long, w3 long, w4 long, n long, alone boolean, lang string, text string"
-
-
-class Batch:
-    """Words of a task: their ids, how many follow in the piece, and where the text of each is."""
-
-    def __init__(self):
-        self.ids, self.left, self.texts, self.n = [], [], {}, 0
-
-    def add(self, ids: np.ndarray, left: np.ndarray) -> None:
-        self.ids.append(ids)
-        self.left.append(left)
-        self.n += len(ids)
+_WORDS = "bucket int, ids binary, n binary, lang binary, langs array<string>, texts array<binary>"
+#: Words that occur often enough; without an id and a text, how many words a language has.
+_NAMED = "w long, lang string, text string, n long"
+_SENT = "bucket int, kind int, words binary, a binary, b binary, c binary, d binary, n binary"
+#: Runs of a size, 0 for words that are not there; ``alone`` marks an edge that is all of its node.
+_COUNTED = "size int, w1 long, w2 long, w3 long, w4 long, n long, alone boolean"
 
 
 def pieces(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -79,9 +76,104 @@ def pieces(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return data, start, end, left
 
 
-def _by_lang(batch: pa.RecordBatch, first: int, rows: int) -> tuple[list[str], np.ndarray]:
-    langs = [x if x is not None else NO_LANG for x in batch.column("lang").slice(first, rows).to_pylist()]
-    return langs, np.array([xxhash.xxh3_64_intdigest(x, 5) for x in langs], np.uint64)
+def _ids(batch: pa.RecordBatch, first: int, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Lower-case bytes; of each word its start, end, row, how many are left in its piece, and its id, which tells languages apart; the languages of the rows."""
+    langs = [x if x is not None else NO_LANG for x in batch.column("lang").slice(first, len(at) - 1).to_pylist()]
+    salt = np.array([xxhash.xxh3_64_intdigest(x, 5) for x in langs], np.uint64)
+    data, start, end, left = pieces(data, at)
+    of = np.searchsorted(at, start, "right") - 1
+    ids = mix(word_ids(data, start, end, 11) ^ salt[of])
+    ids[ids == END] = 1
+    return data, start, end, of, left, ids, langs
+
+
+def _words(n_buckets: int):
+    shift = np.uint64(64 - (n_buckets.bit_length() - 1))
+
+    def sent(held: list[tuple]) -> pa.RecordBatch:
+        ids, where, n = np.unique(np.concatenate([x[0] for x in held]), return_index=True, return_counts=True)
+        block = np.searchsorted(np.cumsum([len(x[0]) for x in held]), where, "right")
+        where = where - np.concatenate([[0], np.cumsum([len(x[0]) for x in held])])[block]
+        langs: dict[str, int] = {}
+        texts, lang = [], np.zeros(len(ids), np.int64)
+        for i, (b, w) in enumerate(zip(block.tolist(), where.tolist())):
+            _, raw, start, end, of, names = held[b]
+            texts.append(raw[start[w] : end[w]])
+            lang[i] = langs.setdefault(names[of[w]], len(langs))
+        bucket = (ids >> shift).astype(np.int32)  # in order, as the ids are
+        at = np.flatnonzero(split_runs(bucket))
+        spans = list(zip(at.tolist(), [*at[1:].tolist(), len(ids)]))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(bucket[at]),
+                pa.array([pack_sorted(ids[i:j]) for i, j in spans], pa.binary()),
+                pa.array([pack_ints(n[i:j]) for i, j in spans], pa.binary()),
+                pa.array([pack_ints(lang[i:j]) for i, j in spans], pa.binary()),
+                pa.array([list(langs)] * len(spans), pa.list_(pa.string())),
+                pa.array([texts[i:j] for i, j in spans], pa.list_(pa.binary())),
+            ],
+            ["bucket", "ids", "n", "lang", "langs", "texts"],
+        )
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for _, data, at, first, batch in blocks(batches):
+            data, start, end, of, _, ids, langs = _ids(batch, first, data, at)
+            if len(ids):
+                held.append((ids, data.tobytes(), start, end, of, langs))
+                n += len(ids)
+            if n >= HELD:
+                yield sent(held)
+                held, n = [], 0
+        if held:
+            yield sent(held)
+
+    return run
+
+
+def _named(least: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in bucketwise(batches):
+            ids, n, lang, texts, names = [], [], [], [], {}
+            for batch in some:
+                for i in range(batch.num_rows):
+                    own = batch.column("langs")[i].as_py()
+                    number = np.array([names.setdefault(x, len(names)) for x in own])
+                    ids.append(unpack_sorted(batch.column("ids")[i].as_py()))
+                    n.append(unpack_ints(batch.column("n")[i].as_py()))
+                    lang.append(number[unpack_ints(batch.column("lang")[i].as_py())])
+                    texts += batch.column("texts")[i].as_py()
+            ids, n, lang = np.concatenate(ids), np.concatenate(n), np.concatenate(lang)
+            totals = np.bincount(lang, n, len(names)).astype(np.int64)
+            order = np.argsort(ids, kind="stable")
+            begin = np.flatnonzero(split_runs(ids[order]))
+            sums = np.add.reduceat(n[order], begin)
+            first = order[begin][sums >= least]
+            listed = list(names)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([*ids[first].view(np.int64).tolist(), *[None] * len(listed)], pa.int64()),
+                    pa.array([*(listed[i] for i in lang[first].tolist()), *listed], pa.string()),
+                    pa.array([*(texts[i].decode() for i in first.tolist()), *[None] * len(listed)], pa.string()),
+                    pa.array([*sums[sums >= least].tolist(), *totals.tolist()], pa.int64()),
+                ],
+                ["w", "lang", "text", "n"],
+            )
+
+    return run
+
+
+def _slot(ids: np.ndarray) -> np.ndarray:
+    return (ids & np.uint64(MAP_BITS - 1)).astype(np.int64)
+
+
+def often_map(words: DataFrame) -> np.ndarray:
+    """A bit for each word of ``words``, by the low bits of its id; what is collected are MAP_BITS / 64 pairs of numbers at most."""
+    slot = F.col("w").bitwiseAND(F.lit(MAP_BITS - 1))
+    rows = words.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toArrow()
+    out = np.zeros(MAP_BITS // 64, np.uint64)
+    out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
 
 
 def _grouped(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -98,13 +190,13 @@ def _grouped(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray]
     return [x[begin] for x in columns], np.add.reduceat(n[order], begin) if len(begin) else n[:0], node[begin]
 
 
-def _message(kind: int, n_buckets: int, columns: list[np.ndarray], n: np.ndarray, node: np.ndarray, texts: dict | None = None) -> Iterator[pa.RecordBatch]:
+def _message(kind: int, n_buckets: int, columns: list[np.ndarray], n: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
     """One row for each bucket."""
     if not len(n):
         return
     order, which, spans = _spans((mix(node ^ np.uint64(kind)) >> np.uint64(64 - (n_buckets.bit_length() - 1))).astype(np.int32))
     columns, n = [x[order] for x in columns], n[order]
-    out: dict[str, list] = {x: [] for x in ("words", "a", "b", "c", "d", "n", "texts", "langs")}
+    out: dict[str, list] = {x: [] for x in ("words", "a", "b", "c", "d", "n")}
     for i, j in spans:
         own = [x[i:j] for x in columns]
         words, place = np.unique(np.concatenate(own), return_inverse=True)
@@ -113,18 +205,8 @@ def _message(kind: int, n_buckets: int, columns: list[np.ndarray], n: np.ndarray
         for name, x in zip("abcd", [*place, *[None] * (4 - len(own))]):
             out[name].append(b"" if x is None else pack_ints(x))
         out["n"].append(pack_ints(n[i:j]))
-        found = [texts[x] for x in words.tolist()] if texts is not None else []
-        out["texts"].append([t for _, t in found])
-        out["langs"].append([x for x, _ in found])
     yield pa.RecordBatch.from_arrays(
-        [
-            pa.array(which),
-            pa.array(np.full(len(which), kind, np.int32)),
-            *(pa.array(out[x], pa.binary()) for x in ("words", "a", "b", "c", "d", "n")),
-            pa.array(out["texts"], pa.list_(pa.binary())),
-            pa.array(out["langs"], pa.list_(pa.string())),
-        ],
-        ["bucket", "kind", "words", "a", "b", "c", "d", "n", "texts", "langs"],
+        [pa.array(which), pa.array(np.full(len(which), kind, np.int32)), *(pa.array(x, pa.binary()) for x in out.values())], ["bucket", "kind", *out]
     )
 
 
@@ -134,8 +216,7 @@ def _flow(ids: np.ndarray, left: np.ndarray, size: int, more: list[np.ndarray],
     return [np.concatenate([x, ids[ends + i]]) for i, x in enumerate(more[:size])], np.concatenate([n, np.ones(len(ends), np.int64)])
 
 
-def _send(batch: Batch, n_buckets: int) -> Iterator[pa.RecordBatch]:
-    ids, left = np.concatenate(batch.ids), np.concatenate(batch.left)
+def _send(ids: np.ndarray, left: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
     full = np.flatnonzero(left >= ORDER)
     edges, n, _ = _grouped([ids[full + i] for i in range(ORDER)], np.ones(len(full), np.int64))
     # the piece-end correction of a node is an edge to the end
@@ -147,29 +228,26 @@ def _send(batch: Batch, n_buckets: int) -> Iterator[pa.RecordBatch]:
     pairs, n, _ = _grouped(*_flow(ids, left, 2, edges, n))
     yield from _message(2, n_buckets, pairs, n, paired(pairs[0], pairs[1], 9))
     words, n, node = _grouped(*_flow(ids, left, 1, pairs, n))
-    yield from _message(1, n_buckets, words, n, node, batch.texts)
+    yield from _message(1, n_buckets, words, n, node)
 
 
-def _edges(n_buckets: int):
+def _edges(n_buckets: int, shared):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Batch()
+        often, held, n = shared.value, [], 0
         for _, data, at, first, batch in blocks(batches):
-            langs, salt = _by_lang(batch, first, len(at) - 1)
-            data, start, end, left = pieces(data, at)
-            of = np.searchsorted(at, start, "right") - 1
-            ids = mix(word_ids(data, start, end, 11) ^ salt[of])
-            ids[ids == END] = 1
-            held.add(ids, left)
-            new, where = np.unique(ids, return_index=True)
-            raw = data.tobytes()
-            for x, i in zip(new.tolist(), where.tolist()):
-                if x not in held.texts:
-                    held.texts[x] = langs[of[i]], raw[start[i] : end[i]]
-            if held.n >= HELD:
-                yield from _send(held, n_buckets)
-                held = Batch()
-        if held.n:
-            yield from _send(held, n_buckets)
+            *_, left, ids, _ = _ids(batch, first, data, at)
+            slot = _slot(ids)
+            keep = (often[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            piece = np.cumsum(np.append(True, (left[:-1] == 1) | ~keep[:-1]))[keep] if len(ids) else left
+            size = np.bincount(piece)[piece]
+            nth = np.arange(len(piece)) - np.flatnonzero(split_runs(piece))[np.cumsum(split_runs(piece)) - 1] if len(piece) else piece
+            held.append((ids[keep], size - nth))
+            n += len(piece)
+            if n >= HELD:
+                yield from _send(*map(np.concatenate, zip(*held)), n_buckets)
+                held, n = [], 0
+        if n:
+            yield from _send(*map(np.concatenate, zip(*held)), n_buckets)
 
     return run
 
@@ -203,52 +281,42 @@ def _count(least: int):
             pairs, n, _ = _grouped(*_received(some, 2, 2))
             yield _runs(pairs, n, n >= least)
             words, n, _ = _grouped(*_received(some, 1, 1))
-            texts: dict[int, tuple[str, bytes]] = {}
-            for batch in some:
-                for i in (i for i, k in enumerate(batch.column("kind").to_pylist()) if k == 1):
-                    named = zip(batch.column("langs")[i].as_py(), batch.column("texts")[i].as_py())
-                    texts.update(zip(unpack_sorted(batch.column("words")[i].as_py()).tolist(), named))
-            yield _runs(words, n, n > 0, None, [texts[x] for x in words[0].tolist()] if len(n) else [])
+            yield _runs(words, n, n >= least)
 
     return run
 
 
-def _runs(columns: list[np.ndarray], n: np.ndarray, keep: np.ndarray, alone: np.ndarray | None = None, texts: list[tuple[str, bytes]] | None = None) -> pa.RecordBatch:
+def _runs(columns: list[np.ndarray], n: np.ndarray, keep: np.ndarray, alone: np.ndarray | None = None) -> pa.RecordBatch:
     at = np.flatnonzero(keep)
     words = [pa.array(x[at].view(np.int64)) for x in columns] + [pa.array(np.zeros(len(at), np.int64))] * (4 - len(columns))
-    named = [texts[i] for i in at.tolist()] if texts else [(None, None)] * len(at)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.full(len(at), len(columns), np.int32)),
-            *words,
-            pa.array(n[at]),
-            pa.array(np.zeros(len(at), bool) if alone is None else alone[at]),
-            pa.array([x for x, _ in named], pa.string()),
-            pa.array([None if t is None else t.decode() for _, t in named], pa.string()),
-        ],
-        ["size", "w1", "w2", "w3", "w4", "n", "alone", "lang", "text"],
-    )
+    whole = pa.array(np.zeros(len(at), bool) if alone is None else alone[at])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), len(columns), np.int32)), *words, pa.array(n[at]), whole], ["size", "w1", "w2", "w3", "w4", "n", "alone"])
 
 
-def counted(docs: DataFrame, *, lang: str = "lang", text: str = "text", least: int = LEAST) -> DataFrame:
-    """(size, w1, w2, w3, w4, n, alone, lang, text): all words, and the runs of two to four words that occur ``least`` times; runs of three that one edge has whole are in that edge."""
+def counted(docs: DataFrame, *, lang: str = "lang", text: str = "text", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """(w, lang, text, n): words that occur ``least`` times, and a row without a word for each language with all its words; and
+    (size, w1, w2, w3, w4, n, alone): runs of one to four words that do; runs of three that one edge has whole are in that edge."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     n_buckets = 1 << (max(64, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET) - 1).bit_length()
+    n_buckets = min(n_buckets, 1 << 16)
     narrow = docs.select(F.lit(0).cast("long").alias("key"), F.col(f"`{lang}`").cast("string").alias("lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    return arrow(to_buckets(arrow(narrow, _edges(min(n_buckets, 1 << 16)), _SENT)), _count(least), _COUNTED)
+    words = stored(arrow(to_buckets(arrow(narrow, _words(n_buckets), _WORDS)), _named(least), _NAMED))
+    shared = docs.sparkSession.sparkContext.broadcast(often_map(words.where("w IS NOT NULL")))
+    runs = stored(arrow(to_buckets(arrow(narrow, _edges(n_buckets, shared), _SENT)), _count(least), _COUNTED))
+    shared.destroy()
+    return words, runs
 
 
 def collocations(docs: DataFrame, *, lang: str = "lang", text: str = "text", least: int = LEAST, top: int = TOP, taken: tuple[int, int] = TAKEN) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` phrases of each language."""
-    runs = stored(counted(docs, lang=lang, text=text, least=least))
-    names = runs.where("size = 1")
-    totals = names.groupBy("lang").agg(F.sum("n").alias("total"))
-    words = names.where(F.col("n") >= least).select(F.col("w1").alias("w"), "lang", "text")
+    named, runs = counted(docs, lang=lang, text=text, least=least)
+    totals = named.where("w IS NULL").groupBy("lang").agg(F.sum("n").alias("total"))
+    words = named.where("w IS NOT NULL").select("w", "lang", "text")
     no = F.lit(0).cast("long")
     # compacted nodes are read from their edges
     within = runs.where("size = 4 and alone").select(F.lit(3).alias("size"), "w1", "w2", "w3", no.alias("w4"), "n")
-    phrases = stored(runs.where((F.col("size") > 1) & (F.col("n") >= least)).select("size", "w1", "w2", "w3", "w4", "n").unionByName(within))
-    shorter = phrases.where("size < 4").unionByName(names.where(F.col("n") >= least).select("size", "w1", "w2", "w3", "w4", "n")).select("w1", "w2", "w3", "n")
+    every = runs.select("size", "w1", "w2", "w3", "w4", "n").unionByName(within)
+    phrases, shorter = every.where("size > 1"), every.where("size < 4").select("w1", "w2", "w3", "n")
 
     w = [F.col(f"w{i}") for i in range(1, 5)]
 
