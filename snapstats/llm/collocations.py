@@ -17,7 +17,7 @@ uses, and numbers into it. Where edges meet, a node with one edge only is compac
 own, as the edge has its weight. Only runs that occur ``least`` times leave this step; the rest (scores, containment,
 ranks) are joins and windows over these in the JVM.
 
-Words are 64-bit ids of (language, word) on the way; their texts come from one row a frequent word. Scores are whole
+Words are ids of (language, word) on the way, checked to be unique; their texts come from one row a frequent word. Scores are whole
 numbers by decimals of 38 digits, so nothing overflows. The first ``top`` of a language are taken by a window whose
 rows Spark cuts to ``top`` a task before it shuffles them.
 
@@ -41,10 +41,12 @@ ORDER, LEAST, TOP = 4, 30, 2000
 #: How much a longer phrase may take of a shorter one's occurrences, as a fraction: 80 of 100.
 TAKEN = (80, 100)
 NO_LANG = "und"
-#: Words that a task holds before it sends them, and bytes of input for each bucket.
+#: Words that a task holds before it sends them, and bytes of input for each bucket: with few buckets a dictionary serves many edges.
 HELD, BUCKET = 1_000_000, 16 << 20
 #: Stands for the end of a piece; no word has it.
 END = 0
+#: Bits of an id. The word pass fails if two words share one, so a result never mixes words.
+ID_BITS = 56
 #: Bits of the map of words that occur often enough.
 MAP_BITS = 1 << 24
 
@@ -82,13 +84,12 @@ def _ids(batch: pa.RecordBatch, first: int, data: np.ndarray, at: np.ndarray) ->
     salt = np.array([xxhash.xxh3_64_intdigest(x, 5) for x in langs], np.uint64)
     data, start, end, left = pieces(data, at)
     of = np.searchsorted(at, start, "right") - 1
-    ids = mix(word_ids(data, start, end, 11) ^ salt[of])
-    ids[ids == END] = 1
+    ids = np.maximum(mix(word_ids(data, start, end, 11) ^ salt[of]) >> np.uint64(64 - ID_BITS), END + 1)
     return data, start, end, of, left, ids, langs
 
 
 def _words(n_buckets: int):
-    shift = np.uint64(64 - (n_buckets.bit_length() - 1))
+    shift = np.uint64(ID_BITS - (n_buckets.bit_length() - 1))
 
     def sent(held: list[tuple]) -> pa.RecordBatch:
         ids, where, n = np.unique(np.concatenate([x[0] for x in held]), return_index=True, return_counts=True)
@@ -147,6 +148,9 @@ def _named(least: int):
             totals = np.bincount(lang, n, len(names)).astype(np.int64)
             order = np.argsort(ids, kind="stable")
             begin = np.flatnonzero(split_runs(ids[order]))
+            for i in np.setdiff1d(np.arange(len(ids)), begin).tolist():
+                if texts[order[i]] != texts[order[i - 1]] or lang[order[i]] != lang[order[i - 1]]:
+                    raise RuntimeError("two words have the same id: take another seed for word_ids")
             sums = np.add.reduceat(n[order], begin)
             first = order[begin][sums >= least]
             listed = list(names)
@@ -201,10 +205,11 @@ def _message(kind: int, n_buckets: int, columns: list[np.ndarray], n: np.ndarray
         own = [x[i:j] for x in columns]
         words, place = np.unique(np.concatenate(own), return_inverse=True)
         place = place.reshape(len(own), -1)
+        place = place[:, by := np.argsort(place[0], kind="stable")]  # the first column has small steps then
         out["words"].append(pack_sorted(words))
         for name, x in zip("abcd", [*place, *[None] * (4 - len(own))]):
-            out[name].append(b"" if x is None else pack_ints(x))
-        out["n"].append(pack_ints(n[i:j]))
+            out[name].append(b"" if x is None else pack_ints(x, name == "a"))
+        out["n"].append(pack_ints(n[i:j][by]))
     yield pa.RecordBatch.from_arrays(
         [pa.array(which), pa.array(np.full(len(which), kind, np.int32)), *(pa.array(x, pa.binary()) for x in out.values())], ["bucket", "kind", *out]
     )
@@ -259,7 +264,7 @@ def _received(some: list[pa.RecordBatch], kind: int, size: int) -> tuple[list[np
         for i in (i for i, k in enumerate(kinds) if k == kind):
             words = unpack_sorted(batch.column("words")[i].as_py())
             for parts, name in zip(columns, "abcd"):
-                parts.append(words[unpack_ints(batch.column(name)[i].as_py())])
+                parts.append(words[unpack_ints(batch.column(name)[i].as_py(), name == "a")])
             sums.append(unpack_ints(batch.column("n")[i].as_py()))
     return [np.concatenate(x) for x in columns], np.concatenate(sums)
 
@@ -297,8 +302,7 @@ def counted(docs: DataFrame, *, lang: str = "lang", text: str = "text", least: i
     """(w, lang, text, n): words that occur ``least`` times, and a row without a word for each language with all its words; and
     (size, w1, w2, w3, w4, n, alone): runs of one to four words that do; runs of three that one edge has whole are in that edge."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    n_buckets = 1 << (max(64, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET) - 1).bit_length()
-    n_buckets = min(n_buckets, 1 << 16)
+    n_buckets = min(1 << (max(64, size // BUCKET) - 1).bit_length(), 1 << 16)
     narrow = docs.select(F.lit(0).cast("long").alias("key"), F.col(f"`{lang}`").cast("string").alias("lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     words = stored(arrow(to_buckets(arrow(narrow, _words(n_buckets), _WORDS)), _named(least), _NAMED))
     shared = docs.sparkSession.sparkContext.broadcast(often_map(words.where("w IS NOT NULL")))
