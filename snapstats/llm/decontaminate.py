@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
-from snapstats.llm.common import AT, FILE, Hasher, arrow, blocks, few_rows, frame, placed, real_key, stored, words_of
+from snapstats.llm.common import AT, FILE, arrow, blocks, few_rows, frame, placed, real_key, stored, word_ids, words_of
 from snapstats.llm.fmindex import FMIndex
 
 WINDOW = 10
@@ -48,9 +48,9 @@ _WORDS = np.frombuffer(WORD_BYTES, np.uint8)
 
 def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each word, and the words before each row."""
-    hasher, data = Hasher(10), _WORDS[data]
+    data = _WORDS[data]
     start, end, cut = words_of(data, at)
-    return hasher.ranges(hasher.sums(hasher.bytes[data]), start, end), cut
+    return word_ids(data, start, end, 10), cut
 
 
 @dataclass

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapstats.llm.common import AT, FILE, LOWER, SPACE, Hasher, arrow, blocks, placed, split_runs, stored, words_of
+from snapstats.llm.common import AT, FILE, LOWER, SPACE, arrow, blocks, mix, placed, split_runs, stored, windows_of, word_ids, words_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -50,16 +50,16 @@ def normal_line(line: bytes) -> bytes:
     return b" ".join(line.translate(LOWER).split())
 
 
-def _repeat_words(hasher: Hasher, data: np.ndarray, start: np.ndarray, end: np.ndarray, cut: np.ndarray) -> np.ndarray:
+def _repeat_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, cut: np.ndarray) -> np.ndarray:
     """For each row: words inside three-word windows that the row has twice or more."""
     rows = len(cut) - 1
     if len(start) < 3:
         return np.zeros(rows, np.int64)
-    hashed = hasher.windows(hasher.ranges(hasher.sums(hasher.bytes[data]), start, end), 3)
+    hashed = windows_of(word_ids(data, start, end, 4), 3)
     row = np.repeat(np.arange(rows), np.diff(cut))
     inside = row[:-2] == row[2:]
     at = np.flatnonzero(inside)
-    keyed = hashed[at] ^ (row[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    keyed = hashed[at] ^ mix(row[at].astype(np.uint64) + np.uint64(1))
     order = np.argsort(keyed, kind="stable")
     first = split_runs(keyed[order])
     twice = at[order[~(first & np.append(first[1:], True))]]
@@ -71,7 +71,6 @@ def _repeat_words(hasher: Hasher, data: np.ndarray, start: np.ndarray, end: np.n
 
 
 def _stats(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher = Hasher(4)
     for keys, data, at, first, batch in blocks(batches):
         start, end, cut = words_of(data, at)
         letters = np.concatenate([[0], np.cumsum(~SPACE[data] & ((data & 0xC0) != 0x80))])
@@ -96,7 +95,7 @@ def _stats(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = [pa.array(np.frombuffer(b"".join(hashes), ">i8").astype(np.int64)), pa.array(np.frombuffer(places, np.int32)), pa.array(np.frombuffer(sizes, np.int32))]
         lines = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays(fields, ["hash", "at", "words"]))
         rest = [batch.column(x).slice(first, len(keys)) for x in (FILE, AT, "key", "host")]
-        counts = [np.diff(cut), letters[at[1:]] - letters[at[:-1]], symbols[at[1:]] - symbols[at[:-1]], np.array(dups, np.int64), _repeat_words(hasher, data, start, end, cut)]
+        counts = [np.diff(cut), letters[at[1:]] - letters[at[:-1]], symbols[at[1:]] - symbols[at[:-1]], np.array(dups, np.int64), _repeat_words(data, start, end, cut)]
         yield pa.RecordBatch.from_arrays(
             [*rest, *(pa.array(x) for x in counts), pa.array(documents, pa.binary()), lines],
             [FILE, AT, "key", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "document", "lines"],

@@ -37,7 +37,6 @@ from snapstats.llm.common import (
     FILE,
     KEYED,
     OCCURRENCES,
-    Hasher,
     Occurrences,
     arrow,
     at_places,
@@ -51,6 +50,8 @@ from snapstats.llm.common import (
     repeated,
     to_buckets,
     unpacked,
+    windows_of,
+    word_ids,
     words_of,
 )
 
@@ -60,19 +61,6 @@ PERIOD, COVER = 13, (0, 1, 3, 9)
 LINES = 3
 
 
-class _Pair:
-    """Two independent hashes of each range or window: 128 bits."""
-
-    def __init__(self, seed: int):
-        self.both = Hasher(seed), Hasher(seed + 1000)
-
-    def words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
-        return [h.ranges(h.sums(h.bytes[data]), start, end) for h in self.both]
-
-    def windows(self, values: list[np.ndarray], width: int) -> list[np.ndarray]:
-        return [h.windows(v, width) for h, v in zip(self.both, values)]
-
-
 def _places(cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each unit its row, its number in the row and how many follow in the row, itself included."""
     n = np.diff(cut)
@@ -87,13 +75,13 @@ def _anchors(n_buckets: int, window: int):
     width = window - PERIOD + 1
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, hasher = Occurrences(n_buckets, all_known=True), Hasher(6)
+        found = Occurrences(n_buckets, all_known=True)
         for keys, data, at, _, _ in blocks(batches):
             start, end, cut = words_of(data, at)
             row, nth, left = _places(cut)
             use = np.flatnonzero(cover[nth % PERIOD] & (left >= width))
             if len(use):
-                h = hasher.windows(hasher.ranges(hasher.sums(hasher.bytes[data]), start, end), width)
+                h = windows_of(word_ids(data, start, end, 6), width, 6)
                 yield from found.add(h[use], None, keys[row[use]], nth[use])
         yield from found.flush()
 
@@ -102,7 +90,7 @@ def _anchors(n_buckets: int, window: int):
 
 def _extend(n_buckets: int, window: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, hasher = Occurrences(n_buckets), _Pair(60)
+        found = Occurrences(n_buckets)
         for keys, data, at, first, batch in blocks(batches):
             start, end, cut = words_of(data, at)
             row, nth, left = _places(cut)
@@ -115,7 +103,7 @@ def _extend(n_buckets: int, window: int):
                 np.add.at(near, cut[i] + anchor + 1, -1)
             use = np.flatnonzero((np.cumsum(near[:-1]) > 0) & (left >= window))
             if len(use):
-                h, g = hasher.windows(hasher.words(data, start, end), window)
+                h, g = (windows_of(word_ids(data, start, end, seed), window, seed) for seed in (60, 61))  # 128 bits
                 yield from found.add(h[use], g[use], keys[row[use]], nth[use])
         yield from found.flush()
 

@@ -16,9 +16,13 @@ anchor has 65 members at most. So each replica is compared with ``DENSE`` finger
 whole document cannot tell that: at 0.8 about ten of 64 bits differ, and no code covers ten bits with few
 anchors. So it takes ``SAMPLES`` fingerprints, each of the ``SAMPLE`` shingles that are least under a hash of
 its own; documents with the same sample have the same fingerprint and meet at it (the trivial code, threshold
-0). At 0.8 a sample agrees with 0.26, one of 16 with 0.99. Those that meet are compared with the first and
-the last of the anchor, not with each other, by a sketch: the least shingle in each of 512 ranges of a hash,
-whose share of agreement is the similarity. Documents with equal samples and sketches are copies; one of them
+0). At 0.8 a sample agrees with 0.26, one of 16 with 0.99. Where pages share a template most samples fall into it and
+tell nothing of what else two pages share; so some ``FEW`` shingles of a document, those whose hash is least for its
+length, are samples of one shingle as well: what only a few pages have, they meet at. Those that meet are compared
+with two of the anchor, not with each other: at an anchor of up to ``CROWD`` documents with two that the anchor's
+hash draws, so that another shared shingle draws others; at a larger one with the first and last, who are the same at
+all anchors of a template or passage. The comparison is by a sketch: the least shingle in each of 512 ranges of a
+hash, whose share of agreement is the similarity. Documents with equal samples and sketches are copies; one of them
 stands for all.
 
 Exact copies collapse to one fingerprint before anything is replicated. Null text: no words, fingerprint
@@ -38,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapstats.llm.common import AT, FILE, LOWER, NULL_KEY, Hasher, arrow, blocks, frame, mix, numbers, placed, real_key, split_runs, stored, words_of
+from snapstats.llm.common import AT, FILE, LOWER, NULL_KEY, arrow, blocks, frame, mix, numbers, placed, real_key, split_runs, stored, windows_of, word_ids, words_of
 from snapstats.llm.components import components
 
 SHINGLE = 3
@@ -49,6 +53,8 @@ DENSE = 512
 #: Of near-duplicates: words in a shingle and least similarity of the sets of shingles.
 WIDTH, SIMILARITY = 5, 0.8
 SAMPLES, SAMPLE = 16, 6
+#: Shingles of a document that are anchors of their own, about, and documents at an anchor up to which it draws whom to compare with.
+FEW, CROWD = 48, 32
 #: Ranges of a sketch, and how far an estimate may fall short: 1.3 standard deviations of it at 0.8.
 RANGES, SLACK = 512, 0.023
 
@@ -194,20 +200,20 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 
 _LOWER = np.frombuffer(LOWER, np.uint8)
-_SKETCHED = f"{FILE} long, {AT} long, samples array<long>, sketch binary"
+_SKETCHED = f"{FILE} long, {AT} long, samples array<long>, few array<long>, sketch binary"
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash), sorted: the distinct shingles of each text, in lower case; of fewer words the whole sequence, of none nothing."""
-    hasher, data = Hasher(11), _LOWER[data]
+    data = _LOWER[data]
     start, end, cut = words_of(data, at)
     n = np.diff(cut)
-    of_word = hasher.ranges(hasher.sums(hasher.bytes[data]), start, end)
+    of_word = word_ids(data, start, end, 11)
     row = np.repeat(np.arange(len(n)), n)
-    hashed = hasher.windows(of_word, width)
+    hashed = windows_of(of_word, width)
     inside = row[: len(hashed)] == row[len(row) - len(hashed) :]
     few = np.flatnonzero((n > 0) & (n < width))
-    whole = hasher.ranges(hasher.sums(of_word), cut[few], cut[few + 1])
+    whole = np.array([windows_of(of_word[cut[i] : cut[i + 1]], int(n[i]))[0] for i in few.tolist()], np.uint64)
     row, hashed = np.concatenate([row[: len(hashed)][inside], few]), np.concatenate([hashed[inside], whole])
     order = np.lexsort((hashed, row))
     row, hashed = row[order], hashed[order]
@@ -230,6 +236,17 @@ def sample_prints(row: np.ndarray, hashed: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
+def few_shingles(row: np.ndarray, hashed: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """About ``FEW`` shingles of each row, and where each row's begin: those below a bound that falls with its number of shingles.
+
+    Of two rows the shorter has the higher bound, so what both have below the lower one, both choose.
+    """
+    own = mix(hashed ^ np.uint64(0x2545F4914F6CDD1D))
+    bound = np.minimum(1.0, FEW / np.maximum(1, np.bincount(row, minlength=rows))) * 2.0**64
+    chosen = own.astype(np.float64) < bound[row]
+    return own[chosen], np.searchsorted(row[chosen], np.arange(rows + 1))
+
+
 def sketches(row: np.ndarray, hashed: np.ndarray, rows: int) -> np.ndarray:
     """For each row ``RANGES`` bytes: one of the least shingle in the range, 0 if there is none."""
     out = np.zeros((rows, RANGES), np.uint8)
@@ -250,8 +267,10 @@ def _sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, hashed = shingle_sets(data, at)
         prints = sample_prints(row, hashed, len(keys)).view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, prints.size + 1, SAMPLES, dtype=np.int32)), pa.array(prints.ravel()))
+        few, begin = few_shingles(row, hashed, len(keys))
+        fews = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(few.view(np.int64)))
         parts = [x.tobytes() for x in sketches(row, hashed, len(keys))]
-        yield pa.RecordBatch.from_arrays([batch.column("key").slice(first, len(keys)), batch.column(AT).slice(first, len(keys)), lists, pa.array(parts, pa.binary())], [FILE, AT, "samples", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column("key").slice(first, len(keys)), batch.column(AT).slice(first, len(keys)), lists, fews, pa.array(parts, pa.binary())], [FILE, AT, "samples", "few", "sketch"])
 
 
 def _verified(least: float):
@@ -271,10 +290,13 @@ def similar(rows: DataFrame, ids: DataFrame, *, text: str = "text", similarity:
     texts = rows.select(F.col(FILE).alias("key"), AT, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     known = stored(arrow(texts, _sketched, _SKETCHED).join(ids, [FILE, AT]).withColumn("print", F.md5(F.concat(F.array_join("samples", ","), F.hex("sketch")))))
     copies = stored(known.groupBy("print").agg(F.min("key").alias("rep")))
-    reps = known.join(copies, "print").where("key = rep").select("key", "samples", "sketch")
-    at = reps.select("key", F.posexplode("samples").alias("nth", "sample"))
+    reps = stored(known.join(copies, "print").where("key = rep").select("key", "samples", "few", "sketch"))
+    at = reps.select("key", F.posexplode("samples").alias("nth", "sample")).unionByName(reps.select("key", F.lit(SAMPLES).alias("nth"), F.explode("few").alias("sample")))
+    drawn = F.xxhash64("key", "sample")
+    ends = at.groupBy("nth", "sample").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), F.min_by("key", drawn).alias("one"), F.max_by("key", drawn).alias("two"))
+    crowd = F.col("n") > CROWD
     # written, so that adaptive execution can split the join where a sample is that of a third of all rows
-    ends = stored(at.groupBy("nth", "sample").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high"))
+    ends = stored(ends.where("n > 1").select("nth", "sample", F.when(crowd, F.col("low")).otherwise(F.col("one")).alias("low"), F.when(crowd, F.col("high")).otherwise(F.col("two")).alias("high")))
     met = at.join(ends, ["nth", "sample"]).select(F.col("key").alias("b"), F.explode(F.array("low", "high")).alias("a")).where("a <> b")
     pairs = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     one, two = (reps.select(F.col("key").alias(k), F.col("sketch").alias(name)) for k, name in (("a", "one"), ("b", "two")))
