@@ -5,14 +5,18 @@ values without quotes, numbers and operators. A parser over these tokens yields
 literal with its place, or a reference to a name. It knows ``name = "x"``, ``name: x``, ``"name": "x"``,
 ``name => x``, type annotations, subscripts, several targets (``a, b = "x", "y"``), concatenations with and
 without an operator, formatted strings (their fixed parts), calls that name what they hold
-(``define('NAME', 'x')``, ``getenv("NAME", "x")``), XML elements and attributes, and YAML block scalars.
+(``define('NAME', 'x')``, ``getenv("NAME", "x")``, ``setName("x")``), lists of literals, alternatives behind ``or``,
+``??`` and ``if .. else``, values continued on the next line, here-documents, ``IDENTIFIED BY 'x'``, XML elements and
+attributes, and YAML block scalars. The password of a URL and the credential of an authorization header count as
+assigned to those names.
 
 A name that is bound to literals is a constant, and a later assignment from it passes the literals on, so a
 literal first bound to a harmless name is scored by the sensitive name it reaches. The score of a literal is
 the weight of the name (credential words in its parts) plus points for length, mixed character classes and
-entropy; placeholders and dictionary-like values lose points. A concatenation is scored as a whole.
+entropy; placeholders and dictionary-like values lose points. A concatenation, of constants too, is scored as a whole.
 
-Texts are scanned whole, one at a time; nothing is shuffled. Null text: no secrets. Empty text: no
+The time is linear in the text, whatever it holds: a list of names is read once, and a quote that nothing closes is
+looked for once a line. Texts are scanned whole, one at a time; nothing is shuffled. Null text: no secrets. Empty text: no
 secrets. Repeated rows each get their own result. Empty table: empty result.
 """
 
@@ -21,9 +25,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,16 +51,20 @@ SENSITIVE = {
 PLACEHOLDER = re.compile(r"(?ai)^(?:x+|\*+|\.+|-+|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|your[_-].*|change[_-]?me|example.*|placeholder|none|null|true|false|todo|redacted|dummy|test)$")
 LEAST_SCORE = 6
 LEAST_LENGTH = 8
+#: What constants give together is followed up to so many characters.
+LONGEST = 4096
 
 # possessive, and only from a name's first letter: a text without blanks is still read in one go
 _NAME = r"(?<![\w$])[A-Za-z_$][\w$]*+(?:[.\-][A-Za-z_$][\w$]*+)*+"
 _NEXT = rf"""(?!["']?{_NAME}["']?[ \t]*[:=])"""
 #: Tokens, the first that fits: strings with their prefix, names, numbers, operators; anything else is one character.
-_STRING = re.compile(
-    r"""(?P<prefix>\b[rbufRBUF]{1,2}|@)?(?:\"\"\"(?P<t1>(?:[^"\\]|\\.|"(?!""))*+)\"\"\"|\'\'\'(?P<t2>(?:[^'\\]|\\.|'(?!''))*+)\'\'\'"""
-    r"""|"(?P<q1>(?:[^"\\\n]|\\.)*+)"|'(?P<q2>(?:[^'\\\n]|\\.)*+)'|`(?P<q3>[^`\n]*+)`)""",
-    re.DOTALL,
-)
+_OPEN = re.compile(r"""(?P<prefix>\b[rbufRBUF]{1,2}|@)?(?P<quote>\"\"\"|\'\'\'|["'`])""")
+_BODY = {
+    quote: re.compile(body, re.DOTALL)
+    for quote, body in {
+        '"""': r"""(?:[^"\\]|\\.|"(?!""))*+""", "'''": r"""(?:[^'\\]|\\.|'(?!''))*+""", '"': r"""(?:[^"\\\n]|\\.)*+""", "'": r"""(?:[^'\\\n]|\\.)*+""", "`": r"[^`\n]*+"
+    }.items()
+}
 _ONE_NAME = re.compile(_NAME, re.ASCII)
 _NUMBER = re.compile(r"[0-9][0-9_]*+(?![\w.])", re.ASCII)
 _OPERATOR = re.compile(r":=|=>|->|[=!<>]=|::|\|\||\.\.|</|/>|.", re.DOTALL)
@@ -71,6 +81,15 @@ _BLOCK = re.compile(r"[ \t]*[|>][+-]?[0-9]?[+-]?[ \t]*\n")
 _TAG = re.compile(rf"<({_NAME})>([^<>\s]+)</\1>", re.ASCII)
 #: Attributes that name what an element holds, and those that hold it.
 _NAMED_BY, _HELD_BY = {"key", "name", "id", "property"}, {"value", "content", "default", "val"}
+#: The password of a URL; what stands before a quoted password in SQL; the scheme before a credential.
+_URL = re.compile(r"""://[^\s:/@"'<>]*:([^\s/@"'<>]+)@""")
+_SQL = re.compile(r"""(?ai)\b(?:identified(?:[ \t]+with[ \t]+\w+)?[ \t]+(?:by|as)|with[ \t]+(?:encrypted[ \t]+)?password)[ \t]+(?=["'])""")
+_SCHEME = re.compile(r"(?ai)(?:bearer|basic|token)[ \t]+(?=\S)")
+_SETTER = re.compile(r"(?:^|\.)(?:set|with|put)(?=[_A-Z])")
+_OTHERWISE = re.compile(r"\)?[ \t]*(?:or\b|\?\?)[ \t]*")
+_TAG_LINE = re.compile(r"^[ \t]*([A-Za-z_]\w*)[ \t]*$", re.ASCII | re.MULTILINE)
+_LINE = re.compile(r"\S(?:[^\n]*\S)?")
+_HERE = re.compile(r"""<<[~-]?(["']?)([A-Za-z_]\w*)\1[^\n]*\n""", re.ASCII)
 #: What any line has that assigns something.
 _MAY_ASSIGN = re.compile(r"""=|:|</|\(\s*["']""")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", re.ASCII)
@@ -92,12 +111,27 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
-def _string_parts(m: re.Match) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+@dataclass
+class String:
+    """A string token: prefix, quotes, where its value begins, the value, and where the token ends."""
+
+    prefix: str
+    quote: str
+    begin: int
+    value: str
+    stop: int
+
+    def name(self) -> str | None:
+        """The value, if it is a name."""
+        return self.value if self.quote in "\"'" and _ONE_NAME.fullmatch(self.value) else None
+
+
+def _string_parts(m: String) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """The literals of a string token, and the names in the fields of a formatted one."""
-    kind = next(k for k in ("t1", "t2", "q1", "q2", "q3") if m[k] is not None)
-    begin, value = m.start(kind), m[kind]
-    if "f" not in (m["prefix"] or "").lower() or "{" not in value:
-        return [(begin, begin + len(value), value)], []
+    begin, value = m.begin, m.value
+    if "f" not in m.prefix.lower() or "{" not in value:
+        skip = scheme.end() if (scheme := _SCHEME.match(value)) else 0
+        return [(begin + skip, begin + len(value), value[skip:])], []
     literals, names, at = [], [], 0
     for x in _FIELD.finditer(value):
         if at < x.start():
@@ -115,6 +149,30 @@ class _Parser:
     def __init__(self, text: str):
         self.text, self.n, self.found = text, len(text), []
         self.held: list[tuple[int, int, str]] = []
+        #: Up to where nothing closes a quote, and where no ``else`` follows.
+        self.unclosed: dict[str, int] = {}
+        self.no_else = -1
+        #: Lines that are a name alone, which may end a here-document.
+        self.tags: dict[str, list[int]] | None = None
+
+    def string(self, at: int) -> String | None:
+        """The string token at ``at``.
+
+        A quote behind which none closes leaves none that closes for any later one before that place, either: each
+        of those opens where the first one's search stood, with the same escapes ahead.
+        """
+        if not (m := _OPEN.match(self.text, at)):
+            return None
+        quote, begin = m["quote"], m.end()
+        for q in (quote, quote[0]) if len(quote) == 3 else (quote,):
+            begin = m.start("quote") + len(q)
+            if begin <= self.unclosed.get(q, -1):
+                continue
+            end = _BODY[q].match(self.text, begin).end()
+            if self.text.startswith(q, end):
+                return String(m["prefix"] or "", q, begin, self.text[begin:end], end + len(q))
+            self.unclosed[q] = end
+        return None
 
     def blanks(self, at: int) -> int:
         return _BLANKS.match(self.text, at).end()
@@ -128,15 +186,20 @@ class _Parser:
         text = self.text
         if m := _ONE_NAME.match(text, at):
             name, at = m[0], m.end()
-        elif text[at : at + 1] in "\"'" and (m := _STRING.match(text, at)) and (body := m["q1"] or m["q2"]) and _ONE_NAME.fullmatch(body):
-            name, at = body, m.end()
+        elif text[at : at + 1] in ('"', "'") and (s := self.string(at)) and (body := s.name()):
+            name, at = body, s.stop
         else:
             return None
         while text[at : at + 1] == "[":
-            m = _STRING.match(text, at + 1) or _ONE_NAME.match(text, at + 1)
-            if not m or text[m.end() : m.end() + 1] != "]":
+            if s := self.string(at + 1):
+                part, end = s.value, s.stop
+            elif m := _ONE_NAME.match(text, at + 1):
+                part, end = m[0], m.end()
+            else:
                 break
-            name, at = f"{name}.{m[0].strip(chr(34) + chr(39))}", m.end() + 1
+            if text[end : end + 1] != "]":
+                break
+            name, at = f"{name}.{part}", end + 1
         return name, at
 
     def assigns(self, at: int) -> bool:
@@ -156,10 +219,11 @@ class _Parser:
         """(literals, values without quotes, end) of one value: parts that are concatenated. A call in an argument is left to be read on its own."""
         text, literals, bare = self.text, [], []
         while at < self.n and not self.assigns(at):
-            if m := _STRING.match(text, at):
-                own, names = _string_parts(m)
+            if s := self.string(at):
+                own, names = _string_parts(s)
                 literals += own
                 bare += names
+                at = s.stop
             elif (m := _ONE_NAME.match(text, at)) and text[m.end() : m.end() + 1] == "(":
                 if argument:
                     break
@@ -170,10 +234,21 @@ class _Parser:
                 at = end
                 break
             elif m := _BARE.match(text, at):
+                if (scheme := _SCHEME.match(text, at)) and scheme.end() > m.end() and _BARE.match(text, scheme.end()):
+                    at = scheme.end()
+                    continue
+                if m[0].endswith("\\") and text.startswith("\n", m.end()):  # goes on in the next line
+                    literals.append((at, m.end() - 1, m[0][:-1]))
+                    at = self.blanks(m.end() + 1)
+                    if (m := _BARE.match(text, at)) and not m[0].endswith("\\"):
+                        literals.append((at, m.end(), m[0]))
+                        at = m.end()
+                        break
+                    continue
                 bare.append((at, m.end(), m[0]))
+                at = m.end()
             else:
                 break
-            at = m.end()
             after = self.blanks(at)
             op = _OPERATOR.match(text, after)
             if op and op[0] in ("+", "..", "||"):
@@ -181,7 +256,7 @@ class _Parser:
                 if text[after : after + 1] in "\"'`" or _ONE_NAME.match(text, after):
                     at = after
                     continue
-            elif literals and _STRING.match(text, after):  # strings beside each other are one
+            elif literals and self.string(after):  # strings beside each other are one
                 at = after
                 continue
             break
@@ -190,11 +265,16 @@ class _Parser:
     def call(self, name: str, at: int, bracket: int) -> int:
         """A call whose first argument names what the second holds; ``held`` has that. Returns where to read on."""
         self.held, first = [], self.blanks(bracket + 1)
-        if not (m := _STRING.match(self.text, first)) or not (key := m["q1"] or m["q2"]) or not _ONE_NAME.fullmatch(key):
+        if not (s := self.string(first)):
+            return bracket + 1
+        comma = self.blanks(s.stop)
+        if self.text[comma : comma + 1] == ")" and _SETTER.search(name):
+            self.add(name, _string_parts(s)[0], [], at)
+            return s.stop
+        if not (key := s.name()):
             return bracket + 1
-        comma = self.blanks(m.end())
         if self.text[comma : comma + 1] != ",":
-            return m.end()
+            return s.stop
         literals, bare, end = self.value(self.blanks(comma + 1), argument=True)
         self.held = literals
         self.add(key, literals, bare if not literals else [], at)
@@ -222,7 +302,7 @@ class _Parser:
         end, named, held = at, None, []
         while m := _ONE_NAME.match(self.text, self.blanks(end)):
             begin, after = m.start(), self.blanks(m.end())
-            if self.text[after : after + 1] != "=" or not (x := _STRING.match(self.text, self.blanks(after + 1))):
+            if self.text[after : after + 1] != "=" or not (x := self.string(self.blanks(after + 1))):
                 break
             literals, _ = _string_parts(x)
             self.add(m[0], literals, [], begin)
@@ -230,15 +310,16 @@ class _Parser:
                 named = literals[0][2]
             elif m[0].lower() in _HELD_BY:
                 held = literals
-            end = x.end()
+            end = x.stop
         if named and held:
             self.add(named, held, [], at)
         return end
 
     def targets(self, at: int) -> int:
         """An assignment that begins with the name at ``at``; returns where to read on."""
-        text, names, end = self.text, [], at
+        text, names, end, last = self.text, [], at, at
         while named := self.name_at(end):
+            last = end
             names.append(named[0])
             end = self.blanks(named[1])
             if text[end : end + 1] != ",":
@@ -246,20 +327,27 @@ class _Parser:
             end = self.blanks(end + 1)
         if not names:
             return at + 1
-        first_end = self.name_at(at)[1]
-        if len(names) == 1 and text[end : end + 1] == "(" and end == first_end:
-            return max(self.call(names[0], at, end), end + 1)
+        if named and text[end : end + 1] == "(" and end == named[1]:
+            return max(self.call(names[-1], last, end), end + 1)
         begin = self.operator(end) if named else None
-        if begin is None:
-            return first_end
+        if begin is None:  # none of the list is assigned to: read on behind it
+            return named[1] if named else end
         if text[end] == ":":
             if m := _BLOCK.match(text, begin):
                 return self.block(names[-1], at, m.end())
             if (m := _TYPE.match(text, begin)) and not self.assigns_to_type(m):
                 begin = self.operator(m.end())
         if len(names) == 1:
+            if m := _HERE.match(text, begin):
+                return self.here(names[0], at, m)
+            if text[begin : begin + 1] in ("[", "(", "{") and (stop := self.listed(names[0], begin, at)):
+                return stop
             literals, bare, stop = self.value(begin)
             self.add(names[0], literals, bare, at)
+            while after := self.otherwise(stop):
+                literals, bare, stop = self.value(after)
+                self.add(names[0], literals, bare, at)
+                stop = max(stop, after)
             return max(stop, begin)
         values = []
         while len(values) < len(names):
@@ -273,6 +361,48 @@ class _Parser:
             self.add(name, literals, bare, at)
         return begin
 
+    def otherwise(self, at: int) -> int | None:
+        """Where the other of two values begins: behind ``or``, ``??`` or ``if .. else``."""
+        if m := _OTHERWISE.match(self.text, at):
+            return m.end()
+        begin = self.blanks(at)
+        if begin > at and self.text.startswith("if ", begin) and begin > self.no_else:
+            stop = self.text.find("\n", begin)
+            stop = self.n if stop < 0 else stop
+            found = self.text.find(" else ", begin, stop)
+            if found >= 0:
+                return self.blanks(found + 6)
+            self.no_else = stop
+        return None
+
+    def listed(self, name: str, at: int, target: int) -> int | None:
+        """A list of strings: each is assigned to the name. None if the first is no string."""
+        text, end, some = self.text, at + 1, False
+        while end < self.n:
+            while text[end : end + 1] in (" ", "\t", "\n", "\r"):
+                end += 1
+            if not (s := self.string(end)) or s.name() and self.operator(self.blanks(s.stop)):  # the latter is an object's first name
+                break
+            self.add(name, _string_parts(s)[0], [], target)
+            some, end = True, self.blanks(s.stop)
+            if text[end : end + 1] != ",":
+                break
+            end += 1
+        return end if some else None
+
+    def here(self, name: str, at: int, m: re.Match) -> int:
+        """The lines of a here-document up to its tag."""
+        if self.tags is None:
+            self.tags = {}
+            for x in _TAG_LINE.finditer(self.text):
+                self.tags.setdefault(x[1], []).append(x.start(1))
+        lines = self.tags.get(m[2], [])
+        if (k := bisect_left(lines, m.end())) == len(lines):
+            return m.end()
+        body = _LINE.finditer(self.text, m.end(), self.text.rfind("\n", 0, lines[k]))
+        self.add(name, [(x.start(), x.end(), x[0]) for x in body], [], at)
+        return lines[k]
+
     def assigns_to_type(self, m: re.Match) -> bool:
         """Whether what looks like a type is a sensitive name itself, as in "note: password = x"."""
         return name_weight(m[0].strip()) > 1
@@ -281,9 +411,15 @@ class _Parser:
         text = self.text
         for m in _TAG.finditer(text):
             self.found.append((m.start(), Pair(m[1], [(m.start(2), m.end(2), m[2])])))
+        for m in _URL.finditer(text):
+            self.found.append((m.start(), Pair("password", [(m.start(1), m.end(1), m[1])])))
+        for m in _SQL.finditer(text):
+            if s := self.string(m.end()):
+                self.found.append((m.start(), Pair("password", _string_parts(s)[0])))
+        self.unclosed.clear()
         at = 0
         while m := _MAY_ASSIGN.search(text, at):
-            line = max(at, text.rfind("\n", 0, m.start()) + 1)
+            line = max(at, text.rfind("\n", at, m.start()) + 1)
             stop = text.find("\n", m.end())
             at = self.line(line, self.n if stop < 0 else stop)
         self.found.sort(key=lambda x: x[0])
@@ -300,8 +436,8 @@ class _Parser:
                 before = at
                 if self.name_at(at):
                     at = self.targets(at)
-                elif (at == 0 or not text[at - 1].isalnum()) and (m := _STRING.match(text, at)):  # not the apostrophe of a word
-                    at = m.end()
+                elif (at == 0 or not text[at - 1].isalnum()) and (s := self.string(at)):  # not the apostrophe of a word
+                    at = s.stop
                 else:
                     m = _ONE_NAME.match(text, at)
                     at = m.end() if m else at + 1
@@ -316,8 +452,8 @@ def pairs(text: str) -> list[Pair]:
     return _Parser(text).pairs()
 
 
-def _resolved(pair: Pair, bound: dict[str, int]) -> list[int]:
-    """The nodes that the values without quotes refer to; a value that is no bound name becomes a literal.
+def _resolved(pair: Pair, bound: dict[str, int]) -> list[tuple[int, int]]:
+    """Places and nodes that the values without quotes refer to; a value that is no bound name becomes a literal.
 
     A single name that is not bound is code from elsewhere, unless it has a digit; so is a call.
     """
@@ -325,15 +461,17 @@ def _resolved(pair: Pair, bound: dict[str, int]) -> list[int]:
     for start, end, value in pair.bare:
         names = _BETWEEN.split(value)
         if all(n in bound for n in names):
-            refers += [bound[n] for n in names]
+            refers += [(start, bound[n]) for n in names]
         elif not _CALL.match(value) and (any(c.isdigit() for c in value) or not all(_ONE_NAME.fullmatch(n) for n in names)):
             pair.literals.append((start, end, value))
     return refers
 
 
+@lru_cache(4096)
 def name_weight(name: str) -> int:
     """By the words of the name: camel case, snake case, dots and hyphens separate them; two neighbours count joined, too."""
     words = [w.lower() for w in _WORDS.findall(name)]
+    words = [w[:-1] if w not in SENSITIVE and w.endswith("s") else w for w in words]
     return max([0, *(SENSITIVE.get(w, 0) for w in words), *(SENSITIVE.get(a + b, 0) for a, b in zip(words, words[1:]))])
 
 
@@ -351,10 +489,11 @@ def literal_points(value: str) -> int:
 
 def literal_spans(text: str) -> list[tuple[int, int, str]]:
     """Literals that reach a sensitive name, each once."""
-    if not _MAY_ASSIGN.search(text):
+    if not _MAY_ASSIGN.search(text) and not _SQL.search(text):
         return []
     # each assignment is a node; it refers to the nodes its names were bound to when it was read
     nodes: list[tuple[Pair, list[int]]] = []
+    built: list[tuple[str, list[tuple[int, int]]] | None] = []  # what a node's parts give together, where it refers to some
     bound: dict[str, int] = {}
     by_weight: dict[int, list[int]] = {}
     for pair in pairs(text):
@@ -362,7 +501,8 @@ def literal_spans(text: str) -> list[tuple[int, int, str]]:
         if pair.literals or refers:
             bound[pair.name] = len(nodes)
             by_weight.setdefault(name_weight(pair.name), []).append(len(nodes))
-            nodes.append((pair, refers))
+            built.append(_built(pair, refers, built))
+            nodes.append((pair, [node for _, node in refers]))
     seen: set[int] = set()
     out: dict[tuple[int, int], None] = {}
     for weight in sorted((w for w in by_weight if w), reverse=True):  # what a node passes on counts for the most sensitive name it reaches
@@ -374,11 +514,26 @@ def literal_spans(text: str) -> list[tuple[int, int, str]]:
                 pair, refers = nodes[at]
                 todo += refers
                 whole = "".join(value for _, _, value in pair.literals)
+                if len(refers) + len(pair.literals) > 1 and built[at] and weight + literal_points(built[at][0]) >= LEAST_SCORE:
+                    out.update((span, None) for span in built[at][1])
                 if weight + literal_points(whole) >= LEAST_SCORE:
                     out.update(((start, end), None) for start, end, value in pair.literals if value)
     return [(start, end, "literal") for start, end in out]
 
 
+def _built(pair: Pair, refers: list[tuple[int, int]], built: list) -> tuple[str, list[tuple[int, int]]] | None:
+    """The value of a node and the literals in it, in order; None where it is longer than any credential."""
+    parts = [(start, value, [(start, end)]) for start, end, value in pair.literals if value]
+    for start, node in refers:
+        if built[node] is None:
+            return None
+        parts.append((start, *built[node]))
+    if sum(len(value) for _, value, _ in parts) > LONGEST and refers:
+        return None
+    parts.sort(key=lambda x: x[0])
+    return "".join(value for _, value, _ in parts), [span for *_, spans in parts for span in spans]
+
+
 def _joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]), x[1])))
 
