@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import deque
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,15 +72,57 @@ def union_intervals(df: DataFrame, keys: Sequence[str], begin: str, end: str, we
     return islands(df, keys, [begin, end], near).groupBy(*keys, "island").agg(F.min(begin).alias("begin"), F.max(end).alias("end"), F.max(weight).alias("weight"), F.count("*").alias("n")).drop("island")
 
 
+def _sweep(keys: int):
+    """Over rows (*keys, begin, end, id, side) in order of keys and begin: the greedy pairs, with what waits as the only state."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, lefts, rights = None, deque(), deque()
+        for batch in batches:
+            found: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                key, (begin, end, name, side) = row[:keys], row[keys:]
+                if key != now:
+                    _pair_up(lefts, rights, None, now, found)
+                    now, lefts, rights = key, deque(), deque()
+                (lefts, rights)[side].append((begin, end, name))
+                _pair_up(lefts, rights, begin, now, found)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), [*batch.schema.types[:keys], *[batch.schema.types[keys + 2]] * 2])], [*batch.schema.names[:keys], "left_id", "right_id"])
+        # whoever still waits has met nobody: a pair is made as soon as both are there
+
+    return run
+
+
+def _pair_up(lefts: deque, rights: deque, begin, key, found: list[tuple]) -> None:
+    """Pairs and farewells up to ``begin``, the place that the sweep has reached."""
+    while lefts:
+        left = lefts[0]
+        while rights and rights[0][1] < left[0]:  # ended before this left and so before all that follow
+            rights.popleft()
+        if rights and rights[0][0] <= left[1]:
+            found.append((*key, left[2], rights.popleft()[2]))
+            lefts.popleft()
+        elif rights or begin is None or begin > left[1]:
+            lefts.popleft()  # nothing that comes later begins in time
+        else:
+            return
+    while begin is not None and rights and rights[0][1] < begin:
+        rights.popleft()
+
+
 def overlap_once(left: DataFrame, right: DataFrame, keys: Sequence[str], *, begin: str = "begin", end: str = "end", key: str = "id") -> DataFrame:
-    """Pairs of overlapping intervals of one key, each used once at most: mutually the first by (begin, id)."""
-    a, b = left.alias("a"), right.alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    met = a.join(b, on + [F.col(f"a.{begin}") <= F.col(f"b.{end}"), F.col(f"b.{begin}") <= F.col(f"a.{end}")])
-    of_a = Window.partitionBy(*[F.col(f"a.{k}") for k in keys], F.col(f"a.{key}")).orderBy(F.col(f"b.{begin}"), F.col(f"b.{key}"))
-    of_b = Window.partitionBy(*[F.col(f"b.{k}") for k in keys], F.col(f"b.{key}")).orderBy(F.col(f"a.{begin}"), F.col(f"a.{key}"))
-    met = met.withColumn("__a", F.row_number().over(of_a)).withColumn("__b", F.row_number().over(of_b))
-    return met.where("__a = 1 and __b = 1").select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col(f"a.{key}").alias("left_id"), F.col(f"b.{key}").alias("right_id"))
+    """Each left interval, in order of (begin, id), takes the first right one by (begin, id) that overlaps it and is not taken yet.
+
+    A sweep over both sides in order of their beginnings: a right that ended before the present left serves no later
+    one, and if the first that is left begins too late, so do all others. So a left looks at the first waiting
+    right only, and no pair is formed but those that match. Spark sorts (and can spill); a task holds what waits, which is as
+    many intervals as overlap at one place, however many rows a key has. Null keys match nothing, nor do intervals without both ends.
+    """
+    side = lambda df, n: df.select(*keys, F.col(begin).alias("begin"), F.col(end).alias("end"), F.col(key).alias("id"), F.lit(n).alias("side")).dropna()
+    both = side(left, 0).unionByName(side(right, 1)).repartition(*keys).sortWithinPartitions(*keys, "begin", "id")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.select(*keys).schema)
+    of = both.schema["id"].dataType.simpleString()
+    return both.mapInArrow(_sweep(len(keys)), f"{kinds}, left_id {of}, right_id {of}")
 
 
 def running_extremes(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Column) -> DataFrame:
@@ -110,25 +154,43 @@ def resample(df: DataFrame, keys: Sequence[str], at: str, value: str, n: int) ->
     return both.select(*keys, F.col("point").cast("long").alias("point"), F.round(F.when(flat, F.col("p.v")).otherwise(mid), 6).alias(value))
 
 
-def chain_positions(df: DataFrame, row: str, nxt: str, *, rounds: int = 40, keep=None) -> DataFrame:
-    """For rows that point to the next of their chain: the chain's head and the row's position.
+def chain_positions(df: DataFrame, row: str, nxt: str, *, rounds: int = 64, keep=None) -> DataFrame:
+    """(row, head, position, cycle): for rows that point to the next of their chain its head and the row's position; a row each.
 
-    Pointers double: after k rounds each row knows the row 2^k before it, so a chain of n rows takes log2(n)
-    joins. ``keep`` cuts the lineage of a round (a checkpoint into shared storage); rounds end when no row
-    gains anything.
+    Pointers double: after k rounds each row knows the row 2^k before it and the least of those between, so a chain
+    of n rows takes log2(n) joins. Rows that have found no head when a round brings nobody to one are on cycles;
+    once 2^k covers them, the least row of a cycle counts as its head. Of several rows that point to one the least
+    goes before it; the chains of the others end with them, so a fork multiplies no row. Pointers to rows that do not exist
+    are ends. ``keep`` cuts the lineage of a round (a checkpoint into shared storage).
     """
-    before = df.where(F.col(nxt).isNotNull()).select(F.col(nxt).alias("row"), F.col(row).alias("back"))
+    before = df.where(F.col(nxt).isNotNull()).groupBy(F.col(nxt).alias("row")).agg(F.min(row).alias("back"))
     state = df.select(F.col(row).alias("row")).join(before, "row", "left")
-    state = state.select("row", F.coalesce("back", "row").alias("head"), F.when(F.col("back").isNull(), 0).otherwise(1).cast("long").alias("position"))
+    # ``far`` rows back stands ``head``; the least row from this one to there, without it, stands ``least_at`` back
+    state = state.select("row", F.coalesce("back", "row").alias("head"), F.when(F.col("back").isNull(), 0).otherwise(1).cast("long").alias("far"), F.col("back").isNull().alias("done"), F.col("row").alias("least"), F.lit(0).cast("long").alias("least_at"))
     state = keep(state) if keep else state
+    open_rows, reach = state.where("not done").count(), 1
     for _ in range(rounds):
-        a, b = state.alias("a"), state.alias("b")
-        further = a.join(b, F.col("a.head") == F.col("b.row")).select("a.row", F.col("b.head").alias("head"), (F.col("a.position") + F.col("b.position")).alias("position"), (F.col("b.position") > 0).alias("moved"))
-        further = keep(further) if keep else further  # the next round and the test whether it is needed both read this
-        state = further.drop("moved")
-        if further.agg(F.bool_or("moved")).head()[0] is not True:
+        if not open_rows:
             break
-    return state.select("row", "head", "position")
+        a, b = state.alias("a"), state.alias("b")
+        lower = F.col("b.least") < F.col("a.least")
+        state = a.join(b, F.col("a.head") == F.col("b.row")).select(
+            "a.row",
+            F.col("b.head").alias("head"),
+            (F.col("a.far") + F.col("b.far")).alias("far"),
+            (F.col("a.done") | F.col("b.done")).alias("done"),
+            F.when(lower, F.col("b.least")).otherwise(F.col("a.least")).alias("least"),
+            F.when(lower, F.col("a.far") + F.col("b.least_at")).otherwise(F.col("a.least_at")).alias("least_at"),
+        )
+        state = keep(state) if keep else state
+        left, reach = state.where("not done").count(), 2 * reach
+        if left == open_rows and reach >= left:
+            break  # cycles only, each of them covered
+        open_rows = left
+    else:
+        raise RuntimeError(f"rows still move after {rounds} rounds")
+    cycle = ~F.col("done")
+    return state.select("row", F.when(cycle, F.col("least")).otherwise(F.col("head")).alias("head"), F.when(cycle, F.col("least_at")).otherwise(F.col("far")).alias("position"), cycle.alias("cycle"))
 
 
 def forest_faults(df: DataFrame, row: str, nxt: str) -> DataFrame:

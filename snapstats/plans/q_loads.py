@@ -169,12 +169,22 @@ def l19(spark, d):
     return L.positional_json(A.entities(spark, d), ["season", "phase", "club"], ["tid", "name"], ["tid", "name"])
 
 
-@query("l20_leak_audit", "SELECT 'nested' AS output, 'rows.[].ability' AS path FROM (SELECT DISTINCT 1 AS x FROM customer) UNION ALL SELECT DISTINCT 'tags', 'm{}.ABILITY' FROM ent WHERE ability IS NOT NULL")
+@query("l19_dropped_groups", "SELECT count(*) AS known, count(p.club) AS published, count(*) FILTER (p.club IS NULL) AS dropped FROM (SELECT DISTINCT club FROM ent) g LEFT JOIN (SELECT DISTINCT club FROM ent WHERE ability > 190) p USING (club)")
+def l19_dropped(spark, d):
+    """Squads that an export of the best leaves out, as they have none."""
+    e = A.entities(spark, d)
+    return L.dropped_groups(e.select("club"), e.where("ability > 190"), ["club"])
+
+
+@query("l20_leak_audit", "SELECT 'nested' AS output, 'rows.[].ability' AS path FROM (SELECT DISTINCT 1 AS x FROM customer) UNION ALL SELECT DISTINCT 'tags', 'm{}.ABILITY' FROM ent WHERE ability IS NOT NULL UNION ALL SELECT DISTINCT 'deep', 'a.[].m{}.ability' FROM ent WHERE club = 3 UNION ALL SELECT DISTINCT 'json', 'body.rows.[].' || CASE WHEN club % 2 = 0 THEN 'Ability' ELSE 'x.ability' END FROM ent")
 def l20(spark, d):
     e = A.entities(spark, d)
     nested = e.groupBy("season").agg(F.collect_list(F.struct("tid", "ability")).alias("rows"))
     tags = e.where("ability is not null").select("tid", F.create_map(F.lit("ABILITY"), C("ability")).alias("m"))
-    return L.leaks(spark, {"nested": nested, "tags": tags, "clean": e.select("tid", "name")}, ["ability"])
+    key = F.when(C("club") == 3, F.lit("ability")).otherwise(F.lit("level"))
+    deep = e.select("tid", F.array(F.struct(F.create_map(key, C("tid")).alias("m"))).alias("a"))
+    body = e.select(F.concat(F.lit('{"rows":[{'), F.when(C("club") % 2 == 0, F.lit('"Ability":1')).otherwise(F.lit('"x":{"ability":2},"note":"ability"')), F.lit("}]}")).alias("body"))
+    return L.leaks(spark, {"nested": nested, "tags": tags, "deep": deep, "json": body, "clean": e.select("tid", "name")}, ["ability"])
 
 
 @query("l22_ordered_export", "SELECT season, phase, tid, string_agg(position || ' ' || familiarity, ';' ORDER BY familiarity DESC, position) AS positions, row_number() OVER (PARTITION BY season, phase ORDER BY ability IS NULL, ability DESC, tid) AS line FROM pos JOIN ent USING (season, phase, tid) GROUP BY season, phase, tid, ability")
@@ -228,10 +238,11 @@ def l8_groups(spark, d):
     path = _folder(spark)
     e = A.entities(spark, d).select("season", "phase", "tid", F.when(C("ck") % 2 == 0, "a").otherwise("b").alias("src"))
     by = {"entities": ["season", "phase", "src"], "slices": ["season", "phase"]}
-    L.load_label({"entities": e, "slices": e.groupBy("season", "phase").agg(F.count("*").alias("n"))}, f"{path}/store", by, f"{path}/first")
+    L.load_label({"entities": e, "slices": e.groupBy("season", "phase").agg(F.count("*").alias("n"))}, f"{path}/store", by)
     again = e.where("season = 1999 and src = 'b'").withColumn("tid", C("tid") + 1000)
-    L.load_label({"entities": again, "slices": again.select("season", "phase", C("tid").alias("n"))}, f"{path}/store", by, f"{path}/second", ["entities"])
-    out = spark.read.schema("tid long, season long, phase string, src string").parquet(f"{path}/store/entities")
-    whole = spark.read.schema("n long, season long, phase string").parquet(f"{path}/store/slices")  # untouched by the second load
+    L.load_label({"entities": again, "slices": again.select("season", "phase", C("tid").alias("n"))}, f"{path}/store", by, ["entities"])
+    L.forget_versions(spark, f"{path}/store", list(by))
+    out = L.read_store(spark, f"{path}/store", "entities", by["entities"], "tid long, season long, phase string, src string")
+    whole = L.read_store(spark, f"{path}/store", "slices", by["slices"], "n long, season long, phase string")  # untouched by the second load
     out = out.groupBy("season", "phase", "src").agg(F.count("*").alias("n"), F.sum("tid").alias("ids"))
     return out.join(whole.select("season", "phase"), ["season", "phase"])

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from snapstats.operators import models as M
 from snapstats.operators import scoring
+from snapstats.operators.documents import nested_profile, nesting, walk
 from snapstats.plans import frames as X
 from snapstats.plans.catalog import query
+from snapstats.session import checkpoint
 from snapstats.sources import adapters as A
 
 C = F.col
@@ -77,6 +79,30 @@ def m5(spark, d):
     return M.tag_profile(A.key_values(spark, d), "entity", "tag", "value")
 
 
+_DOC = "SELECT event_id, '{\"user\":{\"id\":' || user_id || ',\"seen\":[{\"at\":{\"day\":' || event_id % 31 || ',\"kinds\":[\"' || event_type || '\",null,true]}},' || event_id % 7 || ']},\"props\":' || props || ',\"rate\":0.25}' AS doc FROM events"
+_TREE = f"(SELECT event_id, key AS tag, CASE WHEN type IN ('OBJECT', 'ARRAY', 'BOOLEAN', 'NULL') THEN lower(type) WHEN type = 'VARCHAR' THEN 'string' WHEN type = 'DOUBLE' THEN 'number' ELSE 'integer' END AS kind, CASE WHEN type LIKE '%BIGINT' THEN CAST(atom AS BIGINT) END AS whole, id, parent FROM ({_DOC}) d, json_tree(d.doc))"
+_NODES = f"(SELECT c.event_id, CASE WHEN p.kind = 'array' THEN '[]' ELSE c.tag END AS tag, c.kind, c.whole, c.depth, CASE WHEN p.parent IS NULL THEN '$' WHEN p.in_array THEN '[]' ELSE p.tag END AS parent FROM nodes c JOIN nodes p ON p.event_id = c.event_id AND p.id = c.parent)"
+_WALK = f"WITH RECURSIVE t AS MATERIALIZED {_TREE}, nodes AS (SELECT *, 0 AS depth, false AS in_array FROM t WHERE parent IS NULL UNION ALL SELECT t.*, n.depth + 1, n.kind = 'array' FROM t JOIN nodes n ON n.event_id = t.event_id AND t.parent = n.id), v AS {_NODES}"
+_MIX = "(SELECT tag, string_agg(x || ':' || k, ',' ORDER BY k DESC, x) AS {name} FROM (SELECT tag, {what} AS x, count(*) AS k, row_number() OVER (PARTITION BY tag ORDER BY count(*) DESC, {what}) AS i FROM v GROUP BY 1, 2) WHERE i <= {most} GROUP BY 1)"
+
+
+def _documents(spark, d):
+    """Documents six levels deep, with the events' own JSON inside."""
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    doc = text('{"user":{"id":', C("user_id"), ',"seen":[{"at":{"day":', C("event_id") % 31, ',"kinds":["', C("event_type"), '",null,true]}},', C("event_id") % 7, ']},"props":', C("props"), ',"rate":0.25}')
+    return A.table(spark, d, "events").select("event_id", doc.alias("doc"))
+
+
+@query("m5_nested_profile", f"{_WALK} SELECT tag, count(*) AS n, count(*) FILTER (kind IN ('object', 'array')) AS as_container, count(DISTINCT whole) AS distinct_values, min(whole) AS least, max(whole) AS most, CAST(min(depth) AS BIGINT) AS least_depth, CAST(max(depth) AS BIGINT) AS most_depth, count(DISTINCT event_id) AS entities, any_value(kinds) AS kinds, any_value(parents) AS parents FROM v JOIN {_MIX.format(name='kinds', what='kind', most=99)} USING (tag) JOIN {_MIX.format(name='parents', what='parent', most=8)} USING (tag) GROUP BY tag")
+def m5_nested(spark, d):
+    return nested_profile(walk(_documents(spark, d), ["event_id"], "doc", keep=checkpoint), "event_id")
+
+
+@query("m5_nesting", f"{_WALK} SELECT parent, tag, count(*) AS n FROM v GROUP BY 1, 2")
+def m5_nesting(spark, d):
+    return nesting(walk(_documents(spark, d), ["event_id"], "doc", keep=checkpoint))
+
+
 @query("m6_reverse_index", "SELECT value, tag, count(*) AS n FROM kv WHERE value IN (SELECT DISTINCT length(text) FROM benchmark) GROUP BY 1, 2")
 def m6(spark, d):
     known = A.table(spark, d, "benchmark").select(F.length("text").cast("long").alias("value")).distinct()

@@ -54,10 +54,11 @@ def _spells(spark, d, kind):
 
 
 _SP = "(SELECT tid, min(date) AS b, max(date) AS e, tid || '@' || min(date) AS id FROM (SELECT *, " + _ISLANDS.format(gap=2, keys="tid") + " FROM (SELECT tid, date, lag(date) OVER (PARTITION BY tid ORDER BY date) AS prev FROM (SELECT DISTINCT tid, date FROM wk WHERE flag & {bit} <> 0))) GROUP BY tid, g)"
-_MET = f"(SELECT x.tid, x.id AS left_id, y.id AS right_id, row_number() OVER (PARTITION BY x.tid, x.id ORDER BY y.b, y.id) AS i, row_number() OVER (PARTITION BY y.tid, y.id ORDER BY x.b, x.id) AS j FROM {_SP.format(bit=2)} x JOIN {_SP.format(bit=32)} y ON x.tid = y.tid AND x.b <= y.e AND y.b <= x.e)"
+# each spell in turn takes the first window that is not in the list of those used
+_MET = f"(WITH RECURSIVE x AS (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY b, id) AS n FROM {_SP.format(bit=2)}), y AS (SELECT tid, list({{'b': b, 'e': e, 'id': id}} ORDER BY b, id) AS ws FROM {_SP.format(bit=32)} GROUP BY tid), walk AS (SELECT tid, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS left_id, CAST(NULL AS VARCHAR) AS right_id FROM y UNION ALL SELECT tid, n, CASE WHEN r IS NULL THEN used ELSE list_append(used, r) END, id, r FROM (SELECT x.tid, x.n, w.used, x.id, list_filter(y.ws, lambda z: z.b <= x.e AND x.b <= z.e AND NOT list_contains(w.used, z.id))[1].id AS r FROM walk w JOIN x ON x.tid = w.tid AND x.n = w.n + 1 JOIN y ON y.tid = w.tid)) SELECT tid, left_id, right_id FROM walk WHERE right_id IS NOT NULL)"
 
 
-@query("j12_interval_overlap", f"SELECT tid, left_id, right_id FROM {_MET} WHERE i = 1 AND j = 1")
+@query("j12_interval_overlap", f"SELECT tid, left_id, right_id FROM {_MET}")
 def j12(spark, d):
     return Q.overlap_once(_spells(spark, d, "click"), _spells(spark, d, "purchase"), ["tid"])
 
@@ -65,7 +66,7 @@ def j12(spark, d):
 _NEWEST = "(SELECT max(date) FROM wk)"
 
 
-@query("t5_timeline", f"SELECT tid, source, CAST(b AS VARCHAR) AS b, CAST(e AS VARCHAR) AS e, folded, e >= {_NEWEST} - 1 AS ongoing FROM (SELECT x.tid, 'exact' AS source, x.b, x.e, m.right_id AS folded FROM {_SP.format(bit=2)} x LEFT JOIN (SELECT * FROM {_MET} WHERE i = 1 AND j = 1) m ON m.left_id = x.id UNION ALL SELECT tid, 'window', b, e, NULL FROM {_SP.format(bit=32)} y WHERE y.id NOT IN (SELECT right_id FROM {_MET} WHERE i = 1 AND j = 1) UNION ALL SELECT o.tid, 'observed', o.b, o.e, NULL FROM {_SP.format(bit=1)} o WHERE NOT EXISTS (SELECT 1 FROM {_SP.format(bit=2)} x WHERE x.tid = o.tid AND x.b <= o.e AND o.b <= x.e))")
+@query("t5_timeline", f"SELECT tid, source, CAST(b AS VARCHAR) AS b, CAST(e AS VARCHAR) AS e, folded, e >= {_NEWEST} - 1 AS ongoing FROM (SELECT x.tid, 'exact' AS source, x.b, x.e, m.right_id AS folded FROM {_SP.format(bit=2)} x LEFT JOIN {_MET} m ON m.left_id = x.id UNION ALL SELECT tid, 'window', b, e, NULL FROM {_SP.format(bit=32)} y WHERE y.id NOT IN (SELECT right_id FROM {_MET}) UNION ALL SELECT o.tid, 'observed', o.b, o.e, NULL FROM {_SP.format(bit=1)} o WHERE NOT EXISTS (SELECT 1 FROM {_SP.format(bit=2)} x WHERE x.tid = o.tid AND x.b <= o.e AND o.b <= x.e))")
 def t5(spark, d):
     """Exact spells, with the window that each absorbs; the windows that none does; the observed runs that no exact spell touches. Those that reach the newest day are ongoing."""
     a, b, seen = (_spells(spark, d, kind) for kind in ("click", "purchase", "error"))
@@ -152,6 +153,16 @@ def t13(spark, d):
     return placed.join(before, "row", "left").select("row", "head", "position", "stat_before")
 
 
+@query("t13_cycles", "WITH o AS (SELECT o_orderkey AS r, o_custkey AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders), l AS (SELECT c, arg_min(i, r) AS pl, min(r) AS least FROM o GROUP BY c) SELECT r AS \"row\", CASE WHEN c % 3 = 0 THEN least ELSE first_value(r) OVER (PARTITION BY c ORDER BY i) END AS head, CASE WHEN c % 3 = 0 THEN (i - pl + n) % n ELSE i END AS position, c % 3 = 0 AS cycle FROM o JOIN l USING (c)")
+def t13_cycles(spark, d):
+    """The chains of a third of the customers are closed to cycles: their last order points to the first."""
+    orders = A.table(spark, d, "orders").select(C("o_orderkey").alias("row_id"), C("o_custkey").alias("c"), "o_orderdate")
+    w = Window.partitionBy("c").orderBy("o_orderdate", "row_id")
+    first = F.first("row_id").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    closed = orders.withColumn("next_id", F.coalesce(F.lead("row_id").over(w), F.when(C("c") % 3 == 0, first)))
+    return Q.chain_positions(closed, "row_id", "next_id", keep=checkpoint)
+
+
 @query("t13_forest_check", "SELECT next_id AS \"row\", count(*) AS n, bool_or(r.row_id IS NOT NULL) AS known FROM (SELECT CASE WHEN row_id % 50 = 0 THEN 1 ELSE next_id END AS next_id FROM chn) c LEFT JOIN (SELECT row_id FROM chn) r ON r.row_id = c.next_id WHERE next_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1 OR NOT bool_or(r.row_id IS NOT NULL)")
 def t13_check(spark, d):
     c = A.chain(spark, d).withColumn("next_id", F.when(C("row_id") % 50 == 0, F.lit(1).cast("long")).otherwise(C("next_id")))

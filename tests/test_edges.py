@@ -143,13 +143,6 @@ def test_interval_union(spark):
     assert got == [(1, 12, 5, 3), (14, 15, 3, 2)]
 
 
-def test_overlap_uses_each_once(spark):
-    a = spark.createDataFrame([("k", 1, 10, "x"), ("k", 20, 30, "y")], "g string, begin long, end long, id string")
-    b = spark.createDataFrame([("k", 2, 3, "p"), ("k", 5, 25, "q"), ("k", 40, 41, "r")], "g string, begin long, end long, id string")
-    assert sorted((r.left_id, r.right_id) for r in sequences.overlap_once(a, b, ["g"]).collect()) == [("x", "p")]
-    assert [(r.left_id, r.right_id) for r in sequences.overlap_once(b, a, ["g"]).collect()] == [("p", "x")]
-
-
 def test_running_score(spark):
     df = spark.createDataFrame([("m", i, s) for i, s in enumerate([-1, -1, 1, 1, 1])] + [("n", 0, -1)], "k string, i long, s long")
     got = {r.k: (r.max_lead, r.max_deficit, r.final) for r in sequences.running_extremes(df, ["k"], ["i"], F.col("s")).collect()}
@@ -256,21 +249,6 @@ def test_stream_spells_drop_late_rows(spark, tmp_path):
     assert got == {(1, "2024-01-01", "2024-01-02", 2), (2, "2024-01-01", "2024-01-01", 1), (1, "2024-02-10", "2024-02-10", 1), (1, "2024-04-01", "2024-04-01", 1)}
 
 
-def test_load_label_is_all_or_nothing(spark, tmp_path):
-    good = spark.createDataFrame([(1, "a", 5), (2, "a", 6)], "season long, src string, x long")
-    by = {"good": ["season", "src"], "bad": ["season"]}
-    loads.load_label({"good": good}, f"{tmp_path}/store", by, f"{tmp_path}/one")
-    bad = good.select("season", F.raise_error(F.lit("no")).cast("string").alias("x"))
-    with pytest.raises(Exception, match="no"):
-        loads.load_label({"good": good.withColumn("x", F.col("x") * 10), "bad": bad}, f"{tmp_path}/store", by, f"{tmp_path}/two")
-    kept = spark.read.parquet(f"{tmp_path}/store/good")
-    assert sorted(r.x for r in kept.collect()) == [5, 6]
-    with pytest.raises(ValueError):
-        loads.load_label({"good": good}, f"{tmp_path}/store", by, f"{tmp_path}/three", ["other"])
-    assert loads.load_label({"good": good.where("season = 2").withColumn("x", F.lit(7).cast("long")), "bad": bad}, f"{tmp_path}/store", by, f"{tmp_path}/four", ["good"]) == ["good"]
-    assert sorted(r.x for r in spark.read.parquet(f"{tmp_path}/store/good").collect()) == [5, 7]
-
-
 def test_keyed_and_commented_files(spark, tmp_path):
     (tmp_path / "t").mkdir()
     for name in ("alpha", "beta"):
