@@ -138,7 +138,15 @@ def largest_spans(df: DataFrame, group: str, at: str, kind: str, n: int = 20) ->
 
 
 def best_assignment(score: np.ndarray) -> list[int]:
-    """The column of each row, all different, of the largest total; rows are few, columns at least as many.
+    """The column of each row, all different, of the largest total; rows are few, columns at least as many."""
+    return priced_assignment(score)[0]
+
+
+def priced_assignment(score: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """As ``best_assignment``, with prices of rows and columns that prove it.
+
+    No score is above the sum of its two prices, a column that is left has price 0, and the prices of all together are the
+    total: so no other choice has a larger one.
 
     Successive shortest augmenting paths with potentials: each new row takes a column, and rows before it
     move along the cheapest path. Equal totals: the order of the columns decides.
@@ -171,11 +179,26 @@ def best_assignment(score: np.ndarray) -> list[int]:
     for c, r in enumerate(owner):
         if r >= 0:
             out[r] = c
-    return out
+    return out, score.max() - u, -v
 
 
 def assign(df: DataFrame, group: str, slot: str, candidate: str, score: str, per_slot: int = 12) -> DataFrame:
-    """M9: in each group one candidate per slot, none twice, of the largest total.
+    """M9: in each group one candidate per slot, none twice, of the largest total."""
+    return priced(df, group, slot, candidate, score, per_slot).where(F.col(candidate).isNotNull()).select(group, slot, candidate, score)
+
+
+def assignment_faults(df: DataFrame, chosen: DataFrame, group: str, slot: str, candidate: str, score: str) -> DataFrame:
+    """M9's proof from the rows of ``priced``: for each group the slots, the scores above their two prices, candidates used twice, and what total and prices differ by."""
+    used = chosen.where(F.col(candidate).isNotNull()).select(group, candidate, "candidate_price")
+    pairs = df.where(F.col(score).isNotNull()).groupBy(group, slot, candidate).agg(F.max(score).alias("__s"))
+    pairs = pairs.join(chosen.select(group, slot, "slot_price"), [group, slot]).join(used.select(group, candidate, "candidate_price"), [group, candidate], "left")
+    over = pairs.groupBy(group).agg(F.count_if(F.col("__s") > F.col("slot_price") + F.coalesce("candidate_price", F.lit(0.0)) + 1e-6).alias("above"))
+    sums = chosen.groupBy(group).agg(F.count("*").alias("slots"), (F.count(candidate) - F.count_distinct(candidate)).alias("twice"), F.round(F.sum(F.col("value") - F.col("slot_price") - F.col("candidate_price")), 3).alias("gap"))
+    return sums.join(over, group).select(group, "slots", "twice", "above", (F.abs("gap") > 0.001).alias("open"))
+
+
+def priced(df: DataFrame, group: str, slot: str, candidate: str, score: str, per_slot: int = 12) -> DataFrame:
+    """A row for each slot of each group: its candidate (null if the slot stays empty) and score, the value that counts, and the prices that prove the choice.
 
     Only a slot's best candidates can matter, as many as there are slots, so each group is cut to those in
     Spark (exactly, ``per_slot`` must not be below the number of slots) before it goes to a task. Groups with
@@ -193,13 +216,16 @@ def assign(df: DataFrame, group: str, slot: str, candidate: str, score: str, per
         values = table.to_numpy(float)
         worst = np.nanmin(values) - (np.nanmax(values) - np.nanmin(values) + 1) * (len(table) + 1)
         padded = np.hstack([np.where(np.isnan(values), worst * 2 - abs(worst), values), np.full((len(table), len(table)), worst)])
-        chosen = best_assignment(padded)
-        rows = [(pdf[group].iloc[0], s, table.columns[c], values[i, c]) for i, (s, c) in enumerate(zip(table.index, chosen)) if c < values.shape[1] and not np.isnan(values[i, c])]
-        return pd.DataFrame(rows, columns=[group, slot, candidate, score])
+        chosen, slots, candidates = priced_assignment(padded)
+        rows = []
+        for i, (s, c) in enumerate(zip(table.index, chosen)):
+            filled = c < values.shape[1] and not np.isnan(values[i, c])
+            rows.append((pdf[group].iloc[0], s, table.columns[c] if filled else None, values[i, c] if filled else None, padded[i, c], slots[i], candidates[c]))
+        return pd.DataFrame(rows, columns=[group, slot, candidate, score, "value", "slot_price", "candidate_price"]).convert_dtypes()
 
     # the rows are few but each group is work: a set number of partitions is not merged into one for being small
     few = few.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), group)
-    return few.groupBy(group).applyInPandas(solve, f"{group} {kinds[group]}, {slot} {kinds[slot]}, {candidate} {kinds[candidate]}, {score} double")
+    return few.groupBy(group).applyInPandas(solve, f"{group} {kinds[group]}, {slot} {kinds[slot]}, {candidate} {kinds[candidate]}, {score} double, value double, slot_price double, candidate_price double")
 
 
 def leaf_paths(schema, prefix: str = "") -> Iterable[str]:

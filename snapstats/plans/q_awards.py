@@ -8,6 +8,7 @@ from snapstats.operators import relational as R
 from snapstats.operators import sequences as Q
 from snapstats.plans import frames as X
 from snapstats.plans.catalog import query
+from snapstats.session import checkpoint
 from snapstats.sources import adapters as A
 
 C = F.col
@@ -149,16 +150,20 @@ _IMPROVED = f"(SELECT season, arg_max(tid, (g, -tid)) FILTER (g > 0) AS improved
 _MATCHES = "(SELECT season, arg_max(tid, (goals, -anchor, -tid)) FILTER (goals >= 1) AS hat_trick, arg_max(tid, (shots, -anchor, -tid)) FILTER (goals = 0 AND shots > 0) AS storm FROM cur WHERE appeared GROUP BY season)"
 
 
-@query("r6_awards", "SELECT * FROM (SELECT season, " + ", ".join(f"arg_max(tid, ({v}, -tid)) FILTER ({c}) AS {n}" for n, (c, v) in _AWARDS.items()) + f" FROM {_TOTALS} GROUP BY season) LEFT JOIN {_GLOVE} USING (season) LEFT JOIN {_IMPROVED} USING (season) LEFT JOIN {_MATCHES} USING (season)")
+_R6 = "SELECT * FROM (SELECT season, " + ", ".join(f"arg_max(tid, ({v}, -tid)) FILTER ({c}) AS {n}" for n, (c, v) in _AWARDS.items()) + f" FROM {_TOTALS} GROUP BY season) LEFT JOIN {_GLOVE} USING (season) LEFT JOIN {_IMPROVED} USING (season) LEFT JOIN {_MATCHES} USING (season)"
+
+
+@query("r6_awards", _R6)
 def r6(spark, d):
     """A season's totals once; every award of them is one aggregate of the same pass."""
-    cur, ent = X.current(spark, d), A.entities(spark, d)
+    cur, ent = checkpoint(X.current(spark, d)), A.entities(spark, d)  # totals, clean sheets and matches all read it
     rows = cur.where("appeared")
     keys = ["season", "phase", "tid"]
     t = rows.join(ent.select(*keys, "dob"), keys, "left").groupBy("season", "tid").agg(
         F.count("*").alias("apps"), (F.sum("rating") / F.count("*")).alias("rating"), F.sum("minutes").alias("minutes"), *[F.sum(c).alias(c) for c in A.COUNTS],
         F.sum(F.when(C("started"), 0).otherwise(C("goals") + C("assists"))).alias("bench"), F.min(F.year("dob")).alias("born"),
     )
+    t = checkpoint(t)
     games = t.groupBy("season").agg(F.max("apps").alias("games"))
     t = t.join(games, "season")
     regular = C("apps") >= F.greatest(F.lit(REGULAR), F.round(REGULAR_SHARE * C("games")))
@@ -179,6 +184,15 @@ def r6(spark, d):
     return awards.join(glove, "season", "left").join(improved, "season", "left").join(match, "season", "left")
 
 
+@query("r8_player_honours", f"SELECT award, tid, count(*) AS won, string_agg(season, ' ' ORDER BY season) AS seasons FROM (UNPIVOT ({_R6}) ON COLUMNS(* EXCLUDE season) INTO NAME award VALUE tid) GROUP BY award, tid")
+def r8_players(spark, d):
+    """R8 over all awards of players: who won what, how often and when."""
+    won = r6(spark, d)
+    long = won.unpivot(["season"], [c for c in won.columns if c != "season"], "award", "tid").where("tid IS NOT NULL")
+    seasons = F.array_join(F.transform(F.array_sort(F.collect_list("season")), lambda x: x.cast("string")), " ")
+    return long.groupBy("award", "tid").agg(F.count("*").alias("won"), seasons.alias("seasons"))
+
+
 @query("r6_sick_note", "SELECT month, arg_max(tid, (days, -tid)) AS tid, max(days) AS days FROM (SELECT strftime(date, '%Y-%m') AS month, tid, count(DISTINCT date) AS days FROM wk WHERE flag & 1 <> 0 GROUP BY 1, 2) GROUP BY month")
 def r6_sick(spark, d):
     """Who was out longest in each month."""

@@ -140,6 +140,15 @@ def m9(spark, d):
     return M.assign(grouped, "team", "position", "tid", "eff", 14)
 
 
+@query("m9_proof", "SELECT phase || '/' || club AS team, count(DISTINCT position) AS slots, 0 AS twice, 0 AS above, false AS open FROM eff WHERE method = 'm0' AND eff IS NOT NULL GROUP BY phase, club")
+def m9_proof(spark, d):
+    """That the assignments are the best: by the prices of slots and candidates, over all pairs of the table."""
+    e = X.effective(spark, d).where("method = 'm0'")
+    grouped = checkpoint(e.select(F.concat_ws("/", "phase", C("club").cast("string")).alias("team"), "position", "tid", "eff"))
+    chosen = checkpoint(M.priced(grouped, "team", "position", "tid", "eff", 14))
+    return M.assignment_faults(grouped, chosen, "team", "position", "tid", "eff")
+
+
 @query("m10_hidden_level", "SELECT season, phase, tid, method, position, round(100 * percent_rank() OVER (PARTITION BY season, phase, position, method ORDER BY ability NULLS LAST), 1) AS level_pos FROM eff")
 def m10(spark, d):
     """The level leaves as a percentile only."""

@@ -221,7 +221,7 @@ _HOST = "(SELECT t.season, t.phase, t.tid, o.club, 1 + count(*) FILTER (o.eff >
 @query("k12_host_clubs", f"SELECT season, phase, tid, count(*) FILTER (r = 1 AND n >= 3) AS firsts, arg_min(club, (r, -n, club)) AS best_host FROM {_HOST} GROUP BY ALL")
 def k12(spark, d):
     at = ["season", "phase"]
-    p = X.primary(spark, d).where("method = 'm0'").select(*at, "position", "tid", "club", "eff")
+    p = checkpoint(X.primary(spark, d).where("method = 'm0'").select(*at, "position", "tid", "club", "eff"))  # read three times
     hosts = p.where("club <> 3")
     # a target is placed at each club that has anyone in its position: clubs are few, their players are not paired with it
     t = p.where("club = 3").drop("club").join(hosts.select(*at, "position", "club").distinct(), [*at, "position"])

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from snapstats.operators import documents, loads, sequences
+from snapstats.operators import documents, loads, models, sequences
 from snapstats.session import checkpoint
 
 SPAN = "g string, begin long, end long, id string"
@@ -207,3 +207,18 @@ def test_walk_and_profile_of_planted_trees(spark):
         parents = sorted(Counter(x[2] for x in own).items(), key=lambda x: (-x[1], x[0]))[:8]
         assert got[tag].parents == ",".join(f"{p}:{k}" for p, k in parents)
     assert {(x.parent, x.tag): x.n for x in documents.nesting(values).collect()} == Counter((x[2], x[3]) for x in want.elements())
+
+
+def test_prices_prove_an_assignment(spark):
+    r = random.Random(6)
+    rows = [(f"g{g}", f"s{s}", c, float(r.randrange(20))) for g in range(8) for s in range(4) for c in range(g + 1) if r.random() < 0.8]
+    df = spark.createDataFrame(rows, "team string, slot string, who long, v double")
+    chosen = models.priced(df, "team", "slot", "who", "v")
+    ok = models.assignment_faults(df, chosen, "team", "slot", "who", "v").collect()
+    assert len(ok) == len({x[0] for x in rows}) and all((x.twice, x.above, x.open) == (0, 0, False) for x in ok)
+    assert {(x.team, x.slots) for x in ok} == {(g, len({x[1] for x in rows if x[0] == g})) for g in {x[0] for x in rows}}
+    # a choice that is not the best can't have such prices: a better pair stands above them, or they do not add up
+    worse = chosen.withColumns({"value": F.col("value") - F.when(F.col("slot") == "s0", 1.0).otherwise(0.0)})
+    assert any(x.open for x in models.assignment_faults(df, worse, "team", "slot", "who", "v").collect())
+    cheap = chosen.withColumn("slot_price", F.col("slot_price") - 5.0)
+    assert any(x.above for x in models.assignment_faults(df, cheap, "team", "slot", "who", "v").collect())
