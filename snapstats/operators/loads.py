@@ -12,12 +12,12 @@ from pyspark.sql.types import ArrayType
 
 from snapstats.operators.documents import walk
 from snapstats.operators.models import leaf_paths
+from snapstats.sources.bundle import bundle_section, scan_bundle
 
 
 def read_bundle(spark: SparkSession, path: str, section: str, fields: str) -> DataFrame:
-    """L1: a JSON bundle whose section is an object of objects: one row per entry, its name in ``key``."""
-    raw = spark.read.json(path, schema=f"{section} map<string, struct<{fields}>>", multiLine=True)
-    return raw.select(F.explode(section).alias("key", "__v")).select("key", "__v.*")
+    """L1: one section of the JSON bundles below ``path``: one row per entry, its name in ``key``. For several sections see ``sources.bundle``."""
+    return bundle_section(scan_bundle(spark, path), section, fields)
 
 
 def read_keyed_files(spark: SparkSession, folder: str, schema: str, pattern: str = r"([^/]+)\.csv$") -> DataFrame:

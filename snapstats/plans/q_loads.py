@@ -13,6 +13,7 @@ from snapstats.plans import frames as X
 from snapstats.plans.catalog import query
 from snapstats.session import shared_dir
 from snapstats.sources import adapters as A
+from snapstats.sources.bundle import scan_bundle
 
 C = F.col
 
@@ -29,6 +30,35 @@ def l1(spark, d):
     return L.read_bundle(spark, path, "clubs", "name string, region long")
 
 
+_SECTIONS = {
+    "clubs": ("nation", "n_nationkey", "n_name", "n_regionkey"), "leagues": ("region", "r_regionkey", "r_name", "r_regionkey"), "players": ("customer", "c_custkey", "c_name", "c_nationkey"),
+    "staff": ("supplier", "s_suppkey", "s_name", "s_nationkey"), "competitions": ("orders", "o_orderkey", "o_orderpriority", "o_custkey"),
+}
+
+
+@query("l1_bundle_sections", " UNION ALL ".join(f"SELECT '{s}' AS section, CAST({k} AS VARCHAR) AS key, {n} AS name, CAST({v} AS BIGINT) AS number, CASE WHEN {k} % 3 = 0 THEN {n} END AS tag FROM {t}" for s, (t, k, n, v) in _SECTIONS.items()))
+def l1_sections(spark, d):
+    """Five bundles of five sections each, written as lines of JSON, read in one pass by as many tasks as there are blocks.
+
+    A bundle's file is written by a task in order, so neither writer nor reader holds one.
+    """
+    rows = None
+    for i, (section, (t, k, n, v)) in enumerate(_SECTIONS.items()):
+        more = F.when(C(k) % 3 == 0, F.struct(C(n).alias("tag")))
+        entry = F.concat(F.lit('"'), C(k).cast("string"), F.lit('":'), F.to_json(F.struct(C(n).alias("name"), C(v).cast("long").alias("number"), more.alias("more"))))
+        own = A.table(spark, d, t).select((C(k) % 5).alias("bundle"), F.lit(3 * i + 1).alias("part"), F.concat(entry, F.lit(",")).alias("value"))
+        # an entry at the end of each section that has no name is left out when it is read
+        for part, text in ((3 * i, f'"{section}":{{'), (3 * i + 2, '"":null}' + ("," if i < 4 else "}"))):
+            mark = F.lit(("{" if part == 0 else "") + text)
+            own = own.unionByName(spark.range(5).select(C("id").alias("bundle"), F.lit(part).alias("part"), mark.alias("value")))
+        rows = own if rows is None else rows.unionByName(own)
+    path = _folder(spark)
+    rows.repartition("bundle").sortWithinPartitions("bundle", "part", "value").drop("part").write.partitionBy("bundle").text(path)
+    got = scan_bundle(spark, path).where("key <> ''")
+    body = F.from_json("body", "struct<name: string, number: long, more: struct<tag: string>>").alias("b")
+    return got.select("section", "key", body).select("section", "key", "b.name", "b.number", "b.more.tag")
+
+
 @query("l2_nested_explode", "SELECT anchor, is_home AS ours, l_tid AS tid, seq, goals FROM (SELECT anchor, is_home, tid AS l_tid, goals, row_number() OVER (PARTITION BY anchor, is_home ORDER BY pos_order, tid) - 1 AS seq FROM app)")
 def l2(spark, d):
     a = A.appearances(spark, d)
