@@ -8,10 +8,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from snapstats.functions import scalars as S
+from snapstats.operators import quantiles as Q
 from snapstats.operators import relational as R
 from snapstats.operators import scoring
 from snapstats.plans import frames as X
 from snapstats.plans.catalog import query
+from snapstats.session import checkpoint
 from snapstats.sources import adapters as A
 
 C = F.col
@@ -230,7 +232,8 @@ def g13(spark, d):
 @query("g14_median_of_bests", "SELECT season, league, method, role, median(best) AS med, CAST(max(best) AS BIGINT) AS top FROM (SELECT season, league, club, method, role, max(rating) AS best FROM score GROUP BY ALL) GROUP BY ALL")
 def g14(spark, d):
     best = X.scores(spark, d).groupBy("season", "league", "club", "method", "role").agg(F.max("rating").alias("best"))
-    return best.groupBy("season", "league", "method", "role").agg(F.median("best").alias("med"), F.max("best").alias("top"))
+    got = Q.quantiles(best, ["season", "league", "method", "role"], "best", {"med": 0.5, "top": 1.0}, keep=checkpoint)
+    return got.withColumn("top", C("top").cast("long"))
 
 
 @query("g15_best_position_rating", "SELECT season, phase, tid, role, max(eff) AS best FROM eff WHERE familiarity >= 8 AND method = 'm1' GROUP BY ALL")

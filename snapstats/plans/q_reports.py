@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from snapstats.functions import scalars as S
+from snapstats.operators import quantiles as Q
 from snapstats.operators import relational as R
 from snapstats.operators import scoring
 from snapstats.plans import frames as X
@@ -195,7 +196,7 @@ def r15(spark, d):
 @query("r16_role_benchmarks", "SELECT season, phase, role, median(best) AS med, max(best) AS top FROM (SELECT season, phase, role, club, max(eff) AS best FROM eff WHERE method = 'm0' AND familiarity >= 8 GROUP BY ALL) GROUP BY ALL")
 def r16(spark, d):
     best = X.effective(spark, d).where("method = 'm0' and familiarity >= 8").groupBy("season", "phase", "role", "club").agg(F.max("eff").alias("best"))
-    return best.groupBy("season", "phase", "role").agg(F.median("best").alias("med"), F.max("best").alias("top"))
+    return Q.quantiles(best, ["season", "phase", "role"], "best", {"med": 0.5, "top": 1.0}, keep=checkpoint)
 
 
 @query("r17_league_rankings", "SELECT season, league, n, idx, row_number() OVER (PARTITION BY season ORDER BY idx DESC NULLS LAST, league) AS place FROM (SELECT season, league, n, round(100 * (m - min(m) OVER w) / nullif(max(m) OVER w - min(m) OVER w, 0), 1) AS idx FROM (SELECT season, league, avg(ability) AS m, count(ability) AS n FROM ent GROUP BY 1, 2 HAVING count(ability) >= 30) WINDOW w AS (PARTITION BY season))")
@@ -216,7 +217,9 @@ def r18(spark, d):
 @query("r19_team_vs_league", f"SELECT phase, unit, club, rank() OVER (PARTITION BY phase, unit, league ORDER BY s DESC) AS place, q1, q3 FROM (SELECT phase, unit, league, club, CAST(sum(CAST(round(pos_index * 10) AS BIGINT)) AS DOUBLE) / count(*) AS s, quantile_cont(CAST(round(pos_index * 10) AS BIGINT), 0.25) AS q1, quantile_cont(CAST(round(pos_index * 10) AS BIGINT), 0.75) AS q3 FROM ({_SQUAD}) GROUP BY ALL)")
 def r19(spark, d):
     tenths = F.round(C("pos_index") * 10).cast("long")
-    t = squad_frame(spark, d).groupBy("phase", "unit", "league", "club").agg((F.sum(tenths).cast("double") / F.count("*")).alias("s"), F.percentile(tenths, 0.25).alias("q1"), F.percentile(tenths, 0.75).alias("q3"))
+    by = ["phase", "unit", "league", "club"]
+    f = checkpoint(squad_frame(spark, d).select(*by, tenths.alias("tenths")))
+    t = f.groupBy(*by).agg((F.sum("tenths").cast("double") / F.count("*")).alias("s")).join(Q.quantiles(f, by, "tenths", {"q1": 0.25, "q3": 0.75}), by)
     return t.select("phase", "unit", "club", scoring.rank_desc("s", ["phase", "unit", "league"], "place"), "q1", "q3")
 
 
