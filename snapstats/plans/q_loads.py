@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from snapstats.operators import loads as L
 from snapstats.operators import relational as R
 from snapstats.operators import scoring
+from snapstats.operators.entries import EntryLog
+from snapstats.operators.generations import read_generations
 from snapstats.plans import frames as X
 from snapstats.plans.catalog import query
 from snapstats.session import shared_dir
@@ -193,6 +195,20 @@ def l18(spark, d):
     return L.evolve(old, new, {"season": "long", "phase": "string", "tid": "long", "name": "string", "club": "long", "squad": "long"})
 
 
+@query("l18_generations", "SELECT season, phase, tid, name, CASE WHEN season < 1997 THEN CAST(ability AS DOUBLE) ELSE ability / 2.0 END AS ability, CASE WHEN season < 1999 THEN club END AS club, CASE WHEN season >= 1997 THEN CAST(league AS VARCHAR) END AS league, CASE WHEN season >= 1999 THEN ck % 7 END AS squad_no, CASE WHEN season >= 1997 THEN tid % 3 END AS tier FROM ent")
+def l18_generations(spark, d):
+    """Three generations of files: short numbers; a fraction, a new column and a struct; a column gone, one as text, the struct with another field."""
+    e, path = A.entities(spark, d), _folder(spark)
+    keys, more = ["season", "phase", "name"], F.struct((C("tid") % 3).alias("tier"))
+    first = e.where("season < 1997").select(*keys, C("tid").cast("int").alias("tid"), C("ability").cast("int").alias("ability"), C("club").cast("smallint").alias("club"))
+    second = e.where("season >= 1997 and season < 1999").select(*keys, "tid", (C("ability") / 2).alias("ability"), "club", "league", more.alias("more"))
+    third = e.where("season >= 1999").select(*keys, "tid", (C("ability") / 2).alias("ability"), C("league").cast("string").alias("league"), F.struct((C("ck") % 7).alias("squad_no"), (C("tid") % 3).alias("tier")).alias("more"))
+    for i, g in enumerate((first, second, third)):
+        g.write.parquet(f"{path}/{i}")
+    out = read_generations(spark, [f"{path}/{i}" for i in range(3)])
+    return out.select(*keys, "tid", "ability", C("club").cast("long").alias("club"), "league", "more.squad_no", "more.tier")
+
+
 @query("l19_positional_json", "SELECT season, phase, club, '{\"fields\":[\"tid\",\"name\"],\"rows\":[' || string_agg('[\"' || tid || '\",\"' || name || '\"]', ',' ORDER BY tid, name) || ']}' AS json, count(*) AS n FROM ent GROUP BY season, phase, club")
 def l19(spark, d):
     """One document for each squad, so each is bounded by a squad's size."""
@@ -244,6 +260,19 @@ def l24(spark, d):
     return L.entry_log(log, ["k"], "at", "op")
 
 
+@query("l24_compacted_log", "SELECT user_id, event_id AS at, value, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1 AND event_type <> 'error'")
+def l24_log(spark, d):
+    """The table's rows in eight batches, out of order, with two compactions between them; errors are deletions."""
+    e = A.table(spark, d, "events").select("user_id", C("event_id").alias("at"), F.when(C("event_type") == "error", "delete").otherwise("put").alias("op"), "value", "event_type")
+    log = EntryLog(spark, _folder(spark), "user_id long", "value double, event_type string")
+    for n in range(8):
+        log.write(e.where(C("at") % 8 == (n * 5 + 3) % 8), n)
+        if n in (2, 5):
+            log.compact()
+            log.clean()
+    return log.current()
+
+
 @query("l25_config_bundle", "SELECT '{\"nations\":[' || (SELECT string_agg('{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}', ',' ORDER BY n_nationkey) FROM nation) || '],\"regions\":[' || (SELECT string_agg('{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}', ',' ORDER BY r_regionkey) FROM region) || ']}' AS bundle")
 def l25(spark, d):
     n, r = A.table(spark, d, "nation").select("n_nationkey", "n_name"), A.table(spark, d, "region").select("r_regionkey", "r_name")
