@@ -25,12 +25,13 @@ COMMANDS = {
     "top_scorers": (
         "of_season BIGINT, of_comp STRING DEFAULT NULL",
         "tid BIGINT, goals BIGINT, assists BIGINT, apps BIGINT",
-        "SELECT tid, sum(goals), sum(assists), count(*) FROM cmd_appearances WHERE season = of_season AND (of_comp IS NULL OR comp = of_comp) GROUP BY tid",
+        "SELECT tid, goals, assists, apps FROM cmd_scorers WHERE season = of_season AND comp <=> of_comp",
     ),
     "matches": (
         "of_season BIGINT, of_phase STRING, of_comp STRING DEFAULT NULL",
         "anchor BIGINT, date DATE, home BIGINT, score_home BIGINT, score_away BIGINT, away BIGINT, comp STRING",
-        "SELECT anchor, date, home, score_home, score_away, away, comp FROM cmd_fixtures WHERE season = of_season AND phase = of_phase AND (of_comp IS NULL OR comp = of_comp)",
+        """SELECT anchor, date, home, score_home, score_away, away, comp FROM cmd_fixtures WHERE season = of_season AND phase = of_phase AND comp = of_comp
+           UNION ALL SELECT anchor, date, home, score_home, score_away, away, comp FROM cmd_fixtures WHERE season = of_season AND phase = of_phase AND of_comp IS NULL""",
     ),
     "league_table": (
         "of_season BIGINT",
@@ -44,10 +45,15 @@ def commands(spark: SparkSession, d: str) -> None:
     """Create the commands over the tables of ``d`` as temporary functions, and the views that they read.
 
     A function is a macro of SQL: a call is planned with the query around it, so a literal argument is a filter
-    that reaches the scan, and arguments from a table are a join.
+    that reaches the scan, and arguments from a table are an equi-join. So that they are, a body compares a parameter with
+    a column and nothing else: what a null parameter means is a branch of its own, or rows of a view.
     """
+    played = X.participation(spark, d).where("appeared")
+    sums = [F.sum("goals").alias("goals"), F.sum("assists").alias("assists"), F.count("*").alias("apps")]
+    all_ = played.groupBy("season", "tid").agg(*sums).withColumn("comp", F.lit(None).cast("string"))
+    scorers = all_.unionByName(played.where("comp IS NOT NULL").groupBy("season", "comp", "tid").agg(*sums))
     tables = R.table_order(R.wdl(["season", "us"], X.results(spark, d)), ["season"], "us")
-    views = {"cmd_entities": A.entities(spark, d), "cmd_appearances": X.participation(spark, d).where("appeared"), "cmd_fixtures": A.fixtures(spark, d), "cmd_tables": tables}
+    views = {"cmd_entities": A.entities(spark, d), "cmd_scorers": scorers, "cmd_fixtures": A.fixtures(spark, d), "cmd_tables": tables}
     for name, frame in views.items():
         frame.createOrReplaceTempView(name)
     for name, (given, result, body) in COMMANDS.items():
@@ -106,8 +112,7 @@ def r25_transfers(spark, d):
 @query("r25_top_scorers", "SELECT season, comp, tid, CAST(sum(goals) AS BIGINT) AS goals, CAST(sum(assists) AS BIGINT) AS assists, count(*) AS apps FROM part WHERE appeared GROUP BY GROUPING SETS ((season, tid), (season, comp, tid))")
 def r25_top_scorers(spark, d):
     """Of each season, and of each season's competitions."""
-    both = "SELECT DISTINCT season, CAST(NULL AS STRING) AS comp FROM cmd_appearances UNION ALL SELECT DISTINCT season, comp FROM cmd_appearances WHERE comp IS NOT NULL"
-    return _all(spark, d, f"SELECT s.season, s.comp, t.* FROM ({both}) s, LATERAL top_scorers(s.season, s.comp) t")
+    return _all(spark, d, "SELECT s.season, s.comp, t.* FROM (SELECT DISTINCT season, comp FROM cmd_scorers) s, LATERAL top_scorers(s.season, s.comp) t")
 
 
 @query("r25_matches", "SELECT season, phase, comp AS asked, anchor, CAST(date AS VARCHAR) AS date, home, score_home, score_away, away, comp FROM fix WHERE comp IS NOT NULL")
