@@ -134,9 +134,9 @@ def forget_versions(spark: SparkSession, root: str, names: Sequence[str], keep:
     return gone
 
 
-def archive(current: DataFrame, details: DataFrame, keys: Sequence[str], label: str, path: str) -> None:
-    """A label's rows with their details, kept once: the label is a partition that a repeat overwrites."""
-    kept = current.join(details, list(keys), "left").withColumn("label", F.lit(label))
+def archive(current: DataFrame, details: DataFrame, keys: Sequence[str], label: str | Column, path: str) -> None:
+    """Rows with their details, kept once under their label: a label is a partition that a repeat overwrites, and a column of labels writes all of them at once."""
+    kept = current.join(details, list(keys), "left").withColumn("label", label if isinstance(label, Column) else F.lit(label))
     replace_slices(kept, path, ["label"])
 
 

@@ -111,13 +111,15 @@ def l8(spark, d):
     return out.groupBy("season", "phase", "league").agg(F.count("*").alias("n"), F.sum("tid").alias("ids"))
 
 
-@query("l9_archive", "SELECT label, count(*) AS n, count(a0) AS with_a0 FROM (SELECT 'first' AS label, a0 FROM attr WHERE season = 1997 UNION ALL SELECT 'second', a0 FROM attr WHERE season = 1998) GROUP BY label")
+@query("l9_archive", "SELECT 'season-' || season AS label, count(*) AS n, count(a0) AS with_a0 FROM attr WHERE season < (SELECT max(season) FROM ent) GROUP BY season")
 def l9(spark, d):
+    """Every season that a newer one supersedes; the first of them is archived twice."""
     e = A.entities(spark, d)
+    old = e.crossJoin(F.broadcast(e.agg(F.min("season").alias("oldest"), F.max("season").alias("newest")))).where("season < newest")
     values = A.with_attributes(e).select("season", "phase", "tid", "a0")
     path, keys = _folder(spark), ["season", "phase", "tid"]
-    for label, season in (("first", 1997), ("second", 1998), ("first", 1997)):
-        L.archive(e.where(C("season") == season).select(*keys, "name"), values, keys, label, path)
+    for rows in (old, old.where("season = oldest")):
+        L.archive(rows.select(*keys, "name"), values, keys, F.concat(F.lit("season-"), C("season")), path)
     return spark.read.parquet(path).groupBy("label").agg(F.count("*").alias("n"), F.count("a0").alias("with_a0"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -52,11 +54,46 @@ def _searched(spark, d):
     return M.exact_hits(f, M.subset_fits(f, "target", xs, "y", 3), "target", xs, "y")
 
 
-@query("m2_ranked_subsets")
+def _determinant(m: list[list[str]]) -> str:
+    """A determinant as an expression, by its first row."""
+    if len(m) == 1:
+        return m[0][0]
+    return "(" + " + ".join(f"{'-' if j % 2 else ''}{m[0][j]} * {_determinant([r[:j] + r[j + 1 :] for r in m[1:]])}" for j in range(len(m))) + ")"
+
+
+def _subset_sql(some: tuple[int, ...]) -> str:
+    """The fit of one subset, by Cramer's rule on centred sums: its coefficients in order, then one for each of the four features."""
+    a = [[f"s{min(i, j)}{max(i, j)}" for j in some] for i in some]
+    whole = _determinant(a)
+    swapped = [_determinant([[f"p{i}" if c == k else a[r][c] for c in range(len(some))] for r, i in enumerate(some)]) for k in range(len(some))]
+    slopes = [f"{x} / {whole} AS b{k + 1}" for k, x in enumerate(swapped)] + [f"NULL::DOUBLE AS b{k + 1}" for k in range(len(some), 3)]
+    each = [f"b{some.index(k) + 1} AS u{k}" if k in some else f"0.0::DOUBLE AS u{k}" for k in range(1, 5)]
+    constant = "my" + "".join(f" - b{k + 1} * m{i}" for k, i in enumerate(some))
+    fitted = " + ".join(f"b{k + 1} * p{i}" for k, i in enumerate(some))
+    name = "+".join(f"x{i}" for i in some)
+    return f"SELECT target, '{name}' AS features, CAST({len(some)} AS BIGINT) AS size, b1, b2, b3, {', '.join(each)}, {constant} AS constant, CASE WHEN yy > 0 THEN round(({fitted}) / yy, 6) END AS r2 FROM (SELECT *, {', '.join(slopes)} FROM s WHERE {whole} <> 0)"
+
+
+_SUBSETS = [some for size in (1, 2, 3) for some in combinations(range(1, 5), size)]
+_SUMS = ", ".join([f"avg(x{k}) AS m{k}" for k in range(1, 5)] + [f"sum(c{k} * cy) AS p{k}" for k in range(1, 5)] + [f"sum(c{i} * c{j}) AS s{i}{j}" for i in range(1, 5) for j in range(i, 5)])
+_RANKED = f"""
+WITH s AS (SELECT target, avg(y) AS my, sum(cy * cy) AS yy, {_SUMS} FROM {_CENTRED} GROUP BY target),
+fits AS ({' UNION ALL '.join(map(_subset_sql, _SUBSETS))}),
+off AS (SELECT target, features, abs(y - round_even(constant + u1 * x1 + u2 * x2 + u3 * x3 + u4 * x4, 0)) AS off FROM fits JOIN feat USING (target)),
+hits AS (SELECT target, features, count(*) AS n, count(*) FILTER (off = 0) AS exact, count(*) FILTER (off <= 1) AS within_1 FROM off GROUP BY ALL)
+SELECT target, features, size, round(constant, 6) AS constant, round(b1, 6) AS slope_1, round(b2, 6) AS slope_2, round(b3, 6) AS slope_3, r2, n, exact, within_1,
+  row_number() OVER (PARTITION BY target ORDER BY exact DESC, within_1 DESC, r2 DESC, size, features) AS place
+FROM fits JOIN hits USING (target, features)
+"""
+
+
+@query("m2_ranked_subsets", _RANKED)
 def m2_ranked(spark, d):
-    """Every subset up to three features, ranked within its target by exact hits, those off by one, R², size."""
+    """Every subset up to three features, ranked within its target by exact hits, those off by one, R² to six places, size, name."""
     order = Window.partitionBy("target").orderBy(F.desc("exact"), F.desc("within_1"), F.desc("r2"), "size", "features")
-    return _searched(spark, d).withColumn("place", F.row_number().over(order))
+    slopes = [F.round(F.get("slopes", F.lit(k)), 6).alias(f"slope_{k + 1}") for k in range(3)]
+    r = _searched(spark, d).select("target", "features", "size", F.round("constant", 6).alias("constant"), *slopes, F.round("r2", 6).alias("r2"), "n", "exact", "within_1")
+    return r.withColumn("place", F.row_number().over(order).cast("long"))
 
 
 @query("m3_evaluate", "SELECT target, count(*) AS n, round(100.0::DOUBLE * count(*) FILTER (abs(y - e) <= 0) / count(*), 2) AS exact, round(100.0::DOUBLE * count(*) FILTER (abs(y - e) <= 1) / count(*), 2) AS within_1, round(1 - sum((y - e) * (y - e))::DOUBLE / nullif((sum(y * y) - sum(y) * sum(y) / count(*)::DOUBLE), 0), 6) AS r2 FROM (SELECT target, y, y + x1 % 3 AS e FROM feat) GROUP BY target")

@@ -236,9 +236,9 @@ def g14(spark, d):
     return got.withColumn("top", C("top").cast("long"))
 
 
-@query("g15_best_position_rating", "SELECT season, phase, tid, role, max(eff) AS best FROM eff WHERE familiarity >= 8 AND method = 'm1' GROUP BY ALL")
+@query("g15_best_position_rating", "SELECT season, phase, tid, method, role, max(eff) AS best FROM eff WHERE familiarity >= 8 GROUP BY ALL")
 def g15(spark, d):
-    return X.effective(spark, d).where("familiarity >= 8 and method = 'm1'").groupBy("season", "phase", "tid", "role").agg(F.max("eff").alias("best"))
+    return X.effective(spark, d).where("familiarity >= 8").groupBy("season", "phase", "tid", "method", "role").agg(F.max("eff").alias("best"))
 
 
 @query("g17_any_name", "SELECT tid, min(name) AS name FROM ent WHERE ck % 3 <> 0 GROUP BY tid")

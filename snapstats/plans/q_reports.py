@@ -193,10 +193,10 @@ def r15(spark, d):
     return scoring.with_places(g, ["season"], "total", {"pct": scoring.average_rank_percent()})
 
 
-@query("r16_role_benchmarks", "SELECT season, phase, role, median(best) AS med, max(best) AS top FROM (SELECT season, phase, role, club, max(eff) AS best FROM eff WHERE method = 'm0' AND familiarity >= 8 GROUP BY ALL) GROUP BY ALL")
+@query("r16_role_benchmarks", "SELECT season, phase, method, role, median(best) AS med, max(best) AS top FROM (SELECT season, phase, method, role, club, max(eff) AS best FROM eff WHERE familiarity >= 8 GROUP BY ALL) GROUP BY ALL")
 def r16(spark, d):
-    best = X.effective(spark, d).where("method = 'm0' and familiarity >= 8").groupBy("season", "phase", "role", "club").agg(F.max("eff").alias("best"))
-    return Q.quantiles(best, ["season", "phase", "role"], "best", {"med": 0.5, "top": 1.0}, keep=checkpoint)
+    best = X.effective(spark, d).where("familiarity >= 8").groupBy("season", "phase", "method", "role", "club").agg(F.max("eff").alias("best"))
+    return Q.quantiles(best, ["season", "phase", "method", "role"], "best", {"med": 0.5, "top": 1.0}, keep=checkpoint)
 
 
 @query("r17_league_rankings", "SELECT season, league, n, idx, row_number() OVER (PARTITION BY season ORDER BY idx DESC NULLS LAST, league) AS place FROM (SELECT season, league, n, round(100 * (m - min(m) OVER w) / nullif(max(m) OVER w - min(m) OVER w, 0), 1) AS idx FROM (SELECT season, league, avg(ability) AS m, count(ability) AS n FROM ent GROUP BY 1, 2 HAVING count(ability) >= 30) WINDOW w AS (PARTITION BY season))")
@@ -206,12 +206,12 @@ def r17(spark, d):
     return i.select("season", "league", "n", "idx", place.alias("place"))
 
 
-@query("r18_recruitment", "SELECT phase, tid, role, n_name AS origin, age FROM (SELECT *, row_number() OVER (PARTITION BY phase, tid ORDER BY eff DESC, position) AS k, CAST(season - year(dob) AS BIGINT) AS age FROM eff WHERE method = 'm0') JOIN nation ON n_nationkey = club AND n_regionkey IN (0, 2) WHERE k = 1 AND age <= 22")
+@query("r18_recruitment", "SELECT phase, method, tid, role, n_name AS origin, age FROM (SELECT *, row_number() OVER (PARTITION BY phase, method, tid ORDER BY eff DESC, position) AS k, CAST(season - year(dob) AS BIGINT) AS age FROM eff) JOIN nation ON n_nationkey = club AND n_regionkey IN (0, 2) WHERE k = 1 AND age <= 22")
 def r18(spark, d):
     n = A.table(spark, d, "nation").where("n_regionkey in (0, 2)").select(C("n_nationkey").cast("long").alias("club"), C("n_name").alias("origin"))
-    best = R.first_per_key(X.effective(spark, d).where("method = 'm0'"), ["phase", "tid"], [F.desc("eff"), "position"])
+    best = R.first_per_key(X.effective(spark, d), ["phase", "method", "tid"], [F.desc("eff"), "position"])
     age = S.season_age(C("season"), C("dob"))
-    return best.join(n, "club").where(age <= 22).select("phase", "tid", "role", "origin", age.alias("age"))
+    return best.join(n, "club").where(age <= 22).select("phase", "method", "tid", "role", "origin", age.alias("age"))
 
 
 @query("r19_team_vs_league", f"SELECT phase, unit, club, rank() OVER (PARTITION BY phase, unit, league ORDER BY s DESC) AS place, q1, q3 FROM (SELECT phase, unit, league, club, CAST(sum(CAST(round(pos_index * 10) AS BIGINT)) AS DOUBLE) / count(*) AS s, quantile_cont(CAST(round(pos_index * 10) AS BIGINT), 0.25) AS q1, quantile_cont(CAST(round(pos_index * 10) AS BIGINT), 0.75) AS q3 FROM ({_SQUAD}) GROUP BY ALL)")
@@ -259,12 +259,12 @@ def r23(spark, d):
     return t.join(top, "season").select("season", "tid", *[F.round(F.lit(100.0) * C(c) / F.nullif(C(f"max_{c}"), F.lit(0.0)), 4).alias(c) for c in _AXES])
 
 
-@query("r24_growth_series", "SELECT tid, ck, string_agg(CAST(rating AS VARCHAR), ',' ORDER BY phase) AS series, arg_max(rating, phase) - arg_min(rating, phase) AS growth FROM (SELECT s.phase, s.tid, e.ck, s.rating FROM score s JOIN ent e USING (season, phase, tid) WHERE method = 'm1' AND role = 'r2') GROUP BY tid, ck")
+@query("r24_growth_series", "SELECT tid, ck, method, role, string_agg(CAST(rating AS VARCHAR), ',' ORDER BY phase) AS series, arg_max(rating, phase) - arg_min(rating, phase) AS growth FROM (SELECT s.phase, s.tid, s.method, s.role, e.ck, s.rating FROM score s JOIN ent e USING (season, phase, tid)) GROUP BY tid, ck, method, role")
 def r24(spark, d):
     e = A.with_attributes(A.entities(spark, d))
-    s = scoring.weighted_scores(e, A.weights(spark).where("method = 'm1' and role = 'r2'"), A.ATTRS)
+    s = scoring.weighted_scores(e, A.weights(spark), A.ATTRS)
     series = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("phase", "rating"))), lambda x: x["rating"].cast("string")), ",")
-    return s.groupBy("tid", "ck").agg(series.alias("series"), (F.max_by("rating", "phase") - F.min_by("rating", "phase")).alias("growth"))
+    return s.groupBy("tid", "ck", "method", "role").agg(series.alias("series"), (F.max_by("rating", "phase") - F.min_by("rating", "phase")).alias("growth"))
 
 
 @query("r25_sql_views", "SELECT season, club, count(*) AS n, max(ability) AS top FROM ent GROUP BY season, club HAVING count(*) > 10")

@@ -111,12 +111,12 @@ def t8(spark, d):
     return Q.resample(s, ["tid"], "t", "v", 5)
 
 
-@query("t9_trajectory", f"SELECT season, phase, e.tid, max(eff) AS score FROM eff e JOIN (SELECT tid, arg_max(dob, {_AT}) AS now FROM ent GROUP BY tid) c ON c.tid = e.tid AND c.now = e.dob WHERE method = 'm0' AND familiarity >= 8 GROUP BY ALL")
+@query("t9_trajectory", f"SELECT season, phase, e.tid, method, max(eff) AS score FROM eff e JOIN (SELECT tid, arg_max(dob, {_AT}) AS now FROM ent GROUP BY tid) c ON c.tid = e.tid AND c.now = e.dob WHERE familiarity >= 8 GROUP BY ALL")
 def t9(spark, d):
     e = A.entities(spark, d)
     present = e.groupBy("tid").agg(F.max_by("dob", S.ordinal(C("season"), C("phase"))).alias("dob"))
-    own = X.effective(spark, d).where("method = 'm0' and familiarity >= 8").join(present, ["tid", "dob"])
-    return own.groupBy("season", "phase", "tid").agg(F.max("eff").alias("score"))
+    own = X.effective(spark, d).where("familiarity >= 8").join(present, ["tid", "dob"])
+    return own.groupBy("season", "phase", "tid", "method").agg(F.max("eff").alias("score"))
 
 
 _TOTAL = " + ".join(f"coalesce(a{k}, 0)" for k in range(8))

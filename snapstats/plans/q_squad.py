@@ -55,13 +55,13 @@ def review(spark, d):
     pool = checkpoint(pool)
     pct = F.when(C("__n") >= 2, F.round(F.lit(100.0) * (C("__n") - scoring.place_from_top()) / (C("__n") - 1), 1))
     placed = scoring.with_places(pool, ["phase", "position", "league"], "eff", {"pct": pct, "fit": scoring.below_share(POOL)})
-    own = R.first_per_key(placed.where(C("club") == US), ["phase", "tid", "role"], [F.desc("eff"), "position"])
-    abroad = pool.join(own.select("phase", C("league").alias("ours")).distinct(), "phase").where("league <> ours")
+    own = checkpoint(R.first_per_key(placed.where(C("club") == US), ["phase", "tid", "role"], [F.desc("eff"), "position"]))  # one squad, read three times
     at = ["phase", "position"]
-    targets = own.select(*at, "tid", "role", "eff").join(abroad.select(*at, "club").distinct(), at)
-    keyed = targets.withColumn("who", F.concat_ws("/", C("tid").cast("string"), "role"))
-    hosts = scoring.places_in_pools(keyed, abroad.withColumn("who", F.lit("")), at, "club", "who", "eff").where((C("rank") == 1) & (C("n") >= HOST_SQUAD))
-    hosts = hosts.groupBy("phase", F.split_part("who", F.lit("/"), F.lit(1)).try_cast("long").alias("tid"), F.split_part("who", F.lit("/"), F.lit(2)).alias("role")).agg(F.count("*").alias("firsts"))
+    # first at a host is who is not below its best, so a host is known by its best and its size: nobody is ranked among its players
+    best = pool.groupBy(*at, "league", "club").agg(F.max("eff").alias("best"), F.count("*").alias("n"))
+    met = own.select(*at, "tid", "role", "eff", C("league").alias("ours")).join(best, at).where("league <> ours")
+    met = met.groupBy("phase", "tid", "role", "eff", "club").agg(F.max("best").alias("best"), F.sum("n").alias("n"))
+    hosts = met.where((C("best") <= C("eff")) & (C("n") + 1 >= HOST_SQUAD)).groupBy("phase", "tid", "role").agg(F.count("*").alias("firsts"))
     home = own.groupBy("phase", "tid").agg(F.max_by("role", F.struct("eff", (-F.substring("role", 2, 2).cast("long")).alias("r"))).alias("home"), F.array_join(F.array_sort(F.collect_list("role")), ",").alias("roles"))
     r = own.join(hosts, ["phase", "tid", "role"], "left").join(home, ["phase", "tid"]).fillna(0, ["firsts"])
     r = r.select("phase", "tid", "role", scoring.rank_desc("eff", ["phase", "role"], "depth"), S.lookup(C("role"), SLOTS).cast("long").alias("slots"), "pct", "fit", S.season_age(C("season"), C("dob")).alias("age"), "firsts", "home", "roles")

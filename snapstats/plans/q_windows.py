@@ -150,11 +150,11 @@ def k3(spark, d):
 _QUOTA = "CASE 'u' || (CAST(substr(position, 2) AS BIGINT) % 4) WHEN 'u0' THEN 1 WHEN 'u1' THEN 4 ELSE 3 END"
 
 
-@query("k4_best_n_per_unit", f"SELECT season, phase, club, unit, tid FROM (SELECT *, 'u' || (CAST(substr(position, 2) AS BIGINT) % 4) AS unit, {_QUOTA} AS q, row_number() OVER (PARTITION BY season, phase, club, CAST(substr(position, 2) AS BIGINT) % 4 ORDER BY eff DESC, tid) AS k FROM prim WHERE method = 'm0') WHERE k <= q")
+@query("k4_best_n_per_unit", f"SELECT season, phase, method, club, unit, tid FROM (SELECT *, 'u' || (CAST(substr(position, 2) AS BIGINT) % 4) AS unit, {_QUOTA} AS q, row_number() OVER (PARTITION BY season, phase, method, club, CAST(substr(position, 2) AS BIGINT) % 4 ORDER BY eff DESC, tid) AS k FROM prim) WHERE k <= q")
 def k4(spark, d):
-    p = X.primary(spark, d).where("method = 'm0'").withColumn("unit", A.unit_of(C("position")))
-    best = R.best_n(p, ["season", "phase", "club", "unit"], S.lookup(C("unit"), X.QUOTA), [F.desc("eff"), "tid"])
-    return best.select("season", "phase", "club", "unit", "tid")
+    p = X.primary(spark, d).withColumn("unit", A.unit_of(C("position")))
+    best = R.best_n(p, ["season", "phase", "method", "club", "unit"], S.lookup(C("unit"), X.QUOTA), [F.desc("eff"), "tid"])
+    return best.select("season", "phase", "method", "club", "unit", "tid")
 
 
 @query("k5_record_holders", "SELECT season, arg_max(tid, (goals, -tid)) FILTER (goals > 0) AS most_goals, max(goals) AS goals, arg_max(tid, (rating, -tid)) FILTER (apps >= 3) AS best_rated, arg_min(tid, (rating, tid)) FILTER (apps >= 3) AS worst_rated FROM (SELECT season, tid, CAST(sum(goals) AS BIGINT) AS goals, count(*) AS apps, avg(rating) AS rating FROM cur WHERE appeared GROUP BY 1, 2) GROUP BY season")
@@ -208,10 +208,10 @@ def k10(spark, d):
     return near.select("league", "n", F.row_number().over(Window.orderBy(C("league") != 2, F.desc("n"), "league")).cast("long").alias("step"))
 
 
-@query("k11_slot_in", "SELECT season, phase, position, 1 + count(*) FILTER (eff > 300) AS place, 1 + count(*) AS n FROM prim WHERE method = 'm0' GROUP BY ALL")
+@query("k11_slot_in", "SELECT season, phase, method, position, 1 + count(*) FILTER (eff > 300) AS place, 1 + count(*) AS n FROM prim GROUP BY ALL")
 def k11(spark, d):
     """Where a candidate of 300 would come among the peers of each position."""
-    peers = X.primary(spark, d).where("method = 'm0'").groupBy("season", "phase", "position")
+    peers = X.primary(spark, d).groupBy("season", "phase", "method", "position")
     return peers.agg((1 + F.count_if(C("eff") > 300)).alias("place"), (1 + F.count("*")).alias("n"))
 
 
@@ -252,8 +252,9 @@ def u4(spark, d):
     return R.insert_absent(old, new, ["id"])
 
 
-@query("u5_id_differences", "SELECT a.tid, a.tid IN (SELECT tid FROM ent WHERE season = 1997) AS both FROM (SELECT DISTINCT tid FROM ent WHERE season = 1995) a")
+@query("u5_id_differences", "SELECT a.season, a.tid, b.tid IS NOT NULL AS both FROM (SELECT DISTINCT season, tid FROM ent) a LEFT JOIN (SELECT DISTINCT season, tid FROM ent) b ON b.tid = a.tid AND b.season = a.season + 1")
 def u5(spark, d):
-    e = A.entities(spark, d)
-    later = e.where("season = 1997").select("tid").distinct().withColumn("both", F.lit(True))
-    return e.where("season = 1995").select("tid").distinct().join(later, "tid", "left").fillna(False, ["both"])
+    """Each season's ids, and whether the season after it has them, too; one shuffle by id, no join."""
+    ids = A.entities(spark, d).select("season", "tid").distinct()
+    later = F.lead("season").over(Window.partitionBy("tid").orderBy("season"))
+    return ids.select("season", "tid", F.coalesce(later == C("season") + 1, F.lit(False)).alias("both"))
