@@ -7,13 +7,15 @@ backwards through the shard's wavelet ranks together; their occurrences come fro
 and the spans merge per document.
 
 The test set, not the corpus, is what is broadcast, as arrays of numbers: a hash for each distinct word, a
-number for each word of a phrase, and the items of each phrase. It is split by item into blocks of a bounded
-number of characters, so that a block's arrays stay below some 40 MB; the driver and a worker hold one block
-at a time. With one block nothing is shuffled. With more, the documents are scanned once for each, only the
-rows with hits are kept, and those are joined by place.
+number for each word of a phrase, and the items of each phrase. Tasks turn the items into word hashes and cut
+long ones where their pieces overlap by a word less than a window; a block is a bounded number of words, whatever
+the items are, so its arrays stay below some 40 MB; the driver and a worker hold one block at a time. With one
+block nothing but the items is shuffled. With more, the documents are scanned once for each, only the rows with
+hits are kept, and those are joined by place.
 
 Null or empty text: no words, no hits. Items without a word never occur; an item that repeats counts once.
-Repeated documents each get their own row. An empty test set leaves everything clean.
+Items without an id are one item, which counts and has no place in the digest of ids. Repeated documents each get
+their own row. An empty test set leaves everything clean.
 """
 
 from __future__ import annotations
@@ -28,12 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
-from snapstats.llm.common import AT, FILE, arrow, blocks, few_rows, frame, placed, real_key, stored, word_ids, words_of
+from snapstats.llm.common import AT, FILE, arrow, blocks, few_rows, frame, numbers, placed, real_key, stored, word_ids, words_of
 from snapstats.llm.fmindex import FMIndex
 
 WINDOW = 10
-#: Characters of test items in one broadcast.
-AT_ONCE = 4_000_000
+#: Words of test items in one broadcast.
+AT_ONCE = 700_000
+#: Messages of words of test items in one broadcast, each a row that a task has filled.
+MESSAGES = 16
 #: Fixed value: the bytes of a word are digits, letters and all beyond ASCII; A-Z count as a-z.
 WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -61,16 +65,17 @@ class Phrases:
     """
 
     known: np.ndarray
-    names: list[str]
+    names: list[str | None]
     by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
     @classmethod
-    def of(cls, items: list[tuple[str, bytes]], width: int = WINDOW) -> Phrases:
-        names = sorted({item for item, _ in items})
+    def of(cls, items: list[tuple[str | None, bytes]], width: int = WINDOW) -> Phrases:
+        """From (item, the hashes of its words or of a piece of them)."""
+        names = sorted({item for item, _ in items}, key=lambda x: (x is None, x or ""))
         number = {item: i for i, item in enumerate(names)}
         owner = np.array([number[item] for item, _ in items], np.int64)
-        at = np.concatenate([[0], np.cumsum([len(text) for _, text in items])]).astype(np.int64)
-        hashed, cut = word_hashes(np.frombuffer(b"".join(text for _, text in items), np.uint8), at)
+        cut = np.concatenate([[0], np.cumsum([len(words) // 8 for _, words in items])]).astype(np.int64)
+        hashed = np.frombuffer(b"".join(words for _, words in items), np.uint64)
         known, place = np.unique(hashed, return_inverse=True)
         symbol, n, by_length = (place + 1).astype(np.int32), np.diff(cut), {}
         for length in (x for x in np.unique(np.minimum(n, width)).tolist() if x):
@@ -148,9 +153,11 @@ def _shard(phrases: Phrases, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarr
     of_row, start, end = (np.concatenate(x) for x in zip(*found))
     own, item = (np.concatenate(x) for x in zip(*owners))
     pairs = np.unique(own * len(phrases.names) + item)
-    for row in np.unique(of_row).tolist():
-        here = of_row == row
-        spans[row] = _merge(start[here], end[here])
+    order = np.argsort(of_row, kind="stable")
+    start, end = start[order], end[order]
+    hit, begin = np.unique(of_row[order], return_index=True)
+    for row, i, j in zip(hit.tolist(), begin.tolist(), [*begin[1:].tolist(), len(order)]):
+        spans[row] = _merge(start[i:j], end[i:j])
         some = slice(*np.searchsorted(pairs, [row * len(phrases.names), (row + 1) * len(phrases.names)]))
         items[row] = [phrases.names[i] for i in (pairs[some] % len(phrases.names)).tolist()]
     return np.diff(cut), spans, items
@@ -177,25 +184,80 @@ def _united(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.set_column(at, "spans", pa.array([_merge(s[:, 0], s[:, 1]).tobytes() for s in spans], pa.binary()))
 
 
+def _item_words(window: int, most: int):
+    """Each item's word hashes, in pieces of at most ``most`` words; every window lies in exactly one piece."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few_rows(batches):
+            names, words = [], []
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text")):
+                data = np.frombuffer(text.as_buffer(), np.uint8)
+                hashed, _ = word_hashes(data, np.array([0, len(data)]))
+                for i in range(0, max(1, len(hashed) - window + 1), most - window + 1):
+                    names.append(item)
+                    words.append(hashed[i : i + most].tobytes())
+            out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(words, pa.binary())], ["item", "words"])
+            yield out.filter(pa.array([len(w) > 0 for w in words], pa.bool_()))
+
+    return run
+
+
+def _messages(most: int):
+    """Rows of several items, ``most`` words each at the most."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: list[str | None] = []
+        words: list[bytes] = []
+        n = 0
+
+        def full() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([names], pa.list_(pa.string())), pa.array([words], pa.list_(pa.binary()))], ["items", "words"])
+
+        for batch in batches:
+            for item, own in zip(batch.column("item").to_pylist(), batch.column("words").to_pylist()):
+                if n and n + len(own) // 8 > most:
+                    yield full()
+                    names, words, n = [], [], 0
+                names.append(item)
+                words.append(own)
+                n += len(own) // 8
+        if n:
+            yield full()
+
+    return run
+
+
+def _test_blocks(tests: DataFrame, window: int, at_once: int) -> list[DataFrame]:
+    """The pieces of all items as frames of (items, words), each of at most ``at_once`` words and ``MESSAGES`` rows; equal pieces of an item are one."""
+    most = max(2 * window, at_once // MESSAGES)
+    pieces = arrow(tests, _item_words(window, most), "item string, words binary").distinct()
+    rows = "items array<string>, words array<binary>"
+    n = pieces.agg(F.sum(F.length("words")) / 8).head()[0] or 0
+    if n <= at_once:
+        return [arrow(pieces, _messages(at_once), rows)]
+    held = placed(stored(arrow(pieces, _messages(most), rows)))
+    held = stored(held.join(numbers(held.select(FILE, AT)), [FILE, AT]).drop(FILE, AT))
+    each = max(1, at_once // most)
+    return [held.where(F.col("key").between(i, i + each - 1)) for i in range(0, held.count(), each)]
+
+
 def found_phrases(docs: DataFrame, tests: DataFrame, *more, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, at_once: int = AT_ONCE) -> DataFrame:
     """(key, text, *more, n_words, spans, items) of each document; spans are pairs of packed 64-bit word numbers, end exclusive."""
     spark = docs.sparkSession
-    tests = tests.select(F.col(item).cast("string").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("item_text"))
-    size = tests.agg(F.sum(F.length("item_text") + 1)).head()[0] or 0
-    n_blocks = max(1, -(-size // at_once))
+    tests = tests.select(F.col(item).cast("string").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
+    parts = _test_blocks(tests, window, at_once)
 
-    def block(i: int):
-        own = tests.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == i).collect()
-        return spark.sparkContext.broadcast(Phrases.of([(x.item if x.item is not None else "", x.item_text.encode()) for x in own], window))
+    def block(part: DataFrame):
+        return spark.sparkContext.broadcast(Phrases.of([x for r in part.select("items", "words").collect() for x in zip(r[0], map(bytes, r[1]))], window))
 
-    if n_blocks == 1:
+    if len(parts) == 1:
         out = frame(docs, *more, key=key, text=text)
-        return arrow(out, _search(block(0), False), StructType([*out.schema.fields, *_FOUND.fields]))
+        return arrow(out, _search(block(parts[0]), False), StructType([*out.schema.fields, *_FOUND.fields]))
     rows = placed(docs)
     out = frame(rows, FILE, AT, *more, key=key, text=text)
     narrow, hits = out.select("key", FILE, AT, "text"), None
-    for i in range(n_blocks):
-        shared = block(i)
+    for part in parts:
+        shared = block(part)
         some = stored(arrow(narrow, _search(shared, True), StructType([*narrow.drop("text").schema.fields, *_FOUND.fields])).select(FILE, AT, "spans", "items"))
         shared.destroy()
         hits = some if hits is None else hits.unionByName(some)
@@ -221,7 +283,7 @@ def _summary(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch.column("n_words"),
                 pa.array(hit, pa.int64()),
                 pa.array([len(x) for x in items], pa.int64()),
-                pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items], pa.string()),
+                pa.array([hashlib.sha256(",".join(sorted(i for i in x if i is not None)).encode()).hexdigest() for x in items], pa.string()),
                 pa.array([n > 0 for n in hit], pa.bool_()),
             ],
             ["key", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],

@@ -656,7 +656,7 @@ def test_op10_fm_index():
         assert sorted(zip(which.tolist(), at.tolist())) == want
 
 
-@pytest.mark.parametrize("at_once", [10**9, 200])
+@pytest.mark.parametrize("at_once", [10**9, 200, 16])
 def test_op10_contamination(spark, docs, texts, at_once):
     word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW))
     passage = word(texts[65])
@@ -678,6 +678,30 @@ def test_op10_contamination(spark, docs, texts, at_once):
         assert got[k] == (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
 
 
+def test_op10_items_without_id(spark):
+    """They are one item: it counts, and the digest of ids leaves it out; an item whose id is empty is another."""
+    line = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, line), (2, "w1 w2")], "doc_id long, text string")
+    tests = spark.createDataFrame([(None, " ".join(line.split()[:12])), (None, " ".join(line.split()[25:])), ("", " ".join(line.split()[5:20]))], "item_id string, text string")
+    for at_once in (1000, 20):
+        got = by_id(decontaminate.contamination(docs, tests, at_once=at_once))
+        assert got == {1: (40, 35, 2, hashlib.sha256(b"").hexdigest(), True), 2: (2, 0, 0, hashlib.sha256(b"").hexdigest(), False)}
+
+
+def test_op10_long_item(spark):
+    """An item of over 4 MB, and many rows of one id, are cut into blocks by their words; no window is lost at a cut."""
+    words = [f"w{i * 7919 % 1000003}" for i in range(800_000)]
+    docs = spark.createDataFrame([(k, " ".join(words[i:j])) for k, (i, j) in enumerate([(0, 10), (699_990, 700_010), (799_990, 800_000), (43_700, 43_800), (5, 14)])], "doc_id long, text string")
+    tests = spark.createDataFrame([("long", " ".join(words))], "item_id string, text string")
+    assert len(" ".join(words)) > 5_000_000
+    assert [r.n_hit for r in sorted(decontaminate.contamination(docs, tests).collect())] == [10, 20, 10, 100, 0]
+    some = spark.createDataFrame([("one", " ".join(words[i : i + 30])) for i in range(0, 3000, 15)] * 2, "item_id string, text string")
+    blocks = decontaminate._test_blocks(some.select(F.col("item_id").alias("item"), "text"), 10, 640)
+    sizes = [sum(len(w) // 8 for r in b.collect() for w in r.words) for b in blocks]
+    assert max(sizes) <= 640 and sum(sizes) == 200 * 30
+    assert [r.n_hit for r in sorted(decontaminate.contamination(docs, some, at_once=640).collect())] == [10, 0, 0, 0, 0]
+
+
 def test_op10_clean(spark, docs, texts, empty, odd):
     tests = spark.createDataFrame([(1, texts[65])], "item_id long, text string")
     out = decontaminate.clean(docs, tests)
