@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 from snapstats.session import checkpoint, shared_dir
 
 #: Stands for a null key inside an operator; results carry the null again.
-NULL_KEY = -(2**63)
 #: The place of a row: the file and its number there.
 FILE, AT = "__file", "__at"
 #: Bytes of text that are hashed at once. A longer document is a block of its own.
@@ -86,19 +85,14 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
 
 
 def frame(docs: DataFrame, *more: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key long, text string, *more) of a documents table; a null key becomes NULL_KEY, a null text empty."""
+    """(key long, text string, *more) of a documents table; a null key stays null, a null text is empty."""
     return docs.select(
-        F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("key"),
+        F.col(key).cast("long").alias("key"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
         *more,
     )
 
 
-def real_key(name: str = "doc_id"):
-    """The key as the caller knows it."""
-    return F.when(F.col("key") != NULL_KEY, F.col("key")).alias(name)
-
-
 def _reads_parquet(docs: DataFrame) -> bool:
     """Whether each row of ``docs`` is a row of a Parquet file, so that the reader can tell its place."""
     plan = docs._jdf.queryExecution().analyzed()
@@ -186,11 +180,11 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(batches: Iterable[pa.RecordBatch], limit: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, pa.RecordBatch]]:
-    """(keys, bytes, row offsets into bytes, first row, batch), at most ``limit`` bytes of whole texts at once."""
+    """(keys, bytes, row offsets into bytes, first row, batch), at most ``limit`` bytes of whole texts at once; a null key is 0 here, see ``keys_of``."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = long_array(batch.column("key"))
+        keys = long_array(batch.column("key").fill_null(0))
         data, at = text_buffer(batch.column("text"))
         i = 0
         while i < len(keys):
@@ -199,6 +193,11 @@ def blocks(batches: Iterable[pa.RecordBatch], limit: int = BLOCK) -> Iterator[tu
             i = j
 
 
+def keys_of(batch: pa.RecordBatch, first: int, keys: np.ndarray) -> pa.Array:
+    """The keys of a block as they are, null or not."""
+    return batch.column("key").slice(first, len(keys))
+
+
 def few_rows(batches: Iterable[pa.RecordBatch], limit: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most ``limit`` bytes of whole texts, so that a step in Python holds few of them."""
     for batch in batches:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
-from snapstats.llm.common import AT, FILE, arrow, blocks, few_rows, frame, numbers, placed, real_key, stored, word_ids, words_of
+from snapstats.llm.common import AT, FILE, arrow, blocks, few_rows, frame, numbers, placed, stored, word_ids, words_of
 from snapstats.llm.fmindex import FMIndex
 
 WINDOW = 10
@@ -294,7 +294,7 @@ def contamination(docs: DataFrame, tests: DataFrame, **names) -> DataFrame:
     """A row per document: words, words hit, items that occur, a digest of their ids, whether any word is hit."""
     found = found_phrases(docs, tests, **names).drop("text")
     summary = arrow(found, _summary, "key long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
-    return summary.select(real_key(names.get("key", "doc_id")), *summary.columns[1:])
+    return summary.withColumnRenamed("key", names.get("key", "doc_id"))
 
 
 def cut_words(text: bytes, spans: np.ndarray) -> bytes:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapstats.llm.common import NULL_KEY, arrow, frame, mix, real_key, split_runs
+from snapstats.llm.common import arrow, frame, mix, split_runs
 
 UNKNOWN = "und"
 SLOTS = 1 << 20
@@ -202,7 +202,7 @@ def predict(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["key", "lang_pred", "score"])
 
     found = arrow(frame(docs, key=key, text=text), run, "key long, lang_pred string, score double")
-    return found.select(real_key(key), "lang_pred", "score")
+    return found.withColumnRenamed("key", key)
 
 
 def fold(key: Column, n: int = 4) -> Column:
@@ -211,7 +211,7 @@ def fold(key: Column, n: int = 4) -> Column:
 
 
 def fold_of(key: int | None, n: int = 4) -> int:
-    return zlib.crc32(b"" if key is None or key == NULL_KEY else str(key).encode()) % n
+    return zlib.crc32(b"" if key is None else str(key).encode()) % n
 
 
 def op8_language_bitmask(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapstats.llm.common import arrow, blocks, frame, real_key, stored
+from snapstats.llm.common import arrow, blocks, frame, keys_of, stored
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -131,10 +131,10 @@ def _tokenize(path: str | None, capacity: int):
 
         ids = WordIds(path or public_tokenizers.path(TOKENIZER))
         part, count, end, width = TaskContext.get().partitionId(), Counter(), int(END).to_bytes(4, "little"), 4 * capacity
-        for keys, data, at, _, _ in blocks(batches, AT_ONCE):
+        for keys, data, at, first, batch in blocks(batches, AT_ONCE):
             raw = data.tobytes()
             rows: list[tuple] = []
-            for key, own in zip(keys.tolist(), ids.of([raw[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())])):
+            for key, own in zip(keys_of(batch, first, keys).to_pylist(), ids.of([raw[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())])):
                 own += end
                 for piece, i in enumerate(range(0, len(own), width)):
                     now = own[i : i + width]
@@ -249,7 +249,7 @@ def pack_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     placed = arrow(
         ranked, _place(slots(pack(count, capacity))), "key long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )
-    return placed.select(real_key(key), *placed.columns[1:])
+    return placed.withColumnRenamed("key", key)
 
 
 def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:

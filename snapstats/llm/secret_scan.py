@@ -34,7 +34,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from snapstats.llm.common import arrow, few_rows, frame, real_key
+from snapstats.llm.common import arrow, few_rows, frame
 
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -560,7 +560,7 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
     found = arrow(
         frame(docs, key=key, text=text), _scan, "key long, " + "".join(f"n_{k} long, " for k in KINDS) + "base_sha256 string, spans string"
     )
-    return found.select(real_key(key), *found.columns[1:])
+    return found.withColumnRenamed("key", key)
 
 
 def op5_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapstats.llm.common import AT, FILE, LOWER, NULL_KEY, arrow, blocks, frame, mix, numbers, placed, real_key, split_runs, stored, windows_of, word_ids, words_of
+from snapstats.llm.common import AT, FILE, LOWER, arrow, blocks, frame, keys_of, mix, numbers, placed, split_runs, stored, windows_of, word_ids, words_of
 from snapstats.llm.components import components
 
 SHINGLE = 3
@@ -89,10 +89,10 @@ def fingerprints(texts: list[bytes], width: int = SHINGLE) -> np.ndarray:
 
 def _fingerprint(width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, data, at, _, _ in blocks(batches):
+        for keys, data, at, first, batch in blocks(batches):
             raw = data.tobytes()
             found = fingerprints([raw[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())], width)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(found.view(np.int64))], ["key", "fp"])
+            yield pa.RecordBatch.from_arrays([keys_of(batch, first, keys), pa.array(found.view(np.int64))], ["key", "fp"])
 
     return run
 
@@ -190,7 +190,7 @@ def _fine_links(members: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = SHINGLE, threshold: int = BITS, dense: int = DENSE) -> DataFrame:
     """(key, fp, component): a row for each document; the component is the smallest known key reachable over links."""
     prints = stored(arrow(frame(docs, key=key, text=text), _fingerprint(width), "key long, fp long"))
-    least = F.min(F.when(F.col("key") != NULL_KEY, F.col("key"))).alias("least")
+    least = F.min("key").alias("least")
     distinct = stored(prints.groupBy("fp").agg(least))
     root = components(links(distinct.select("fp"), threshold, dense), "a", "b")
     rooted = distinct.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -322,4 +322,4 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", simila
 
 def op1_simhash_anchors(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select(real_key(), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+    return found.select(F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))

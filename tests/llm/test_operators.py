@@ -712,3 +712,19 @@ def test_op10_clean(spark, docs, texts, empty, odd):
     none = spark.createDataFrame([], "item_id long, text string")
     assert not any(r.contaminated for r in decontaminate.contamination(docs, none).collect())
     assert decontaminate.clean(empty, tests).count() == 0 and decontaminate.contamination(odd, tests).count() == 7
+
+
+def test_least_key_and_no_key_differ(spark):
+    """The smallest long is a doc_id like any other; a null one stays null."""
+    least, line = -(2**63), "the quick brown fox jumps over the lazy dog and runs away"
+    docs = spark.createDataFrame([(least, line), (None, line), (0, "password = 'Zx81kQwErTy42'")], "doc_id long, text string")
+    tests = spark.createDataFrame([("a", line)], "item_id string, text string")
+    each = sorted([repr(least), "None", "0"])
+    known = lambda rows: sorted(repr(r.doc_id) for r in rows)
+    assert known(decontaminate.contamination(docs, tests).collect()) == each
+    assert known(packing.pack_documents(docs).collect()) == each
+    assert known(secret_scan.scan(docs).collect()) == each
+    found = simhash.near_duplicates(docs).collect()
+    assert sorted((repr(r.key), r.component) for r in found) == sorted([(repr(least), least), ("None", least), ("0", 0)])
+    model = langid.fit(docs.select("text", F.lit("en").alias("lang")))
+    assert known(langid.predict(docs, model).collect()) == each
