@@ -109,8 +109,9 @@ def minutes(order: Column, on: Column, off: Column, length: int = 90) -> Column:
     return F.when(appeared(order, on), end - begin).otherwise(0).cast("long")
 
 
-def fee(value: Column) -> Column:
-    return lookup(value, FEES, value.cast("string"))
+def fee(code: Column, amount: Column | None = None) -> Column:
+    """A fee's text. With ``amount`` only ``code`` is read as a code, so an amount that equals one stays an amount; a row without a code has its amount."""
+    return lookup(code, FEES, (code if amount is None else amount).cast("string"))
 
 
 def season_from_code(code: Column, base: int = 1971) -> Column:

@@ -44,10 +44,10 @@ _over("p13_participation", A.appearances, ("anchor", "tid"), lambda: [S.started(
 
 
 def _fee():
-    return F.when(C("o_orderkey") % 5 == 0, 65535).when(C("o_orderkey") % 5 == 1, 65534).when(C("o_orderkey") % 5 == 2, 65533).when(C("o_orderkey") % 5 == 3, 0).otherwise(C("o_orderkey"))
+    return F.when(C("o_orderkey") % 5 == 0, 65535).when(C("o_orderkey") % 5 == 1, 65534).when(C("o_orderkey") % 5 == 2, 65533).when(C("o_orderkey") % 5 == 3, 0)
 
 
-_over("p14_fee_and_season", lambda s, d: A.table(s, d, "orders"), ("o_orderkey",), lambda: [S.fee(_fee()).alias("fee"), S.season_from_code(C("o_orderkey") % 60).alias("season")], "orders", "CASE o_orderkey % 5 WHEN 0 THEN 'stay' WHEN 1 THEN 'loan' WHEN 2 THEN 'free' WHEN 3 THEN 'free' ELSE CAST(o_orderkey AS VARCHAR) END AS fee, 1971 + o_orderkey % 60 AS season")
+_over("p14_fee_and_season", lambda s, d: A.table(s, d, "orders"), ("o_orderkey",), lambda: [S.fee(_fee(), C("o_orderkey")).alias("fee"), S.season_from_code(C("o_orderkey") % 60).alias("season")], "orders", "CASE o_orderkey % 5 WHEN 0 THEN 'stay' WHEN 1 THEN 'loan' WHEN 2 THEN 'free' WHEN 3 THEN 'free' ELSE CAST(o_orderkey AS VARCHAR) END AS fee, 1971 + o_orderkey % 60 AS season")
 _over("p16_fold", lambda s, d: A.table(s, d, "documents"), ("doc_id",), lambda: [F.md5(S.fold(C("text"))).alias("folded")], "documents", "md5(strip_accents(replace(lower(translate(text, 'ıİI', 'iii')), 'ß', 'ss'))) AS folded")
 _over("p18_friendly", lambda s, d: A.fixtures(s, d), ("anchor",), lambda: [S.is_friendly(F.when(C("anchor") % 4 == 0, F.lit("A Friendly Cup")).otherwise(C("comp"))).alias("friendly")], "fix", "coalesce(contains(lower(CASE WHEN anchor % 4 = 0 THEN 'A Friendly Cup' ELSE comp END), 'friend'), false) AS friendly")
 _over("p19_storage_key", A.fixtures, ("anchor",), lambda: [S.storage_key(C("home"), C("comp")).alias("k")], "fix", "concat_ws('-', CAST(home AS VARCHAR), regexp_replace(comp, '[^A-Za-z0-9_.-]', '_', 'g')) AS k")
