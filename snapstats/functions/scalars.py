@@ -114,6 +114,12 @@ def fee(code: Column, amount: Column | None = None) -> Column:
     return lookup(code, FEES, (code if amount is None else amount).cast("string"))
 
 
+def round_scaled(value: Column, digits: int) -> Column:
+    """As SQL engines round: the scaled number to a whole one, halves away from zero. ``F.round`` goes by the shortest decimal instead: 1.005 gives 1.01 there and 1.0 here."""
+    scale = F.lit(10.0**digits)
+    return F.round(value * scale) / scale
+
+
 def season_from_code(code: Column, base: int = 1971) -> Column:
     return code + base
 

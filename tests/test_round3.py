@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import duckdb
+from pyspark.sql import functions as F
+
 from snapstats.functions import scalars as S
+from snapstats.plans import q_reports
 from snapstats.plans.registry import QUERIES
-from pyspark.sql import functions as F
 
 
 def test_an_amount_that_equals_a_code_is_an_amount(spark, tmp_path):
@@ -12,3 +15,12 @@ def test_an_amount_that_equals_a_code_is_an_amount(spark, tmp_path):
     got = {r.o_orderkey: r.fee for r in QUERIES["p14_fee_and_season"](spark, str(tmp_path)).collect()}
     assert got == {65534: "65534", 65531: "loan", 65535: "stay", 9: "9"}
     assert spark.range(1).select(S.fee(F.lit(65534)).alias("f")).head().f == "loan"
+
+
+def test_strengths_round_as_the_sql_does(spark):
+    """Four players' tenths make fortieths, whose third decimal may be a five."""
+    rows = [("p", int(s), f"u{1}", t, 100.0 + (s if t == 1 else 0) / 10, 50.0) for s in range(0, 2000, 1) for t in range(1, 5)]
+    squad = spark.createDataFrame(rows, "phase string, club long, unit string, tid long, pos_index double, pctile double")
+    got = {r.club: r.strength for r in q_reports.team_strength(squad).where("unit = 'u1'").collect()}
+    want = dict(duckdb.sql("SELECT s, round(CAST(4000 + s AS DOUBLE) / 40, 2) FROM range(2000) t(s)").fetchall())
+    assert got == want
