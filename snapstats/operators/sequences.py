@@ -25,8 +25,8 @@ def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str) ->
 
 
 def longest_run(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str) -> DataFrame:
-    """The longest run of each key, the earliest of equals; 0 without any."""
-    best = runs(df, keys, order, flag).groupBy(*keys).agg(F.max_by(F.struct("length", "begin", "end"), F.struct("length", (-F.unix_date("begin")).alias("b"))).alias("r"))
+    """The longest run of each key, the earliest of equals (of those that begin on one day the one that ends first); 0 without any."""
+    best = runs(df, keys, order, flag).groupBy(*keys).agg(F.max_by(F.struct("length", "begin", "end"), F.struct("length", (-F.unix_date("begin")).alias("b"), (-F.unix_date("end")).alias("e"))).alias("r"))
     every = df.select(*keys).distinct()
     return every.join(best, list(keys), "left").select(*keys, F.coalesce("r.length", F.lit(0)).alias("length"), "r.begin", "r.end")
 

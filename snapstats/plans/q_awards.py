@@ -85,7 +85,8 @@ def _longest(keys: str, flag: str, order: str, rows: str) -> str:
 
 
 def _longest_runs(df, keys, order, flag):
-    at = F.struct("length", (-F.unix_date("begin")).alias("b"))
+    # runs of a key do not overlap, so of two that begin on one day the earlier one ends first
+    at = F.struct("length", (-F.unix_date("begin")).alias("b"), (-F.unix_date("end")).alias("e"))
     return Q.runs(df, keys, order, flag).groupBy(*keys).agg(F.max("length").alias("length"), F.max_by("begin", at).cast("string").alias("b"), F.max_by("end", at).cast("string").alias("e"))
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import duckdb
 from pyspark.sql import functions as F
 
 from snapstats.functions import scalars as S
-from snapstats.plans import q_reports
+from snapstats.operators import sequences
+from snapstats.plans import q_awards, q_reports
 from snapstats.plans.registry import QUERIES
 
 
@@ -24,3 +27,13 @@ def test_strengths_round_as_the_sql_does(spark):
     got = {r.club: r.strength for r in q_reports.team_strength(squad).where("unit = 'u1'").collect()}
     want = dict(duckdb.sql("SELECT s, round(CAST(4000 + s AS DOUBLE) / 40, 2) FROM range(2000) t(s)").fetchall())
     assert got == want
+
+
+def test_of_runs_that_begin_on_one_day_the_earlier_is_the_longest(spark):
+    days = [(1, "a", 1), (1, "b", 1), (1, "c", 0), (1, "d", 1), (2, "a", 1), (2, "b", 0)]
+    for turned in (days, days[::-1]):  # a run of two on day 1, then one from day 1 to day 2
+        df = spark.createDataFrame([(7, dt.date(2024, 1, d), n, bool(f)) for d, n, f in turned], "tid long, date date, n string, f boolean").repartition(3)
+        best = sequences.longest_run(df, ["tid"], ["date", "n"], "f").head()
+        assert (best.length, best.begin, best.end) == (2, dt.date(2024, 1, 1), dt.date(2024, 1, 1))
+        best = q_awards._longest_runs(df, ["tid"], ["date", "n"], "f").head()
+        assert (best.length, best.b, best.e) == (2, "2024-01-01", "2024-01-01")
