@@ -12,9 +12,10 @@ distinct fingerprints is refined: its members are dealt to the anchors of the tr
 radius 0), where two fingerprints that differ in two bits or fewer meet at a word one bit from both. A fine
 anchor has 65 members at most. So each replica is compared with ``DENSE`` fingerprints at most.
 
-``keep_one`` links documents whose sets of five-word shingles are alike by 0.8 or more. One fingerprint of a
-whole document cannot tell that: at 0.8 about ten of 64 bits differ, and no code covers ten bits with few
-anchors. So it takes ``SAMPLES`` fingerprints, each of the ``SAMPLE`` shingles that are least under a hash of
+``keep_one`` links documents whose sets of five-word shingles are alike by 0.8 or more. Its candidates are those that
+the anchors find, documents whose fingerprints differ in two bits or fewer, and more: one fingerprint of a
+whole document cannot tell all, as at 0.8 about ten of 64 bits differ, and no code covers ten bits with few
+anchors. So it takes, too, ``SAMPLES`` fingerprints, each of the ``SAMPLE`` shingles that are least under a hash of
 its own; documents with the same sample have the same fingerprint and meet at it (the trivial code, threshold
 0). At 0.8 a sample agrees with 0.26, one of 16 with 0.99. Where pages share a template most samples fall into it and
 tell nothing of what else two pages share; so some ``FEW`` shingles of a document, those whose hash is least for its
@@ -200,7 +201,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 
 _LOWER = np.frombuffer(LOWER, np.uint8)
-_SKETCHED = f"{FILE} long, {AT} long, samples array<long>, few array<long>, sketch binary"
+_SKETCHED = f"{FILE} long, {AT} long, fp long, samples array<long>, few array<long>, sketch binary"
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -270,7 +271,9 @@ def _sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         few, begin = few_shingles(row, hashed, len(keys))
         fews = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(few.view(np.int64)))
         parts = [x.tobytes() for x in sketches(row, hashed, len(keys))]
-        yield pa.RecordBatch.from_arrays([batch.column("key").slice(first, len(keys)), batch.column(AT).slice(first, len(keys)), lists, fews, pa.array(parts, pa.binary())], [FILE, AT, "samples", "few", "sketch"])
+        raw = data.tobytes()
+        fp = fingerprints([raw[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("key").slice(first, len(keys)), batch.column(AT).slice(first, len(keys)), pa.array(fp), lists, fews, pa.array(parts, pa.binary())], [FILE, AT, "fp", "samples", "few", "sketch"])
 
 
 def _verified(least: float):
@@ -285,19 +288,29 @@ def _verified(least: float):
     return run
 
 
+def anchor_pairs(prints: DataFrame) -> DataFrame:
+    """(a, b): of each two fingerprints that differ by one or two bits the first and last keys, by each other. ``prints`` has key and fp."""
+    ends = stored(prints.groupBy("fp").agg(F.min("key").alias("low"), F.max("key").alias("high")))
+    one, two = (ends.select(F.col("fp").alias(k), F.array_distinct(F.array("low", "high")).alias(n)) for k, n in (("a", "one"), ("b", "two")))
+    met = links(ends.select("fp")).join(one, "a").join(two, "b")
+    return met.select(F.explode("one").alias("a"), "two").select("a", F.explode("two").alias("b"))
+
+
 def similar(rows: DataFrame, ids: DataFrame, *, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(place, key, root): the numbers of ``placed`` rows, and the least number among all that links reach."""
     texts = rows.select(F.col(FILE).alias("key"), AT, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     known = stored(arrow(texts, _sketched, _SKETCHED).join(ids, [FILE, AT]).withColumn("print", F.md5(F.concat(F.array_join("samples", ","), F.hex("sketch")))))
     copies = stored(known.groupBy("print").agg(F.min("key").alias("rep")))
-    reps = stored(known.join(copies, "print").where("key = rep").select("key", "samples", "few", "sketch"))
+    reps = stored(known.join(copies, "print").where("key = rep").select("key", "fp", "samples", "few", "sketch"))
     at = reps.select("key", F.posexplode("samples").alias("nth", "sample")).unionByName(reps.select("key", F.lit(SAMPLES).alias("nth"), F.explode("few").alias("sample")))
+    at = at.unionByName(reps.select("key", F.lit(SAMPLES + 1).alias("nth"), F.col("fp").alias("sample")))  # equal fingerprints
     drawn = F.xxhash64("key", "sample")
     ends = at.groupBy("nth", "sample").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), F.min_by("key", drawn).alias("one"), F.max_by("key", drawn).alias("two"))
     crowd = F.col("n") > CROWD
     # written, so that adaptive execution can split the join where a sample is that of a third of all rows
     ends = stored(ends.where("n > 1").select("nth", "sample", F.when(crowd, F.col("low")).otherwise(F.col("one")).alias("low"), F.when(crowd, F.col("high")).otherwise(F.col("two")).alias("high")))
     met = at.join(ends, ["nth", "sample"]).select(F.col("key").alias("b"), F.explode(F.array("low", "high")).alias("a")).where("a <> b")
+    met = met.unionByName(anchor_pairs(reps.select("key", "fp")))  # and those near each other
     pairs = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     one, two = (reps.select(F.col("key").alias(k), F.col("sketch").alias(name)) for k, name in (("a", "one"), ("b", "two")))
     links = arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two"), _verified(similarity - SLACK), "a long, b long")
