@@ -13,9 +13,11 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFr
     return df.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__nth = 1").drop("__nth")
 
 
-def best_n(df: DataFrame, keys: Sequence[str], quota: Column, order: Sequence) -> DataFrame:
-    """K4: of each key as many rows as the quota allows."""
-    return df.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__nth") <= quota).drop("__nth")
+def best_n(df: DataFrame, keys: Sequence[str], quota: Column, order: Sequence, *, most: int | None = None) -> DataFrame:
+    """K4: of each key as many rows as the quota allows. With ``most``, which no quota exceeds, each task leaves no more of a key before the shuffle."""
+    within = F.col("__nth") <= quota
+    within = within if most is None else within & (F.col("__nth") <= most)
+    return df.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(within).drop("__nth")
 
 
 def occurrence(keys: Sequence[str], order: Sequence) -> Column:

@@ -4,23 +4,53 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapstats.functions.scalars import familiarity_multiplier
 
 
-def weighted_scores(wide: DataFrame, weights: DataFrame, attributes: Sequence[str], *, combo: Sequence[str] = ("method", "role"), attribute: str = "attribute", weight: str = "weight", out: str = "rating") -> DataFrame:
+def _weight_maps(weights: DataFrame, combo: Sequence[str], attribute: str, weight: str) -> DataFrame:
+    return weights.groupBy(*combo).agg(F.map_from_entries(F.collect_list(F.struct(attribute, weight))).alias("__w"))
+
+
+def _total(weights: Column, attributes: Sequence[str]) -> Column:
+    return sum((F.coalesce(F.col(a) * F.coalesce(weights[a], F.lit(1)), F.lit(0)) for a in attributes), F.lit(0)).cast("long")
+
+
+def _known(attributes: Sequence[str]) -> Column:
+    return F.coalesce(*[F.col(a) for a in attributes]).isNotNull()
+
+
+def weighted_scores(wide: DataFrame, weights: DataFrame, attributes: Sequence[str], *, combo: Sequence[str] = ("method", "role"), attribute: str = "attribute", weight: str = "weight", out: str = "rating", on: Sequence[str] = (), keep: bool = False) -> DataFrame:
     """G1: for each row and combination, the sum of value times weight; a weight that is absent is 1, a null value is left out.
 
     The wide rows are never exploded by attribute: the weights become one map per combination, and the sum
     is one expression over the row. The weight table is configuration (combinations, not data), so it is
-    broadcast. Rows without any value give no score.
+    broadcast. Rows without any value give no score. Columns of a combination that the rows have themselves are named by
+    ``on``: a row then has the combinations that agree with it. ``keep`` leaves the attributes.
     """
-    maps = weights.groupBy(*combo).agg(F.map_from_entries(F.collect_list(F.struct(attribute, weight))).alias("__w"))
-    total = sum((F.coalesce(F.col(a) * F.coalesce(F.col("__w")[a], F.lit(1)), F.lit(0)) for a in attributes), F.lit(0))
-    some = F.coalesce(*[F.col(a) for a in attributes]).isNotNull()
-    return wide.where(some).crossJoin(F.broadcast(maps)).withColumn(out, total.cast("long")).drop("__w", *attributes)
+    maps, some = F.broadcast(_weight_maps(weights, combo, attribute, weight)), wide.where(_known(attributes))
+    both = some.join(maps, list(on)) if on else some.crossJoin(maps)
+    return both.withColumn(out, _total(F.col("__w"), attributes)).drop("__w", *([] if keep else attributes))
+
+
+def rated_fits(wide: DataFrame, weights: DataFrame, attributes: Sequence[str], *, fits: str = "fits", by: str = "method", role: str = "role", attribute: str = "attribute", weight: str = "weight") -> DataFrame:
+    """A row for each row of ``wide`` and method, whose array ``fits`` of (position, role, familiarity) becomes one of (eff, position, role, familiarity).
+
+    What is chosen among an entity's own positions is chosen within its row, without a shuffle. A role without weights drops out.
+    """
+    maps = _weight_maps(weights, [by, role], attribute, weight).groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct(role, "__w"))).alias("__w"))
+    both = wide.where(_known(attributes)).crossJoin(F.broadcast(maps))
+    weighed = F.filter(fits, lambda f: F.map_contains_key("__w", f[role]))
+    eff = lambda f: _total(F.col("__w")[f[role]], attributes) * familiarity_multiplier(f["familiarity"])
+    rated = F.transform(weighed, lambda f: F.struct(eff(f).alias("eff"), f["position"].alias("position"), f[role].alias(role), f["familiarity"].alias("familiarity")))
+    return both.withColumn(fits, rated).drop("__w", *attributes)
+
+
+def best_fit(fits: str = "fits") -> Column:
+    """K3: of a row's ``fits`` that of the largest eff, the smaller position of equals; its eff is negative here."""
+    return F.array_min(F.transform(fits, lambda f: F.struct((-f["eff"]).alias("e"), f["position"].alias("position"), f["role"].alias("role"))))
 
 
 def weighted_scores_exploded(wide: DataFrame, weights: DataFrame, attributes: Sequence[str], keys: Sequence[str], *, combo: Sequence[str] = ("method", "role"), attribute: str = "attribute", weight: str = "weight", out: str = "rating") -> DataFrame:
@@ -31,9 +61,28 @@ def weighted_scores_exploded(wide: DataFrame, weights: DataFrame, attributes: Se
     return joined.groupBy(*keys, *combo).agg(F.sum(F.col("__value") * F.coalesce(weight, F.lit(1))).cast("long").alias(out))
 
 
+def effective_score(rating: str, familiarity: str, curve: str = "linear_floor", floor: float = 0.5) -> Column:
+    """A score times the familiarity multiplier."""
+    return F.col(rating) * familiarity_multiplier(F.col(familiarity), curve, floor)
+
+
 def effective(scores: DataFrame, fits: DataFrame, on: Sequence[str], *, curve: str = "linear_floor", floor: float = 0.5) -> DataFrame:
-    """A score in each position an entity can take, times the familiarity multiplier."""
-    return scores.join(fits, list(on)).withColumn("eff", F.col("rating") * familiarity_multiplier(F.col("familiarity"), curve, floor))
+    """A score in each position an entity can take, times the familiarity multiplier; for positions that are a table of their own."""
+    return scores.join(fits, list(on)).withColumn("eff", effective_score("rating", "familiarity", curve, floor))
+
+
+#: Rows of a stored table of places up to which it is broadcast, and rows for each partition up to which a task may hash its part.
+BROADCAST, HASHED = 300_000, 200_000
+
+
+def looked_up(table: DataFrame, keep=None) -> DataFrame:
+    """A table of what is known of each value or scope, to be joined to all rows: stored once by ``keep``, it is broadcast if it has few rows,
+    hashed where a task's part is small, and otherwise left to a join that sorts and can spill."""
+    if keep is None:
+        return table
+    table = keep(table)
+    rows, parts = table.count(), int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return F.broadcast(table) if rows <= BROADCAST else table.hint("shuffle_hash") if rows <= HASHED * parts else table
 
 
 def percent_rank(value: str, scope: Sequence[str], out: str, digits: int = 1):
@@ -84,45 +133,71 @@ def histogram_places(df: DataFrame, scope: Sequence[str], value: str) -> DataFra
     return counts.select(*scope, "__v", "__same", below.alias("__below"), F.sum("__same").over(w).alias("__n"), nulls.alias("__nulls"))
 
 
-def with_places(df: DataFrame, scope: Sequence[str], value: str, columns: dict) -> DataFrame:
-    """``df`` with columns made of ``__below``, ``__same``, ``__n`` and ``__nulls`` of its value in its scope.
+def with_places(df: DataFrame, scope: Sequence[str], value: str, columns: dict, *, of: DataFrame | None = None, keep=None) -> DataFrame:
+    """``df`` with columns made of ``__below``, ``__same``, ``__n`` and ``__nulls`` of its value in its scope; the scope's rows are those of ``of``, if it is given.
 
-    The histogram is joined without a hint: adaptive execution broadcasts it once its size is known to be
-    small, and shuffles otherwise.
+    With ``keep`` the histogram is stored first and joined as its size asks for (``looked_up``). Otherwise it is joined
+    without a hint: adaptive execution broadcasts it once its size is known to be small, and shuffles otherwise.
     """
-    places = histogram_places(df, scope, value)
+    return _join_places(df, histogram_places(df if of is None else of, scope, value), scope, value, columns, keep)
+
+
+def _join_places(df: DataFrame, places: DataFrame, scope: Sequence[str], value: str, columns: dict, keep=None) -> DataFrame:
     out = places.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(scope)], F.col("__v"), *[c.alias(n) for n, c in columns.items()])
     same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(scope)] + [F.col(value).eqNullSafe(F.col("__v"))]
     on = same[0]
     for x in same[1:]:
         on = on & x
-    return df.join(out, on).drop("__v", *[f"__k{i}" for i in range(len(scope))])
+    return df.join(looked_up(out, keep), on).drop("__v", *[f"__k{i}" for i in range(len(scope))])
+
+
+def _scope_places(counts: DataFrame, scope: Sequence[str], name: str) -> list[Column]:
+    """Below, same, all and null rows of a scope, from counts of a finer one."""
+    w, at = Window.partitionBy(*scope), Window.partitionBy(*scope, "__v")
+    upto = F.sum("__c").over(w.orderBy(F.col("__v").asc_nulls_last()).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    same = F.sum("__c").over(at)
+    nulls = F.coalesce(F.sum(F.when(F.col("__v").isNull(), F.col("__c"))).over(w), F.lit(0))
+    return [(upto - same).alias(f"__below_{name}"), same.alias(f"__same_{name}"), F.sum("__c").over(w).alias(f"__n_{name}"), nulls.alias(f"__nulls_{name}")]
 
 
-def share_below(digits: int = 1):
+def _of(column: str, name: str) -> Column:
+    return F.col(f"{column}_{name}" if name else column)
+
+
+def share_below(digits: int = 1, name: str = ""):
     """W1 from a histogram: 100 * percent_rank."""
-    return F.when(F.col("__n") > 1, F.round(100 * (F.col("__below") / (F.col("__n") - 1)), digits)).otherwise(0.0)
+    n = _of("__n", name)
+    return F.when(n > 1, F.round(100 * (_of("__below", name) / (n - 1)), digits)).otherwise(0.0)
 
 
-def place_from_top():
+def place_from_top(name: str = ""):
     """The rank of a value from the largest, nulls last."""
-    known = F.col("__n") - F.col("__nulls")
-    return F.when(F.col("__v").isNull(), known + 1).otherwise(known - F.col("__below") - F.col("__same") + 1)
+    known = _of("__n", name) - _of("__nulls", name)
+    return F.when(F.col("__v").isNull(), known + 1).otherwise(known - _of("__below", name) - _of("__same", name) + 1)
 
 
 def standing_by_counts(df: DataFrame, scopes: dict[str, Sequence[str]], fit: str, level: str | None = None, keep=None) -> DataFrame:
     """W2 for large pools: ``standing`` from histograms, so no window holds a pool's rows and no pool is sorted.
 
-    It pays where a pool has many more rows than distinct values; in the given tables it has not.
+    Rows are counted once by the columns of all scopes and the value; the places in every scope come from these counts and are one
+    join for each value, whatever the number of scopes. It pays where a pool has many more rows than distinct values.
 
-    ``keep`` stores the input once (a checkpoint into shared storage), as every scope reads it twice.
+    ``keep`` stores the places (``looked_up``); ``df`` itself is read once for each value and once for the result.
     """
-    df = keep(df) if keep else df
-    for name, scope in scopes.items():
-        df = with_places(df, scope, fit, {f"pctile_{name}": share_below(), f"rank_{name}": place_from_top(), f"n_{name}": F.col("__n")})
-        if level:
-            df = with_places(df, scope, level, {f"level_{name}": share_below()})
-    return df.drop(level) if level else df
+    every, out = list(dict.fromkeys(c for scope in scopes.values() for c in scope)), df
+    for value, what in ((fit, "fit"), (level, "level")):
+        if value is None:
+            continue
+        counts = df.groupBy(*every, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+        places = counts.select(*every, "__v", *[c for name, scope in scopes.items() for c in _scope_places(counts, scope, name)])
+        columns = {}
+        for name in scopes:
+            if what == "fit":
+                columns |= {f"pctile_{name}": share_below(name=name), f"rank_{name}": place_from_top(name), f"n_{name}": F.col(f"__n_{name}")}
+            else:
+                columns |= {f"level_{name}": share_below(name=name)}
+        out = _join_places(out, places, every, value, columns, keep)
+    return out.drop(level) if level else out
 
 
 def places_in_pools(targets: DataFrame, pool: DataFrame, at: Sequence[str], group: str, key: str, value: str) -> DataFrame:
@@ -141,19 +216,19 @@ def places_in_pools(targets: DataFrame, pool: DataFrame, at: Sequence[str], grou
     return placed.drop("__t")
 
 
-def index_within(df: DataFrame, value: str, scope: Sequence[str], out: str, *, mean: float = 100, spread: float = 15, keep=None) -> DataFrame:
-    """The value standardised within its scope (sample deviation); the mean where there is no spread.
+def index_within(df: DataFrame, value: str, scope: Sequence[str], out: str, *, mean: float = 100, spread: float = 15, of: DataFrame | None = None, keep=None) -> DataFrame:
+    """The value standardised within its scope (sample deviation); the mean where there is no spread. The scope's rows are those of ``of``, if it is given.
 
-    Mean and deviation are partial aggregates, joined back; no window holds a scope's rows.
+    Mean and deviation are partial aggregates, joined back; no window holds a scope's rows. ``keep`` stores them
+    (``looked_up``), so that few scopes are broadcast and the rows are not shuffled.
     """
-    df = keep(df) if keep else df
     names = [f"__k{i}" for i in range(len(scope))]
-    stats = df.groupBy(*[F.col(c).alias(k) for c, k in zip(scope, names)]).agg(F.avg(value).alias("__mean"), F.stddev_samp(value).alias("__sd"))
+    stats = (df if of is None else of).groupBy(*[F.col(c).alias(k) for c, k in zip(scope, names)]).agg(F.avg(value).alias("__mean"), F.stddev_samp(value).alias("__sd"))
     on = F.lit(True)
     for c, k in zip(scope, names):
         on = on & F.col(c).eqNullSafe(F.col(k))
     z = mean + spread * (F.col(value) - F.col("__mean")) / F.when(F.col("__sd") > 0, F.col("__sd"))
-    return df.join(stats, on).withColumn(out, F.round(F.coalesce(z, F.lit(float(mean))), 1)).drop("__mean", "__sd", *names)
+    return df.join(looked_up(stats, keep), on).withColumn(out, F.round(F.coalesce(z, F.lit(float(mean))), 1)).drop("__mean", "__sd", *names)
 
 
 def below_share(least: int = 8):

@@ -115,8 +115,9 @@ def t8(spark, d):
 def t9(spark, d):
     e = A.entities(spark, d)
     present = e.groupBy("tid").agg(F.max_by("dob", S.ordinal(C("season"), C("phase"))).alias("dob"))
-    own = X.effective(spark, d).where("familiarity >= 8").join(present, ["tid", "dob"])
-    return own.groupBy("season", "phase", "tid", "method").agg(F.max("eff").alias("score"))
+    score = F.array_max(F.transform(F.filter("fits", lambda f: f["familiarity"] >= 8), lambda f: f["eff"]))
+    own = X.rated_fits(spark, d).join(present, ["tid", "dob"])
+    return own.select("season", "phase", "tid", "method", score.alias("score")).where("score is not null")
 
 
 _TOTAL = " + ".join(f"coalesce(a{k}, 0)" for k in range(8))

@@ -10,7 +10,7 @@ from snapstats.operators import relational as R
 from snapstats.operators import scoring
 from snapstats.plans import frames as X
 from snapstats.plans.catalog import query
-from snapstats.plans.q_reports import _SQUAD, US, attribute_metrics, squad_frame
+from snapstats.plans.q_reports import _SQUAD, US, squad_frame
 from snapstats.session import checkpoint
 from snapstats.sources import adapters as A
 
@@ -197,10 +197,10 @@ _LINES = f"(SELECT t.phase, t.club, t.q, metric, v FROM {_TOP} t JOIN (UNPIVOT (
 @query("r31_side_by_side", "SELECT phase, club, metric, " + ", ".join(f"max(v) FILTER (q = {k}) AS p{k}" for k in range(1, 5)) + ", CAST(arg_max(q, (v, -q)) AS BIGINT) AS leader FROM " + _LINES + " GROUP BY phase, club, metric")
 def r31(spark, d):
     """The four best of every side at every snapshot beside each other: attributes, index, standing, and who leads."""
-    top = R.best_n(squad_frame(spark, d), ["phase", "club"], F.lit(4), [F.desc("pos_index"), "tid"])
+    top = R.best_n(squad_frame(spark, d, *A.ATTRS), ["phase", "club"], F.lit(4), [F.desc("pos_index"), "tid"])
     top = top.withColumn("q", F.row_number().over(Window.partitionBy("phase", "club").orderBy(F.desc("pos_index"), "tid")))
-    top = checkpoint(top.select("phase", "club", "tid", "q", "pos_index", "pctile"))
-    lines = attribute_metrics(spark, d).where(C("metric").isin(*A.ATTRS)).join(top, ["phase", "tid"]).select("phase", "club", "q", "metric", "v")
+    top = checkpoint(top.select("phase", "club", "q", "pos_index", "pctile", *A.ATTRS))  # four rows a side
+    lines = top.select("phase", "club", "q", *[C(c).cast("double").alias(c) for c in A.ATTRS]).unpivot(["phase", "club", "q"], A.ATTRS, "metric", "v").where("v is not null")
     own = top.select("phase", "club", "q", F.explode(F.array(F.struct(F.lit("index").alias("metric"), C("pos_index").alias("v")), F.struct(F.lit("standing").alias("metric"), C("pctile").alias("v")))).alias("x")).select("phase", "club", "q", "x.*")
     side = lambda k: F.max(F.when(C("q") == k, C("v"))).alias(f"p{k}")
     return lines.unionByName(own).groupBy("phase", "club", "metric").agg(*[side(k) for k in range(1, 5)], F.max_by("q", F.struct("v", (-C("q")).alias("q"))).cast("long").alias("leader"))
