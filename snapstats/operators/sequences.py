@@ -158,8 +158,9 @@ def chain_positions(df: DataFrame, row: str, nxt: str, *, rounds: int = 64, keep
     """(row, head, position, cycle): for rows that point to the next of their chain its head and the row's position; a row each.
 
     Pointers double: after k rounds each row knows the row 2^k before it and the least of those between, so a chain
-    of n rows takes log2(n) joins. Rows that have found no head when a round brings nobody to one are on cycles;
-    once 2^k covers them, the least row of a cycle counts as its head. Of several rows that point to one the least
+    of n rows takes log2(n) joins. Rows that have found no head when a round brings nobody to one are on cycles
+    (of an open chain the row behind the last that was brought would have been); once such a round lowers no row's least either, each has
+    that of its cycle, which counts as its head: so cycles take log2 of the longest one, too, however many rows are on them. Of several rows that point to one the least
     goes before it; the chains of the others end with them, so a fork multiplies no row. Pointers to rows that do not exist
     are ends. ``keep`` cuts the lineage of a round (a checkpoint into shared storage).
     """
@@ -168,7 +169,7 @@ def chain_positions(df: DataFrame, row: str, nxt: str, *, rounds: int = 64, keep
     # ``far`` rows back stands ``head``; the least row from this one to there, without it, stands ``least_at`` back
     state = state.select("row", F.coalesce("back", "row").alias("head"), F.when(F.col("back").isNull(), 0).otherwise(1).cast("long").alias("far"), F.col("back").isNull().alias("done"), F.col("row").alias("least"), F.lit(0).cast("long").alias("least_at"))
     state = keep(state) if keep else state
-    open_rows, reach = state.where("not done").count(), 1
+    open_rows = state.where("not done").count()
     for _ in range(rounds):
         if not open_rows:
             break
@@ -181,10 +182,12 @@ def chain_positions(df: DataFrame, row: str, nxt: str, *, rounds: int = 64, keep
             (F.col("a.done") | F.col("b.done")).alias("done"),
             F.when(lower, F.col("b.least")).otherwise(F.col("a.least")).alias("least"),
             F.when(lower, F.col("a.far") + F.col("b.least_at")).otherwise(F.col("a.least_at")).alias("least_at"),
+            lower.alias("lowered"),
         )
         state = keep(state) if keep else state
-        left, reach = state.where("not done").count(), 2 * reach
-        if left == open_rows and reach >= left:
+        left, lowered = state.where("not done").agg(F.count("*"), F.count_if("lowered")).head()
+        state = state.drop("lowered")
+        if left == open_rows and not lowered:
             break  # cycles only, each of them covered
         open_rows = left
     else:

@@ -10,7 +10,7 @@ from snapstats.operators import relational as R
 from snapstats.operators import sequences as Q
 from snapstats.plans import frames as X
 from snapstats.plans.catalog import query
-from snapstats.session import checkpoint
+from snapstats.session import stored
 from snapstats.sources import adapters as A
 
 C = F.col
@@ -149,7 +149,7 @@ def t12(spark, d):
 def t13(spark, d):
     """Heads and positions by pointer doubling, then the reading rule: a row's club goes with the statistics of the row before."""
     c = A.chain(spark, d)
-    placed = Q.chain_positions(c, "row_id", "next_id", keep=checkpoint)
+    placed = Q.chain_positions(c, "row_id", "next_id", keep=stored)
     before = c.where(C("next_id").isNotNull()).select(C("next_id").alias("row"), C("stat").alias("stat_before"))
     return placed.join(before, "row", "left").select("row", "head", "position", "stat_before")
 
@@ -161,7 +161,7 @@ def t13_cycles(spark, d):
     w = Window.partitionBy("c").orderBy("o_orderdate", "row_id")
     first = F.first("row_id").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     closed = orders.withColumn("next_id", F.coalesce(F.lead("row_id").over(w), F.when(C("c") % 3 == 0, first)))
-    return Q.chain_positions(closed, "row_id", "next_id", keep=checkpoint)
+    return Q.chain_positions(closed, "row_id", "next_id", keep=stored)
 
 
 @query("t13_forest_check", "SELECT next_id AS \"row\", count(*) AS n, bool_or(r.row_id IS NOT NULL) AS known FROM (SELECT CASE WHEN row_id % 50 = 0 THEN 1 ELSE next_id END AS next_id FROM chn) c LEFT JOIN (SELECT row_id FROM chn) r ON r.row_id = c.next_id WHERE next_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1 OR NOT bool_or(r.row_id IS NOT NULL)")
