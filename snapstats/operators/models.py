@@ -190,11 +190,13 @@ def assign(df: DataFrame, group: str, slot: str, candidate: str, score: str, per
 def assignment_faults(df: DataFrame, chosen: DataFrame, group: str, slot: str, candidate: str, score: str) -> DataFrame:
     """M9's proof from the rows of ``priced``: for each group the slots, the scores above their two prices, candidates used twice, and what total and prices differ by."""
     used = chosen.where(F.col(candidate).isNotNull()).select(group, candidate, "candidate_price")
-    pairs = df.where(F.col(score).isNotNull()).groupBy(group, slot, candidate).agg(F.max(score).alias("__s"))
+    pairs = df.where(F.col(score).isNotNull()).select(group, slot, candidate, score)
     pairs = pairs.join(chosen.select(group, slot, "slot_price"), [group, slot]).join(used.select(group, candidate, "candidate_price"), [group, candidate], "left")
-    over = pairs.groupBy(group).agg(F.count_if(F.col("__s") > F.col("slot_price") + F.coalesce("candidate_price", F.lit(0.0)) + 1e-6).alias("above"))
+    # only the pairs above their prices are told apart: there should be none, so nothing but those is shuffled
+    above = pairs.where(F.col(score) > F.col("slot_price") + F.coalesce("candidate_price", F.lit(0.0)) + 1e-6).select(group, slot, candidate).distinct()
+    over = above.groupBy(group).agg(F.count("*").alias("above"))
     sums = chosen.groupBy(group).agg(F.count("*").alias("slots"), (F.count(candidate) - F.count_distinct(candidate)).alias("twice"), F.round(F.sum(F.col("value") - F.col("slot_price") - F.col("candidate_price")), 3).alias("gap"))
-    return sums.join(over, group).select(group, "slots", "twice", "above", (F.abs("gap") > 0.001).alias("open"))
+    return sums.join(over, group, "left").fillna(0, ["above"]).select(group, "slots", "twice", "above", (F.abs("gap") > 0.001).alias("open"))
 
 
 def priced(df: DataFrame, group: str, slot: str, candidate: str, score: str, per_slot: int = 12) -> DataFrame:

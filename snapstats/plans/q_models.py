@@ -12,7 +12,7 @@ from snapstats.operators import scoring
 from snapstats.operators.documents import nested_profile, nesting, walk
 from snapstats.plans import frames as X
 from snapstats.plans.catalog import query
-from snapstats.session import checkpoint
+from snapstats.session import checkpoint, stored
 from snapstats.sources import adapters as A
 
 C = F.col
@@ -181,8 +181,8 @@ def m9(spark, d):
 def m9_proof(spark, d):
     """That the assignments are the best: by the prices of slots and candidates, over all pairs of the table."""
     e = X.effective(spark, d).where("method = 'm0'")
-    grouped = checkpoint(e.select(F.concat_ws("/", "phase", C("club").cast("string")).alias("team"), "position", "tid", "eff"))
-    chosen = checkpoint(M.priced(grouped, "team", "position", "tid", "eff", 14))
+    grouped = e.select(F.concat_ws("/", "phase", C("club").cast("string")).alias("team"), "position", "tid", "eff")
+    chosen = stored(M.priced(grouped, "team", "position", "tid", "eff", 14))
     return M.assignment_faults(grouped, chosen, "team", "position", "tid", "eff")
 
 
