@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from snapstats.functions import scalars as S
 from snapstats.plans.catalog import query
+from snapstats.session import spread
 from snapstats.sources import adapters as A
 
 C = F.col
@@ -48,12 +49,21 @@ def _fee():
 
 
 _over("p14_fee_and_season", lambda s, d: A.table(s, d, "orders"), ("o_orderkey",), lambda: [S.fee(_fee(), C("o_orderkey")).alias("fee"), S.season_from_code(C("o_orderkey") % 60).alias("season")], "orders", "CASE o_orderkey % 5 WHEN 0 THEN 'stay' WHEN 1 THEN 'loan' WHEN 2 THEN 'free' WHEN 3 THEN 'free' ELSE CAST(o_orderkey AS VARCHAR) END AS fee, 1971 + o_orderkey % 60 AS season")
+
+
+def _order_days(s, d):
+    """The distinct durations of an order: lines by order once, for the join and for what is distinct."""
+    li = spread(A.table(s, d, "lineitem"), "l_orderkey").select("l_orderkey", F.to_date("l_shipdate").alias("to"))
+    o = A.table(s, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("from"))
+    return li.join(o, C("l_orderkey") == C("o_orderkey")).select("l_orderkey", S.inclusive_days(C("from"), C("to")).alias("days")).distinct()
+
+
 _over("p16_fold", lambda s, d: A.table(s, d, "documents"), ("doc_id",), lambda: [F.md5(S.fold(C("text"))).alias("folded")], "documents", "md5(strip_accents(replace(lower(translate(text, 'ıİI', 'iii')), 'ß', 'ss'))) AS folded")
 _over("p18_friendly", lambda s, d: A.fixtures(s, d), ("anchor",), lambda: [S.is_friendly(F.when(C("anchor") % 4 == 0, F.lit("A Friendly Cup")).otherwise(C("comp"))).alias("friendly")], "fix", "coalesce(contains(lower(CASE WHEN anchor % 4 = 0 THEN 'A Friendly Cup' ELSE comp END), 'friend'), false) AS friendly")
 _over("p19_storage_key", A.fixtures, ("anchor",), lambda: [S.storage_key(C("home"), C("comp")).alias("k")], "fix", "concat_ws('-', CAST(home AS VARCHAR), regexp_replace(comp, '[^A-Za-z0-9_.-]', '_', 'g')) AS k")
 _over("p20_foot", A.entities, _ID, lambda: [S.foot(C("ck") % 20 + 1, C("ck") * 3 % 20 + 1).alias("foot")], "(SELECT *, ck % 20 + 1 AS l, ck * 3 % 20 + 1 AS r FROM ent)", "CASE WHEN least(l, r) >= 16 AND greatest(l, r) - least(l, r) <= 3 THEN 'Either' ELSE CASE WHEN l > r THEN 'Left' ELSE 'Right' END || CASE WHEN l <> r AND least(l, r) <= 7 THEN ' only' ELSE '' END END AS foot")
 _over("p22_day_of_year", lambda s, d: A.table(s, d, "orders"), ("o_orderkey",), lambda: [S.day_of_year(F.year("o_orderdate"), C("o_orderkey") % 366).cast("string").alias("at")], "orders", "CAST(CAST(make_date(year(o_orderdate), 1, 1) + CAST(o_orderkey % 366 AS INTEGER) AS DATE) AS VARCHAR) AS at")
-_over("p23_durations", lambda s, d: A.table(s, d, "lineitem").join(A.table(s, d, "orders"), C("l_orderkey") == C("o_orderkey")).select("l_orderkey", "o_orderkey", S.inclusive_days(F.to_date("o_orderdate"), F.to_date("l_shipdate")).alias("days")).distinct(), ("l_orderkey", "days"), lambda: [S.months_long(C("days")).alias("months")], "(SELECT DISTINCT l_orderkey, datediff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) + 1 AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey)", "CAST(greatest(1, round(days / 30.0)) AS BIGINT) AS months")
+_over("p23_durations", _order_days, ("l_orderkey", "days"), lambda: [S.months_long(C("days")).alias("months")], "(SELECT DISTINCT l_orderkey, datediff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) + 1 AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey)", "CAST(greatest(1, round(days / 30.0)) AS BIGINT) AS months")
 _over("p26_formation_lines", lambda s, d: A.fixtures(s, d).select("anchor", "formation", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(11).cast("long"))).alias("slot")), ("anchor", "slot"), lambda: [F.array_join(S.lines_of(C("formation")).cast("array<string>"), ",").alias("sizes"), S.line_of_slot(C("formation"), C("slot")).alias("line")], "(SELECT anchor, formation, slot, string_split(formation, '-') AS p FROM fix, range(1, 12) r(slot))", "array_to_string(p, ',') AS sizes, CAST(CASE WHEN slot = 1 THEN -1 WHEN slot <= 1 + p[1]::INT THEN 0 WHEN slot <= 1 + p[1]::INT + p[2]::INT THEN 1 WHEN slot <= 1 + p[1]::INT + p[2]::INT + p[3]::INT THEN 2 END AS BIGINT) AS line")
 _over("l7_safe_casts", lambda s, d: A.table(s, d, "orders").withColumn("t", F.when(C("o_orderkey") % 3 == 0, C("o_orderkey").cast("string")).when(C("o_orderkey") % 3 == 1, F.concat(C("o_orderkey").cast("string"), F.lit(".5"))).otherwise(F.to_date("o_orderdate").cast("string"))), ("o_orderkey",), lambda: [S.safe_long(C("t")).alias("n"), S.safe_date(C("t")).cast("string").alias("at")], "orders", "CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS n, CASE WHEN o_orderkey % 3 = 2 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS at")
 _over("l21_clean_numbers", lambda s, d: A.table(s, d, "orders"), ("o_orderkey",), lambda: [S.clean_number(F.when(C("o_orderkey") % 4 == 0, float("nan")).when(C("o_orderkey") % 4 == 1, float("inf")).otherwise(C("o_totalprice"))).alias("x")], "orders", "CASE WHEN o_orderkey % 4 IN (2, 3) THEN o_totalprice END AS x")

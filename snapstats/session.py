@@ -52,3 +52,16 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a plain table that one task sorts or counts at once.
+TASK_ROWS = 1_000_000
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by its keys in as many partitions as its rows ask for: the shuffle's own number, or more where a task would have over ``TASK_ROWS``.
+
+    The rows are counted from the footers of the files, so ``df`` should be a table as it is read.
+    """
+    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(own, -(-df.count() // TASK_ROWS)), *keys)

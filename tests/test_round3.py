@@ -5,10 +5,12 @@ from __future__ import annotations
 import datetime as dt
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from snapstats import session
 from snapstats.functions import scalars as S
-from snapstats.operators import sequences
+from snapstats.operators import models, scoring, sequences
 from snapstats.plans import q_awards, q_reports
 from snapstats.plans.registry import QUERIES
 
@@ -37,3 +39,50 @@ def test_of_runs_that_begin_on_one_day_the_earlier_is_the_longest(spark):
         assert (best.length, best.begin, best.end) == (2, dt.date(2024, 1, 1), dt.date(2024, 1, 1))
         best = q_awards._longest_runs(df, ["tid"], ["date", "n"], "f").head()
         assert (best.length, best.b, best.e) == (2, "2024-01-01", "2024-01-01")
+
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["k3_best_role", "r18_recruitment", "t9_trajectory", "w5_strictly_below", "w2_effective_table_by_counts", "w3_position_index", "w1_percentile_and_rank", "r9_squad_frame", "r11_unit_comparison", "k11_slot_in"])
+def test_scores_are_not_joined_with_positions_by_a_shuffle(spark, name):
+    p = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in p and (name == "t9_trajectory" or "SortMergeJoin" not in p)
+
+
+def test_places_in_several_scopes_from_one_count(spark):
+    rows = [(k, k % 2, k % 6, None if k % 11 == 0 else float(k * 7 % 9), None if k % 5 == 0 else k % 4) for k in range(120)]
+    df = spark.createDataFrame(rows, "k long, g long, h long, v double, l long")
+    scopes = {"a": ["g"], "b": ["g", "h"]}
+    a, b = (sorted(map(tuple, f.select("k", *[f"{c}_{n}" for n in scopes for c in ("pctile", "level", "rank", "n")]).collect())) for f in (scoring.standing(df, scopes, "v", "l"), scoring.standing_by_counts(df, scopes, "v", "l", keep=session.stored)))
+    assert a == b
+
+
+@pytest.mark.parametrize("rows, hint", [(0, ""), (200, "shuffle_hash"), (2000, "broadcast")])
+def test_a_lookup_is_joined_as_its_size_asks_for(spark, monkeypatch, rows, hint):
+    monkeypatch.setattr(scoring, "BROADCAST", rows if hint == "broadcast" else 0)
+    monkeypatch.setattr(scoring, "HASHED", rows)
+    found = scoring.looked_up(spark.range(500), session.stored)
+    assert (hint in found._jdf.queryExecution().logical().toString().lower()) if hint else "hint" not in found._jdf.queryExecution().logical().toString().lower()
+
+
+def test_rounds_follow_the_longest_cycle_not_the_rows_on_cycles(spark):
+    rows = [(c * 10 + i, c * 10 + (i + 1) % 5) for c in range(400) for i in range(5)]
+    kept = []
+    got = sequences.chain_positions(spark.createDataFrame(rows, "r long, n long"), "r", "n", keep=lambda f: kept.append(1) or session.checkpoint(f))
+    assert {(x.row, x.head, x.position, x.cycle) for x in got.collect()} == {(c * 10 + i, c * 10, i, True) for c in range(400) for i in range(5)}
+    assert len(kept) <= 6  # 12 where reach had to pass 2,000 rows
+
+
+def test_a_task_has_a_bounded_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 500)
+    assert session.spread(spark.range(6000), "id").rdd.getNumPartitions() == 12
+    assert session.spread(spark.range(600), "id").rdd.getNumPartitions() == 4
+
+
+def test_faults_are_pairs_above_their_prices(spark):
+    pairs = spark.createDataFrame([("t", "a", 1, 5.0), ("t", "a", 1, 5.0), ("t", "b", 2, 1.0), ("u", "a", 3, 2.0)], "g string, s string, c long, v double")
+    chosen = spark.createDataFrame([("t", "a", 1, 5.0, 3.0, 0.0), ("t", "b", 2, 1.0, 1.0, 0.0), ("u", "a", 3, 2.0, 2.0, 0.0)], "g string, s string, c long, value double, slot_price double, candidate_price double")
+    faults = models.assignment_faults(pairs, chosen, "g", "s", "c", "v")
+    assert {(x.g, x.slots, x.twice, x.above) for x in faults.collect()} == {("t", 2, 0, 1), ("u", 1, 0, 0)}
+    assert faults._jdf.queryExecution().optimizedPlan().toString().count("max(") == 0
