@@ -10,12 +10,21 @@ from pyspark.sql import functions as F
 from snapstats.functions.scalars import familiarity_multiplier
 
 
-def _weight_maps(weights: DataFrame, combo: Sequence[str], attribute: str, weight: str) -> DataFrame:
-    return weights.groupBy(*combo).agg(F.map_from_entries(F.collect_list(F.struct(attribute, weight))).alias("__w"))
+def _weight_rows(weights: DataFrame, combo: Sequence[str], attributes: Sequence[str], attribute: str, weight: str) -> DataFrame:
+    """A row for each combination with ``__w``, a struct of the weight of each attribute; what is absent is 1. No key is searched for when a row is rated."""
+    one = [F.sum(F.when(F.col(attribute) == a, F.coalesce(F.col(weight), F.lit(1)))).alias(f"__w{i}") for i, a in enumerate(attributes)]
+    each = F.struct(*[F.coalesce(f"__w{i}", F.lit(1)).alias(a) for i, a in enumerate(attributes)])
+    return weights.groupBy(*combo).agg(*one).select(*combo, each.alias("__w"))
 
 
-def _total(weights: Column, attributes: Sequence[str]) -> Column:
-    return sum((F.coalesce(F.col(a) * F.coalesce(weights[a], F.lit(1)), F.lit(0)) for a in attributes), F.lit(0)).cast("long")
+def _values(wide: DataFrame, attributes: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """The rows that have any value, with columns in which a null value counts as 0: told once for a row, not once for each combination."""
+    own = {f"__v{i}": F.coalesce(F.col(a), F.lit(0)) for i, a in enumerate(attributes)}
+    return wide.where(_known(attributes)).withColumns(own), list(own)
+
+
+def _total(weights: Column, attributes: Sequence[str], values: Sequence[str]) -> Column:
+    return sum((F.col(v) * weights[a] for a, v in zip(attributes[1:], values[1:])), F.col(values[0]) * weights[attributes[0]]).cast("long")
 
 
 def _known(attributes: Sequence[str]) -> Column:
@@ -25,32 +34,37 @@ def _known(attributes: Sequence[str]) -> Column:
 def weighted_scores(wide: DataFrame, weights: DataFrame, attributes: Sequence[str], *, combo: Sequence[str] = ("method", "role"), attribute: str = "attribute", weight: str = "weight", out: str = "rating", on: Sequence[str] = (), keep: bool = False) -> DataFrame:
     """G1: for each row and combination, the sum of value times weight; a weight that is absent is 1, a null value is left out.
 
-    The wide rows are never exploded by attribute: the weights become one map per combination, and the sum
+    The wide rows are never exploded by attribute: the weights become one row per combination, and the sum
     is one expression over the row. The weight table is configuration (combinations, not data), so it is
     broadcast. Rows without any value give no score. Columns of a combination that the rows have themselves are named by
     ``on``: a row then has the combinations that agree with it. ``keep`` leaves the attributes.
     """
-    maps, some = F.broadcast(_weight_maps(weights, combo, attribute, weight)), wide.where(_known(attributes))
-    both = some.join(maps, list(on)) if on else some.crossJoin(maps)
-    return both.withColumn(out, _total(F.col("__w"), attributes)).drop("__w", *([] if keep else attributes))
+    rows, (some, values) = F.broadcast(_weight_rows(weights, combo, attributes, attribute, weight)), _values(wide, attributes)
+    both = some.join(rows, list(on)) if on else some.crossJoin(rows)
+    return both.withColumn(out, _total(F.col("__w"), attributes, values)).drop("__w", *values, *([] if keep else attributes))
 
 
-def rated_fits(wide: DataFrame, weights: DataFrame, attributes: Sequence[str], *, fits: str = "fits", by: str = "method", role: str = "role", attribute: str = "attribute", weight: str = "weight") -> DataFrame:
-    """A row for each row of ``wide`` and method, whose array ``fits`` of (position, role, familiarity) becomes one of (eff, position, role, familiarity).
+def rated_fits(wide: DataFrame, weights: DataFrame, attributes: Sequence[str], fits: Sequence[str], *, only=None, by: str = "method", role: str = "role", attribute: str = "attribute", weight: str = "weight") -> DataFrame:
+    """A row for each row of ``wide`` and method, whose structs ``fits`` of (position, role, familiarity) become (eff, position, role, familiarity).
 
-    What is chosen among an entity's own positions is chosen within its row, without a shuffle. A role without weights drops out.
+    What is chosen among an entity's own positions is chosen within its row, without a shuffle, and by plain expressions, which are
+    compiled; a lambda over an array is interpreted. A role without weights and a fit that ``only`` does not take have no eff; a row without any drops out.
     """
-    maps = _weight_maps(weights, [by, role], attribute, weight).groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct(role, "__w"))).alias("__w"))
-    both = wide.where(_known(attributes)).crossJoin(F.broadcast(maps))
-    weighed = F.filter(fits, lambda f: F.map_contains_key("__w", f[role]))
-    eff = lambda f: _total(F.col("__w")[f[role]], attributes) * familiarity_multiplier(f["familiarity"])
-    rated = F.transform(weighed, lambda f: F.struct(eff(f).alias("eff"), f["position"].alias("position"), f[role].alias(role), f["familiarity"].alias("familiarity")))
-    return both.withColumn(fits, rated).drop("__w", *attributes)
-
-
-def best_fit(fits: str = "fits") -> Column:
+    maps = _weight_rows(weights, [by, role], attributes, attribute, weight).groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct(role, "__w"))).alias("__w"))
+    some, values = _values(wide, attributes)
+    both, own = some.crossJoin(F.broadcast(maps)), {f: f"__w_{f}" for f in fits}
+    weighed = lambda f: F.col("__w")[F.col(f)[role]] if only is None else F.when(only(F.col(f)), F.col("__w")[F.col(f)[role]])
+    # told by the weights, not by eff: a filter is moved below what it is made of, which would be rated twice
+    both = both.withColumns({w: weighed(f) for f, w in own.items()}).where(F.coalesce(*own.values()).isNotNull())
+    eff = lambda f: _total(F.col(own[f]), attributes, values) * familiarity_multiplier(F.col(f)["familiarity"])
+    rated = {f: F.struct(eff(f).alias("eff"), *[F.col(f)[c].alias(c) for c in ("position", role, "familiarity")]) for f in fits}
+    return both.withColumns(rated).drop("__w", *own.values(), *values, *attributes)
+
+
+def best_fit(fits: Sequence[str]) -> Column:
     """K3: of a row's ``fits`` that of the largest eff, the smaller position of equals; its eff is negative here."""
-    return F.array_min(F.transform(fits, lambda f: F.struct((-f["eff"]).alias("e"), f["position"].alias("position"), f["role"].alias("role"))))
+    best = [F.when(F.col(f)["eff"].isNotNull(), F.struct((-F.col(f)["eff"]).alias("e"), F.col(f)["position"].alias("position"), F.col(f)["role"].alias("role"))) for f in fits]
+    return F.least(*best) if len(best) > 1 else best[0]
 
 
 def weighted_scores_exploded(wide: DataFrame, weights: DataFrame, attributes: Sequence[str], keys: Sequence[str], *, combo: Sequence[str] = ("method", "role"), attribute: str = "attribute", weight: str = "weight", out: str = "rating") -> DataFrame:

@@ -115,9 +115,8 @@ def t8(spark, d):
 def t9(spark, d):
     e = A.entities(spark, d)
     present = e.groupBy("tid").agg(F.max_by("dob", S.ordinal(C("season"), C("phase"))).alias("dob"))
-    score = F.array_max(F.transform(F.filter("fits", lambda f: f["familiarity"] >= 8), lambda f: f["eff"]))
-    own = X.rated_fits(spark, d).join(present, ["tid", "dob"])
-    return own.select("season", "phase", "tid", "method", score.alias("score")).where("score is not null")
+    own = X.rated_fits(spark, d, lambda e: e.join(present, ["tid", "dob"]), only=lambda f: f["familiarity"] >= 8)
+    return own.select("season", "phase", "tid", "method", F.greatest(*[C(f)["eff"] for f in X.FITS]).alias("score"))
 
 
 _TOTAL = " + ".join(f"coalesce(a{k}, 0)" for k in range(8))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 import duckdb
 import pytest
@@ -86,3 +87,29 @@ def test_faults_are_pairs_above_their_prices(spark):
     faults = models.assignment_faults(pairs, chosen, "g", "s", "c", "v")
     assert {(x.g, x.slots, x.twice, x.above) for x in faults.collect()} == {("t", 2, 0, 1), ("u", 1, 0, 0)}
     assert faults._jdf.queryExecution().optimizedPlan().toString().count("max(") == 0
+
+
+@pytest.mark.parametrize("name", ["k3_best_role", "t9_trajectory", "r18_recruitment"])
+def test_rating_is_compiled(spark, name):
+    """A lambda over an array is interpreted, and so is a method of more than 8,000 bytes: each entity's ratings took four to six times as long."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan is compiled as it runs
+    try:
+        plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution()
+        above = plan.executedPlan().toString().split("Join")[0]
+        code = spark._jvm.PythonSQLUtils.explainString(plan, "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert "lambda" not in above
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code))) < 8000
+
+
+def test_the_best_fit_is_of_a_role_with_weights(spark):
+    fit = "struct<position string, role string, familiarity long>"
+    rows = [(1, 2, None, ("P1", "r1", 20), ("P0", "r1", 20)), (2, 2, 3, ("P1", "r9", 20), ("P2", "r1", 1)), (3, 2, 3, ("P1", "r9", 20), ("P2", "r9", 1)), (4, None, None, ("P1", "r1", 20), ("P2", "r1", 1))]
+    wide = spark.createDataFrame(rows, f"id long, a long, b long, x {fit}, y {fit}")
+    weights = spark.createDataFrame([("m", "r1", "a", 5), ("m", "r1", "b", None)], "method string, role string, attribute string, weight long")
+    best = scoring.rated_fits(wide, weights, ["a", "b"], ["x", "y"]).withColumn("best", scoring.best_fit(["x", "y"]))
+    assert {(r.id, r.method, r.best.position, -r.best.e) for r in best.collect()} == {(1, "m", "P0", 10.0), (2, "m", "P2", 13 * 0.525)}
+    known = scoring.rated_fits(wide, weights, ["a", "b"], ["x", "y"], only=lambda f: f["familiarity"] > 1)
+    assert {(r.id, r.x.eff, r.y.eff) for r in known.collect()} == {(1, 10.0, 10.0)}
