@@ -132,6 +132,15 @@ def numbers(places: DataFrame, *by) -> DataFrame:
     return rows.join(F.broadcast(places.sparkSession.createDataFrame(first, "part int, first long")), "part").select(FILE, AT, (F.col("first") + F.col("nth")).alias("key"))
 
 
+def sorted_join(df: DataFrame) -> DataFrame:
+    """``df``, to be joined by a sort and never broadcast: for one side of a join whose sides both grow with the corpus.
+
+    Spark sizes what an explode or a step in Arrow makes by its input, and a stored table by its compressed files. So a table a
+    hundred times the limit of a broadcast may seem to lie below it, and would go through the driver whole.
+    """
+    return df.hint("merge")
+
+
 def at_places(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """``rows`` with the numbers of ``numbers``. The texts are shuffled by place; every other join by place can use that shuffle, too."""
     return rows.join(ids.hint("shuffle_hash"), [FILE, AT])

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapstats.llm.common import AT, FILE, LOWER, arrow, blocks, frame, keys_of, mix, numbers, placed, split_runs, stored, windows_of, word_ids, words_of
+from snapstats.llm.common import AT, FILE, LOWER, arrow, blocks, frame, keys_of, mix, numbers, placed, sorted_join, split_runs, stored, windows_of, word_ids, words_of
 from snapstats.llm.components import components
 
 SHINGLE = 3
@@ -174,7 +174,7 @@ def links(distinct: DataFrame, threshold: int = BITS, dense: int = DENSE) -> Dat
     sparse = homes.join(crowded, "anchor", "left_anti") if refine else homes
     near = F.bit_count(F.col("h.fp").bitwiseXOR(F.col("r.fp"))) <= threshold
     met = (F.col("h.anchor") == F.col("r.anchor")) & near & (F.col("h.fp") != F.col("r.fp"))
-    found = sparse.alias("h").join(replicas.alias("r"), met).select(F.least("h.fp", "r.fp").alias("a"), F.greatest("h.fp", "r.fp").alias("b"))
+    found = sparse.alias("h").join(sorted_join(replicas).alias("r"), met).select(F.least("h.fp", "r.fp").alias("a"), F.greatest("h.fp", "r.fp").alias("b"))
     if refine:
         found = found.unionByName(_fine_links(replicas.join(crowded, "anchor", "left_semi").select("fp").distinct()))
     return found.distinct()
@@ -194,10 +194,10 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     least = F.min("key").alias("least")
     distinct = stored(prints.groupBy("fp").agg(least))
     root = components(links(distinct.select("fp"), threshold, dense), "a", "b")
-    rooted = distinct.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(sorted_join(root), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    named = rooted.select("fp", "root").join(of_root, "root").select("fp", "component")
-    return prints.join(named, "fp").select("key", "fp", "component")
+    named = rooted.select("fp", "root").join(sorted_join(of_root), "root").select("fp", "component")
+    return prints.join(sorted_join(named), "fp").select("key", "fp", "component")
 
 
 _LOWER = np.frombuffer(LOWER, np.uint8)
