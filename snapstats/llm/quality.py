@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapstats.llm.common import AT, FILE, LOWER, SPACE, arrow, blocks, mix, placed, split_runs, stored, windows_of, word_ids, words_of
+from snapstats.llm.common import AT, FILE, LOWER, SPACE, arrow, blocks, mix, placed, sorted_join, split_runs, stored, windows_of, word_ids, words_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -124,7 +124,7 @@ def _verdicts(rows: DataFrame, key: str, text: str, host: str, docs_of_line: int
     stats = stored(arrow(narrow, _stats, _STATS))
     lines = stats.select(FILE, AT, "host", "document", F.explode("lines").alias("line")).select(FILE, AT, "host", "document", "line.*")
     often = frequent_lines(lines, docs_of_line, share)
-    a, b = lines.alias("a"), often.alias("b")
+    a, b = sorted_join(lines).alias("a"), often.alias("b")
     removed = (
         a.join(b, (F.col("a.hash") == F.col("b.hash")) & F.col("a.host").eqNullSafe(F.col("b.host")))
         .groupBy(FILE, AT)
@@ -169,7 +169,7 @@ def keep_quality(docs: DataFrame, *, key: str = "doc_id", text: str = "text", ho
     """
     rows = placed(docs)
     verdict = _verdicts(rows, key, text, host, LINE_DOCS, LINE_SHARE, LEAST_LEFT).where("kept").select(FILE, AT, "drop")
-    whole = rows.select(FILE, AT, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(verdict, [FILE, AT])
+    whole = rows.select(FILE, AT, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(sorted_join(verdict), [FILE, AT])
     body = F.col(f"row.`{text}`")
     lines = F.filter(F.split(body, "\n", -1), lambda _, i: ~F.array_contains("drop", i))
     left = F.when(F.size("drop") == 0, body).otherwise(F.array_join(lines, "\n")).alias(text)

@@ -292,16 +292,16 @@ def anchor_pairs(prints: DataFrame) -> DataFrame:
     """(a, b): of each two fingerprints that differ by one or two bits the first and last keys, by each other. ``prints`` has key and fp."""
     ends = stored(prints.groupBy("fp").agg(F.min("key").alias("low"), F.max("key").alias("high")))
     one, two = (ends.select(F.col("fp").alias(k), F.array_distinct(F.array("low", "high")).alias(n)) for k, n in (("a", "one"), ("b", "two")))
-    met = links(ends.select("fp")).join(one, "a").join(two, "b")
+    met = links(ends.select("fp")).join(sorted_join(one), "a").join(sorted_join(two), "b")
     return met.select(F.explode("one").alias("a"), "two").select("a", F.explode("two").alias("b"))
 
 
 def similar(rows: DataFrame, ids: DataFrame, *, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(place, key, root): the numbers of ``placed`` rows, and the least number among all that links reach."""
     texts = rows.select(F.col(FILE).alias("key"), AT, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    known = stored(arrow(texts, _sketched, _SKETCHED).join(ids, [FILE, AT]).withColumn("print", F.md5(F.concat(F.array_join("samples", ","), F.hex("sketch")))))
+    known = stored(arrow(texts, _sketched, _SKETCHED).join(sorted_join(ids), [FILE, AT]).withColumn("print", F.md5(F.concat(F.array_join("samples", ","), F.hex("sketch")))))
     copies = stored(known.groupBy("print").agg(F.min("key").alias("rep")))
-    reps = stored(known.join(copies, "print").where("key = rep").select("key", "fp", "samples", "few", "sketch"))
+    reps = stored(known.join(sorted_join(copies), "print").where("key = rep").select("key", "fp", "samples", "few", "sketch"))
     at = reps.select("key", F.posexplode("samples").alias("nth", "sample")).unionByName(reps.select("key", F.lit(SAMPLES).alias("nth"), F.explode("few").alias("sample")))
     at = at.unionByName(reps.select("key", F.lit(SAMPLES + 1).alias("nth"), F.col("fp").alias("sample")))  # equal fingerprints
     drawn = F.xxhash64("key", "sample")
@@ -309,13 +309,13 @@ def similar(rows: DataFrame, ids: DataFrame, *, text: str = "text", similarity:
     crowd = F.col("n") > CROWD
     # written, so that adaptive execution can split the join where a sample is that of a third of all rows
     ends = stored(ends.where("n > 1").select("nth", "sample", F.when(crowd, F.col("low")).otherwise(F.col("one")).alias("low"), F.when(crowd, F.col("high")).otherwise(F.col("two")).alias("high")))
-    met = at.join(ends, ["nth", "sample"]).select(F.col("key").alias("b"), F.explode(F.array("low", "high")).alias("a")).where("a <> b")
+    met = at.join(sorted_join(ends), ["nth", "sample"]).select(F.col("key").alias("b"), F.explode(F.array("low", "high")).alias("a")).where("a <> b")
     met = met.unionByName(anchor_pairs(reps.select("key", "fp")))  # and those near each other
     pairs = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     one, two = (reps.select(F.col("key").alias(k), F.col("sketch").alias(name)) for k, name in (("a", "one"), ("b", "two")))
-    links = arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two"), _verified(similarity - SLACK), "a long, b long")
+    links = arrow(pairs.join(sorted_join(one), "a").join(sorted_join(two), "b").select("a", "b", "one", "two"), _verified(similarity - SLACK), "a long, b long")
     root = components(links, "a", "b")
-    named = known.select(FILE, AT, "key", "print").join(copies, "print").join(root, F.col("rep") == F.col("node"), "left")
+    named = known.select(FILE, AT, "key", "print").join(sorted_join(copies), "print").join(sorted_join(root), F.col("rep") == F.col("node"), "left")
     return named.select(FILE, AT, "key", F.coalesce("root", "rep").alias("root"))
 
 
@@ -330,7 +330,7 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", simila
     ids = numbers(rows.select(FILE, AT, F.col(f"`{key}`").cast("long").alias("by")), F.col("by").asc_nulls_last())
     kept = similar(rows, ids, text=text, similarity=similarity).where("key = root").select(FILE, AT)
     whole = rows.select(FILE, AT, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return whole.join(kept, [FILE, AT], "left_semi").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return whole.join(sorted_join(kept), [FILE, AT], "left_semi").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op1_simhash_anchors(spark, sf_dir: str) -> DataFrame:
