@@ -24,7 +24,10 @@ with two of the anchor, not with each other: at an anchor of up to ``CROWD`` doc
 hash draws, so that another shared shingle draws others; at a larger one with the first and last, who are the same at
 all anchors of a template or passage. The comparison is by a sketch: the least shingle in each of 512 ranges of a
 hash, whose share of agreement is the similarity. Documents with equal samples and sketches are copies; one of them
-stands for all.
+stands for all. What the anchors find is compared whole: of two fingerprints that differ in two bits or fewer, or of one,
+every document with every other. Only what is in one component already is left out, as it could link nothing new;
+so a large group of near copies costs no pairs, and documents of one fingerprint that are no near copies cost what
+telling them apart takes.
 
 Exact copies collapse to one fingerprint before anything is replicated. Null text: no words, fingerprint
 zero, linked like any other. Null key: keeps its row; a component's id is the smallest known key. Repeated
@@ -163,8 +166,11 @@ def _replicas(threshold: int):
     return run
 
 
-def links(distinct: DataFrame, threshold: int = BITS, dense: int = DENSE) -> DataFrame:
-    """(a, b), a < b: distinct fingerprints that differ in ``threshold`` bits or fewer."""
+def links(distinct: DataFrame, threshold: int = BITS, dense: int = DENSE, every: bool = False) -> DataFrame:
+    """(a, b), a < b: distinct fingerprints that differ in ``threshold`` bits or fewer.
+
+    At dense anchors as many as connect all such, or with ``every`` all of them there, too.
+    """
     if threshold != BITS:
         raise ValueError("the refinement of dense anchors is exact for a threshold of 2")
     homes = arrow(distinct, _homes, "anchor long, fp long")
@@ -176,15 +182,17 @@ def links(distinct: DataFrame, threshold: int = BITS, dense: int = DENSE) -> Dat
     met = (F.col("h.anchor") == F.col("r.anchor")) & near & (F.col("h.fp") != F.col("r.fp"))
     found = sparse.alias("h").join(sorted_join(replicas).alias("r"), met).select(F.least("h.fp", "r.fp").alias("a"), F.greatest("h.fp", "r.fp").alias("b"))
     if refine:
-        found = found.unionByName(_fine_links(replicas.join(crowded, "anchor", "left_semi").select("fp").distinct()))
+        found = found.unionByName(_fine_links(replicas.join(crowded, "anchor", "left_semi").select("fp").distinct(), every))
     return found.distinct()
 
 
-def _fine_links(members: DataFrame) -> DataFrame:
-    """Links that connect all members within two bits: a star at each fine anchor, all of whose members are that near."""
+def _fine_links(members: DataFrame, every: bool) -> DataFrame:
+    """Links that connect all members within two bits: a star at each fine anchor, all of whose members are that near, or with ``every`` all its pairs."""
     one_bit = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
     at = members.select("fp", F.explode(F.concat(F.array("fp"), one_bit)).alias("fine"))
     met = at.groupBy("fine").agg(F.sort_array(F.collect_set("fp")).alias("fps")).where(F.size("fps") > 1)
+    if every:  # 65 members at most
+        return met.select("fps", F.posexplode("fps").alias("nth", "a")).select("a", F.explode(F.slice("fps", F.col("nth") + 2, F.lit(65))).alias("b"))
     return met.select(F.col("fps")[0].alias("a"), F.explode(F.slice("fps", 2, 65)).alias("b"))
 
 
@@ -288,12 +296,34 @@ def _verified(least: float):
     return run
 
 
+def each_with_each(prints: DataFrame, met: DataFrame) -> DataFrame:
+    """(a, b): for each row (a, b) of ``met``, two fingerprints or twice the same, every key of one with every key of the other.
+
+    ``prints`` has key and fp. Where it has root, too, the component so far, keys of one root are not paired: the components of a
+    fingerprint are, and only those that differ are opened, so no more rows are made than there are pairs to compare.
+    """
+    members = prints if "root" in prints.columns else prints.withColumn("root", F.col("key"))
+    parts = members.select("fp", "root").distinct()
+    apart = F.when(F.col("a") == F.col("b"), F.col("root_a") < F.col("root_b")).otherwise(F.col("root_a") != F.col("root_b"))
+    for k in "ab":
+        met = met.join(sorted_join(parts.select(F.col("fp").alias(k), F.col("root").alias(f"root_{k}"))), k)
+    met = met.where(apart)
+    for k in "ab":
+        met = met.join(sorted_join(members.select(F.col("fp").alias(k), F.col("root").alias(f"root_{k}"), F.col("key").alias(f"key_{k}"))), [k, f"root_{k}"])
+    return met.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+
+
 def anchor_pairs(prints: DataFrame) -> DataFrame:
-    """(a, b): of each two fingerprints that differ by one or two bits the first and last keys, by each other. ``prints`` has key and fp."""
-    ends = stored(prints.groupBy("fp").agg(F.min("key").alias("low"), F.max("key").alias("high")))
-    one, two = (ends.select(F.col("fp").alias(k), F.array_distinct(F.array("low", "high")).alias(n)) for k, n in (("a", "one"), ("b", "two")))
-    met = links(ends.select("fp")).join(sorted_join(one), "a").join(sorted_join(two), "b")
-    return met.select(F.explode("one").alias("a"), "two").select("a", F.explode("two").alias("b"))
+    """(a, b): of every two fingerprints that differ by one or two bits each key of one with each key of the other.
+
+    ``prints`` has key and fp, and may have root, see ``each_with_each``. Two that have one key each are paired as they are.
+    """
+    own = stored(prints.groupBy("fp").agg(F.min("key").alias("key"), F.count("*").alias("n")))
+    met = links(own.select("fp"), every=True)
+    for k in "ab":
+        met = met.join(sorted_join(own.select(F.col("fp").alias(k), F.col("key").alias(f"key_{k}"), F.col("n").alias(f"n_{k}"))), k)
+    met, alone = stored(met), F.greatest("n_a", "n_b") == 1
+    return met.where(alone).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).unionByName(each_with_each(prints, met.where(~alone).select("a", "b")))
 
 
 def similar(rows: DataFrame, ids: DataFrame, *, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -310,11 +340,20 @@ def similar(rows: DataFrame, ids: DataFrame, *, text: str = "text", similarity:
     # written, so that adaptive execution can split the join where a sample is that of a third of all rows
     ends = stored(ends.where("n > 1").select("nth", "sample", F.when(crowd, F.col("low")).otherwise(F.col("one")).alias("low"), F.when(crowd, F.col("high")).otherwise(F.col("two")).alias("high")))
     met = at.join(sorted_join(ends), ["nth", "sample"]).select(F.col("key").alias("b"), F.explode(F.array("low", "high")).alias("a")).where("a <> b")
-    met = met.unionByName(anchor_pairs(reps.select("key", "fp")))  # and those near each other
-    pairs = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    one, two = (reps.select(F.col("key").alias(k), F.col("sketch").alias(name)) for k, name in (("a", "one"), ("b", "two")))
-    links = arrow(pairs.join(sorted_join(one), "a").join(sorted_join(two), "b").select("a", "b", "one", "two"), _verified(similarity - SLACK), "a long, b long")
-    root = components(links, "a", "b")
+    one, two = (sorted_join(reps.select(F.col("key").alias(k), F.col("sketch").alias(name))) for k, name in (("a", "one"), ("b", "two")))
+
+    def alike_of(met: DataFrame) -> DataFrame:
+        pairs = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        return arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two"), _verified(similarity - SLACK), "a long, b long")
+
+    root = components(alike_of(met), "a", "b")
+    prints = stored(reps.select("key", "fp").join(sorted_join(root), F.col("key") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "key").alias("root")))
+    same = prints.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+    found = alike_of(anchor_pairs(prints).unionByName(each_with_each(prints, same)))  # two bits apart or fewer: all of them
+    for k in "ab":
+        found = found.join(sorted_join(prints.select(F.col("key").alias(k), F.col("root").alias(f"root_{k}"))), k)
+    joint = components(found, "root_a", "root_b").select("node", F.col("root").alias("joint"))  # of components
+    root = prints.join(sorted_join(joint), F.col("root") == F.col("node"), "left").select(F.col("key").alias("node"), F.coalesce("joint", "root").alias("root"))
     named = known.select(FILE, AT, "key", "print").join(sorted_join(copies), "print").join(sorted_join(root), F.col("rep") == F.col("node"), "left")
     return named.select(FILE, AT, "key", F.coalesce("root", "rep").alias("root"))
 
